@@ -51,13 +51,17 @@ def blocks(batches: Iterator[pa.RecordBatch], most_bytes: int, column: str = "te
             start = end
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a copy in the folder that the cluster shares (spark.checkpoint.dir)."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
-        )
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a copy in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

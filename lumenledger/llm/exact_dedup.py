@@ -223,11 +223,16 @@ def exact_dedup(docs: DataFrame, is_snapshot: Column, bucket_keys: int = BUCKET_
     )
 
 
+def lower_half(docs: DataFrame) -> Column:
+    """Whether a doc_id is in the lower half of the range of ids."""
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    return F.col("doc_id") <= ((low or 0) + (high or 0)) // 2
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents: the lower half of the doc_id range is the snapshot, the upper half the batch."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    return exact_dedup(docs, F.col("doc_id") <= ((low or 0) + (high or 0)) // 2)
+    return exact_dedup(docs, lower_half(docs))
 
 
 OP1_SQL = r"""

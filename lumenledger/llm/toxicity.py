@@ -259,6 +259,18 @@ def score(docs: DataFrame, machine: StringKernelMachine | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(judge, "doc_id long, score double")
 
 
+def without_toxic(docs: DataFrame, machine: StringKernelMachine | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for block in blocks(batches, 1 << 19):
+            yield block if model is None else block.filter(pa.array(model.probabilities(*raw(block["text"])) < threshold))
+
+    return docs.mapInArrow(judge, docs.schema)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents, with what labels outside the held-out quarter teach."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
