@@ -1,0 +1,128 @@
+"""Semantics on small hand-made tables."""
+
+import hashlib
+
+from pyspark.sql import functions as F
+
+from lumenledger.functions import text as fn
+from lumenledger.operators import evaluation, graph, index, ledger, retrieval
+
+
+def one(spark, column, **values):
+    df = spark.createDataFrame([tuple(values.values())], list(values)) if values else spark.range(1)
+    return df.select(column.alias("x")).first()[0]
+
+
+def test_tokens_match_before_lowering(spark):
+    assert one(spark, fn.tokens(F.col("t")), t="Foo BAR_9, x") == ["foo", "bar_9", "x"]
+    assert one(spark, fn.bigrams(fn.tokens(F.col("t"))), t="a b c") == ["a\x1fb", "b\x1fc"]
+    assert one(spark, fn.bigrams(fn.tokens(F.col("t"))), t="a") == []
+
+
+def test_lines_and_entropy(spark):
+    assert one(spark, fn.lines(F.col("t")), t="a\nb\n") == ["a", "b"]
+    assert one(spark, fn.lines(F.col("t")), t="") == []
+    assert one(spark, fn.entropy(F.col("t")), t="aabb") == 1.0
+    assert one(spark, fn.short_name(F.col("t")), t="a.b::c") == "c"
+
+
+def test_chunks_overlap_and_stop_at_the_end(spark):
+    text = lambda n: "\n".join(map(str, range(n)))
+    rows = spark.createDataFrame([("a", text(80)), ("b", text(81)), ("c", text(145)), ("d", "")], "path string, text string")
+    got = sorted((r.path, r.start_line, r.end_line) for r in index.chunks(rows).collect())
+    assert got == [("a", 1, 80), ("b", 1, 80), ("b", 65, 81), ("c", 1, 80), ("c", 65, 144), ("c", 129, 145)]
+
+
+def test_bitemporal_matrix(spark):
+    events = spark.createDataFrame([(1, 1000, 1000, None), (2, 3000, 2000, 1)], "event_id long, observed_at long, valid_from long, supersedes long")
+    ask = lambda k, v, h=False: sorted(r.event_id for r in ledger.recall(events, k, v, h).collect())
+    assert [ask(1500, 2500), ask(3500, 1500), ask(3500, 2500), ask(3500, 2500, True)] == [[1], [1], [2], [1, 2]]
+
+
+def test_budget_passes_over_what_does_not_fit(spark):
+    items = spark.createDataFrame([([(1, 50), (2, 100), (3, 30)],)], "items array<struct<key:long,cost:long>>")
+    got = items.select(retrieval.within_budget(F.col("items"), "cost", F.lit(90).cast("long")).alias("b")).first().b
+    assert (got.used, got.taken) == (84, [1, 3])
+
+
+def test_fusion_sums_reciprocal_ranks(spark):
+    schema = "channel string, doc string, rank int"
+    fused = retrieval.fuse([spark.createDataFrame([("a", "x", 1), ("a", "y", 2)], schema), spark.createDataFrame([("b", "y", 1)], schema)], "doc").collect()
+    assert [r.doc for r in fused] == ["y", "x"]
+    assert abs(fused[0].score - (1 / 62 + 1 / 61)) < 1e-12 and fused[0].ranks == {"a": 2, "b": 1}
+
+
+def test_resolution_order(spark):
+    symbols = spark.createDataFrame([(1, "m.f", "f"), (2, "m.C.g", "g"), (3, "n.g", "g"), (4, "m.dup", "dup"), (5, "m.dup", "dup"), (6, "k.only", "only")], "id long, qualified string, name string")
+    edges = spark.createDataFrame([(10, "m.C", "m.f"), (10, "m.C", "g"), (11, "z", "g"), (12, "m", "m.dup"), (13, "z", "only"), (14, "z", "none"), (15, "m.C.x", "f")], "source long, scope string, target string")
+    got = {(r.source, r.target): (r.status, r.target_id) for r in graph.resolve(edges, symbols).collect()}
+    assert got == {
+        (10, "m.f"): ("exact_qualified", 1), (10, "g"): ("lexical_scope", 2), (11, "g"): ("ambiguous", None), (12, "m.dup"): ("ambiguous", None),
+        (13, "only"): ("unique_short_name", 6), (14, "none"): ("unresolved", None), (15, "f"): ("lexical_scope", 1),
+    }
+
+
+def test_paths_take_the_least_predecessor(spark):
+    edges = spark.createDataFrame([("a", "c"), ("a", "b"), ("b", "d"), ("c", "d"), ("d", "e"), ("e", "a")], "a string, b string")
+    got = {r.node: (r.hops, r.via) for r in graph.distances(edges, spark.createDataFrame([("a",)], "node string"), 5).collect()}
+    assert got == {"a": (0, None), "b": (1, "a"), "c": (1, "a"), "d": (2, "b"), "e": (3, "d")}
+
+
+def test_components_and_orders(spark):
+    edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (2, 1), (9, 8)], "a long, b long")
+    assert {r.node: r.root for r in graph.components(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8}
+    cyclic = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (1, 4)], "a long, b long")
+    assert {r.node: r.layer for r in graph.peel_order(cyclic).collect()} == {1: 0, 4: 1}
+
+
+def test_closure_is_cancelled_by_a_blocker(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "event_id long")
+    relations = spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "event_id long, related long")
+    got = {r.event_id: r.outcome for r in ledger.erasure_closure(ids(1, 6, 7), relations, ids(5)).collect()}
+    assert got == {1: "erase", 2: "erase", 3: "erase", 5: "dependency_guard", 6: "dependency_guard", 7: "erase"}
+
+
+def test_support_is_recomputed_or_withdrawn(spark):
+    facts = spark.createDataFrame([(1, "a", 0.9, 0.7), (1, "b", 0.8, 0.7), (2, "a", 0.9, 0.85), (2, "b", 0.8, 0.85), (3, "c", 0.9, 0.1)], "fact_id long, source_id string, confidence double, threshold double")
+    got = {r.fact_id: r.outcome for r in ledger.support(facts, spark.createDataFrame([("a",)], "source_id string")).collect()}
+    assert got == {1: "recompute", 2: "withdrawn"}
+
+
+def test_merkle_and_chain(spark):
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    rows = spark.createDataFrame([("k", i, str(i)) for i in range(5)] + [("o", 1, "x")], "key string, i int, v string")
+    level = [sha("00" + str(i)) for i in range(5)]
+    while len(level) > 1:
+        level = [sha("01" + level[i] + level[min(i + 1, len(level) - 1)]) for i in range(0, len(level), 2)]
+    got = {r.key: r.root for r in ledger.merkle_roots(rows, "key", "i", F.col("v")).collect()}
+    assert got == {"k": level[0], "o": sha("00x")}
+    digest = ""
+    for i in range(5):
+        digest = sha(f"{digest}|{i}|{i}")
+    chained = {r.key: (r.links, r.digest) for r in ledger.chain(rows, "key", "i", F.col("v")).collect()}
+    assert chained["k"] == (5, digest)
+    log = spark.createDataFrame([("a", 1, "", "d1"), ("a", 2, "d1", "d2"), ("a", 3, "bad", "d3")], "k string, n int, previous_digest string, digest string")
+    assert [r.n for r in ledger.broken_links(log, "k", "n").collect()] == [3]
+
+
+def test_sequences(spark):
+    rows = spark.createDataFrame([("a", 1, 5), ("a", 2, 4), ("a", 4, 9)], "k string, s int, c int")
+    assert tuple(ledger.sequence_errors(rows, "k", "s", "c").first()) == ("a", 1, 1)
+
+
+def test_evaluation(spark):
+    cases = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", None)], "case_id string, doc_id long")
+    returned = spark.createDataFrame([("a", 9, 1), ("a", 1, 2), ("a", 2, 3)], "case_id string, doc_id long, rank int")
+    r = evaluation.summary(evaluation.judged(cases, returned)).first()
+    assert (round(r.recall, 6), r.mrr, r.abstention, r.passed) == (0.666667, 0.25, 1.0, False)
+    values = spark.createDataFrame([(float(i),) for i in range(1, 11)], "v double")
+    both = values.agg(evaluation.nearest_rank("v", 0.95).alias("a"), evaluation.floor_index(F.col("v"), 0.95).alias("b")).first()
+    assert tuple(both) == (10.0, 9.0)
+
+
+def test_streaming_equals_batch(spark, folder):
+    from lumenledger.streaming import outbox
+
+    stream = outbox.tumbling(outbox.events_stream(spark, folder), "1 day", "0 seconds")
+    got = outbox.run_available(stream)
+    assert 0 < got.agg(F.sum("events")).first()[0] <= spark.read.parquet(f"{folder}/events.parquet").count()
