@@ -116,7 +116,7 @@ class Queries:
         at = {t: i for i, t in enumerate(self.terms)}
         most = max(map(len, self.sequences), default=0)
         # A sequence that is shorter repeats its first term, which no test can tell.
-        self.matrix = np.array([[at[t] for t in s + (s[0],) * (most - len(s))] for s in self.sequences], np.int64).reshape(-1, most)
+        self.matrix = np.array([[at[t] for t in s + (s[0],) * (most - len(s))] for s in self.sequences], np.int64).reshape(len(self.sequences), most)
 
     def in_shard(self, shard: Shard) -> Iterator[tuple[int, list[int]]]:
         """The sequences of which the shard has every term, as the shard's term numbers."""

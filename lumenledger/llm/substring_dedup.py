@@ -301,8 +301,8 @@ def _send(n_shards: int):
             start = first - at[d]
             shard = np.where(known, block % n_shards, ((h >> np.uint64(20)) % np.uint64(n_shards)).astype(np.int64))
             by = np.lexsort((known, shard)) if len(shard) else np.zeros(0, np.int64)
-            cut = np.flatnonzero(np.concatenate([[True], (np.diff(shard[by]) != 0) | (np.diff(known[by].astype(int)) != 0)])) if len(by) else []
-            for a, b in zip(cut, [*cut[1:], len(by)], strict=True):
+            cut = np.flatnonzero(np.concatenate([[True], (np.diff(shard[by]) != 0) | (np.diff(known[by].astype(int)) != 0)])) if len(by) else by
+            for a, b in zip(cut, np.append(cut, len(by))[1:], strict=True):
                 i = by[a:b]
                 is_known = bool(known[i[0]])
                 for k, v in (

@@ -1,18 +1,19 @@
 """Toxicity by a support vector machine over a gapped-subsequence string kernel.
 
-The kernel compares two stretches of text by the ordered triples of characters that both
-hold within ``SPAN`` characters, each gap inside a triple costing a factor ``DECAY``. So an
+The kernel compares two stretches of text by the subsequences of ``ORDER`` characters that
+both hold within ``SPAN`` characters, each character that is passed over costing a factor
+``DECAY``. So an
 insult still matches when characters are inserted into it or left out. Characters are
-classes of UTF-8 bytes: A-Z and a-z alike, digits, punctuation, white space, other bytes.
+classes of UTF-8 bytes: A-Z and a-z alike, white space, other ASCII, four of other bytes.
 
 Training sees bounded samples of labelled texts outside the held-out quarter. A toxic text
 says that one of its stretches is toxic, a clean text that none is. Stretches are first
-chosen by how much more often their four-grams occur in toxic texts, then by the machine
+chosen by how much more often their five-grams occur in toxic texts, then by the machine
 itself, each round adding the clean stretches that it finds most toxic. The machine works on
-Nyström features of a few hundred landmark stretches. As every triple within the span can be
-listed, the trained machine equals one weight for each triple, and a text's score is the
-greatest sum over any stretch, turned into a probability on texts that the machine was not
-trained on.
+Nyström features of a few hundred landmark stretches. As every subsequence within the span can
+be listed, the trained machine equals one weight for each of them. A text's score is a
+logistic function of its best stretch and its best one apart from that, fitted on texts that
+the machine was not trained on.
 
 Null and empty texts have the score of blank text. Whole texts are scored, of any length.
 Without toxic or without clean training texts every score is 0. labels may hold null or
@@ -23,6 +24,7 @@ Columns beyond doc_id, text, and toxic in labels, are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +34,22 @@ from pyspark.sql import functions as F
 from lumenledger.llm.arrowtext import blocks, raw
 from lumenledger.llm.langid import held_out
 
-SPAN, DECAY, STRETCH = 5, 0.6, 6
+ORDER, SPAN, DECAY, STRETCH = 4, 5, 0.5, 6
 #: Bounds of the training sample: toxic rows and bytes of text; twice as much of clean texts.
 TRAIN_ROWS, TRAIN_BYTES = 2_000, 12 << 20
-LANDMARKS, ROUNDS = 160, 4
+LANDMARKS, ROUNDS = 600, 4
 THRESHOLD = 0.3
 
 _PAD = SPAN + STRETCH
+_APART = STRETCH + SPAN
 _CLASS = np.array(
-    [1 + (b | 32) - 97 if chr(b).isalpha() and b < 128 else 27 if 48 <= b <= 57 else 0 if b <= 32 else 28 if b < 128 else 29 + (b - 128) % 35 for b in range(256)],
+    [1 + (b | 32) - 97 if chr(b).isalpha() and b < 128 else 0 if b <= 32 else 27 if b < 128 else 28 if b >= 192 else 29 + b % 3 for b in range(256)],
     np.int32,
 )
-#: The second and third places of a triple after its first, and its weight.
-TRIPLES = [(j, k, DECAY ** (k - 2)) for k in range(2, SPAN) for j in range(1, k)]
-_SCALE = 1 / np.sqrt(STRETCH * sum(w * w for *_, w in TRIPLES))
+#: The places of a subsequence's characters after its first, and its weight.
+PARTS = [(rest, DECAY ** (rest[-1] - ORDER + 1)) for rest in combinations(range(1, SPAN), ORDER - 1)]
+_SCALE = 1 / np.sqrt(STRETCH * sum(w * w for _, w in PARTS))
+_SIZE = 32**ORDER
 
 
 def padded(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,19 +61,16 @@ def padded(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def _codes(classes: np.ndarray, places: np.ndarray, j: int, k: int) -> np.ndarray:
-    return classes[places] << 12 | classes[places + j] << 6 | classes[places + k]
-
-
 def stretch_scores(classes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """For each place, the sum of the triples' weights over the stretch that begins there."""
+    """For each place, the sum of the subsequences' weights over the stretch that begins there."""
     n = len(classes) - SPAN + 1
     total = np.zeros(len(classes) + 1)
     each = np.zeros(n, np.float32)
-    for j, k, w in TRIPLES:
-        code = classes[:n] << 12
-        code |= classes[j : j + n] << 6
-        code |= classes[k : k + n]
+    for rest, w in PARTS:
+        code = classes[:n].copy()
+        for k in rest:
+            code <<= 5
+            code |= classes[k : k + n]
         each += np.float32(w) * np.take(weights, code)
     np.cumsum(each, out=total[1 : n + 1])
     total[n + 1 :] = total[n]
@@ -77,26 +78,39 @@ def stretch_scores(classes: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def _features(classes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The triples of the stretches at places: codes and weights, a row for each."""
+    """The subsequences of the stretches at places: codes and weights, a row for each."""
     at = places[:, None] + np.arange(STRETCH)
-    codes = np.concatenate([_codes(classes, at, j, k) for j, k, _ in TRIPLES], axis=1)
-    return codes, np.repeat([w * _SCALE for *_, w in TRIPLES], STRETCH)
+    codes = []
+    for rest, _ in PARTS:
+        code = classes[at]
+        for k in rest:
+            code = code << 5 | classes[at + k]
+        codes.append(code)
+    return np.concatenate(codes, axis=1), np.repeat([w * _SCALE for _, w in PARTS], STRETCH)
+
+
+def _two_best(scores: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each text, the best stretch's score and the best score of one that does not overlap it."""
+    out = np.empty((len(first) - 1, 2))
+    for t, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        own = scores[a:b]
+        i = int(own.argmax())
+        out[t, 0] = own[i]
+        # Blanks follow every text, so there is always another stretch.
+        out[t, 1] = max(own[: max(0, i - _APART)].max(initial=-np.inf), own[i + _APART :].max(initial=-np.inf), own[-1])
+    return out
 
 
 class StringKernelMachine:
-    """weights of triples, and slope and offset of the probability."""
+    """weights of subsequences, and of the two best stretches in the probability, with its offset."""
 
-    def __init__(self, weights: np.ndarray, slope: float, offset: float):
-        self.weights, self.slope, self.offset = weights.astype(np.float32), slope, offset
-
-    def margins(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The greatest score of any stretch of each text."""
-        classes, first = padded(data, at)
-        scores = stretch_scores(classes, self.weights)
-        return np.maximum.reduceat(scores, first[:-1]) if len(at) > 1 else np.zeros(0, np.float32)
+    def __init__(self, weights: np.ndarray, slopes: np.ndarray, offset: float):
+        self.weights, self.slopes, self.offset = weights.astype(np.float32), slopes, offset
 
     def probabilities(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(data, at).astype(np.float64) + self.offset, -50, 50)))
+        classes, first = padded(data, at)
+        best = _two_best(stretch_scores(classes, self.weights), first)
+        return 1 / (1 + np.exp(-np.clip(best @ self.slopes + self.offset, -50, 50)))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0) -> tuple[np.ndarray, float]:
@@ -117,9 +131,11 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0) -> tuple[np.ndarray,
 
 
 def _seed(classes: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """A score for each place: how much more often its four-gram is in toxic texts, in texts."""
-    n = len(classes) - 4
-    gram = classes[:n].astype(np.int64) << 18 | classes[1 : n + 1] << 12 | classes[2 : n + 2] << 6 | classes[3 : n + 3]
+    """A score for each place: how much more often its five-gram is in toxic texts, in texts."""
+    n = len(classes) - 5
+    gram = np.zeros(n, np.int64)
+    for k in range(5):
+        gram = gram << 5 | classes[k : n + k]
     text = np.searchsorted(first, np.arange(n), "right") - 1
     held = np.unique(gram << 24 | text)
     grams, which = np.unique(held >> 24, return_inverse=True)
@@ -164,7 +180,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> StringKernelMac
     blank = np.array([len(classes) - _PAD])
     lengths = np.diff(first)
     clean = [blank, first[learn[0]] + (rng.random(len(learn[0])) * lengths[learn[0]]).astype(np.int64)]
-    weights = np.zeros(1 << 18)
+    weights = np.zeros(_SIZE)
     bias = 0.0
     for turn in range(ROUNDS):
         bad = _best(scores, first, learn[1], 2 if turn else 1)
@@ -175,21 +191,24 @@ def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> StringKernelMac
         codes, w = _features(classes, np.concatenate([bad, good]))
         y = np.concatenate([np.ones(len(bad)), -np.ones(len(good))])
         marks = np.concatenate([rng.permutation(len(bad))[: LANDMARKS * 2 // 3], len(bad) + rng.permutation(len(good))[: LANDMARKS // 3]])
-        dense = np.zeros((1 << 18, len(marks)), np.float32)
-        for c, m in enumerate(marks):
-            np.add.at(dense[:, c], codes[m], w)
-        kernel = np.concatenate([np.einsum("nfl,f->nl", dense[codes[i : i + 200]], w, optimize=True) for i in range(0, len(codes), 200)])
+        held, where = np.unique(codes[marks], return_inverse=True)
+        dense = np.zeros((len(held) + 1, len(marks)), np.float32)  # the last row is of what no landmark has
+        for c, row in enumerate(where.reshape(len(marks), -1)):
+            np.add.at(dense[:, c], row, w)
+        at_ = np.minimum(np.searchsorted(held, codes), len(held) - 1)
+        at_ = np.where(held[at_] == codes, at_, len(held))
+        kernel = np.concatenate([np.einsum("nfl,f->nl", dense[at_[i : i + 100]], w, optimize=True) for i in range(0, len(codes), 100)])
         values, vectors = np.linalg.eigh(kernel[marks].astype(np.float64))
         keep = values > 1e-6 * values.max()
         white = vectors[:, keep] / np.sqrt(values[keep])
         beta, bias = _svm(kernel.astype(np.float64) @ white, y)
-        weights = dense @ (white @ beta).astype(np.float32)
-        del dense
+        weights = np.zeros(_SIZE, np.float32)
+        weights[held] = dense[:-1] @ (white @ beta).astype(np.float32)
         scores = stretch_scores(classes, weights)
         scores = np.concatenate([scores, np.full(max(0, len(classes) - len(scores)), -np.inf, np.float32)])
-    margin = np.maximum.reduceat(scores[: len(classes)], first[:-1])
+    best = _two_best(scores[: len(classes)], first)
     judge = ~shown if toxic[~shown].any() and (~toxic[~shown]).any() else np.ones(len(texts), bool)
-    return StringKernelMachine(weights, *_platt(margin[judge].astype(np.float64), toxic[judge]))
+    return StringKernelMachine(weights, *_logistic(best[judge], toxic[judge]))
 
 
 def _seed_of(classes: np.ndarray, first: np.ndarray, toxic: np.ndarray, shown: np.ndarray) -> np.ndarray:
@@ -203,20 +222,20 @@ def _seed_of(classes: np.ndarray, first: np.ndarray, toxic: np.ndarray, shown: n
     return out
 
 
-def _platt(margin: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, with smoothed targets."""
+def _logistic(x: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and offset of a logistic function, with smoothed targets."""
     a, b = toxic.sum(), (~toxic).sum()
     target = np.where(toxic, (a + 1) / (a + 2), 1 / (b + 2))
-    centre, width = margin.mean(), margin.std() or 1.0
-    x = np.column_stack([(margin - centre) / width, np.ones(len(margin))])
-    w = np.zeros(2)
+    centre, width = x.mean(0), x.std(0) + 1e-9
+    x = np.column_stack([(x - centre) / width, np.ones(len(x))])
+    w, ridge = np.zeros(x.shape[1]), np.diag([1e-2] * (x.shape[1] - 1) + [1e-6])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (target - p) - 1e-6 * w)
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge, x.T @ (target - p) - ridge @ w)
         w += np.clip(step, -5, 5)
         if abs(step).max() < 1e-8:
             break
-    return float(w[0] / width), float(w[1] - w[0] * centre / width)
+    return w[:-1] / width, float(w[-1] - (w[:-1] / width) @ centre)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> StringKernelMachine | None:
