@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lumenledger.llm.arrowtext import blocks, partitions, raw
 
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 #: How the vocabulary's pre-tokenizer splits a text. A fixed value of this kind of vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = os.path.join("/opt/tokenizers", "byte_bpe_50k.json")
@@ -158,7 +158,7 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, factor: int) -
 
 
 def _split_block(block: pa.RecordBatch, split: Splitter) -> tuple[str, list[bytes], np.ndarray, np.ndarray]:
-    """The block's name, its distinct words in the order of their hashes, words per document, and all words' numbers."""
+    """The block's name, its distinct words, frequent ones first, words per document, and all words' numbers."""
     data, at = raw(block["text"])
     parts, a = [], 0
     while a < block.num_rows:  # parts that a processor's cache holds
@@ -170,9 +170,13 @@ def _split_block(block: pa.RecordBatch, split: Splitter) -> tuple[str, list[byte
         a = b
     begin, end, one, two = (np.concatenate(x) for x in zip(*parts, strict=True))
     counts = np.diff(np.searchsorted(begin, at))
-    _, first, codes = np.unique(one, return_index=True, return_inverse=True)
+    _, first, codes, many = np.unique(one, return_index=True, return_inverse=True, return_counts=True)
     if (two != two[first][codes]).any():
         raise ValueError("two words of one block share a hash: choose another block size")
+    order = np.argsort(-many, kind="stable")  # frequent words have small numbers
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    first, codes = first[order], place[codes]
     body = data.tobytes()
     known = [body[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
     name = hashlib.blake2b(body, digest_size=16)
@@ -180,14 +184,18 @@ def _split_block(block: pa.RecordBatch, split: Splitter) -> tuple[str, list[byte
     return name.hexdigest(), known, counts, codes.astype(np.uint32)
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """uint32 values as their low halves and then their high ones, which are mostly zero."""
-    return (values & 0xFFFF).astype("<u2").tobytes() + (values >> 16).astype("<u2").tobytes()
+def _packed(values: np.ndarray) -> bytes:
+    """uint32 values, compressed by byte planes: the numbers of frequent words are small."""
+    import zstandard
 
+    return zstandard.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
-def _unplaned(data: bytes) -> np.ndarray:
-    half = np.frombuffer(data, "<u2").astype(np.uint32)
-    return half[: len(half) // 2] | half[len(half) // 2 :] << np.uint32(16)
+
+def _unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).reshape(-1).view("<u4").astype(np.uint32)
 
 
 def _coded(docs: DataFrame, path: str, block_bytes: int) -> DataFrame:
@@ -199,8 +207,8 @@ def _coded(docs: DataFrame, path: str, block_bytes: int) -> DataFrame:
                 {
                     "block": [name],
                     "doc_ids": pa.array([block["doc_id"].cast(pa.int64()).to_pylist()], pa.list_(pa.int64())),
-                    "counts": [counts.astype("<u4").tobytes()],
-                    "codes": [_planes(codes)],
+                    "counts": [_packed(counts)],
+                    "codes": [_packed(codes)],
                 }
             )
 
@@ -211,6 +219,8 @@ def _distinct(docs: DataFrame, path: str, block_bytes: int, n_buckets: int) -> D
     """Each block's distinct words by bucket of their hash: places in the block's numbering, sizes, bytes."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         split = Splitter(path)
         for block in blocks(batches, block_bytes):
             name, data, _, _ = _split_block(block, split)
@@ -222,9 +232,9 @@ def _distinct(docs: DataFrame, path: str, block_bytes: int, n_buckets: int) -> D
                     {
                         "bucket": pa.array([b], pa.int32()),
                         "block": [name],
-                        "places": [_planes(places.astype(np.uint32))],
-                        "sizes": [np.fromiter(map(len, words), "<u4", len(words)).tobytes()],
-                        "words": [b"".join(words)],
+                        "places": [_packed(np.diff(places, prepend=0))],
+                        "sizes": [_packed(np.fromiter(map(len, words), "<u4", len(words)))],
+                        "words": [zstandard.compress(b"".join(words), 1)],
                     }
                 )
 
@@ -245,11 +255,13 @@ def _encoded(words: DataFrame, path: str, n_buckets: int) -> DataFrame:
     """The same blocks' words as ids: block, places, lengths, ids. A word is encoded when it first comes."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         one = word_encoder(path)
         table: dict[bytes, list[int]] = {}
         for row in (r for b in batches for r in b.to_pylist()):
-            ends = np.cumsum(np.frombuffer(row["sizes"], "<u4").astype(np.int64)).tolist()
-            data = row["words"]
+            ends = np.cumsum(_unpacked(row["sizes"]).astype(np.int64)).tolist()
+            data = zstandard.decompress(row["words"])
             words = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
             for w in words:
                 if w not in table:
@@ -259,8 +271,8 @@ def _encoded(words: DataFrame, path: str, n_buckets: int) -> DataFrame:
                 {
                     "block": [row["block"]],
                     "places": [row["places"]],
-                    "lengths": [np.fromiter(map(len, ids), "<u4", len(ids)).tobytes()],
-                    "ids": [_planes(np.array([i for w in ids for i in w], np.uint32))],
+                    "lengths": [_packed(np.fromiter(map(len, ids), "<u4", len(ids)))],
+                    "ids": [_packed(np.array([i for w in ids for i in w], np.uint32))],
                 }
             )
 
@@ -278,21 +290,21 @@ def encode(docs: DataFrame, path: str = VOCABULARY, block_bytes: int = BLOCK_BYT
             raise ValueError("words without a block: the source gave other rows on its second read")
         lengths = first = pool = None
         if right.num_rows:
-            parts = [(_unplaned(r["places"]), np.frombuffer(r["lengths"], "<u4"), _unplaned(r["ids"])) for r in right.to_pylist()]
+            parts = [(np.cumsum(_unpacked(r["places"]), dtype=np.int64), _unpacked(r["lengths"]), _unpacked(r["ids"])) for r in right.to_pylist()]
             places, sizes = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
             pool = np.concatenate([p[2] for p in parts])
             lengths, first = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
             lengths[places], first[places] = sizes, np.cumsum(sizes) - sizes
         # A block that came twice, of repeated rows, is answered twice.
         for row in left.to_pylist():
-            codes = _unplaned(row["codes"]).astype(np.int64)
+            codes = _unpacked(row["codes"]).astype(np.int64)
             if len(codes) and (lengths is None or codes.max() >= len(lengths)):
                 raise ValueError("a block without its words: the source gave other rows on its second read")
             size = lengths[codes] if len(codes) else np.zeros(0, np.int64)
             ends = np.cumsum(size)
             total = int(ends[-1]) if len(ends) else 0
             ids = pool[np.repeat(first[codes] - (ends - size), size) + np.arange(total)] if total else np.zeros(0, np.uint32)
-            at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(np.frombuffer(row["counts"], "<u4").astype(np.int64))])]
+            at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(_unpacked(row["counts"]).astype(np.int64))])]
             data = ids.astype("<u4").tobytes()
             names += row["doc_ids"]
             many.append(np.diff(at))
