@@ -68,3 +68,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """How many partitions this session's shuffles have."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bytes of an Arrow batch that goes to a Python worker. Spark's own default is 64 MB, of which
+#: the JVM and each worker of a task hold one.
+BATCH_BYTES = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets this session's Python tasks take their rows in smaller Arrow batches."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key)).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))

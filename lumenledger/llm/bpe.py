@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenledger.llm.arrowtext import blocks, partitions, raw
+from lumenledger.llm.arrowtext import blocks, partitions, raw, small_batches
 
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: How the vocabulary's pre-tokenizer splits a text. A fixed value of this kind of vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = os.path.join("/opt/tokenizers", "byte_bpe_50k.json")
@@ -281,6 +281,7 @@ def _encoded(words: DataFrame, path: str, n_buckets: int) -> DataFrame:
 
 def encode(docs: DataFrame, path: str = VOCABULARY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit) for every row of docs."""
+    small_batches(docs.sparkSession)
     n = partitions(docs.sparkSession)
     answers = _encoded(_distinct(docs, path, block_bytes, n), path, n)
 
