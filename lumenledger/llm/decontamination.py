@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenledger.llm.arrowtext import blocks, texts, words
+from lumenledger.llm.arrowtext import blocks, small_batches, texts, words
 
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 8 << 20
@@ -167,6 +167,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, q
     The benchmark is a query set. It is read in blocks of query_bytes at most, and each block
     is searched for in all documents.
     """
+    small_batches(docs.sparkSession)
     n_blocks = 1 + (benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // query_bytes
     found = []
     for i in range(n_blocks):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenledger.llm.arrowtext import blocks, raw
+from lumenledger.llm.arrowtext import blocks, raw, small_batches
 
 ORDER = 3
 #: Rows of each language that are trained on at most, taken by a hash of their ids.
@@ -165,6 +165,7 @@ def train(docs: DataFrame, label: str = "lang", rows: int = TRAIN_ROWS, order: i
 
 def identify(docs: DataFrame, trees: Trees | None) -> DataFrame:
     """doc_id, lang_pred, score for every row. The score is how much shorter the code is than the second."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

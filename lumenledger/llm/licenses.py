@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenledger.llm.arrowtext import blocks, texts, words
+from lumenledger.llm.arrowtext import blocks, small_batches, texts, words
 
 #: Phrases that are always counted, and their labels.
 BASE = {
@@ -154,6 +154,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
                 {"doc_id": block["doc_id"].cast(pa.int64()), "n_words": pa.array(counts, pa.int64()), "detections": pa.array(rows, kind)}
             )
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(scan, SCAN)
 
 

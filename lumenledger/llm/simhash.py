@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenledger.llm.arrowtext import blocks, checkpoint, partitions, texts
+from lumenledger.llm.arrowtext import blocks, checkpoint, partitions, small_batches, texts
 
 RADIUS = 2
 SHINGLE = 3
@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             made = np.array([fingerprint(t) for t in texts(block["text"])], np.uint64)
             yield pa.RecordBatch.from_arrays([block["doc_id"].cast(pa.int64()), pa.array(made.view(np.int64))], ["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, fp long")
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenledger.llm.arrowtext import blocks, raw
+from lumenledger.llm.arrowtext import blocks, raw, small_batches
 from lumenledger.llm.langid import held_out
 
 ORDER, SPAN, DECAY, STRETCH = 4, 5, 0.5, 6
@@ -267,6 +267,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes
 
 def score(docs: DataFrame, machine: StringKernelMachine | None) -> DataFrame:
     """doc_id, score for every row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,6 +281,7 @@ def score(docs: DataFrame, machine: StringKernelMachine | None) -> DataFrame:
 
 def without_toxic(docs: DataFrame, machine: StringKernelMachine | None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, whose score is below the threshold."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
