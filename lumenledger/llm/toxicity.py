@@ -23,6 +23,7 @@ Columns beyond doc_id, text, and toxic in labels, are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -36,8 +37,8 @@ from lumenledger.llm.langid import held_out
 
 ORDER, SPAN, DECAY, STRETCH = 4, 5, 0.5, 6
 #: Bounds of the training sample: toxic rows and bytes of text; twice as much of clean texts.
-TRAIN_ROWS, TRAIN_BYTES = 2_000, 12 << 20
-LANDMARKS, ROUNDS = 600, 4
+TRAIN_ROWS, TRAIN_BYTES = 2_000, 3 << 20
+LANDMARKS, ROUNDS = 400, 4
 THRESHOLD = 0.3
 
 _PAD = SPAN + STRETCH
@@ -132,20 +133,22 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0) -> tuple[np.ndarray,
 
 def _seed(classes: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """A score for each place: how much more often its five-gram is in toxic texts, in texts."""
-    n = len(classes) - 5
-    gram = np.zeros(n, np.int64)
-    for k in range(5):
-        gram = gram << 5 | classes[k : n + k]
-    text = np.searchsorted(first, np.arange(n), "right") - 1
-    held = np.unique(gram << 24 | text)
-    grams, which = np.unique(held >> 24, return_inverse=True)
-    mark = toxic[np.minimum(held & (1 << 24) - 1, len(toxic) - 1)]
+    own = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        gram = np.zeros(b - a - 4, np.int32)
+        for k in range(5):
+            gram = gram << 5 | classes[a + k : b - 4 + k]
+        own.append(gram)
+    held = [np.unique(g) for g in own]
+    mark = np.repeat(toxic, [len(h) for h in held])
+    grams, which = np.unique(np.concatenate(held), return_inverse=True)
     a, b = np.bincount(which[mark], minlength=len(grams)), np.bincount(which[~mark], minlength=len(grams))
     odds = np.log((a + 0.5) / (toxic.sum() + 1)) - np.log((b + 0.5) / ((~toxic).sum() + 1))
     # What occurs in few texts says little.
-    odds = np.maximum(0, odds) * np.sqrt(a) * (a >= 3)
+    odds = (np.maximum(0, odds) * np.sqrt(a) * (a >= 3)).astype(np.float32)
     out = np.zeros(len(classes), np.float32)
-    out[:n] = odds[np.searchsorted(grams, gram)]
+    for g, p in zip(own, first[:-1].tolist(), strict=True):
+        out[p : p + len(g)] = odds[np.searchsorted(grams, g)]
     total = np.concatenate([[0], np.cumsum(out, dtype=np.float64)])
     return np.concatenate([total[STRETCH:] - total[:-STRETCH], np.zeros(STRETCH - 1)]).astype(np.float32)
 
@@ -201,7 +204,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> StringKernelMac
         values, vectors = np.linalg.eigh(kernel[marks].astype(np.float64))
         keep = values > 1e-6 * values.max()
         white = vectors[:, keep] / np.sqrt(values[keep])
-        beta, bias = _svm(kernel.astype(np.float64) @ white, y)
+        beta, bias = _svm(kernel @ white.astype(np.float32), y)
         weights = np.zeros(_SIZE, np.float32)
         weights[held] = dense[:-1] @ (white @ beta).astype(np.float32)
         scores = stretch_scores(classes, weights)
@@ -242,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes
     """A machine from a bounded sample of labelled texts outside held_out, chosen by a hash of doc_id.
 
     At most `rows` toxic rows and most_bytes of toxic text (one text at least) are taken, and
-    twice as much of clean ones, in the order of the hash; the sample goes to the driver.
+    twice as much of clean ones, in the order of the hash, and learnt from in one task.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
@@ -260,9 +263,17 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes
     if not taken:
         return None
     chosen = docs.sparkSession.createDataFrame(taken, "doc_id long, toxic boolean")
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
-    got.sort(key=lambda r: (r[0], r[1] or ""))
-    return fit([(r[1] or "").encode() for r in got], np.array([r[2] for r in got], bool))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((r["doc_id"], r["text"] or "", r["toxic"]) for b in batches for r in b.to_pylist())
+        if got:
+            made = fit([t.encode() for _, t, _ in got], np.array([v for *_, v in got], bool))
+            yield pa.RecordBatch.from_pydict({"machine": [pickle.dumps(made)]})
+
+    # The sample's bound is what one task learns from; the driver gets the machine alone.
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(1)
+    made = sample.mapInArrow(learn, "machine binary").first()
+    return pickle.loads(made[0]) if made else None
 
 
 def score(docs: DataFrame, machine: StringKernelMachine | None) -> DataFrame:
