@@ -37,8 +37,8 @@ from lumenledger.llm.langid import held_out
 
 ORDER, SPAN, DECAY, STRETCH = 4, 5, 0.5, 6
 #: Bounds of the training sample: toxic rows and bytes of text; twice as much of clean texts.
-TRAIN_ROWS, TRAIN_BYTES = 2_000, 3 << 20
-LANDMARKS, ROUNDS = 400, 4
+TRAIN_ROWS, TRAIN_BYTES = 2_000, 4 << 20
+LANDMARKS, ROUNDS = 600, 4
 THRESHOLD = 0.3
 
 _PAD = SPAN + STRETCH
