@@ -27,10 +27,11 @@ def chunks(source: DataFrame, path: str = "path", text: str = "text", size: int
     return cut.withColumn("chunk_id", content_id(24, F.col("path"), F.col("start_line"), F.col("end_line"), F.col("text")))
 
 
-def postings(source: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, term, tf, dl: term frequencies and document length in tokens."""
+def postings(source: DataFrame, key: str, text: str = "text", terms: list[str] | None = None) -> DataFrame:
+    """key, term, tf, dl: term frequencies, of given terms or of all, and document length in tokens."""
     cut = source.select(key, tokens(F.col(text)).alias("t"))
-    return cut.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    kept = F.col("t") if terms is None else F.filter("t", lambda x: x.isin(terms))
+    return cut.select(key, F.size("t").alias("dl"), F.explode(kept).alias("term")).groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(source: DataFrame, key: str, terms: list[str], text: str = "text") -> DataFrame:

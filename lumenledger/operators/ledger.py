@@ -118,3 +118,68 @@ def erasure_closure(roots: DataFrame, relations: DataFrame, blockers: DataFrame)
     return every.join(hit, "root", "left_semi").join(blocked, "root", "left").select(
         F.col("node").alias("event_id"), F.when(F.col("blocked"), "dependency_guard").otherwise("erase").alias("outcome")
     )
+
+
+def term_recall(events: DataFrame, terms: list[str], text: str = "text", limit: int | None = None) -> DataFrame:
+    """event_id, matches, observed_at of events that hold any of the distinct terms: most matches first, then newest."""
+    from lumenledger.functions.text import tokens
+
+    found = F.array_intersect(tokens(F.col(text)), F.array(*(F.lit(t.lower()) for t in sorted(set(terms)))))
+    hit = events.select("event_id", F.size(found).alias("matches"), "observed_at").where("matches > 0")
+    return hit if limit is None else hit.orderBy(F.desc("matches"), F.desc("observed_at"), F.desc("event_id")).limit(limit)
+
+
+def promotable(events: DataFrame, closed: DataFrame, kinds: list[str], attempts: DataFrame, successors: DataFrame) -> DataFrame:
+    """Durable events of closed sessions, of these kinds, whose last check succeeded and that no trusted event supersedes.
+
+    events: event_id, session, kind, durable; closed: session; attempts: event_id, attempt,
+    succeeded; successors: supersedes, of trusted events.
+    """
+    current = attempts.groupBy("event_id").agg(F.max_by("succeeded", "attempt").alias("ok")).where("ok").select("event_id")
+    fit = events.where(F.col("durable") & F.col("kind").isin(kinds)).join(closed.select("session"), "session", "left_semi")
+    return hide_superseded(fit.join(current, "event_id", "left_semi"), successors)
+
+
+def portable(events: DataFrame) -> DataFrame:
+    """event_id, session, sequence, leaves of the durable events, renumbered within each session.
+
+    leaves tells that an event supersedes one that is not exported. events: event_id,
+    session, observed_at, durable, supersedes.
+    """
+    kept = events.where("durable")
+    order = Window.partitionBy("session").orderBy("observed_at", "event_id")
+    there = kept.select(F.col("event_id").alias("supersedes"), F.lit(True).alias("there"))
+    numbered = kept.withColumn("sequence", F.row_number().over(order).cast("long")).join(there, "supersedes", "left")
+    return numbered.select("event_id", "session", "sequence", (F.col("supersedes").isNotNull() & F.col("there").isNull()).alias("leaves"))
+
+
+def tombstones(events: DataFrame, erased: DataFrame) -> DataFrame:
+    """event_id, kind, value, supersedes: erased events keep their id alone, and no relation leads to or from one."""
+    gone = erased.select("event_id", F.lit(True).alias("gone"))
+    marked = events.join(gone, "event_id", "left").join(gone.select(F.col("event_id").alias("supersedes"), F.col("gone").alias("lost")), "supersedes", "left")
+    held = lambda c, *why: F.when(F.coalesce(*why).isNull(), F.col(c)).alias(c)
+    return marked.select(
+        "event_id", F.when(F.col("gone"), "evidence").otherwise(F.col("kind")).alias("kind"), held("value", "gone"), held("supersedes", "gone", "lost")
+    )
+
+
+def event_graph(events: DataFrame) -> DataFrame:
+    """source, target, kind: each event is about its subject, and supersedes or contradicts others."""
+    node = F.concat(F.lit("event:"), F.col("event_id").cast("string"))
+    tie = lambda c, kind: F.when(F.col(c).isNotNull(), F.struct(F.concat(F.lit("event:"), F.col(c).cast("string")).alias("target"), F.lit(kind).alias("kind")))
+    about = F.struct(F.concat(F.lit("subject:"), F.col("subject").cast("string")).alias("target"), F.lit("about").alias("kind"))
+    ties = F.array_compact(F.array(about, tie("supersedes", "supersedes"), tie("contradicts", "contradicts")))
+    # One pass over the events; their edges are listed in place.
+    return events.select(node.alias("source"), F.explode(ties).alias("e")).select("source", "e.target", "e.kind")
+
+
+def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str, rule: str) -> DataFrame:
+    """rule, violations: rows of child whose key, null apart, parent lacks."""
+    lost = child.where(F.col(key).isNotNull()).join(parent.select(F.col(parent_key).alias(key)), key, "left_anti")
+    return lost.agg(F.lit(rule).alias("rule"), F.count(F.lit(1)).alias("violations"))
+
+
+def repeats(rows: DataFrame, keys: list[str], rule: str) -> DataFrame:
+    """rule, violations: rows beyond the first of each key."""
+    many = rows.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("n"))
+    return many.agg(F.lit(rule).alias("rule"), F.coalesce(F.sum("n"), F.lit(0)).alias("violations"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenledger.functions.text import TOKEN
+from lumenledger.operators import index
+
 RRF_K, MOST = 60, 512
 
 
@@ -47,3 +51,90 @@ def within_budget(items: Column, cost: str, budget: Column) -> Column:
         return F.when(fits, more).otherwise(state)
 
     return F.aggregate(items, start, step)
+
+
+def symbol_lookup(symbols: DataFrame, query: str) -> DataFrame:
+    """symbols (name, qualified) with rank: 0 the query itself, 1 qualified holds it, 2 only the name does."""
+    asked = F.lit(query.strip().lower())
+    name, qualified = F.lower("name"), F.lower("qualified")
+    rank = F.when((name == asked) | (qualified == asked), 0).when(F.contains(qualified, asked), 1).when(F.contains(name, asked), 2)
+    return symbols.withColumn("rank", rank.cast("long")).where("rank IS NOT NULL")
+
+
+def hybrid(chunks: DataFrame, symbols: DataFrame, query: str, most: int = MOST) -> DataFrame:
+    """pointer, path, start_line, end_line, score: candidates by BM25, cosine of int8 vectors, overlap and symbols.
+
+    At most `most` candidates are taken, each query term's best postings in turn. Only they
+    get vectors. symbols: path, start, end, name, qualified; chunks: path, start_line,
+    end_line, text.
+    """
+    terms = sorted({t.lower() for t in re.findall(TOKEN, query)})
+    asked = query.strip().lower()
+    keyed = chunks.withColumn("pointer", F.concat(F.col("path"), F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string")))
+    picked = index.round_robin(index.postings(keyed, "pointer", terms=terms), "pointer", most).select("pointer")
+    # `most` rows bound what is broadcast.
+    taken = keyed.join(F.broadcast(picked), "pointer", "left_semi")
+    wanted = index.hashed_vector(chunks.sparkSession.createDataFrame([(0, query)], "id int, text string"), "id").select("idx", F.col("weight").alias("q"))
+    held = index.hashed_vector(taken, "pointer").select("pointer", "idx", (index.quantized(F.array("weight"))[0] / 127.0).alias("w"))
+    near = held.join(F.broadcast(wanted), "idx").groupBy("pointer").agg(F.sum(F.col("q") * F.col("w")).alias("cos"))
+    named = symbols.where((F.lower("name") == asked) | (F.lower("qualified") == asked) | F.lower("name").isin(terms)).select("path", "start", "end")
+    places = taken.select("pointer", "path", "start_line", "end_line")
+    boosted = overlapping(places, named, ["path"]).select("pointer").distinct().withColumn("boost", F.lit(0.2))
+    lexical = index.bm25(keyed, "pointer", terms).withColumnRenamed("score", "bm25")
+    every = places.join(lexical, "pointer").join(near, "pointer", "left").join(boosted, "pointer", "left")
+    score = F.col("bm25") + 0.3 * F.coalesce("cos", F.lit(0.0)) + 0.2 * F.col("matched") / len(terms) + F.coalesce("boost", F.lit(0.0))
+    return every.select("pointer", "path", "start_line", "end_line", F.round(score, 6).alias("score"))
+
+
+def rank_changes(baseline: DataFrame, shadow: DataFrame, key: str) -> DataFrame:
+    """key, before, after, change of every row that either ranking has; null where one lacks it."""
+    both = baseline.select(key, F.col("rank").alias("before")).join(shadow.select(key, F.col("rank").alias("after")), key, "full")
+    return both.withColumn("change", F.col("before") - F.col("after"))
+
+
+def recognise(queries: DataFrame, aliases: DataFrame, key: str, longest: int, text: str = "text") -> DataFrame:
+    """key, phrase, concepts, concept of the aliases that stand in each query; concept is null where an alias has several.
+
+    Every run of up to `longest` tokens is looked up, so aliases join by equality. aliases:
+    phrase (lower-case tokens, space-joined), concept.
+    """
+    of = aliases.groupBy("phrase").agg(F.countDistinct("concept").alias("concepts"), F.min("concept").alias("one"))
+    words = queries.select(key, index.tokens(F.col(text)).alias("t"))
+    runs = F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(1), F.lit(longest)),
+        lambda n: F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.array_join(F.slice("t", i, n), " "))).otherwise(F.array().cast("array<string>")),
+    )))
+    return words.select(key, F.explode(runs).alias("phrase")).join(of, "phrase").select(key, "phrase", "concepts", F.when(F.col("concepts") == 1, F.col("one")).alias("concept"))
+
+
+def coverage(recognised: DataFrame, bound: DataFrame, key: str) -> DataFrame:
+    """key, recognised, covered, status of each query with any alias. bound: concept of every verified binding."""
+    each = recognised.select(key, "concepts", "concept").join(bound.select("concept", F.lit(1).alias("bound")).distinct(), "concept", "left")
+    count = lambda c: F.countDistinct(F.when(c, F.col("concept")))
+    summed = each.groupBy(key).agg(
+        count(F.col("concept").isNotNull()).alias("recognised"), count(F.col("bound") == 1).alias("covered"), F.max(F.col("concepts") > 1).alias("unclear")
+    )
+    status = (
+        F.when(F.col("unclear"), "ambiguous").when(F.col("recognised") == F.col("covered"), "answerable").when(F.col("covered") > 0, "partial")
+        .otherwise("unanswerable")
+    )
+    return summed.select(key, "recognised", "covered", status.alias("status"))
+
+
+def headings(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """key, place, level, anchor: headings in page order; a page's further headings of one name get -2, -3 and so on."""
+    from lumenledger.functions.text import slug
+
+    pattern = "<h([1-6])[^>]*>([^<]*)<"
+    found = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(pattern), F.lit(0))).alias("place", "h"))
+    found = found.select(key, "place", F.regexp_extract("h", pattern, 1).cast("long").alias("level"), slug(F.regexp_extract("h", pattern, 2)).alias("slug"))
+    nth = F.row_number().over(Window.partitionBy(key, "slug").orderBy("place"))
+    anchor = F.when(nth == 1, F.col("slug")).otherwise(F.concat_ws("-", F.col("slug"), nth.cast("string")))
+    return found.select(key, F.col("place").cast("long").alias("place"), "level", anchor.alias("anchor"))
+
+
+def interleaved(rows: DataFrame, key: str, side: str, order: str, cost: str) -> DataFrame:
+    """key, items: each key's rows of two sides in turn, side false first; items are what within_budget takes."""
+    place = F.row_number().over(Window.partitionBy(key, side).orderBy(order))
+    item = F.struct(place.alias("place"), F.col(side).alias("side"), F.col(order).alias("key"), F.col(cost).alias("cost"))
+    return rows.select(key, item.alias("item")).groupBy(key).agg(F.array_sort(F.collect_list("item")).alias("items"))

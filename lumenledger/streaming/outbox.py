@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -54,3 +54,17 @@ def tumbling(stream: DataFrame, width: str, late: str, clock: str = "ts") -> Dat
     """start, event_type, events, total of every window of event time; closed ones only."""
     timed = stream.withColumn(clock, F.col(clock).cast("timestamp")).withWatermark(clock, late)
     return timed.groupBy(F.window(clock, width), "event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("total")).select("window.start", "event_type", "events", "total")
+
+
+def consume(batch: DataFrame, events: DataFrame, wanted: Column, most: int, key: str = "event_id") -> DataFrame:
+    """The newest `most` wanted records of a bounded batch, or none of it where any record is repeated or differs from the ledger.
+
+    The whole batch is judged before it is filtered. batch and events share the columns compared.
+    """
+    shown = [c for c in ("event_type", "user_id", "value") if c in batch.columns]
+    true = events.select(key, F.struct(*shown).alias("true"))
+    # The hot log's length bounds the batch.
+    judged = batch.join(true.join(F.broadcast(batch.select(key).distinct()), key, "left_semi"), key, "left")
+    same = F.struct(*shown).eqNullSafe(F.col("true"))
+    fault = judged.groupBy(key).agg((F.count(F.lit(1)) > 1).alias("twice"), F.max(~same).alias("other")).where("twice OR other").limit(1).select(F.lit(True).alias("fault"))
+    return batch.where(wanted).join(F.broadcast(fault), how="left_anti").orderBy(F.desc(key)).limit(most)

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lumenledger.jobs.catalog import ORACLE_SQL, QUERIES
+from lumenledger.jobs.registered import ORACLE_SQL, QUERIES
 
 
 @pytest.fixture(scope="module")
