@@ -34,22 +34,29 @@ def postings(source: DataFrame, key: str, text: str = "text", terms: list[str] |
     return cut.select(key, F.size("t").alias("dl"), F.explode(kept).alias("term")).groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def corpus_size(source: DataFrame, text: str = "text") -> tuple[int, float]:
+    """How many rows there are, and their mean length in tokens, 1 at least."""
+    n, mean = source.agg(F.count(F.lit(1)), F.greatest(F.lit(1.0), F.avg(F.size(tokens(F.col(text)))))).first()
+    return n, float(mean or 1.0)
+
+
+def weighed(posting: DataFrame, n: int, mean: float) -> DataFrame:
+    """posting with weight, each term's part of BM25; df is counted over posting, which holds a query's terms."""
+    df = posting.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1.0 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1.0) / (F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / F.lit(mean)))
+    # df has a row for each query term, which bounds what is broadcast.
+    return posting.join(F.broadcast(df), "term").withColumn("weight", part)
+
+
 def bm25(source: DataFrame, key: str, terms: list[str], text: str = "text") -> DataFrame:
     """key, score, matched: BM25 of every row with any of the distinct query terms.
 
     One pass counts rows and their mean length; only postings of the query's terms are shuffled.
     """
-    wanted = sorted(set(terms))
-    cut = source.select(key, tokens(F.col(text)).alias("t"))
-    n, mean = cut.agg(F.count(F.lit(1)), F.greatest(F.lit(1.0), F.avg(F.size("t")))).first()
-    hit = cut.select(key, F.size("t").alias("dl"), F.explode(F.filter("t", lambda x: x.isin(wanted))).alias("term"))
-    tf = hit.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # df has a row for each query term, which bounds what is broadcast.
-    scored = tf.join(F.broadcast(df), "term")
-    idf = F.log(1.0 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1.0) / (F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / F.lit(float(mean or 1.0))))
-    return scored.groupBy(key).agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("matched"))
+    n, mean = corpus_size(source, text)
+    each = weighed(postings(source, key, text, sorted(set(terms))), n, mean)
+    return each.groupBy(key).agg(F.sum("weight").alias("score"), F.count(F.lit(1)).alias("matched"))
 
 
 def round_robin(posting: DataFrame, key: str, most: int) -> DataFrame:

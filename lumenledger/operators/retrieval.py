@@ -12,6 +12,8 @@ from lumenledger.functions.text import TOKEN
 from lumenledger.operators import index
 
 RRF_K, MOST = 60, 512
+#: Bytes of aliases, with a row's overhead for each, up to which they are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def ranked(scored: DataFrame, key: str, channel: str, score: str = "score", most: int = MOST) -> DataFrame:
@@ -71,17 +73,21 @@ def hybrid(chunks: DataFrame, symbols: DataFrame, query: str, most: int = MOST)
     terms = sorted({t.lower() for t in re.findall(TOKEN, query)})
     asked = query.strip().lower()
     keyed = chunks.withColumn("pointer", F.concat(F.col("path"), F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string")))
-    picked = index.round_robin(index.postings(keyed, "pointer", terms=terms), "pointer", most).select("pointer")
-    # `most` rows bound what is broadcast.
-    taken = keyed.join(F.broadcast(picked), "pointer", "left_semi")
+    n, mean = index.corpus_size(chunks)
+    posting = index.postings(keyed, "pointer", terms=terms)
+    # `most` rows bound what is broadcast, here and below.
+    picked = F.broadcast(index.round_robin(posting, "pointer", most).select("pointer"))
+    taken = keyed.join(picked, "pointer", "left_semi")
     wanted = index.hashed_vector(chunks.sparkSession.createDataFrame([(0, query)], "id int, text string"), "id").select("idx", F.col("weight").alias("q"))
     held = index.hashed_vector(taken, "pointer").select("pointer", "idx", (index.quantized(F.array("weight"))[0] / 127.0).alias("w"))
     near = held.join(F.broadcast(wanted), "idx").groupBy("pointer").agg(F.sum(F.col("q") * F.col("w")).alias("cos"))
     named = symbols.where((F.lower("name") == asked) | (F.lower("qualified") == asked) | F.lower("name").isin(terms)).select("path", "start", "end")
-    places = taken.select("pointer", "path", "start_line", "end_line")
-    boosted = overlapping(places, named, ["path"]).select("pointer").distinct().withColumn("boost", F.lit(0.2))
-    lexical = index.bm25(keyed, "pointer", terms).withColumnRenamed("score", "bm25")
-    every = places.join(lexical, "pointer").join(near, "pointer", "left").join(boosted, "pointer", "left")
+    lexical = index.weighed(posting, n, mean).join(picked, "pointer", "left_semi").groupBy("pointer").agg(F.sum("weight").alias("bm25"), F.count(F.lit(1)).alias("matched"))
+    # A pointer tells its place, so the texts aren't read for it again.
+    part = lambda i: F.regexp_extract("pointer", r"(?s)^(.*):(\d+)-(\d+)$", i)
+    places = lexical.select("*", part(1).alias("path"), part(2).cast("int").alias("start_line"), part(3).cast("int").alias("end_line"))
+    boosted = overlapping(named, F.broadcast(places), ["path"]).select("pointer").distinct().withColumn("boost", F.lit(0.2))
+    every = places.join(near, "pointer", "left").join(boosted, "pointer", "left")
     score = F.col("bm25") + 0.3 * F.coalesce("cos", F.lit(0.0)) + 0.2 * F.col("matched") / len(terms) + F.coalesce("boost", F.lit(0.0))
     return every.select("pointer", "path", "start_line", "end_line", F.round(score, 6).alias("score"))
 
@@ -95,10 +101,13 @@ def rank_changes(baseline: DataFrame, shadow: DataFrame, key: str) -> DataFrame:
 def recognise(queries: DataFrame, aliases: DataFrame, key: str, longest: int, text: str = "text") -> DataFrame:
     """key, phrase, concepts, concept of the aliases that stand in each query; concept is null where an alias has several.
 
-    Every run of up to `longest` tokens is looked up, so aliases join by equality. aliases:
+    Every run of up to `longest` tokens is looked up, so aliases join by equality. Aliases of
+    a small size go to the texts; else the runs, distinct within a text, are shuffled. aliases:
     phrase (lower-case tokens, space-joined), concept.
     """
     of = aliases.groupBy("phrase").agg(F.countDistinct("concept").alias("concepts"), F.min("concept").alias("one"))
+    size = of.agg(F.sum(F.octet_length("phrase") + 64)).first()[0] or 0
+    of = F.broadcast(of) if size <= BROADCAST_BYTES else of
     words = queries.select(key, index.tokens(F.col(text)).alias("t"))
     runs = F.array_distinct(F.flatten(F.transform(
         F.sequence(F.lit(1), F.lit(longest)),
