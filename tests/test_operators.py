@@ -126,3 +126,38 @@ def test_streaming_equals_batch(spark, folder):
     stream = outbox.tumbling(outbox.events_stream(spark, folder), "1 day", "0 seconds")
     got = outbox.run_available(stream)
     assert 0 < got.agg(F.sum("events")).first()[0] <= spark.read.parquet(f"{folder}/events.parquet").count()
+
+
+def test_a_bad_record_rejects_the_whole_batch(spark):
+    from lumenledger.streaming import outbox
+
+    kind = "event_id long, user_id long, value double"
+    events = spark.createDataFrame([(1, 7, 1.0), (2, 7, None), (3, 8, 2.0)], kind)
+    read = lambda rows: [r.event_id for r in outbox.consume(spark.createDataFrame(rows, kind), events, F.col("user_id") == 7, 5).collect()]
+    assert read([(1, 7, 1.0), (2, 7, None), (3, 8, 2.0)]) == [2, 1]
+    assert read([(1, 7, 1.0), (3, 8, 9.0)]) == []  # differs from the ledger
+    assert read([(1, 7, 1.0), (4, 8, 2.0)]) == []  # unknown
+    assert read([(1, 7, 1.0), (3, 8, 2.0), (3, 8, 2.0)]) == []  # repeated
+
+
+def test_coverage_states(spark):
+    aliases = spark.createDataFrame([("red fox", 1), ("owl", 2), ("owl", 3), ("elk", 4)], "phrase string, concept long")
+    asked = spark.createDataFrame([(1, "A red fox."), (2, "red fox, elk"), (3, "elk"), (4, "owl and red fox"), (5, "nothing"), (6, None)], "q long, text string")
+    found = retrieval.coverage(retrieval.recognise(asked, aliases, "q", 2), spark.createDataFrame([(1,)], "concept long"), "q")
+    assert {r.q: r.status for r in found.collect()} == {1: "answerable", 2: "partial", 3: "unanswerable", 4: "ambiguous"}
+
+
+def test_tombstones_cut_relations_both_ways(spark):
+    events = spark.createDataFrame([(1, "a", 1.0, None), (2, "a", 2.0, 1), (3, "b", 3.0, 2)], "event_id long, kind string, value double, supersedes long")
+    rows = sorted(tuple(r) for r in ledger.tombstones(events, events.where("event_id = 2").select("event_id")).collect())
+    assert rows == [(1, "a", 1.0, None), (2, "evidence", None, None), (3, "b", 3.0, None)]
+
+
+def test_hybrid_search_of_no_hit_and_of_a_symbol(spark):
+    chunks = spark.createDataFrame([("x:y", 1, 2, "alpha beta\nbeta"), ("z", 1, 1, "gamma"), ("w", 1, 1, "beta gamma")], "path string, start_line int, end_line int, text string")
+    symbols = spark.createDataFrame([("x:y", 2, 2, "Beta", "m.Beta")], "path string, start int, end int, name string, qualified string")
+    assert retrieval.hybrid(chunks, symbols, "delta").count() == 0
+    plain = {r.path: r.score for r in retrieval.hybrid(chunks, symbols.limit(0), "beta").collect()}
+    boosted = {r.path: r.score for r in retrieval.hybrid(chunks, symbols, "beta").collect()}
+    assert set(plain) == {"x:y", "w"}
+    assert boosted["w"] == plain["w"] and abs(boosted["x:y"] - plain["x:y"] - 0.2) < 1e-5
