@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenledger.llm import bpe, decontamination, exact_dedup, simhash, toxicity
+from lumenledger.llm import bpe, decontamination, exact_dedup, nearcopies, toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -33,8 +33,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the smallest doc_id stays."""
-    found = simhash.near_dedup(docs).where(F.col("doc_id") == F.col("component_id"))
+    """Of each component of near copies (five words, similarity 0.8 or more) the smallest doc_id stays."""
+    found = nearcopies.near_copies(docs).where(F.col("doc_id") == F.col("component_id"))
     return docs.select(*COLUMNS).join(found.select("doc_id"), "doc_id", "left_semi")
 
 
@@ -57,7 +57,7 @@ STAGES = [
     ("bpe", tokenize),
 ]
 
-#: The stages learn, link fingerprints and merge pieces, which SQL doesn't express.
+#: The stages learn, link near copies and merge pieces, which SQL doesn't express.
 ORACLE_SQL = None
 
 
