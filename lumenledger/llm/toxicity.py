@@ -15,6 +15,10 @@ be listed, the trained machine equals one weight for each of them. A text's scor
 logistic function of its best stretch and its best one apart from that, fitted on texts that
 the machine was not trained on.
 
+Letters that are set apart (``i d i o t``, ``i-d-i-o-t``, ``id--iot``) span more than any
+kernel's span. So a text is judged in a second view too, with the separators among single
+letters and the punctuation inside words closed up. Its score is the greater of the two.
+
 Null and empty texts have the score of blank text. Whole texts are scored, of any length.
 Without toxic or without clean training texts every score is 0. labels may hold null or
 repeated rows: null labels teach nothing, and of repeated ids the greatest label counts.
@@ -24,6 +28,7 @@ Columns beyond doc_id, text, and toxic in labels, are ignored.
 from __future__ import annotations
 
 import pickle
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -51,6 +56,15 @@ _CLASS = np.array(
 PARTS = [(rest, DECAY ** (rest[-1] - ORDER + 1)) for rest in combinations(range(1, SPAN), ORDER - 1)]
 _SCALE = 1 / np.sqrt(STRETCH * sum(w * w for _, w in PARTS))
 _SIZE = 32**ORDER
+_WORD = rb"A-Za-z0-9\x80-\xff"
+_SINGLE = re.compile(rb"(?<![%b])[A-Za-z](?:[^%b]{1,3}[A-Za-z](?![%b])){%d,}" % (_WORD, _WORD, _WORD, ORDER - 1))
+_INSIDE = re.compile(rb"(?<=[A-Za-z])[^%b\s]{1,3}(?=[A-Za-z])" % _WORD)
+_OTHER = re.compile(rb"[^%b]+" % _WORD)
+
+
+def closed(text: bytes) -> bytes:
+    """The text with separators among single letters, and punctuation inside words, left out."""
+    return _INSIDE.sub(b"", _SINGLE.sub(lambda found: _OTHER.sub(b"", found[0]), text))
 
 
 def padded(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +108,8 @@ def _two_best(scores: np.ndarray, first: np.ndarray) -> np.ndarray:
     """For each text, the best stretch's score and the best score of one that does not overlap it."""
     out = np.empty((len(first) - 1, 2))
     for t, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-        own = scores[a:b]
+        # Later places reach into the next text.
+        own = scores[a : b - _PAD + 1]
         i = int(own.argmax())
         out[t, 0] = own[i]
         # Blanks follow every text, so there is always another stretch.
@@ -109,6 +124,19 @@ class StringKernelMachine:
         self.weights, self.slopes, self.offset = weights.astype(np.float32), slopes, offset
 
     def probabilities(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """For each text, the greater probability of it as written and closed up."""
+        out = self._as_written(data, at)
+        body = data.tobytes()
+        own = [body[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        seen = [closed(text) for text in own]
+        new = np.flatnonzero([v != text for v, text in zip(seen, own, strict=True)])
+        if len(new):
+            seen = [seen[i] for i in new]
+            made = self._as_written(np.frombuffer(b"".join(seen), np.uint8), np.cumsum([0, *map(len, seen)]))
+            out[new] = np.maximum(out[new], made)
+        return out
+
+    def _as_written(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         classes, first = padded(data, at)
         best = _two_best(stretch_scores(classes, self.weights), first)
         return 1 / (1 + np.exp(-np.clip(best @ self.slopes + self.offset, -50, 50)))
@@ -157,7 +185,7 @@ def _best(scores: np.ndarray, first: np.ndarray, which: np.ndarray, many: int) -
     """The places of the best stretches of each chosen text, which do not overlap."""
     out = []
     for t in which.tolist():
-        s = scores[first[t] : first[t + 1]].copy()
+        s = scores[first[t] : first[t + 1] - _PAD + 1].copy()
         for _ in range(many):
             p = int(s.argmax())
             if s[p] == -np.inf:
