@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Maps A-Z to a-z and every byte that is no word byte to a space. Words are runs of
 #: digits, letters and all bytes from 0x80 on.
@@ -27,12 +30,20 @@ def texts(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
 
 
-def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def raw(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column in a row, and the n + 1 offsets of its values; null is empty."""
+    if isinstance(column, pa.ChunkedArray):
+        chunks = [raw(c) for c in column.chunks]
+        ends = np.cumsum([0, *(int(at[-1]) for _, at in chunks)])
+        at = np.concatenate([np.zeros(1, np.int64), *(at[1:] + e for (_, at), e in zip(chunks, ends[:-1], strict=True))])
+        return np.concatenate([np.zeros(0, np.uint8), *(data for data, _ in chunks)]), at
+    if not (pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)):
+        column = column.cast(pa.binary())
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(pa.scalar("" if pa.types.is_large_string(column.type) else b"", column.type))
     _, ends, data = column.buffers()
-    at = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    width = np.int32 if pa.types.is_binary(column.type) else np.int64
+    at = np.frombuffer(ends, width)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
     body = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
     return body, at - at[0]
 
@@ -52,10 +63,17 @@ def blocks(batches: Iterator[pa.RecordBatch], most_bytes: int, column: str = "te
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a folder beside the warehouse is used in local mode, and on a cluster
+    nothing: a folder of the driver's own would lose what executors write.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir") + "/.checkpoints")
     return context.getCheckpointDir()
 
 
@@ -75,8 +93,49 @@ def partitions(spark: SparkSession) -> int:
 BATCH_BYTES = 16 << 20
 
 
+_UNITS = {u: 1 << (10 * i) for i, u in enumerate("bkmgtp")}
+
+
+def size_of(setting: str) -> int:
+    """Bytes of a size as Spark writes it: 67108864, 64m, 64MB, 1g."""
+    found = re.fullmatch(r"(-?\d+)([bkmgtp]?)b?", str(setting).strip().lower())
+    if not found:
+        raise ValueError(f"no size: {setting}")
+    return int(found[1]) * _UNITS[found[2] or "b"]
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Lets this session's Python tasks take their rows in smaller Arrow batches."""
+    """Lets this session's Python tasks take their rows in smaller Arrow batches, for good. A smaller setting stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(str(spark.conf.get(key)).rstrip("b")) > BATCH_BYTES:
+    if not 0 < size_of(spark.conf.get(key)) <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
+
+
+@cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Returns a worker's free memory to the machine: Spark keeps workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+#: A key with more than one of HOT parts of all rows is hot; so there are fewer hot keys than HOT.
+HOT = 1000
+
+
+def join_keys(rows: DataFrame, keys: DataFrame, key: str | list[str], many: str, total: int) -> DataFrame:
+    """rows inner-joined to keys, one row a key, whose column `many` says how many rows the key has.
+
+    The rows of a hot key would all meet in one task. At most HOT keys can be hot, so those are
+    broadcast and their rows stay where they are; only the other keys' rows are shuffled.
+    """
+    on = [key] if isinstance(key, str) else key
+    hot = keys.where(F.col(many) > total / HOT)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keys.where(F.col(many) <= total / HOT), on)
+    return rows.join(F.broadcast(hot), on).unionByName(cold)

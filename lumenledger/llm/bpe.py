@@ -2,9 +2,14 @@
 
 Encoding has three steps. Tasks split blocks of documents into words (the pieces before the
 merges) and number each block's distinct words. The distinct words alone are dealt by hash,
-packed, so that all copies of a word meet in one task, which encodes it once. The answers go
-back to their blocks, where the documents' word numbers are replaced by token ids in order
-of position. Texts are not shuffled; what is shuffled are word numbers and distinct words.
+packed, so that all copies of a word meet in one task, which encodes it once (a task that
+meets more than ``MOST_WORDS`` distinct words forgets them and goes on). The answers go back to
+their blocks, where the documents' word numbers are replaced by token ids in order of
+position. Texts are not shuffled; what is shuffled are word numbers and distinct words. Words
+are the same if their bytes are: a hash only brings candidates together.
+
+Decoding joins every id to the table of pieces, whose row number is the id. That table has the
+vocabulary's fixed size, so it is broadcast, and the join is a gather over each Arrow batch.
 
 Both branches split the same rows. A block is named by a digest of its rows, so a source
 that gave other rows on a second read would fail (a block without its words), not join
@@ -22,19 +27,34 @@ import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenledger.llm.arrowtext import blocks, partitions, raw, small_batches
+from lumenledger.llm.arrowtext import blocks, give_back, partitions, raw, small_batches
 
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 6 << 20
+#: Distinct words whose ids a task remembers.
+MOST_WORDS = 200_000
 #: How the vocabulary's pre-tokenizer splits a text. A fixed value of this kind of vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-VOCABULARY = os.path.join("/opt/tokenizers", "byte_bpe_50k.json")
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def vocabulary(path: str) -> dict:
+    """A vocabulary file whose texts are split by SPLIT; others are refused."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    split = made.get("pre_tokenizer") or {}
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or made.get("normalizer"):
+        raise ValueError(f"{path}: only byte-level vocabularies without a prefix space or a normalizer are read")
+    return made
 
 
 #: Kinds of characters below U+0180: letter, number, other, white space, and the space itself.
@@ -63,8 +83,7 @@ class Splitter:
     def __init__(self, path: str):
         import regex
 
-        with open(path, encoding="utf-8") as f:
-            special = [t["content"] for t in json.load(f)["added_tokens"]]
+        special = [t["content"] for t in vocabulary(path)["added_tokens"]]
         self.special = [t.encode() for t in special]
         self.find = regex.compile(SPLIT).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
@@ -138,46 +157,75 @@ class Splitter:
         return np.unique(np.searchsorted(at, places, "right") - 1).tolist() if places else []
 
 
-_PART_BYTES = 1 << 18
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-_FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+@cache
+def _splitter(path: str) -> Splitter:
+    """A worker process's own splitter."""
+    return Splitter(path)
 
 
-def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, factor: int) -> np.ndarray:
-    """A 64-bit hash of every data[start:end]: the polynomial in factor, by differences of prefix sums."""
-    n = len(data)
-    if factor not in _POWERS or len(_POWERS[factor][0]) < n:
-        up, down = np.full(n + n // 4 + 1, factor, np.uint64), np.full(n + n // 4 + 1, pow(factor, -1, 2**64), np.uint64)
-        up[0] = down[0] = 1
-        _POWERS[factor] = np.cumprod(up), np.cumprod(down)
-    up, down = _POWERS[factor]
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(factor >> 40)) * up[:n], out=total[1:])
-    h = (total[end] - total[start]) * down[start]
-    return (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+_PART_BYTES = 1 << 18
+_POWERS = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full((1 << 12) - 1, 0x9E3779B97F4A7C15, np.uint64)]))
+
+
+def _hashes(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every word of data, of which words that differ may share one."""
+    out = np.empty(len(begin), np.uint64)
+    a = 0
+    while a < len(begin):  # some words at a time, as each byte takes eight here
+        b = max(a + 1, int(np.searchsorted(begin, begin[a] + _PART_BYTES, "right")) - 1)
+        end = int(begin[b]) if b < len(begin) else len(data)
+        place = np.arange(begin[a], end) - np.repeat(begin[a:b], np.diff(np.append(begin[a:b], end)))
+        terms = (data[begin[a] : end].astype(np.uint64) + np.uint64(0x9E3779)) * _POWERS[place & (len(_POWERS) - 1)]
+        out[a:b] = np.add.reduceat(terms, begin[a:b] - begin[a])
+        a = b
+    return (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _same(data: np.ndarray, begin: np.ndarray, size: np.ndarray, like: np.ndarray) -> bool:
+    """Whether every word, of size bytes from begin, has the bytes of the word that begins at like."""
+    ends = np.cumsum(size)
+    a = 0
+    while a < len(begin):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] - size[a] + _PART_BYTES, "right")))
+        inside = np.arange(int(size[a:b].sum())) - np.repeat(np.cumsum(size[a:b]) - size[a:b], size[a:b])
+        if (data[np.repeat(begin[a:b], size[a:b]) + inside] != data[np.repeat(like[a:b], size[a:b]) + inside]).any():
+            return False
+        a = b
+    return True
+
+
+def _number(data: np.ndarray, begin: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct word first stands, frequent words first, and every word's number in that list."""
+    size = np.diff(np.append(begin, len(data)))
+    _, first, codes, many = np.unique(hashed, return_index=True, return_inverse=True, return_counts=True)
+    like = first[codes]
+    if (size != size[like]).any() or not _same(data, begin, size, begin[like]):
+        # Two words share a hash: the words themselves are the keys.
+        body, known = data.tobytes(), {}
+        codes = np.array([known.setdefault(body[a : a + n], len(known)) for a, n in zip(begin.tolist(), size.tolist(), strict=True)], np.int64)
+        _, first, many = np.unique(codes, return_index=True, return_counts=True)
+    order = np.argsort(-many, kind="stable")  # frequent words have small numbers
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return first[order], place[codes]
 
 
 def _split_block(block: pa.RecordBatch, split: Splitter) -> tuple[str, list[bytes], np.ndarray, np.ndarray]:
     """The block's name, its distinct words, frequent ones first, words per document, and all words' numbers."""
     data, at = raw(block["text"])
-    parts, a = [], 0
+    begins, hashed, a = [], [], 0
     while a < block.num_rows:  # parts that a processor's cache holds
         b = max(a + 1, int(np.searchsorted(at, at[a] + _PART_BYTES, "right")) - 1)
         part = data[at[a] : at[b]]
         begin = np.flatnonzero(split.starts(part, at[a : b + 1] - at[a]))
-        end = np.append(begin[1:], len(part)) if len(begin) else begin
-        parts.append((begin + at[a], end + at[a], *(_hashes(part, begin, end, f) for f in _FACTORS)))
+        begins.append(begin + at[a])
+        hashed.append(_hashes(part, begin))
         a = b
-    begin, end, one, two = (np.concatenate(x) for x in zip(*parts, strict=True))
+    begin = np.concatenate(begins)
     counts = np.diff(np.searchsorted(begin, at))
-    _, first, codes, many = np.unique(one, return_index=True, return_inverse=True, return_counts=True)
-    if (two != two[first][codes]).any():
-        raise ValueError("two words of one block share a hash: choose another block size")
-    order = np.argsort(-many, kind="stable")  # frequent words have small numbers
-    place = np.empty_like(order)
-    place[order] = np.arange(len(order))
-    first, codes = first[order], place[codes]
+    first, codes = _number(data, begin, np.concatenate(hashed))
     body = data.tobytes()
+    end = np.append(begin[1:], len(data)) if len(begin) else begin
     known = [body[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
     name = hashlib.blake2b(body, digest_size=16)
     name.update(at.tobytes() + str(block["doc_id"].to_pylist()).encode())
@@ -200,9 +248,9 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 def _coded(docs: DataFrame, path: str, block_bytes: int) -> DataFrame:
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Splitter(path)
         for block in blocks(batches, block_bytes):
-            name, _, counts, codes = _split_block(block, split)
+            name, _, counts, codes = _split_block(block, _splitter(path))
+            give_back()
             yield pa.RecordBatch.from_pydict(
                 {
                     "block": [name],
@@ -221,9 +269,9 @@ def _distinct(docs: DataFrame, path: str, block_bytes: int, n_buckets: int) -> D
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        split = Splitter(path)
         for block in blocks(batches, block_bytes):
-            name, data, _, _ = _split_block(block, split)
+            name, data, _, _ = _split_block(block, _splitter(path))
+            give_back()
             bucket = np.fromiter(map(zlib.crc32, data), np.uint32, len(data)) % n_buckets
             order = np.argsort(bucket, kind="stable")
             for b, places in zip(*_runs(bucket[order], order), strict=True):
@@ -263,6 +311,8 @@ def _encoded(words: DataFrame, path: str, n_buckets: int) -> DataFrame:
             ends = np.cumsum(_unpacked(row["sizes"]).astype(np.int64)).tolist()
             data = zstandard.decompress(row["words"])
             words = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            if len(table) > MOST_WORDS:
+                table = {}
             for w in words:
                 if w not in table:
                     table[w] = one(w)
@@ -272,9 +322,11 @@ def _encoded(words: DataFrame, path: str, n_buckets: int) -> DataFrame:
                     "block": [row["block"]],
                     "places": [row["places"]],
                     "lengths": [_packed(np.fromiter(map(len, ids), "<u4", len(ids)))],
-                    "ids": [_packed(np.array([i for w in ids for i in w], np.uint32))],
+                    "ids": [_packed(np.fromiter(chain.from_iterable(ids), "<u4"))],
                 }
             )
+        table = {}
+        give_back()
 
     return words.repartition(n_buckets, "bucket").mapInArrow(encode, "block string, places binary, lengths binary, ids binary")
 
@@ -310,7 +362,10 @@ def encode(docs: DataFrame, path: str = VOCABULARY, block_bytes: int = BLOCK_BYT
             names += row["doc_ids"]
             many.append(np.diff(at))
             out += [data[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        return pa.table({"doc_id": pa.array(names, pa.int64()), "n_tokens": pa.array(np.concatenate(many)), "ids": pa.array(out, pa.binary())})
+        made = pa.table({"doc_id": pa.array(names, pa.int64()), "n_tokens": pa.array(np.concatenate(many)), "ids": pa.array(out, pa.binary())})
+        del out, lengths, first, pool
+        give_back()
+        return made
 
     return (
         _coded(docs, path, block_bytes)
@@ -322,8 +377,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, block_bytes: int = BLOCK_BYT
 
 def pieces(path: str = VOCABULARY) -> list[bytes]:
     """The bytes of every id; special ids stand for their own strings."""
-    with open(path, encoding="utf-8") as f:
-        made = json.load(f)
+    made = vocabulary(path)
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
     special = {t["content"]: t["id"] for t in made["added_tokens"]}
@@ -335,10 +389,10 @@ def pieces(path: str = VOCABULARY) -> list[bytes]:
     return out
 
 
+@cache
 def word_encoder(path: str) -> Callable[[bytes], list[int]]:
     """The ids of one word. Merges that make ids in their own order are a ranking of pieces; others go to the library."""
-    with open(path, encoding="utf-8") as f:
-        made = json.load(f)
+    made = vocabulary(path)
     special = {t["content"].encode(): [t["id"]] for t in made["added_tokens"]}
     piece, vocab = pieces(path), made["model"]["vocab"]
     merges = [m if isinstance(m, list) else m.split(" ") for m in made["model"]["merges"]]
@@ -352,26 +406,39 @@ def word_encoder(path: str) -> Callable[[bytes], list[int]]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        vocabulary = Tokenizer.from_file(path)
-        merge = lambda word: vocabulary.encode(word.decode(), add_special_tokens=False).ids
+        library = Tokenizer.from_file(path)
+        merge = lambda word: library.encode(word.decode(), add_special_tokens=False).ids
     return lambda word: special.get(word) or merge(word)
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """The rows of encoded with the text of their ids: every id joins the table of pieces.
+    """The rows of encoded with the text of their ids: every id joins the broadcast table of pieces by its row number.
 
-    The table has one row for each id of the vocabulary and so a fixed size; each task holds it.
+    Null ids are no ids. Bytes that are no UTF-8 become U+FFFD. An id that the vocabulary lacks is an error.
     """
     schema = encoded.select("doc_id", "n_tokens", "ids").schema.add("decoded", "string")
+    table = encoded.sparkSession.sparkContext.broadcast(pieces(path))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = pieces(path).__getitem__
+        piece = pa.array(table.value, pa.binary())
         for batch in batches:
-            text = [
-                b"".join(map(piece, np.frombuffer(i or b"", "<u4").tolist())).decode("utf-8", "replace")
-                for i in batch["ids"].to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], [*batch.schema.names, "decoded"])
+            data, at = raw(batch["ids"])
+            at = at // 4
+            step = [0]  # documents at a time whose text is far below the size of one Arrow array
+            while step[-1] < batch.num_rows:
+                step.append(max(step[-1] + 1, int(np.searchsorted(at, at[step[-1]] + (1 << 20), "right")) - 1))
+            for a, b in zip(step[:-1], step[1:], strict=True):
+                joined = piece.take(pa.array(np.frombuffer(data[4 * at[a] : 4 * at[b]].tobytes(), "<u4")))
+                body, ends = raw(joined)
+                ends = ends[at[a : b + 1] - at[a]]
+                text = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(body)])
+                try:
+                    text = text.cast(pa.string())
+                except pa.ArrowInvalid:
+                    text = pa.array([t.decode("utf-8", "replace") for t in text.to_pylist()], pa.string())
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, text], [*batch.schema.names, "decoded"])
+        give_back()
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(join, schema)
 

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from lumenledger.llm.bpe import VOCABULARY, encode
 
-#: Lengths in one range of the suffix sums.
-RANGE = 4096
+#: Lengths in one range of the suffix sums. A short one, as all lengths are near the shorter end.
+RANGE = 64
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
@@ -27,10 +27,12 @@ def histogram(lengths: DataFrame) -> DataFrame:
 
 
 def by_limit(counts: DataFrame, width: int = RANGE) -> DataFrame:
-    """For each length as a limit: docs, docs_longer, docs_shorter, tokens_longer, tokens_truncated.
+    """For each length as a limit: docs, docs_to, share_to, docs_longer, tokens_longer, tokens_truncated.
 
-    docs_longer and tokens_longer are of strictly longer documents; tokens_truncated is the
-    total when every document is cut at the limit.
+    docs_to is of documents that the limit does not cut, and share_to is their share, so the
+    length with the least share_to of p or more is the p-quantile. docs_longer and tokens_longer
+    are of strictly longer documents; tokens_truncated is the total when every document is cut
+    at the limit.
     """
     ranged = counts.withColumn("part", F.floor(F.col("n_tokens") / width)).withColumn("tokens", F.col("docs") * F.col("n_tokens"))
     of_part = ranged.groupBy("part").agg(F.sum("docs").alias("d"), F.sum("tokens").alias("t"))
@@ -55,6 +57,7 @@ def by_limit(counts: DataFrame, width: int = RANGE) -> DataFrame:
         "n_tokens",
         "docs",
         "docs_to",
+        (F.col("docs_to") / (F.col("docs_to") + F.col("docs_longer"))).alias("share_to"),
         "docs_longer",
         "tokens_longer",
         (F.col("tokens_to") + F.col("docs_longer") * F.col("n_tokens")).alias("tokens_truncated"),
@@ -63,8 +66,7 @@ def by_limit(counts: DataFrame, width: int = RANGE) -> DataFrame:
 
 def quantiles(limits: DataFrame, shares: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
     """share, n_tokens: the least length that this share of the documents does not exceed."""
-    one = limits.select("n_tokens", (F.col("docs_to") / (F.col("docs_to") + F.col("docs_longer"))).alias("reached"))
-    picked = one.agg(*(F.min(F.when(F.col("reached") >= s, F.col("n_tokens"))).alias(f"q{i}") for i, s in enumerate(shares)))
+    picked = limits.agg(*(F.min(F.when(F.col("share_to") >= s, F.col("n_tokens"))).alias(f"q{i}") for i, s in enumerate(shares)))
     return picked.select(F.inline(F.array(*(F.struct(F.lit(s).alias("share"), F.col(f"q{i}").alias("n_tokens")) for i, s in enumerate(shares)))))
 
 
