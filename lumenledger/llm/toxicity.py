@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenledger.llm.arrowtext import blocks, raw, small_batches
+from lumenledger.llm.arrowtext import blocks, give_back, raw, small_batches
 from lumenledger.llm.langid import held_out
 
 ORDER, SPAN, DECAY, STRETCH = 4, 5, 0.5, 6
@@ -144,55 +144,93 @@ class StringKernelMachine:
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0) -> tuple[np.ndarray, float]:
     """A linear machine with squared hinge loss, by Newton steps; both labels weigh alike."""
-    x = np.column_stack([x, np.ones(len(x))])
     c = np.where(y > 0, cost / (y > 0).sum(), cost / (y < 0).sum()) * len(y) / 2
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-6
     for _ in range(30):
-        active = y * (x @ w) < 1
-        a = x[active]
-        new = np.linalg.solve(ridge + (a * c[active, None]).T @ a, (a * c[active, None]).T @ y[active])
+        active = np.flatnonzero(y * (x @ w[:-1].astype(np.float32) + w[-1]) < 1)
+        left, right = ridge.copy(), np.zeros(len(w))
+        for i in range(0, len(active), 1000):
+            rows = active[i : i + 1000]
+            a = np.column_stack([x[rows], np.ones(len(rows))]).astype(np.float64)
+            left += (a * c[rows, None]).T @ a
+            right += (a * c[rows, None]).T @ y[rows]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
     return w[:-1], w[-1]
 
 
-def _seed(classes: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """A score for each place: how much more often its five-gram is in toxic texts, in texts."""
-    own = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        gram = np.zeros(b - a - 4, np.int32)
-        for k in range(5):
-            gram = gram << 5 | classes[a + k : b - 4 + k]
-        own.append(gram)
-    held = [np.unique(g) for g in own]
-    mark = np.repeat(toxic, [len(h) for h in held])
-    grams, which = np.unique(np.concatenate(held), return_inverse=True)
-    a, b = np.bincount(which[mark], minlength=len(grams)), np.bincount(which[~mark], minlength=len(grams))
-    odds = np.log((a + 0.5) / (toxic.sum() + 1)) - np.log((b + 0.5) / ((~toxic).sum() + 1))
-    # What occurs in few texts says little.
-    odds = (np.maximum(0, odds) * np.sqrt(a) * (a >= 3)).astype(np.float32)
-    out = np.zeros(len(classes), np.float32)
-    for g, p in zip(own, first[:-1].tolist(), strict=True):
-        out[p : p + len(g)] = odds[np.searchsorted(grams, g)]
-    total = np.concatenate([[0], np.cumsum(out, dtype=np.float64)])
-    return np.concatenate([total[STRETCH:] - total[:-STRETCH], np.zeros(STRETCH - 1)]).astype(np.float32)
-
-
-def _best(scores: np.ndarray, first: np.ndarray, which: np.ndarray, many: int) -> np.ndarray:
-    """The places of the best stretches of each chosen text, which do not overlap."""
-    out = []
-    for t in which.tolist():
-        s = scores[first[t] : first[t + 1] - _PAD + 1].copy()
-        for _ in range(many):
-            p = int(s.argmax())
-            if s[p] == -np.inf:
-                break
-            out.append(first[t] + p)
-            s[max(0, p - STRETCH) : p + STRETCH] = -np.inf
-    return np.array(out, np.int64)
+def _grams(classes: np.ndarray) -> np.ndarray:
+    """The five-gram at each place."""
+    gram = np.zeros(max(0, len(classes) - 4), np.int32)
+    for k in range(5):
+        gram = gram << 5 | classes[k : len(gram) + k]
+    return gram
+
+
+class Sample:
+    """Texts as classes of bytes. Whatever is computed for every place is computed for some texts at a time."""
+
+    def __init__(self, texts: list[bytes]):
+        self.own = [_CLASS[np.frombuffer(t, np.uint8)].astype(np.uint8) for t in texts]
+        self.size = np.array([len(t) for t in self.own])
+
+    def classes(self, t: int) -> np.ndarray:
+        """One text's classes with the blanks after it."""
+        return np.concatenate([self.own[t], np.zeros(_PAD, np.uint8)]).astype(np.int32)
+
+    def odds(self, toxic: np.ndarray, shown: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Five-grams of three toxic texts or more, and how much more often they are in toxic texts than in others."""
+        held = [np.unique(_grams(self.classes(t))) for t in np.flatnonzero(shown & toxic)]
+        grams, many = np.unique(np.concatenate(held), return_counts=True)
+        # What occurs in few texts says little.
+        grams, a = grams[many >= 3], many[many >= 3]
+        b = np.zeros(len(grams), np.int64)
+        for t in np.flatnonzero(shown & ~toxic) if len(grams) else ():
+            own = np.unique(_grams(self.classes(t)))
+            at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+            b[at[grams[at] == own]] += 1
+        odds = np.log((a + 0.5) / ((shown & toxic).sum() + 1)) - np.log((b + 0.5) / ((shown & ~toxic).sum() + 1))
+        return grams, (np.maximum(0, odds) * np.sqrt(a)).astype(np.float32)
+
+    def by_odds(self, grams: np.ndarray, odds: np.ndarray):
+        """A function that scores a text's places by the five-grams of the stretch that begins there."""
+
+        def score(t: int) -> np.ndarray:
+            own = _grams(self.classes(t))
+            out = np.zeros(len(own) + 4 + STRETCH, np.float32)
+            if len(grams):
+                at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+                out[: len(own)] = np.where(grams[at] == own, odds[at], 0)
+            total = np.concatenate([[0], np.cumsum(out, dtype=np.float64)])
+            return (total[STRETCH:] - total[:-STRETCH])[: self.size[t] + 1].astype(np.float32)
+
+        return score
+
+    def by_weights(self, weights: np.ndarray):
+        """A function that scores a text's places by the machine."""
+        return lambda t: stretch_scores(self.classes(t), weights)[: self.size[t] + 1]
+
+    def best(self, score, which: np.ndarray, many: int) -> tuple[dict[tuple[int, int], np.ndarray], np.ndarray]:
+        """The best stretches of each chosen text, which do not overlap: by text and place their classes, and their scores."""
+        out, scores = {}, []
+        for t in which.tolist():
+            s = score(t).copy()
+            for _ in range(many):
+                p = int(s.argmax())
+                if s[p] == -np.inf:
+                    break
+                out[t, p] = self.stretch(t, p)
+                scores.append(s[p])
+                s[max(0, p - STRETCH) : p + STRETCH] = -np.inf
+        return out, np.array(scores)
+
+    def stretch(self, t: int, p: int) -> np.ndarray:
+        """The classes that the subsequences of the stretch at p can take."""
+        return self.classes(t)[p : p + _PAD].astype(np.uint8) if p + _PAD <= self.size[t] + _PAD else np.zeros(_PAD, np.uint8)
 
 
 def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> StringKernelMachine | None:
@@ -200,26 +238,24 @@ def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> StringKernelMac
     if not toxic.any() or toxic.all():
         return None
     rng = np.random.default_rng(seed)
-    at = np.cumsum([0, *map(len, texts)])
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    classes, first = padded(data, at)
+    sample = Sample(texts)
     of_class = [rng.permutation(np.flatnonzero(toxic == v)) for v in (False, True)]
     learn = [x[: max(1, len(x) * 2 // 3)] for x in of_class]
     shown = np.zeros(len(texts), bool)
     shown[np.concatenate(learn)] = True
-    scores = _seed_of(classes, first, toxic, shown)
-    blank = np.array([len(classes) - _PAD])
-    lengths = np.diff(first)
-    clean = [blank, first[learn[0]] + (rng.random(len(learn[0])) * lengths[learn[0]]).astype(np.int64)]
-    weights = np.zeros(_SIZE)
+    score = sample.by_odds(*sample.odds(toxic, shown))
+    clean = {(-1, 0): np.zeros(_PAD, np.uint8)}
+    clean |= {(t, p := int(rng.random() * (sample.size[t] + _PAD))): sample.stretch(t, p) for t in learn[0].tolist()}
     bias = 0.0
     for turn in range(ROUNDS):
-        bad = _best(scores, first, learn[1], 2 if turn else 1)
+        bad, found = sample.best(score, learn[1], 2 if turn else 1)
+        bad = np.array(list(bad.values()))
         if turn:
-            bad = bad[scores[bad] + bias > -0.5] if (scores[bad] + bias > -0.5).sum() >= 10 else bad
-        clean.append(_best(scores, first, learn[0], 2))
-        good = np.unique(np.concatenate(clean))
-        codes, w = _features(classes, np.concatenate([bad, good]))
+            bad = bad[found + bias > -0.5] if (found + bias > -0.5).sum() >= 10 else bad
+        clean |= sample.best(score, learn[0], 2)[0]
+        good = np.array([clean[k] for k in sorted(clean)])
+        rows = np.concatenate([bad, good])
+        codes, w = _features(rows.reshape(-1).astype(np.int32), np.arange(len(rows)) * _PAD)
         y = np.concatenate([np.ones(len(bad)), -np.ones(len(good))])
         marks = np.concatenate([rng.permutation(len(bad))[: LANDMARKS * 2 // 3], len(bad) + rng.permutation(len(good))[: LANDMARKS // 3]])
         held, where = np.unique(codes[marks], return_inverse=True)
@@ -232,27 +268,17 @@ def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> StringKernelMac
         values, vectors = np.linalg.eigh(kernel[marks].astype(np.float64))
         keep = values > 1e-6 * values.max()
         white = vectors[:, keep] / np.sqrt(values[keep])
-        beta, bias = _svm(kernel @ white.astype(np.float32), y)
+        kernel = kernel @ white.astype(np.float32)
+        beta, bias = _svm(kernel, y)
         weights = np.zeros(_SIZE, np.float32)
         weights[held] = dense[:-1] @ (white @ beta).astype(np.float32)
-        scores = stretch_scores(classes, weights)
-        scores = np.concatenate([scores, np.full(max(0, len(classes) - len(scores)), -np.inf, np.float32)])
-    best = _two_best(scores[: len(classes)], first)
+        score = sample.by_weights(weights)
+        del kernel, dense
+    best = np.concatenate([_two_best(stretch_scores(sample.classes(t), weights), np.array([0, sample.size[t] + _PAD])) for t in range(len(texts))])
     judge = ~shown if toxic[~shown].any() and (~toxic[~shown]).any() else np.ones(len(texts), bool)
     return StringKernelMachine(weights, *_logistic(best[judge], toxic[judge]))
 
 
-def _seed_of(classes: np.ndarray, first: np.ndarray, toxic: np.ndarray, shown: np.ndarray) -> np.ndarray:
-    """_seed of the shown texts; zero in the others."""
-    keep = np.flatnonzero(shown)
-    places = np.concatenate([np.arange(first[t], first[t + 1]) for t in keep])
-    size = (first[1:] - first[:-1])[keep]
-    part = np.concatenate([classes[places], np.zeros(_PAD, np.int32)])
-    out = np.zeros(len(classes), np.float32)
-    out[places] = _seed(part, np.concatenate([[0], np.cumsum(size)]), toxic[keep])[: len(places)]
-    return out
-
-
 def _logistic(x: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float]:
     """Slopes and offset of a logistic function, with smoothed targets."""
     a, b = toxic.sum(), (~toxic).sum()
@@ -296,6 +322,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes
         got = sorted((r["doc_id"], r["text"] or "", r["toxic"]) for b in batches for r in b.to_pylist())
         if got:
             made = fit([t.encode() for _, t, _ in got], np.array([v for *_, v in got], bool))
+            give_back()
             yield pa.RecordBatch.from_pydict({"machine": [pickle.dumps(made)]})
 
     # The sample's bound is what one task learns from; the driver gets the machine alone.
@@ -314,6 +341,7 @@ def score(docs: DataFrame, machine: StringKernelMachine | None) -> DataFrame:
         for block in blocks(batches, 1 << 19):
             p = model.probabilities(*raw(block["text"])) if model is not None else np.zeros(block.num_rows)
             yield pa.RecordBatch.from_arrays([block["doc_id"].cast(pa.int64()), pa.array(p)], ["doc_id", "score"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(judge, "doc_id long, score double")
 
@@ -327,6 +355,7 @@ def without_toxic(docs: DataFrame, machine: StringKernelMachine | None, threshol
         model = shared.value
         for block in blocks(batches, 1 << 19):
             yield block if model is None else block.filter(pa.array(model.probabilities(*raw(block["text"])) < threshold))
+        give_back()
 
     return docs.mapInArrow(judge, docs.schema)
 
