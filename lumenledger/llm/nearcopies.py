@@ -1,22 +1,27 @@
-"""Near copies by exact Jaccard similarity of five-word shingle sets, at least 4/5.
+"""Near copies: SimHash links, confirmed and completed by exact Jaccard similarity of five-word shingles, at least 4/5.
 
-How far two 64-bit SimHash fingerprints lie apart does not bound the similarity of their
-texts, so no radius finds every pair. Prefix filtering does: under any one order of all
-shingles, two sets with a similarity of 4/5 or more share one of the first
-``n - ceil(4n/5) + 1`` shingles of each. Shingles that a sample of documents shows to be
-frequent come last in that order, so boilerplate rarely stands in a prefix. Prefixes meet in
-a join on the shingle; pairs whose sizes or places rule out 4/5 go, and the others are
-compared as whole sets.
+SimHash fingerprints of five-word shingles are linked by BK-trees first (see simhash); each of
+these links is confirmed by comparing the two shingle sets. How far two fingerprints lie apart
+does not bound the similarity of their texts, so no radius finds every pair. Prefix filtering
+finds the rest: under any one order of all shingles, two sets with a similarity of 4/5 or more
+share one of the first ``n - ceil(4n/5) + 1`` shingles of each. Shingles that a sample of
+documents shows to be frequent come last in that order, so boilerplate rarely stands in a prefix.
+
+A group of near copies is not expanded into its pairs. In the first round every shingle's
+prefixes are compared with one of their own, the leader, and SimHash's links are compared too.
+What that joins is one component. In the second round only shingles whose prefixes still
+belong to several components are expanded, into pairs of different components. Links inside
+a component could change nothing, so the components are those of all links.
 
 Words are those of simhash. Fewer than ``SHINGLE`` words are one shingle; texts without a
 word, so also null and the empty text, have the empty set and are alike. A shingle stands for
-its 64-bit hash, a set for that of its sorted hashes. A shingle that heads very many prefixes
-is one join key; the join spills, but its pairs are formed in one task.
+its 64-bit hash, a set for that of its sorted hashes. Repeated rows are one class; a row without
+doc_id counts in its class, but no component is named for it. An empty table gives an empty
+result. Columns beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenledger.llm.arrowtext import blocks, checkpoint, shared_folder, small_batches, texts
-from lumenledger.llm.simhash import _LOWER, components
+from lumenledger.llm.arrowtext import blocks, checkpoint, give_back, join_keys, small_batches, texts
+from lumenledger.llm.simhash import _LOWER, components, fingerprints, link
 
 SHINGLE = 5
 #: Documents in the sample that tells frequent shingles, about, and how many of those are kept.
 SAMPLE, FREQUENT = 8_000, 100_000
-#: Classes that are sent to every executor, at most.
+#: Ids of documents that are sent to every executor, at most; more are joined by a shuffle.
 BROADCAST = 500_000
 _FACTORS = np.random.default_rng(5).integers(1 << 62, 1 << 63, SHINGLE, np.uint64) | np.uint64(1)
 
@@ -68,8 +73,8 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     return found["h"].to_numpy()[::-1].copy()
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, cls, n, shingles for every row: the set's digest, its size and its shingles, the rarest first."""
+def prefixes(docs: DataFrame) -> DataFrame:
+    """doc_id, cls, n, prefix for every row: the set's digest, its size and the shingles of its prefix, the rarest first."""
     import xxhash
 
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
@@ -80,62 +85,108 @@ def sets(docs: DataFrame) -> DataFrame:
         known = np.append(frequent[by_hash], 0)
         rank = np.append(by_hash + 1, 0)
         for block in blocks(batches, 4 << 20):
-            own = [shingles(t) for t in texts(block["text"])]
-            cls = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in own], np.uint64).view(np.int64)
-            for i, s in enumerate(own):
+            cls, size, heads = [], [], []
+            for t in texts(block["text"]):
+                s = shingles(t)
+                cls.append(xxhash.xxh64_intdigest(s.tobytes(), 42))
+                size.append(len(s))
                 place = np.searchsorted(known[:-1], s)
                 late = np.where(known[place] == s, rank[place], 0)
-                # s ascends, so equal ranks stay in the order of their hashes.
-                own[i] = s[np.argsort(late, kind="stable")]
-            size = np.fromiter(map(len, own), np.int32, len(own))
-            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))
+                # s ascends, so equal ranks stay in the order of their hashes. Sets of fewer than
+                # four shingles reach 4/5 with their equals only.
+                heads.append(s[np.argsort(late, kind="stable")][: len(s) - (4 * len(s) + 4) // 5 + 1 if len(s) > 3 else 0])
+            ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
+            held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads)))
             yield pa.RecordBatch.from_arrays(
-                [block["doc_id"].cast(pa.int64()), pa.array(cls), pa.array(size), held], ["doc_id", "cls", "n", "shingles"]
+                [block["doc_id"].cast(pa.int64()), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(np.array(size, np.int32)), held],
+                ["doc_id", "cls", "n", "prefix"],
             )
+        give_back()
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, cls long, n int, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, cls long, n int, prefix array<long>")
 
 
-def candidates(held: DataFrame) -> DataFrame:
-    """Pairs (u, v) of classes that share a shingle of their prefixes and whose sizes allow 4/5."""
-    # Sets of fewer than four shingles reach 4/5 with their equals only.
-    prefix = F.slice("shingles", 1, F.expr("n - (4 * n + 4) div 5 + 1").cast("int"))
-    one = held.where("n > 3").select("cls", "n", F.posexplode(prefix).alias("place", "h"))
-    # Equal sets are one class; rows of a shingle are in one partition already.
-    one = one.repartition("h").distinct()
-    a, b = one.alias("a"), one.alias("b")
-    meet = (
-        (F.col("a.h") == F.col("b.h"))
-        & (F.col("a.cls") < F.col("b.cls"))
-        & F.expr("5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n AND 9 * least(a.n - a.place, b.n - b.place) >= 4 * (a.n + b.n)")
-    )
-    return a.join(b, meet).select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")).distinct()
-
-
-def links(held: DataFrame) -> DataFrame:
-    """Pairs (u, v) of classes whose sets have a similarity of 4/5 or more."""
-    pairs = checkpoint(candidates(held))
-    asked = checkpoint(pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct())
-    few = asked.count() <= BROADCAST
-    of = held.join(F.broadcast(asked) if few else asked, "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("shingles"))
-    of = checkpoint(of)
+def set_rows(docs: DataFrame) -> DataFrame:
+    """cls, shingles for every row."""
+    import xxhash
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, 4 << 20):
+            own = [shingles(t) for t in texts(block["text"])]
+            cls = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in own], np.uint64).view(np.int64)
+            ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))], ["cls", "shingles"])
+        give_back()
+
+    return docs.select("text").mapInArrow(make, "cls long, shingles array<long>")
+
+
+#: Whether places and sizes of two prefixes that share a shingle allow 4/5.
+_MAY = "5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n AND 9 * least(a.n - a.place, b.n - b.place) >= 4 * (a.n + b.n)"
+
+
+def _sorted_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def to_leaders(heads: DataFrame) -> DataFrame:
+    """Pairs (u, v) of a class and the least class that shares a shingle of its prefix; at most one for each row of heads."""
+    led = heads.groupBy("h").agg(F.min("cls").alias("lead"), F.min_by("n", "cls").alias("n"), F.min_by("place", "cls").alias("place"), F.count(F.lit(1)).alias("many"))
+    led = led.where("many > 1").select("h", F.struct("lead", "n", "place").alias("b"), "many")
+    return _sorted_pairs(join_keys(heads.select("h", F.struct("cls", "n", "place").alias("a")), led, "h", "many", heads.count()).where(_MAY).select(F.col("a.cls").alias("u"), F.col("b.lead").alias("v")))
+
+
+def between(heads: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (u, v) of classes of different components that share a shingle of their prefixes."""
+    rooted = heads.join(found.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    mixed = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
+    rooted = checkpoint(rooted.join(mixed, "h"))
+    a, b = rooted.alias("a"), rooted.alias("b")
+    return _sorted_pairs(a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.root") != F.col("b.root")) & F.expr(_MAY)).select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")))
+
+
+def by_fingerprints(docs: DataFrame, made: DataFrame) -> DataFrame:
+    """Pairs (u, v) of classes that SimHash over five-word shingles links: classes of one fingerprint, and stars of linked ones."""
+    prints = checkpoint(fingerprints(docs, SHINGLE).join(made.select("doc_id", "cls"), "doc_id").groupBy("fp", "cls").agg(F.count(F.lit(1)).alias("rows")))
+    leads = prints.groupBy("fp").agg(F.min("cls").alias("lead"), F.count(F.lit(1)).alias("many"))
+    own = join_keys(prints, leads.where("many > 1"), "fp", "many", prints.count()).select(F.col("cls").alias("u"), F.col("lead").alias("v"))
+    stars = link(leads.select("fp")).distinct()
+    lead = lambda fp, cls: leads.select(F.col("fp").alias(fp), F.col("lead").alias(cls))
+    far = stars.join(lead("u", "x"), "u").join(lead("v", "y"), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    return _sorted_pairs(own.unionByName(far))
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, made: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) of classes whose sets have a similarity of 4/5 or more. Sets are made anew for these classes only."""
+    pairs = checkpoint(pairs)
+    asked = pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct()
+    rows = made.join(asked, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    few = checkpoint(rows)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(few) if few.count() <= BROADCAST else few, "doc_id", "left_semi")
+    of = checkpoint(set_rows(chosen).dropDuplicates(["cls"]))
     a = of.select(F.col("cls").alias("u"), F.col("shingles").alias("x"))
     b = of.select(F.col("cls").alias("v"), F.col("shingles").alias("y"))
     both = pairs.join(a, "u").join(b, "v")
     return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("u", "v")
 
 
+def links(docs: DataFrame, made: DataFrame) -> DataFrame:
+    """Pairs (u, v) of classes with a similarity of 4/5 or more, whose components are those of all such pairs."""
+    # Equal sets are one class; rows of a shingle are in one partition already.
+    heads = checkpoint(made.select("cls", "n", F.posexplode("prefix").alias("place", "h")).repartition("h").distinct())
+    first = to_leaders(heads).union(by_fingerprints(docs, made)).distinct()
+    near = checkpoint(confirmed(first, docs, made))
+    rest = between(heads, components(near))
+    return near.union(confirmed(rest, docs, made))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, component_id for every row: the least doc_id that links of near copies reach."""
-    spark = docs.sparkSession
-    at = f"{shared_folder(spark)}/shingles-{uuid.uuid4().hex}"
-    sets(docs).write.parquet(at)
-    held = spark.read.parquet(at)
-    classes = held.groupBy("cls").agg(F.min("doc_id").alias("least"))
-    found = components(links(held))
-    rooted = classes.join(found, classes["cls"] == found["node"], "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
-    of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(of_root, "root").select("cls", "component_id")
-    return held.select("doc_id", "cls").join(named, "cls").select("doc_id", "component_id")
+    made = checkpoint(prefixes(docs))
+    classes = made.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("many"))
+    found = components(links(docs, made))
+    rooted = classes.join(found, classes["cls"] == found["node"], "left").select("cls", "least", "many", F.coalesce("root", "cls").alias("root"))
+    of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("together"))
+    named = join_keys(rooted, of_root, "root", "together", made.count()).select("cls", "component_id", "many")
+    return join_keys(made.select("doc_id", "cls"), named, "cls", "many", made.count()).select("doc_id", "component_id")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenledger.llm.arrowtext import blocks, checkpoint, partitions, small_batches, texts
+from lumenledger.llm.arrowtext import blocks, checkpoint, give_back, join_keys, partitions, small_batches, texts
 
 RADIUS = 2
 SHINGLE = 3
@@ -59,13 +59,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp: the fingerprint of every row as a signed long."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, 8 << 20):
-            made = np.array([fingerprint(t) for t in texts(block["text"])], np.uint64)
+            made = np.array([fingerprint(t, shingle) for t in texts(block["text"])], np.uint64)
             yield pa.RecordBatch.from_arrays([block["doc_id"].cast(pa.int64()), pa.array(made.view(np.int64))], ["doc_id", "fp"])
+        give_back()
 
     small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, fp long")
@@ -214,12 +215,14 @@ def components(edges: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id for every row: the least doc_id that links of fingerprints reach."""
     made = checkpoint(fingerprints(docs))
-    classes = made.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("many"))
     found = components(link(classes.select("fp"), radius))
-    rooted = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(of_root, "root").select("fp", "component_id")
-    return made.join(named, "fp").select("doc_id", "fp", "component_id")
+    rooted = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", "many", F.coalesce("root", "fp").alias("root"))
+    of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("together"))
+    total = made.count()
+    named = join_keys(rooted, of_root, "root", "together", total).select("fp", "component_id", "many")
+    # Many rows share one fingerprint, as all texts without a word do.
+    return join_keys(made, named, "fp", "many", total).select("doc_id", "fp", "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
