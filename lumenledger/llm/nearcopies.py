@@ -74,7 +74,8 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, cls, n, prefix for every row: the set's digest, its size and the shingles of its prefix, the rarest first."""
+    """doc_id, cls, n, rare, prefix for every row: the set's digest, its size, how many shingles of its prefix
+    are in no list of frequent ones, and the prefix's shingles, those first."""
     import xxhash
 
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
@@ -85,7 +86,7 @@ def prefixes(docs: DataFrame) -> DataFrame:
         known = np.append(frequent[by_hash], 0)
         rank = np.append(by_hash + 1, 0)
         for block in blocks(batches, 4 << 20):
-            cls, size, heads = [], [], []
+            cls, size, rare, heads = [], [], [], []
             for t in texts(block["text"]):
                 s = shingles(t)
                 cls.append(xxhash.xxh64_intdigest(s.tobytes(), 42))
@@ -95,16 +96,17 @@ def prefixes(docs: DataFrame) -> DataFrame:
                 # s ascends, so equal ranks stay in the order of their hashes. Sets of fewer than
                 # four shingles reach 4/5 with their equals only.
                 heads.append(s[np.argsort(late, kind="stable")][: len(s) - (4 * len(s) + 4) // 5 + 1 if len(s) > 3 else 0])
+                rare.append(min(len(heads[-1]), int((late == 0).sum())))
             ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
             held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads)))
             yield pa.RecordBatch.from_arrays(
-                [block["doc_id"].cast(pa.int64()), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(np.array(size, np.int32)), held],
-                ["doc_id", "cls", "n", "prefix"],
+                [block["doc_id"].cast(pa.int64()), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(np.array(size, np.int32)), pa.array(np.array(rare, np.int32)), held],
+                ["doc_id", "cls", "n", "rare", "prefix"],
             )
         give_back()
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, cls long, n int, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, cls long, n int, rare int, prefix array<long>")
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
@@ -130,11 +132,32 @@ def _sorted_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def shared_heads(made: DataFrame) -> DataFrame:
+    """cls, n, place, h, common: the rows of prefixes whose shingle another class has in its prefix too.
+
+    A shingle that is in no list of frequent ones is in few documents of any thousand, so its
+    rows meet in one task. There are FREQUENT others at most: their counts are summed before
+    any shuffle, and broadcast.
+    """
+    each = made.select("cls", "n", F.posexplode("prefix").alias("place", "h"), "rare").withColumn("common", F.col("place") >= F.col("rare")).drop("rare")
+    rare = each.where("not common").repartition("h").distinct()
+    rare = rare.join(rare.groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("h"), "h")
+    common = each.where("common")
+    held = common.groupBy("h").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b").select("h")
+    return rare.unionByName(common.join(F.broadcast(held), "h", "left_semi"))
+
+
 def to_leaders(heads: DataFrame) -> DataFrame:
     """Pairs (u, v) of a class and the least class that shares a shingle of its prefix; at most one for each row of heads."""
-    led = heads.groupBy("h").agg(F.min("cls").alias("lead"), F.min_by("n", "cls").alias("n"), F.min_by("place", "cls").alias("place"), F.count(F.lit(1)).alias("many"))
-    led = led.where("many > 1").select("h", F.struct("lead", "n", "place").alias("b"), "many")
-    return _sorted_pairs(join_keys(heads.select("h", F.struct("cls", "n", "place").alias("a")), led, "h", "many", heads.count()).where(_MAY).select(F.col("a.cls").alias("u"), F.col("b.lead").alias("v")))
+    found = None
+    for common in (False, True):
+        own = heads.where(F.col("common") == common)
+        led = own.groupBy("h").agg(F.min("cls").alias("lead"), F.min_by("n", "cls").alias("n"), F.min_by("place", "cls").alias("place"))
+        led = led.select("h", F.struct("lead", "n", "place").alias("b"))
+        one = own.select("h", F.struct("cls", "n", "place").alias("a")).join(F.broadcast(led) if common else led, "h").where(_MAY)
+        one = one.select(F.col("a.cls").alias("u"), F.col("b.lead").alias("v"))
+        found = one if found is None else found.unionByName(one)
+    return _sorted_pairs(found)
 
 
 def between(heads: DataFrame, found: DataFrame) -> DataFrame:
@@ -173,8 +196,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, made: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, made: DataFrame) -> DataFrame:
     """Pairs (u, v) of classes with a similarity of 4/5 or more, whose components are those of all such pairs."""
-    # Equal sets are one class; rows of a shingle are in one partition already.
-    heads = checkpoint(made.select("cls", "n", F.posexplode("prefix").alias("place", "h")).repartition("h").distinct())
+    heads = checkpoint(shared_heads(made))
     first = to_leaders(heads).union(by_fingerprints(docs, made)).distinct()
     near = checkpoint(confirmed(first, docs, made))
     rest = between(heads, components(near))
