@@ -4,8 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps,
 their tokens. Between stages the rows are written as Parquet, so each stage starts from a
 table that a lost executor can't take away.
 
-A decision belongs to a doc_id. Rows without one can't be kept by the stages that choose
-among copies, and go there.
+A decision belongs to a doc_id; of rows that repeat one with the same text, one stays. Rows
+without a doc_id go through until near copies are chosen among, and go there. Null and empty texts
+are texts like any other, of which one stays. An empty table gives an empty result, and columns
+beyond those of documents are left out.
 """
 
 from __future__ import annotations
@@ -27,9 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest doc_id stays."""
-    found = exact_dedup.exact_dedup(docs, exact_dedup.lower_half(docs))
-    return docs.select(*COLUMNS).join(found.where("kept").select("doc_id"), "doc_id", "left_semi")
+    """Of equal texts one row of the smallest doc_id stays."""
+    return exact_dedup.without_copies(docs.select(*COLUMNS), exact_dedup.lower_half(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 The corpus is indexed by shards of documents: a row of the index is one shard with its
 terms and, for each term, the ascending positions where it stands. Positions run through
 the shard's documents, with one position left free between two documents, so no phrase
-matches across them. Building and searching shuffle nothing: each shard answers alone.
+matches across them. Building and searching shuffle nothing: each shard answers alone. A query
+set beyond ``QUERY_BYTES`` is searched for block by block in one stored index, and what the
+blocks found is united for each place of a shard, so every row of the corpus stays one row.
 
 A search intersects the offset-adjusted posting lists of a query's terms, from the rarest
 of them in the shard on, so a query with an absent term costs one look-up and any other
@@ -11,8 +13,10 @@ about the length of its shortest list. With ``slop`` 0 the terms must stand cons
 (phrases); with a larger one each may be moved by so many words (proximity).
 
 Words are lower-cased (A-Z) runs of alphanumerics and non-ASCII bytes. A null or empty text
-has no words, and an item without words occurs nowhere. Repeated items each count. Columns
-beyond (doc_id, text) and (item_id, text) are ignored. doc_id is unique; one null among them is a value like any other.
+has no words, and an item without words occurs nowhere. Items are a set of item_ids: an id that
+repeats, with one text or several, counts once where any of them occurs, and an item without
+id is no item. Rows that repeat a doc_id, or have none, each get their own answer. Columns
+beyond (doc_id, text) and (item_id, text) are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -24,23 +28,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenledger.llm.arrowtext import blocks, small_batches, texts, words
+from lumenledger.llm.arrowtext import blocks, checkpoint, give_back, small_batches, texts, words
 
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 8 << 20
-#: Bytes of query text that go to every task at once; a larger set is searched in blocks.
-QUERY_BYTES = 32 << 20
+#: Bytes of query text that the driver holds and every task gets at once; a larger set is searched in blocks.
+QUERY_BYTES = 8 << 20
 WINDOW = 10
 
-INDEX = "doc_ids binary, starts binary, counts binary, terms binary, ends binary, postings binary"
+INDEX = "doc_ids array<long>, starts binary, counts binary, terms binary, ends binary, postings binary"
 FOUND = "doc_id long, n_words long, hits binary, items array<long>"
 
 
 def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per shard of documents.
 
-    doc_ids int64 (the least value stands for null), starts int64 and counts int32 of the
-    documents, terms joined by spaces, ends int64 of their posting lists, postings int32.
+    doc_ids, starts int64 and counts int32 of the documents, terms joined by spaces, ends int64 of their posting lists, postings int32.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +61,7 @@ def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
             order = np.argsort(term, kind="stable")
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_ids": [np.asarray(block["doc_id"].cast(pa.int64()).fill_null(np.iinfo(np.int64).min), np.int64).tobytes()],
+                    "doc_ids": pa.array([block["doc_id"].cast(pa.int64()).to_pylist()], pa.list_(pa.int64())),
                     "starts": [(first + np.arange(len(count))).tobytes()],
                     "counts": [count.astype(np.int32).tobytes()],
                     "terms": [b" ".join(known)],
@@ -74,7 +77,7 @@ class Shard:
     """One shard's documents and posting lists."""
 
     def __init__(self, row: dict):
-        self.doc_ids = np.frombuffer(row["doc_ids"], np.int64)
+        self.doc_ids = row["doc_ids"]
         self.starts = np.frombuffer(row["starts"], np.int64)
         self.counts = np.frombuffer(row["counts"], np.int32)
         self.terms = {w: i for i, w in enumerate(row["terms"].split(b" "))} if row["terms"] else {}
@@ -102,37 +105,49 @@ class Shard:
 
 
 class Queries:
-    """Distinct word sequences, the items that have them, and their terms."""
+    """Word sequences to look for: the items' words in a row, where sequences start in it, their lengths and items."""
 
     def __init__(self, items: list[tuple[int, bytes]], window: int | None):
-        of: dict[tuple[bytes, ...], set[int]] = {}
-        for item, text in items:
+        known: dict[bytes, int] = {}
+        ids, starts, sizes, of = [], [], [], []
+        total = 0
+        for item, text in dict.fromkeys(items):
             w = words(text)
-            n = len(w) if window is None else min(window, len(w))
-            for i in range(len(w) - n + 1 if w else 0):
-                of.setdefault(tuple(w[i : i + n]), set()).add(item)
-        self.sequences, self.items = list(of), [sorted(v) for v in of.values()]
-        self.terms = sorted({t for s in self.sequences for t in s})
-        at = {t: i for i, t in enumerate(self.terms)}
-        most = max(map(len, self.sequences), default=0)
-        # A sequence that is shorter repeats its first term, which no test can tell.
-        self.matrix = np.array([[at[t] for t in s + (s[0],) * (most - len(s))] for s in self.sequences], np.int64).reshape(len(self.sequences), most)
-
-    def in_shard(self, shard: Shard) -> Iterator[tuple[int, list[int]]]:
-        """The sequences of which the shard has every term, as the shard's term numbers."""
-        if not len(self.matrix):
+            if w:
+                n = len(w) if window is None else min(window, len(w))
+                many = len(w) - n + 1
+                ids.append(np.array([known.setdefault(x, len(known)) for x in w], np.int32))
+                starts.append(np.arange(total, total + many))
+                sizes.append(np.full(many, n))
+                of.append(np.full(many, item, np.int64))
+                total += len(w)
+        self.terms = list(known)
+        join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+        self.ids, self.starts, self.sizes, self.items = (join(x, t) for x, t in ((ids, np.int32), (starts, np.int64), (sizes, np.int64), (of, np.int64)))
+
+    def in_shard(self, shard: Shard) -> Iterator[tuple[list[int], np.ndarray]]:
+        """The distinct sequences of which the shard has every term, as the shard's term numbers, and the items that have each."""
+        if not len(self.starts):
             return
-        local = np.array([shard.terms.get(t, -1) for t in self.terms], np.int64)[self.matrix]
-        for q in np.flatnonzero((local >= 0).all(1)):
-            yield q, local[q, : len(self.sequences[q])].tolist()
+        local = np.array([shard.terms.get(t, -1) for t in self.terms], np.int64)[self.ids]
+        absent = np.concatenate([[0], np.cumsum(local < 0)])
+        there = np.flatnonzero(absent[self.starts + self.sizes] == absent[self.starts])
+        same: dict[tuple[int, ...], list[int]] = {}
+        for q in there.tolist():
+            a = self.starts[q]
+            same.setdefault(tuple(local[a : a + self.sizes[q]].tolist()), []).append(q)
+        for query, places in same.items():
+            yield list(query), np.unique(self.items[places])
 
 
 def search(index: DataFrame, items: list[tuple[int, bytes]], window: int | None = WINDOW, slop: int = 0) -> DataFrame:
     """Every document with what occurs in it: doc_id, n_words, hits (int32 word numbers), items.
 
-    A window of None takes each item whole. items go to every task: see QUERY_BYTES.
+    A window of None takes each item whole. items go to every task: see QUERY_BYTES. Of an
+    index with a column shard, that and the document's place in the shard come along.
     """
     queries = index.sparkSession.sparkContext.broadcast(Queries(items, window))
+    named = "shard" in index.columns
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = queries.value
@@ -141,53 +156,58 @@ def search(index: DataFrame, items: list[tuple[int, bytes]], window: int | None
             total = int(shard.starts[-1] + shard.counts[-1]) + 1
             hit = np.zeros(total + 1, bool)
             held: dict[int, set[int]] = {}
-            for q, query in asked.in_shard(shard):
+            for query, of in asked.in_shard(shard):
                 at = shard.find(query, slop)
                 for k in range(len(query)) if len(at) else ():
                     hit[np.clip(at + k, 0, total)] = True
                 for d in np.unique(np.searchsorted(shard.starts, at, "right") - 1).tolist():
-                    held.setdefault(d, set()).update(asked.items[q])
-            ids = pa.array(shard.doc_ids, mask=shard.doc_ids == np.iinfo(np.int64).min)
+                    held.setdefault(d, set()).update(of.tolist())
             hits = [np.flatnonzero(hit[s : s + c]).astype(np.int32).tobytes() for s, c in zip(shard.starts, shard.counts, strict=True)]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": ids,
-                    "n_words": pa.array(shard.counts.astype(np.int64)),
-                    "hits": pa.array(hits, pa.binary()),
-                    "items": pa.array([sorted(held.get(d, ())) for d in range(len(hits))], pa.list_(pa.int64())),
-                }
-            )
+            out = {
+                "doc_id": pa.array(shard.doc_ids, pa.int64()),
+                "n_words": pa.array(shard.counts.astype(np.int64)),
+                "hits": pa.array(hits, pa.binary()),
+                "items": pa.array([sorted(held.get(d, ())) for d in range(len(hits))], pa.list_(pa.int64())),
+            }
+            if named:
+                out |= {"shard": pa.array([row["shard"]] * len(hits), pa.int64()), "place": pa.array(range(len(hits)), pa.int64())}
+            yield pa.RecordBatch.from_pydict(out)
+        give_back()
 
-    return index.mapInArrow(look, FOUND)
+    return index.mapInArrow(look, FOUND + (", shard long, place long" if named else ""))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, query_bytes: int = QUERY_BYTES) -> DataFrame:
-    """doc_id, n_words, hits, items for every document: the words inside any occurrence of an item's window.
+    """doc_id, n_words, hits, items for every row of docs: the words inside any occurrence of an item's window.
 
     The benchmark is a query set. It is read in blocks of query_bytes at most, and each block
     is searched for in all documents.
     """
     small_batches(docs.sparkSession)
-    n_blocks = 1 + (benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // query_bytes
-    found = []
-    for i in range(n_blocks):
-        block = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-        block = block.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == i)
-        found.append(search(build_index(docs), [(r[0], r[1].encode()) for r in block.toLocalIterator()], window))
+    items = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    n_blocks = 1 + (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // query_bytes
+    block = lambda i: [(r[0], r[1].encode()) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == i).toLocalIterator()]
     if n_blocks == 1:
-        return found[0]
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
+        return search(build_index(docs), block(0), window)
+    index = checkpoint(build_index(docs).withColumn("shard", F.monotonically_increasing_id()))
+    found = None
+    for i in range(n_blocks):
+        one = search(index, block(i), window)
+        found = one if found is None else found.unionByName(one)
+    schema = FOUND + ", shard long, place long"
 
-    def merge(rows):
-        one = rows.iloc[[0]].copy()
-        all_hits = np.unique(np.frombuffer(b"".join(rows["hits"]), np.int32))
-        one["hits"] = [all_hits.tobytes()]
-        one["items"] = [sorted({int(i) for x in rows["items"] for i in x})]
-        return one
+    def unite(rows: pa.Table) -> pa.Table:
+        hits = np.unique(np.frombuffer(b"".join(rows["hits"].to_pylist()), np.int32))
+        held = sorted({i for x in rows["items"].to_pylist() for i in x})
+        one = rows.slice(0, 1).to_pylist()[0]
+        return pa.Table.from_pylist([one | {"hits": hits.tobytes(), "items": held}], rows.schema)
 
-    return every.groupBy("doc_id").applyInPandas(merge, FOUND)
+    # Places where nothing was found, nearly all, need no Python.
+    some = F.max(F.octet_length("hits")).alias("most")
+    quiet = found.groupBy("shard", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), some).where("most = 0")
+    quiet = quiet.select("doc_id", "n_words", F.lit(b"").alias("hits"), F.expr("cast(array() as array<bigint>)").alias("items"))
+    loud = found.where(F.octet_length("hits") > 0).groupBy("shard", "place").applyInArrow(unite, schema)
+    return quiet.unionByName(loud.select("doc_id", "n_words", "hits", "items"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,3 +222,28 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.sort_array(F.col("items").cast("array<string>")), ",").cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT item_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
+), windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS phrase
+  FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, least(10, len(w)) AS n FROM b WHERE len(w) > 0))
+), lengths AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS phrase
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths WHERE len(w) >= n)
+), met AS (SELECT r, i, n, item_id FROM places JOIN windows USING (n, phrase)),
+hit AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS k FROM met) GROUP BY r),
+held AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT r, item_id FROM met) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN held USING (r)
+"""

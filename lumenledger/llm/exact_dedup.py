@@ -7,9 +7,10 @@ its bucket's filter. Most new texts end there. The few positives join the snapsh
 digests, and the texts of both representatives are compared byte for byte.
 
 Two texts are equal when they agree after each run of ``[\\x20\\x09-\\x0D]`` becomes one
-space. Null counts as the empty text; all empty texts are one group. The smallest doc_id of a
-group stays; a row without doc_id counts in its group and is never the one that stays. Other columns of the input are
-ignored, whatever their names. An empty batch or snapshot gives a result of the other alone.
+space. Null counts as the empty text; all empty texts are one group. One row of each group
+stays: one of the smallest doc_id, of rows that tie in it any one, and where no row of a group
+has a doc_id one of those. keep_id is null in such a group. Other columns of the input are ignored,
+whatever their names. An empty batch or snapshot gives a result of the other alone.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenledger.llm.arrowtext import checkpoint, partitions
+from lumenledger.llm.arrowtext import checkpoint, join_keys, partitions
 
 #: Keys that a bucket's filter is made for, about; sets the number of buckets.
 BUCKET_KEYS = 200_000
@@ -163,46 +164,59 @@ def screen(incoming: DataFrame, filters: DataFrame, n_buckets: int) -> DataFrame
 
 
 def group_copies(digested: DataFrame) -> DataFrame:
-    """digest, first_id, copies: a table's copies by digest, summed before the shuffle."""
-    return digested.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    """digest, first_id, first_row, copies: a table's copies by digest, summed before the shuffle.
+
+    digested has a number of its own in each row; first_row is that of a row of the least doc_id.
+    """
+    first_row = F.coalesce(F.min_by("row", "doc_id"), F.min("row"))
+    return digested.groupBy("digest").agg(F.min("doc_id").alias("first_id"), first_row.alias("first_row"), F.count(F.lit(1)).alias("copies"))
 
 
 def match(docs: DataFrame, snapshot: DataFrame, batch: DataFrame, n_buckets: int) -> DataFrame:
-    """The batch's groups whose text the snapshot holds, byte for byte, with snap_id and snap_copies.
+    """The batch's groups whose text the snapshot holds, byte for byte, with snap_id, snap_row and snap_copies.
 
     docs has the texts of both. snapshot and batch are results of group_copies.
     """
     positive = screen(batch, build_filters(snapshot, n_buckets), n_buckets)
     known = positive.join(
-        snapshot.select("digest", F.col("first_id").alias("snap_id"), F.col("copies").alias("snap_copies")), "digest"
+        snapshot.select("digest", F.col("first_id").alias("snap_id"), F.col("first_row").alias("snap_row"), F.col("copies").alias("snap_copies")), "digest"
     )
     known = checkpoint(known)
-    sides = known.select(F.col("first_id").alias("doc_id"), "digest").unionByName(
-        known.select(F.col("snap_id").alias("doc_id"), "digest")
-    )
-    text = docs.select("doc_id", "text").join(sides, "doc_id")
+    # Ids may repeat with other texts, or be absent, so a text is looked up by id and then by digest.
+    by_id = lambda c: F.coalesce(F.col(c), F.lit(_NO_ID)).alias("doc_id")
+    asked = known.select(by_id("first_id"), "digest").union(known.select(by_id("snap_id"), "digest")).distinct()
+    text = docs.select(by_id("doc_id"), "text").join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
+    text = text.select("doc_id", normalised(F.col("text")).alias("text")).withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     same = (
-        text.groupBy("digest")
-        .agg(F.min(normalised(F.col("text"))).alias("a"), F.max(normalised(F.col("text"))).alias("b"))
+        text.join(asked, ["doc_id", "digest"], "left_semi")
+        .groupBy("digest")
+        .agg(F.min("text").alias("a"), F.max("text").alias("b"))
         .where(F.col("a") == F.col("b"))
         .select("digest")
     )
     return known.join(same, "digest")
 
 
+#: Stands for no id where ids are looked up.
+_NO_ID = -(2**63)
+
+
 def exact_dedup(docs: DataFrame, is_snapshot: Column, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """Every row of docs with the group that it belongs to: doc_id, keep_id, group_size, kept, text_sha256.
 
     Rows where is_snapshot is true are the snapshot, the others the batch that comes in.
     """
-    digested = checkpoint(digests(docs, F.coalesce(is_snapshot, F.lit(False)).alias("old")))
+    digested = checkpoint(digests(docs, F.coalesce(is_snapshot, F.lit(False)).alias("old"), F.monotonically_increasing_id().alias("row")))
     snapshot = group_copies(digested.where("old"))
     batch = group_copies(digested.where("not old"))
-    n_buckets = max(1, digested.count() // bucket_keys, min(8, partitions(docs.sparkSession)))
+    total = digested.count()
+    n_buckets = max(1, total // bucket_keys, min(8, partitions(docs.sparkSession)))
     found = match(docs, snapshot, batch, n_buckets)
+    mine = F.expr("first_id IS NOT NULL AND (snap_id IS NULL OR first_id < snap_id)")
     both = found.select(
         "digest",
         F.least("first_id", "snap_id").alias("keep_id"),
+        F.when(mine, F.col("first_row")).otherwise(F.col("snap_row")).alias("keep_row"),
         (F.col("copies") + F.col("snap_copies")).alias("group_size"),
     )
     groups = None
@@ -210,19 +224,34 @@ def exact_dedup(docs: DataFrame, is_snapshot: Column, bucket_keys: int = BUCKET_
         one = side.join(both, "digest", "left").select(
             "digest",
             F.lit(old).alias("old"),
-            F.coalesce("keep_id", "first_id").alias("keep_id"),
+            F.when(F.col("group_size").isNull(), F.col("first_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+            F.coalesce("keep_row", "first_row").alias("keep_row"),
             F.coalesce("group_size", "copies").alias("group_size"),
+            "copies",
         )
         groups = one if groups is None else groups.unionByName(one)
-    return digested.join(groups, ["digest", "old"]).select(
+    return join_keys(digested, checkpoint(groups), ["digest", "old"], "copies", total).select(
         "doc_id",
         "keep_id",
         F.col("group_size").cast("long").alias("group_size"),
-        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"),
+        (F.col("row") == F.col("keep_row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
+def without_copies(docs: DataFrame, is_snapshot: Column) -> DataFrame:
+    """The rows of docs, with all their columns, that exact_dedup keeps: one of each group of equal texts."""
+    judged = checkpoint(exact_dedup(docs, is_snapshot).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept"))
+    rows = docs.withColumn("__digest", F.sha2(normalised(F.col("text")).cast("binary"), 256))
+    same = F.expr("doc_id <=> __id AND __digest = __sha")
+    left = rows.join(judged.where("kept"), same, "left_semi")
+    # Rows that agree in id and text can't be told apart by the join.
+    twice = checkpoint(judged.groupBy("__id", "__sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__id", "__sha"))
+    if twice.count():
+        left = left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["__digest"]))
+    return left.drop("__digest")
+
+
 def lower_half(docs: DataFrame) -> Column:
     """Whether a doc_id is in the lower half of the range of ids."""
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
@@ -240,6 +269,6 @@ WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
 )
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id = min(doc_id) OVER w AS kept, text_sha256
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256
 FROM n WINDOW w AS (PARTITION BY text_sha256)
 """

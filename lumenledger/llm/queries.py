@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lumenledger.llm.bpe import op10_bpe
-from lumenledger.llm.decontamination import op7_decontamination
+from lumenledger.llm.decontamination import OP7_SQL, op7_decontamination
 from lumenledger.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from lumenledger.llm.htmltext import op4_html_text
 from lumenledger.llm.langid import op9_language_id
@@ -21,4 +21,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op7_decontamination": OP7_SQL}

@@ -2,14 +2,16 @@
 
 A byte goes if a 50-byte string over it also starts in a document with a smaller doc_id.
 
-1. Copies of whole documents are grouped by digest first; only the smallest doc_id of a
-   group takes part, and the other copies are covered by it altogether.
+1. Copies of whole documents are grouped by digest first; only rows of a group's smallest
+   doc_id take part, and the other copies are covered by it altogether.
 2. Every 50-byte window chooses an anchor: the least of its 20-byte strings by a hash. Equal
    windows choose equal anchors. Each block of documents sends its distinct anchors, packed;
    the answer says which of them another document has too. All other text is done with.
 3. The stretches of text whose windows chose a shared anchor go to the shard of that anchor,
-   so equal windows meet in one shard. Stretches that are equal inside a block go once.
-4. Each shard builds suffix arrays over parts of bounded size: Larsson-Sadakane refinement
+   so equal windows meet in one shard. Stretches that are equal inside a block go once. An
+   anchor that more than ``HOT_BLOCKS`` blocks have would crowd one shard: its stretches go as
+   single windows, each to the shard of its own bytes.
+4. Of equal stretches a shard judges one; those of larger documents are repeats. It builds suffix arrays over parts of bounded size: Larsson-Sadakane refinement
    (only unsorted groups are sorted again, by the rank as many bytes further on) in numpy,
    then Kasai's common prefixes, in step over all stretches. Suffixes whose common prefix
    has 50 bytes are equal windows. The parts' windows are merged by binary search, and each
@@ -19,12 +21,16 @@ A byte goes if a 50-byte string over it also starts in a document with a smaller
 Texts are shuffled once, by block; that exchange serves all three passes over them.
 
 Null is the empty text. Matches are on UTF-8 bytes and may cut characters. A row without
-doc_id counts as larger than all others; equal ids count as one document. Shorter texts than
-50 bytes lose nothing. Texts of any length are kept whole. Extra columns are ignored.
+doc_id counts as larger than all others; rows of equal ids count as one document and lose
+nothing to each other, and each is judged by its own text. Shorter texts than 50 bytes lose
+nothing. Texts of any length are kept whole. Extra columns are ignored. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenledger.llm.arrowtext import checkpoint, partitions, raw
+from lumenledger.llm.arrowtext import checkpoint, give_back, join_keys, partitions, raw
 
 LENGTH, ANCHOR = 50, 20
 #: A block of documents has BLOCK bytes at least, and grows with the corpus to MOST_BLOCK.
-BLOCK, MOST_BLOCK = 4 << 20, 256 << 20
+BLOCK, MOST_BLOCK = 4 << 20, 32 << 20
+#: Blocks that may have an anchor before its windows are dealt one by one.
+HOT_BLOCKS = 256
 #: Places in one suffix array; three ranks of 21 bits make one sort key.
 PART = (1 << 21) - LENGTH
 _NONE = np.iinfo(np.int64).max
@@ -91,10 +99,11 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     if n > PART:
         raise ValueError("more places than a sort key has room for")
     size, low = np.uint64(21), np.uint64((1 << 21) - 1)
-    tail = np.concatenate([data, np.zeros(5, np.uint8)]).astype(np.uint64)
-    key = np.arange(n, dtype=np.uint64)
+    tail = np.concatenate([data.astype(np.uint64) + np.uint64(1), np.zeros(5, np.uint64)])  # 0 is the end, before all bytes
+    key = np.zeros(n, np.uint64)
     for k in range(5):
-        key |= tail[k : n + k] << np.uint64(53 - 8 * k)
+        key = key * np.uint64(257) + tail[k : n + k]
+    key = key << size | np.arange(n, dtype=np.uint64)
     key.sort()
     order = (key & low).astype(np.int64)
     group = np.concatenate([[True], (key[1:] >> size) != (key[:-1] >> size)]) if n else np.zeros(0, bool)
@@ -212,20 +221,31 @@ def repeated(data: np.ndarray, size: np.ndarray, count: np.ndarray, doc: np.ndar
 
 
 def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents (a null one as the largest), all bytes and offsets."""
+    """Documents (a null one as the largest), all bytes and offsets, in an order that depends on the rows alone."""
+    table = table.select(["doc_id", "text"]).combine_chunks()
     docs = np.asarray(table["doc_id"].combine_chunks().cast(pa.int64()).fill_null(_NONE), np.int64)
-    text = table["text"].combine_chunks()
-    return docs, *raw(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text)
+    order = np.argsort(docs, kind="stable")
+    if (np.diff(docs[order]) == 0).any():
+        text = table["text"].to_pylist()
+        order = np.array(sorted(range(len(docs)), key=lambda i: (docs[i], text[i] or "")), np.int64)
+    return docs[order], *raw(table["text"].take(pa.array(order)))
 
 
 def _told(table: pa.Table, kind: int) -> list[dict]:
     return [r for r in table.to_pylist() if r["kind"] == kind]
 
 
-def _used(docs: np.ndarray, table: pa.Table) -> np.ndarray:
-    """Which rows take part: those that are no copy of another."""
-    copies = [np.frombuffer(r["docs"], np.int64) for r in _told(table, COPIES)]
-    return ~np.isin(docs, np.concatenate(copies)) if copies else np.ones(len(docs), bool)
+def _used(docs: np.ndarray, data: np.ndarray, at: np.ndarray, table: pa.Table) -> np.ndarray:
+    """Which rows take part: those that are no copy of another document's text."""
+    used = np.ones(len(docs), bool)
+    copies = _told(table, COPIES)
+    if copies:
+        ids = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in copies])
+        digests = b"".join(r["a"] for r in copies)
+        known = {(i, digests[32 * k : 32 * k + 32]) for k, i in enumerate(ids.tolist())}
+        for d in np.flatnonzero(np.isin(docs, ids)).tolist():
+            used[d] = (int(docs[d]), hashlib.sha256(data[at[d] : at[d + 1]]).digest()) not in known
+    return used
 
 
 def _request(n_buckets: int):
@@ -235,7 +255,7 @@ def _request(n_buckets: int):
         rows: dict[str, list] = {"bucket": [], "block": [], "hashes": []}
         if left.num_rows:
             docs, data, at = _texts(left)
-            d, _, _, h = stretches(data, at, _used(docs, right))
+            d, _, _, h = stretches(data, at, _used(docs, data, at, right))
             order = np.argsort(h, kind="stable")
             h, d = h[order] | np.uint64(1), docs[d[order]]
             new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
@@ -254,25 +274,35 @@ def _request(n_buckets: int):
     return ask
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Which anchors of each block are shared."""
-    sent = [np.frombuffer(h, np.uint64) for h in table["hashes"].to_pylist()]
-    h = np.sort(np.concatenate(sent) | np.uint64(1))
-    shared = np.unique(h[1:][h[1:] == h[:-1]])
-    out = []
-    for s in sent:
-        held = s | np.uint64(1)
-        hit = (s & np.uint64(1)) == 1
-        if len(shared):
-            hit |= shared[np.minimum(np.searchsorted(shared, held), len(shared) - 1)] == held
-        out.append(held[hit].tobytes())
-    n = len(out)
-    return pa.table(
-        {"block": table["block"], "kind": pa.array([SHARED] * n, pa.int32()), "docs": pa.array([b""] * n, pa.binary()), "a": pa.array(out, pa.binary()), "b": pa.array([b""] * n, pa.binary())}
-    )
+def _answer(hot_blocks: int):
+    """Which anchors of each block are shared; the lowest bit is 0 for those that very many blocks have."""
 
+    def answer(table: pa.Table) -> pa.Table:
+        sent = [np.frombuffer(h, np.uint64) for h in table["hashes"].to_pylist()]
+        h = np.sort(np.concatenate(sent) | np.uint64(1))
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        many = np.diff(np.append(starts, len(h)))
+        shared, many = h[starts[many > 1]], many[many > 1]
+        out = []
+        for s in sent:
+            held = s | np.uint64(1)
+            hit = (s & np.uint64(1)) == 1
+            hot = np.zeros(len(s), bool)
+            if len(shared):
+                place = np.minimum(np.searchsorted(shared, held), len(shared) - 1)
+                same = shared[place] == held
+                hit |= same
+                hot = same & (many[place] > hot_blocks)
+            out.append((held - hot.astype(np.uint64))[hit].tobytes())
+        n = len(out)
+        return pa.table(
+            {"block": table["block"], "kind": pa.array([SHARED] * n, pa.int32()), "docs": pa.array([b""] * n, pa.binary()), "a": pa.array(out, pa.binary()), "b": pa.array([b""] * n, pa.binary())}
+        )
 
-_SENT = "shard int, block int, docs binary, first binary, count binary, known binary, text binary"
+    return answer
+
+
+_SENT = "shard int, block int, docs binary, rows binary, first binary, count binary, known binary, text binary"
 
 
 def _send(n_shards: int):
@@ -283,12 +313,15 @@ def _send(n_shards: int):
         told = _told(right, SHARED)
         if left.num_rows and told:
             block = left["block"][0].as_py()
-            shared = np.sort(np.concatenate([np.frombuffer(r["a"], np.uint64) for r in told]))
+            told = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in told])
+            told = told[np.argsort(told | np.uint64(1))]
+            shared, hot = told | np.uint64(1), (told & np.uint64(1)) == 0
             docs, data, at = _texts(left)
-            d, first, count, h = stretches(data, at, _used(docs, right))
+            d, first, count, h = stretches(data, at, _used(docs, data, at, right))
             held = h | np.uint64(1)
-            hit = shared[np.minimum(np.searchsorted(shared, held), len(shared) - 1)] == held if len(shared) else np.zeros(len(h), bool)
-            d, first, count, h = d[hit], first[hit], count[hit], held[hit]
+            place = np.minimum(np.searchsorted(shared, held), max(0, len(shared) - 1))
+            hit = shared[place] == held if len(shared) else np.zeros(len(h), bool)
+            d, first, count, h, hot = d[hit], first[hit], count[hit], held[hit], hot[place[hit]] if len(shared) else np.zeros(0, bool)
             body = data.tobytes()
             size = count + LENGTH - 1
             text = [body[a : a + n] for a, n in zip(first.tolist(), size.tolist(), strict=True)]
@@ -300,16 +333,28 @@ def _send(n_shards: int):
             known = np.array([least[t] < o for t, o in zip(text, owner, strict=True)], bool)
             start = first - at[d]
             shard = np.where(known, block % n_shards, ((h >> np.uint64(20)) % np.uint64(n_shards)).astype(np.int64))
+            alone = np.flatnonzero(hot & ~known)
+            if len(alone):  # one entry for each window
+                windows = [text[i][k : k + LENGTH] for i in alone.tolist() for k in range(count[i])]
+                which = np.repeat(alone, count[alone])
+                step = np.arange(len(which)) - np.repeat(np.cumsum(count[alone]) - count[alone], count[alone])
+                keep = np.flatnonzero(~(hot & ~known))
+                shard = np.concatenate([shard[keep], np.fromiter(map(zlib.crc32, windows), np.int64, len(windows)) % n_shards])
+                d, start = np.concatenate([d[keep], d[which]]), np.concatenate([start[keep], start[which] + step])
+                count, known = np.concatenate([count[keep], np.ones(len(which), np.int64)]), np.concatenate([known[keep], np.zeros(len(which), bool)])
+                text = [text[i] for i in keep.tolist()] + windows
             by = np.lexsort((known, shard)) if len(shard) else np.zeros(0, np.int64)
             cut = np.flatnonzero(np.concatenate([[True], (np.diff(shard[by]) != 0) | (np.diff(known[by].astype(int)) != 0)])) if len(by) else by
             for a, b in zip(cut, np.append(cut, len(by))[1:], strict=True):
                 i = by[a:b]
                 is_known = bool(known[i[0]])
                 for k, v in (
-                    ("shard", int(shard[i[0]])), ("block", block), ("docs", docs[d[i]].tobytes()), ("first", start[i].tobytes()), ("count", count[i].astype(np.int16).tobytes()),
+                    ("shard", int(shard[i[0]])), ("block", block), ("docs", docs[d[i]].tobytes()), ("rows", d[i].astype(np.int32).tobytes()),
+                    ("first", start[i].tobytes()), ("count", count[i].astype(np.int16).tobytes()),
                     ("known", b"1" if is_known else b""), ("text", b"" if is_known else b"".join(text[j] for j in i.tolist())),
                 ):
                     out[k].append(v)
+        give_back()
         kinds = {"shard": pa.int32(), "block": pa.int32()}
         return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
 
@@ -320,32 +365,54 @@ def _judge(table: pa.Table) -> pa.Table:
     """Runs of windows to remove, by block. Stretches that their block knew to be repeated pass through."""
     out: dict[str, list] = {"block": [], "kind": [], "docs": [], "a": [], "b": []}
 
-    def tell(block: int, docs: np.ndarray, first: np.ndarray, many: np.ndarray) -> None:
-        if len(docs):
-            for k, v in (("block", block), ("kind", VERDICT), ("docs", docs.tobytes()), ("a", first.tobytes()), ("b", many.astype(np.int32).tobytes())):
+    def tell(block: int, rows: np.ndarray, first: np.ndarray, many: np.ndarray) -> None:
+        if len(rows):
+            for k, v in (("block", block), ("kind", VERDICT), ("docs", rows.tobytes()), ("a", first.tobytes()), ("b", many.astype(np.int32).tobytes())):
                 out[k].append(v)
 
     rows = table.to_pylist()
     for r in rows:
         if r["known"]:
-            tell(r["block"], np.frombuffer(r["docs"], np.int64), np.frombuffer(r["first"], np.int64), np.frombuffer(r["count"], np.int16))
+            tell(r["block"], np.frombuffer(r["rows"], np.int32), np.frombuffer(r["first"], np.int64), np.frombuffer(r["count"], np.int16))
     rows = [r for r in rows if not r["known"]]
     if rows:
         docs, first = (np.concatenate([np.frombuffer(r[k], np.int64) for r in rows]) for k in ("docs", "first"))
+        of_block = np.concatenate([np.frombuffer(r["rows"], np.int32) for r in rows])
         count = np.concatenate([np.frombuffer(r["count"], np.int16) for r in rows]).astype(np.int64)
-        data = np.frombuffer(b"".join(r["text"] for r in rows), np.uint8)
-        gone = repeated(data, count + LENGTH - 1, count, docs)
-        ends = np.cumsum(count)
-        stretch = np.repeat(np.arange(len(count)), count)
-        edge = np.concatenate([[True], stretch[1:] != stretch[:-1]])
-        start = np.flatnonzero(gone & (edge | ~np.concatenate([[False], gone[:-1]])))
-        stop = np.flatnonzero(gone & np.concatenate([edge[1:] | ~gone[1:], [True]])) + 1
-        of = stretch[start]
-        begin = first[of] + start - (ends[of] - count[of])
-        row = np.repeat(np.arange(len(rows)), [len(r["docs"]) // 8 for r in rows])[of]
-        for i in np.unique(row).tolist():
-            mine = row == i
-            tell(rows[i]["block"], docs[of[mine]], begin[mine], (stop - start)[mine])
+        data = b"".join(r["text"] for r in rows)
+        ends = np.cumsum(count + LENGTH - 1).tolist()
+        # Of equal stretches one of the least document stands for all.
+        stands: dict[bytes, int] = {}
+        like = np.empty(len(count), np.int64)
+        for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+            like[i] = stands.setdefault(data[a:b], len(stands))
+        least = np.full(len(stands), _NONE, np.int64)
+        np.minimum.at(least, like, docs)
+        width = np.empty(len(stands), np.int64)
+        width[like] = count
+        gone = repeated(np.frombuffer(b"".join(stands), np.uint8), width + LENGTH - 1, width, least)
+        del data, stands
+        begin = np.cumsum(width) - width
+        edge = np.zeros(len(gone) + 1, bool)
+        edge[begin] = edge[-1] = True
+        low = np.flatnonzero(gone & (edge[:-1] | ~np.concatenate([[False], gone[:-1]])))
+        high = np.flatnonzero(gone & (edge[1:] | ~np.concatenate([gone[1:], [False]]))) + 1
+        runs = np.searchsorted(low, begin), np.searchsorted(low, begin + width)
+        more = docs > least[like]
+        many = np.where(more, 1, (runs[1] - runs[0])[like])
+        which = np.repeat(np.arange(len(count)), many)
+        run = runs[0][like[which]] + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+        run = np.minimum(run, max(0, len(low) - 1))
+        if not len(low):
+            low = high = np.zeros(1, np.int64)
+        start = np.where(more[which], 0, low[run] - begin[like[which]])
+        size = np.where(more[which], count[which], high[run] - low[run])
+        row = np.repeat(np.arange(len(rows)), [len(r["docs"]) // 8 for r in rows])[which]
+        cut = np.searchsorted(row, np.arange(len(rows) + 1))
+        for i, r in enumerate(rows):
+            mine = slice(cut[i], cut[i + 1])
+            tell(r["block"], of_block[which[mine]], first[which[mine]] + start[mine], size[mine])
+    give_back()
     n = {"block": pa.int32(), "kind": pa.int32()}
     return pa.table({k: pa.array(v, n.get(k, pa.binary())) for k, v in out.items()})
 
@@ -353,66 +420,65 @@ def _judge(table: pa.Table) -> pa.Table:
 def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
     """Every text of the block without the bytes that the verdicts cover."""
     docs, data, at = _texts(left) if left.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(1, np.int64))
-    change = np.zeros(len(data) + 1, np.int32)
-    order = np.argsort(docs, kind="stable")
-    for r in _told(right, VERDICT):
-        of, first, many = np.frombuffer(r["docs"], np.int64), np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int32)
-        # Rows of equal ids are told apart by nothing; a verdict holds for those that are long enough.
-        low, high = np.searchsorted(docs[order], of, "left"), np.searchsorted(docs[order], of, "right")
-        for k in range(int((high - low).max()) if len(of) else 0):
-            ok = low + k < high
-            row = order[(low + k)[ok]]
-            a, b = at[row] + first[ok], at[row] + first[ok] + many[ok] + LENGTH - 1
-            fits = b <= at[row + 1]
-            np.add.at(change, a[fits], 1)
-            np.add.at(change, b[fits], -1)
-    gone = np.cumsum(change[:-1]) > 0
-    used = _used(docs, right)
-    for d in np.flatnonzero(~used & (np.diff(at) >= LENGTH)).tolist():
-        gone[at[d] : at[d + 1]] = True
+    told = _told(right, VERDICT)
+    if told:
+        row, first, many = (np.concatenate([np.frombuffer(r[k], t) for r in told]) for k, t in (("docs", np.int32), ("a", np.int64), ("b", np.int32)))
+        order = np.argsort(row, kind="stable")
+        row, first, many = row[order], first[order], many[order]
+        cut = np.searchsorted(row, np.arange(len(docs) + 1))
+    used = _used(docs, data, at, right)
     kept = []
     n_bytes, removed, spans = np.diff(at), np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
     for d in range(len(docs)):
-        g, body = gone[at[d] : at[d + 1]], data[at[d] : at[d + 1]]
-        if g.any():
-            removed[d] = g.sum()
-            spans[d] = int(g[0]) + int((g[1:] & ~g[:-1]).sum())
-            body = body[~g]
+        body = data[at[d] : at[d + 1]]
+        if not used[d] and len(body) >= LENGTH:
+            removed[d], spans[d], body = len(body), 1, body[:0]
+        elif told and cut[d] < cut[d + 1]:
+            a, n = first[cut[d] : cut[d + 1]], many[cut[d] : cut[d + 1]]
+            change = np.bincount(a, minlength=len(body) + 1) - np.bincount(a + n + LENGTH - 1, minlength=len(body) + 1)
+            gone = np.cumsum(change[:-1]) > 0
+            removed[d] = gone.sum()
+            spans[d] = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+            body = body[~gone]
         kept.append(body.tobytes())
+    del data
     ids = pa.array(docs, mask=docs == _NONE)
-    return pa.table({"doc_id": ids, "n_bytes": pa.array(n_bytes), "n_removed": pa.array(removed), "n_spans": pa.array(spans), "kept": pa.array(kept, pa.binary())})
+    made = pa.table({"doc_id": ids, "n_bytes": pa.array(n_bytes), "n_removed": pa.array(removed), "n_spans": pa.array(spans), "kept": pa.array(kept, pa.binary())})
+    del kept
+    give_back()
+    return made
 
 
-def remove_repeats(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def remove_repeats(docs: DataFrame, block: int = BLOCK, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes) for every row."""
     spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    # Copies: of rows with equal texts all but one of the least doc_id.
-    named = checkpoint(docs.select("doc_id", F.sha2(text.cast("binary"), 256).alias("digest"), F.octet_length(text).cast("long").alias("n")))
-    total = named.agg(F.sum("n")).first()[0] or 0
-    n_blocks = int(max(1, total // min(MOST_BLOCK, max(block, total // 2000))))
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = int(max(1, n_bytes // min(MOST_BLOCK, max(block, n_bytes // 2000))))
     n = partitions(spark)
-    n_buckets = int(max(n, total // 16 // (4 << 20)))
+    n_buckets = int(max(n, n_bytes // 16 // (4 << 20)))
     n_shards = max(n, n_blocks)
-    of_block = F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int")
-    least = named.groupBy("digest").agg(F.min("doc_id").alias("least"))
+    of_block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block")
+    # Copies: of rows with equal texts all but those of the least doc_id.
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).alias("digest")
+    named = checkpoint(docs.select(F.coalesce("doc_id", F.lit(_NONE)).alias("doc_id"), digest, of_block))
+    least = named.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1")
     copies = (
-        named.join(least, "digest")
+        join_keys(named, least, "digest", "many", named.count())
         .where(F.col("doc_id") != F.col("least"))
-        .select(of_block.alias("block"), "doc_id")
+        .select("block", "doc_id", "digest")
         .distinct()
         .groupBy("block")
-        .agg(F.collect_list("doc_id").alias("ids"))
+        .agg(F.collect_list("doc_id").alias("ids"), F.collect_list("digest").alias("digests"))
         .mapInArrow(_pack_copies, _MESSAGE)
     )
     copies = checkpoint(copies)
-    body = docs.select("doc_id", "text", of_block.alias("block")).repartition(n, "block")
+    body = docs.select("doc_id", "text", of_block).repartition(n, "block")
 
     def with_block(told: DataFrame, f, schema: str) -> DataFrame:
         return body.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(f, schema)
 
     asked = with_block(copies, _request(n_buckets), "bucket int, block int, hashes binary")
-    shared = asked.groupBy("bucket").applyInArrow(_answer, _MESSAGE)
+    shared = asked.groupBy("bucket").applyInArrow(_answer(hot_blocks), _MESSAGE)
     sent = with_block(copies.unionByName(shared), _send(n_shards), _SENT)
     verdicts = sent.groupBy("shard").applyInArrow(_judge, _MESSAGE)
     return with_block(
@@ -424,8 +490,11 @@ def _pack_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
         ids = [np.array(x, np.int64).tobytes() for x in batch["ids"].to_pylist()]
-        empty = pa.array([b""] * n, pa.binary())
-        yield pa.RecordBatch.from_arrays([batch["block"], pa.array([COPIES] * n, pa.int32()), pa.array(ids, pa.binary()), empty, empty], ["block", "kind", "docs", "a", "b"])
+        digests = [b"".join(x) for x in batch["digests"].to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch["block"], pa.array([COPIES] * n, pa.int32()), pa.array(ids, pa.binary()), pa.array(digests, pa.binary()), pa.array([b""] * n, pa.binary())],
+            ["block", "kind", "docs", "a", "b"],
+        )
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
