@@ -6,14 +6,15 @@ context has distinct bytes) to the context one byte shorter, and below the empty
 all 256 bytes alike. The statistics are frozen after training, so a text's exact code length
 under a language is a sum over its bytes. The language with the shortest code wins.
 
-For speed the trees of all languages become one table: a state for every context that any
-of them has, and each state's cost in bits of every byte under every language. The table has
-a size bound (``MOST_CONTEXTS``), so it goes to every task; contexts beyond the bound, the
-rarest ones, are read as their shorter ones in training and in scoring alike.
+Every context that training saw is kept. The trees of all languages become one sorted list of
+strings (context and byte) for each length, with each string's cost under every language, and one
+of contexts with the cost of escaping from them. A byte is looked up with its longest context
+first; only bytes that no language saw there go on to the shorter one.
 
 Null, empty and letterless texts are ``und`` with score 0. A text of any length is scored
 whole. Ties go to the first language in alphabetical order. Without any training rows every
-text is ``und``. Only text and the label column are read; extra columns are ignored.
+text is ``und``. Repeated rows each get their answer; in training a repeated doc_id's rows all
+count, and a row without doc_id teaches nothing. Only doc_id, text and the label column are read.
 """
 
 from __future__ import annotations
@@ -24,15 +25,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenledger.llm.arrowtext import blocks, raw, small_batches
+from lumenledger.llm.arrowtext import blocks, give_back, raw, small_batches
 
 ORDER = 3
-#: Rows of each language that are trained on at most, taken by a hash of their ids.
-TRAIN_ROWS = 1500
-MOST_CONTEXTS = 40_000
+#: Rows and bytes of text of each language that are trained on at most, taken by a hash of their ids.
+TRAIN_ROWS, TRAIN_BYTES = 1000, 4 << 20
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -75,90 +75,76 @@ def count_grams(rows: DataFrame, label: str, order: int = ORDER) -> DataFrame:
 
 
 class Trees:
-    """The context trees of all languages as one table of states and costs."""
+    """The context trees of all languages as sorted lists of strings and contexts, with their costs in bits."""
 
-    def __init__(self, counts: pd.DataFrame, order: int = ORDER, most: int = MOST_CONTEXTS):
+    def __init__(self, counts: pd.DataFrame, order: int = ORDER):
         self.order = order
         self.names = sorted(counts["label"].unique())
         k = len(self.names)
         gram, label = counts["gram"].to_numpy(np.int64), np.searchsorted(self.names, counts["label"].to_numpy(str))
         n = counts["n"].to_numpy(np.float64)
-        used = np.unique(gram & 255)
-        #: Bytes that training saw have numbers from 1; all others are 0 and cost alike.
-        self.number = np.zeros(256, np.uint8)
-        self.number[used] = np.arange(1, len(used) + 1)
-        self.width = len(used) + 1
-        sym = self.number[gram & 255].astype(np.int64)
-        past = [self.number[gram >> 8 * (j + 1) & 255].astype(np.int64) for j in range(order)]
-        self.numbers = [{(): 0}]
-        cost = np.full((1, self.width, k), 8.0)
-        cost[0] = self._row(np.zeros(len(sym), np.int64), sym, label, n, 1, k, np.full((1, self.width, k), 8.0))[0]
-        tables, self.state = [cost[0]], {0: np.zeros(1, np.int64)}
-        shorter, total = np.zeros(1, np.int64), 1
-        key = np.zeros(len(sym), np.int64)
-        for depth in range(1, order + 1):
-            # A context's number has its nearest byte in the lowest place.
-            key = key + past[depth - 1] * self.width ** (depth - 1)
-            size = self.width**depth
-            ids = np.tile(shorter, self.width).astype(np.int32)
-            seen = np.bincount(key, weights=n, minlength=size)
-            held = np.flatnonzero(seen >= 2)
-            if len(held) > most - total:
-                held = np.sort(held[np.argsort(-seen[held], kind="stable")[: max(0, most - total)]])
-            local = np.full(size, -1, np.int64)
-            local[held] = np.arange(len(held))
-            mine = local[key] >= 0
-            parent = np.stack([tables[i] for i in ids[held]]) if len(held) else np.zeros((0, self.width, k))
-            tables += list(self._row(local[key[mine]], sym[mine], label[mine], n[mine], len(held), k, parent))
-            ids[held] = total + np.arange(len(held))
-            total += len(held)
-            shorter = ids
-            self.state[depth] = ids
-        self.table = np.stack(tables).astype(np.float32).reshape(-1, k)
-
-    def _row(self, context, sym, label, n, size, k, parent) -> np.ndarray:
-        """Costs in bits in each context, given those in the context one byte shorter."""
-        seen = np.zeros((size, self.width, k))
-        np.add.at(seen, (context, sym, label), n)
-        total, kinds = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            own = -np.log2(seen / (total + kinds))
-            escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0)
-        return np.where(seen > 0, own, escape + parent)
-
-    def lengths(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        self.grams, self.costs, self.contexts, self.escapes = [], [], [], []
+        for depth in range(order + 1):
+            # A string of depth + 1 bytes has its last byte in the lowest place, and is seen in all its languages' texts.
+            grams, which = np.unique(gram & (256 ** (depth + 1) - 1), return_inverse=True)
+            seen = np.zeros((len(grams), k))
+            np.add.at(seen, (which, label), n)
+            contexts, of = np.unique(grams >> 8, return_inverse=True)
+            total, kinds = np.zeros((len(contexts), k)), np.zeros((len(contexts), k))
+            np.add.at(total, of, seen)
+            np.add.at(kinds, of, (seen > 0).astype(np.float64))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0)
+                own = -np.log2(seen / (total + kinds)[of])
+            shorter = self.costs[-1][np.searchsorted(self.grams[-1], grams & (256**depth - 1))] if depth else np.full((len(grams), k), 8.0)
+            self.grams.append(grams.astype(np.uint32))
+            self.costs.append(np.where(seen > 0, own, escape[of] + shorter))
+            self.contexts.append(contexts.astype(np.uint32))
+            self.escapes.append(escape)
+
+    def of_bytes(self, codes: np.ndarray) -> np.ndarray:
+        """The cost of each byte, given with the bytes before it as one number, under every language."""
+        out = np.zeros((len(codes), len(self.names)))
+        left = np.arange(len(codes))
+        for depth in range(self.order, -1, -1):
+            own = codes[left] & np.uint32(256 ** (depth + 1) - 1)
+            place = np.minimum(np.searchsorted(self.grams[depth], own), len(self.grams[depth]) - 1)
+            hit = self.grams[depth][place] == own
+            out[left[hit]] += self.costs[depth][place[hit]]
+            left, context = left[~hit], own[~hit] >> np.uint32(8)
+            if not len(left):
+                return out
+            place = np.minimum(np.searchsorted(self.contexts[depth], context), len(self.contexts[depth]) - 1)
+            known = self.contexts[depth][place] == context
+            out[left[known]] += self.escapes[depth][place[known]]
+        out[left] += 8.0
+        return out
+
+    def lengths(self, data: np.ndarray, at: np.ndarray, step: int = 1 << 17) -> np.ndarray:
         """Code length in bits of every text under every language."""
-        number = self.number[data].astype(np.int64)
-        first = np.zeros(len(data), bool)
-        first[at[:-1][at[:-1] < len(data)]] = True
-        context, edge = np.zeros(len(data), np.int64), first.copy()
-        for k in range(1, self.order + 1):
-            before = np.zeros(len(data), np.int64)
-            before[k:] = number[: len(data) - k]
-            before[edge] = self.number[0]
-            context += before * self.width ** (k - 1)
-            edge[1:] |= edge[:-1].copy()
-        state = self.state[self.order][context]
-        sums = np.zeros((len(data) + 1, len(self.names)))
-        np.cumsum(np.take(self.table, state * self.width + number, axis=0), axis=0, dtype=np.float64, out=sums[1:])
-        return np.diff(sums[at], axis=0)
-
-
-def train(docs: DataFrame, label: str = "lang", rows: int = TRAIN_ROWS, order: int = ORDER) -> Trees | None:
-    """Trees of the labelled rows outside held_out; at most rows of each label, chosen by a hash of doc_id.
+        codes = _grams(data, at, self.order)
+        out = np.zeros((len(at) - 1, len(self.names)))
+        for a in range(0, len(data), step):
+            b = min(len(data), a + step)
+            first, last = np.searchsorted(at, a, "right") - 1, np.searchsorted(at, b, "left")
+            sums = np.concatenate([np.zeros((1, out.shape[1])), np.cumsum(self.of_bytes(codes[a:b]), axis=0)])
+            out[first:last] += np.diff(sums[np.clip(at[first : last + 1], a, b) - a], axis=0)
+        return out
+
+
+def train(docs: DataFrame, label: str = "lang", rows: int = TRAIN_ROWS, order: int = ORDER, most_bytes: int = TRAIN_BYTES) -> Trees | None:
+    """Trees of the labelled rows outside held_out; of each label at most rows and, beyond one row, most_bytes, in the order of a hash of doc_id.
 
     Counting is done in Spark, over the whole texts of these rows. The counts that come back
-    are of distinct contexts of few texts, so their number has a bound too.
+    are of distinct strings of bounded texts, so their number has a bound too.
     """
     labelled = docs.select("doc_id", label).where(F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
-    ids = None
-    for (name,) in labelled.select(label).distinct().collect():  # a top-k for each label: none is sorted or gathered whole
-        one = labelled.where(F.col(label) == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id")
-        ids = one if ids is None else ids.union(one)
-    if ids is None:
-        return None
-    chosen = docs.sparkSession.createDataFrame(ids.collect(), "doc_id long")
-    sample = docs.select("doc_id", "text", label).join(F.broadcast(chosen), "doc_id", "left_semi").where(F.col(label).isNotNull())
+    order_by = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
+    # A filter on the rank keeps each partition's first rows only, before anything is shuffled.
+    chosen = labelled.withColumn("rank", F.row_number().over(order_by)).where(F.col("rank") <= rows).select("doc_id")
+    sample = docs.select("doc_id", "text", label).join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").where(F.col(label).isNotNull())
+    before = F.coalesce(F.sum(F.octet_length("text")).over(order_by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sample = sample.withColumn("before", before).where(F.col("before") < most_bytes)
     counts = count_grams(sample, label, order).toPandas()
     return Trees(counts, order) if len(counts) else None
 
@@ -186,6 +172,7 @@ def identify(docs: DataFrame, trees: Trees | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [block["doc_id"].cast(pa.int64()), pa.array(name.tolist(), pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"]
             )
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(tell, "doc_id long, lang_pred string, score double")
 

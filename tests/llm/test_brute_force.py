@@ -274,15 +274,42 @@ def test_language_id(spark, docs, empty):
     assert {r.lang_pred for r in langid.identify(docs, None).collect()} == {"und"}
 
 
-def test_code_lengths_are_of_a_distribution():
-    import pandas as pd
-
-    counts = pd.DataFrame({"label": ["a"] * 4 + ["b"] * 2, "gram": [0x61, 0x6162, 0x616263, 0x616163, 0x62, 0x6263], "n": [5, 4, 3, 2, 6, 2]})
+def plain_ppm(train, text, order=3):
+    """Bits of a text under one language: method C without exclusion, frozen counts, zero bytes before each text."""
+    seen = {}
+    for t in train:
+        for i in range(len(t)):
+            past = (bytes(order) + t[:i])[-order:]
+            for k in range(order + 1):
+                of = seen.setdefault(past[order - k :], {})
+                of[t[i]] = of.get(t[i], 0) + 1
+    bits = 0.0
+    for i in range(len(text)):
+        past = (bytes(order) + text[:i])[-order:]
+        for k in range(order, -1, -1):
+            of = seen.get(past[order - k :], {})
+            total = sum(of.values()) + len(of)
+            if text[i] in of:
+                bits -= np.log2(of[text[i]] / total)
+                break
+            bits -= np.log2(len(of) / total) if of else 0
+        else:
+            bits += 8
+    return bits
+
+
+def test_code_lengths_are_those_of_plain_ppm(spark):
+    rng = random.Random(9)
+    train = {k: ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(12)] for k, letters in (("a", "abc dé"), ("b", "bcx yü"))}
+    rows = [(i, t, k) for i, (k, t) in enumerate((k, t) for k in train for t in train[k])]
+    counts = langid.count_grams(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang").toPandas()
     trees = langid.Trees(counts)
-    table = 2.0 ** -trees.table.reshape(-1, trees.width, 2)
-    # Byte 0 stands for all bytes that training never saw, each of that cost.
-    total = table[:, 1:].sum(1) + table[:, 0] * (257 - trees.width)
-    assert (total <= 1 + 1e-5).all()
+    texts = ["", "abc", "yü x", "zz日", "é" * 30, "a\x00b"] + ["".join(rng.choices("abcdxyü é", k=30)) for _ in range(10)]
+    body = [t.encode() for t in texts]
+    for step in (7, 1 << 17):
+        got = trees.lengths(np.frombuffer(b"".join(body), np.uint8), np.cumsum([0, *map(len, body)]), step)
+        want = [[plain_ppm([x.encode() for x in train[k]], t) for k in "ab"] for t in body]
+        assert np.allclose(got, want)
 
 
 def test_toxicity_learns_and_tolerates_gaps():
