@@ -7,11 +7,15 @@ finds the rest: under any one order of all shingles, two sets with a similarity
 share one of the first ``n - ceil(4n/5) + 1`` shingles of each. Shingles that a sample of
 documents shows to be frequent come last in that order, so boilerplate rarely stands in a prefix.
 
-A group of near copies is not expanded into its pairs. In the first round every shingle's
-prefixes are compared with one of their own, the leader, and SimHash's links are compared too.
-What that joins is one component. In the second round only shingles whose prefixes still
-belong to several components are expanded, into pairs of different components. Links inside
-a component could change nothing, so the components are those of all links.
+A group of near copies is not expanded into its pairs. In the first rounds every shingle's
+prefixes are compared with one of their own, the round's leader, and SimHash's links are
+compared too. What that joins is one component. In the last round only shingles whose prefixes
+still belong to several components are expanded, into pairs of different components. Links
+inside a component could change nothing, so the components are those of all links.
+
+Before two sets are compared, their bitmaps are: each shingle toggles one of ``BITS`` bits, so two
+bitmaps differ in no more bits than the sets differ in shingles. A pair whose bitmaps differ in
+more than 4/5 allows is done with; only the others fetch their whole sets.
 
 Words are those of simhash. Fewer than ``SHINGLE`` words are one shingle; texts without a
 word, so also null and the empty text, have the empty set and are alike. A shingle stands for
@@ -37,6 +41,10 @@ SHINGLE = 5
 SAMPLE, FREQUENT = 8_000, 100_000
 #: Ids of documents that are sent to every executor, at most; more are joined by a shuffle.
 BROADCAST = 500_000
+#: Rounds of leaders before classes of different components are paired.
+ROUNDS = 2
+#: Bits of a set's bitmap.
+BITS = 2048
 _FACTORS = np.random.default_rng(5).integers(1 << 62, 1 << 63, SHINGLE, np.uint64) | np.uint64(1)
 
 
@@ -74,8 +82,8 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, cls, n, rare, prefix for every row: the set's digest, its size, how many shingles of its prefix
-    are in no list of frequent ones, and the prefix's shingles, those first."""
+    """doc_id, cls, n, rare, bits, prefix for every row: the set's digest, its size, how many shingles of its
+    prefix are in no list of frequent ones, its bitmap, and the prefix's shingles, the rare ones first."""
     import xxhash
 
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
@@ -86,7 +94,7 @@ def prefixes(docs: DataFrame) -> DataFrame:
         known = np.append(frequent[by_hash], 0)
         rank = np.append(by_hash + 1, 0)
         for block in blocks(batches, 4 << 20):
-            cls, size, rare, heads = [], [], [], []
+            cls, size, rare, heads, bits = [], [], [], [], []
             for t in texts(block["text"]):
                 s = shingles(t)
                 cls.append(xxhash.xxh64_intdigest(s.tobytes(), 42))
@@ -96,17 +104,19 @@ def prefixes(docs: DataFrame) -> DataFrame:
                 # s ascends, so equal ranks stay in the order of their hashes. Sets of fewer than
                 # four shingles reach 4/5 with their equals only.
                 heads.append(s[np.argsort(late, kind="stable")][: len(s) - (4 * len(s) + 4) // 5 + 1 if len(s) > 3 else 0])
+                bits.append(np.packbits(np.bincount(s & (BITS - 1), minlength=BITS) & 1).view(np.int64))
                 rare.append(min(len(heads[-1]), int((late == 0).sum())))
             ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
             held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads)))
             yield pa.RecordBatch.from_arrays(
-                [block["doc_id"].cast(pa.int64()), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(np.array(size, np.int32)), pa.array(np.array(rare, np.int32)), held],
-                ["doc_id", "cls", "n", "rare", "prefix"],
+                [block["doc_id"].cast(pa.int64()), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(np.array(size, np.int32)), pa.array(np.array(rare, np.int32)),
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * (BITS // 64)), pa.array(np.concatenate(bits))), held],
+                ["doc_id", "cls", "n", "rare", "bits", "prefix"],
             )
         give_back()
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, cls long, n int, rare int, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, cls long, n int, rare int, bits array<long>, prefix array<long>")
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
@@ -147,26 +157,32 @@ def shared_heads(made: DataFrame) -> DataFrame:
     return rare.unionByName(common.join(F.broadcast(held), "h", "left_semi"))
 
 
-def to_leaders(heads: DataFrame) -> DataFrame:
-    """Pairs (u, v) of a class and the least class that shares a shingle of its prefix; at most one for each row of heads."""
+def to_leaders(heads: DataFrame, turn: int) -> DataFrame:
+    """Pairs (u, v) of a class and a leader of another component with a shingle of its prefix; at most one for each row of heads."""
     found = None
+    order = F.xxhash64("cls", F.lit(turn))
     for common in (False, True):
         own = heads.where(F.col("common") == common)
-        led = own.groupBy("h").agg(F.min("cls").alias("lead"), F.min_by("n", "cls").alias("n"), F.min_by("place", "cls").alias("place"))
-        led = led.select("h", F.struct("lead", "n", "place").alias("b"))
-        one = own.select("h", F.struct("cls", "n", "place").alias("a")).join(F.broadcast(led) if common else led, "h").where(_MAY)
-        one = one.select(F.col("a.cls").alias("u"), F.col("b.lead").alias("v"))
+        led = own.groupBy("h").agg(*(F.min_by(c, order).alias(c) for c in ("cls", "n", "place", "root")))
+        led = led.select("h", F.struct("cls", "n", "place", "root").alias("b"))
+        one = own.select("h", F.struct("cls", "n", "place", "root").alias("a")).join(F.broadcast(led) if common else led, "h")
+        one = one.where((F.col("a.root") != F.col("b.root")) & F.expr(_MAY)).select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"))
         found = one if found is None else found.unionByName(one)
     return _sorted_pairs(found)
 
 
-def between(heads: DataFrame, found: DataFrame) -> DataFrame:
+def mixed(heads: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of heads with their components, where a shingle's classes belong to several."""
+    rooted = heads.drop("root").join(found.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    several = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
+    return checkpoint(rooted.join(several, "h", "left_semi"))
+
+
+def between(heads: DataFrame) -> DataFrame:
     """Pairs (u, v) of classes of different components that share a shingle of their prefixes."""
-    rooted = heads.join(found.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
-    rooted = checkpoint(rooted.join(mixed, "h"))
-    a, b = rooted.alias("a"), rooted.alias("b")
-    return _sorted_pairs(a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.root") != F.col("b.root")) & F.expr(_MAY)).select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")))
+    a, b = heads.alias("a"), heads.alias("b")
+    meet = (F.col("a.h") == F.col("b.h")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.root") != F.col("b.root")) & F.expr(_MAY)
+    return _sorted_pairs(a.join(b, meet).select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")))
 
 
 def by_fingerprints(docs: DataFrame, made: DataFrame) -> DataFrame:
@@ -180,27 +196,36 @@ def by_fingerprints(docs: DataFrame, made: DataFrame) -> DataFrame:
     return _sorted_pairs(own.unionByName(far))
 
 
+def may_reach(pairs: DataFrame, made: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) of classes whose bitmaps allow 4/5."""
+    held = made.groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    a, b = (held.select(F.col("cls").alias(c), F.struct("n", "bits").alias(s)) for c, s in (("u", "a"), ("v", "b")))
+    apart = sum((F.bit_count(F.col("a.bits")[i].bitwiseXOR(F.col("b.bits")[i])) for i in range(BITS // 64)), F.lit(0))
+    return pairs.join(a, "u").join(b, "v").where(9 * apart <= F.col("a.n") + F.col("b.n")).select("u", "v")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, made: DataFrame) -> DataFrame:
     """Those of the pairs (u, v) of classes whose sets have a similarity of 4/5 or more. Sets are made anew for these classes only."""
-    pairs = checkpoint(pairs)
+    pairs = checkpoint(may_reach(pairs, made))
     asked = pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct()
-    rows = made.join(asked, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    few = checkpoint(rows)
+    few = checkpoint(made.join(asked, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
     chosen = docs.select("doc_id", "text").join(F.broadcast(few) if few.count() <= BROADCAST else few, "doc_id", "left_semi")
-    of = checkpoint(set_rows(chosen).dropDuplicates(["cls"]))
+    of = set_rows(chosen)
     a = of.select(F.col("cls").alias("u"), F.col("shingles").alias("x"))
     b = of.select(F.col("cls").alias("v"), F.col("shingles").alias("y"))
     both = pairs.join(a, "u").join(b, "v")
-    return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("u", "v")
+    return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("u", "v").distinct()
 
 
 def links(docs: DataFrame, made: DataFrame) -> DataFrame:
     """Pairs (u, v) of classes with a similarity of 4/5 or more, whose components are those of all such pairs."""
-    heads = checkpoint(shared_heads(made))
-    first = to_leaders(heads).union(by_fingerprints(docs, made)).distinct()
+    heads = checkpoint(shared_heads(made).withColumn("root", F.col("cls")))
+    first = to_leaders(heads, 0).union(by_fingerprints(docs, made)).distinct()
     near = checkpoint(confirmed(first, docs, made))
-    rest = between(heads, components(near))
-    return near.union(confirmed(rest, docs, made))
+    for turn in range(1, ROUNDS):
+        heads = mixed(heads, components(near))
+        near = checkpoint(near.union(confirmed(to_leaders(heads, turn), docs, made)))
+    return near.union(confirmed(between(mixed(heads, components(near))), docs, made))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
