@@ -1,17 +1,23 @@
 """Main text of web pages by removal of site templates.
 
-Every element's subtree is hashed. Spark counts for each host on how many pages a subtree
-occurs; subtrees that recur on many of a host's pages are its template. A page then loses its
-template subtrees, the elements whose tag, class, id or role says that they are no content
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments), and
-everything outside its article. Prose that lies in a page's article is protected: a sentence
-or paragraph that many articles of a host share is still part of each of them.
+Every element's subtree is hashed. Spark counts for each host on how many different pages a
+subtree occurs (copies of a whole page count once); subtrees that recur on many of a host's pages
+are its template. A page then loses its template subtrees, the elements whose tag, class, id or
+role says that they are no content (menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles, comments), and everything outside its article.
+
+Inside an article a template subtree goes if it is a box: a division, section, list, table or
+figure, whatever its name. Paragraphs, headings, quotations and the article itself are prose and
+stay: a sentence or paragraph that many articles of a host share is still part of each of them.
+Outside of articles any block-level template subtree goes.
 
 Without an article the main element is taken, and without one the body. Blocks are the texts
 between block-level tags, with character references decoded and white space as one space;
 they are joined by one newline. Null, empty and text-less pages give an empty text. Pages are
 never cut. Unclosed and stray tags are read as browsers read them, roughly. page_id ties the
-steps together; a null page_id loses only the template step. Extra columns are ignored.
+steps together: pages that share one share their template, and a null page_id loses only the template
+step. Repeated rows each get their text. An empty table gives an empty result. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenledger.llm.arrowtext import blocks, checkpoint, small_batches
+from lumenledger.llm.arrowtext import blocks, checkpoint, give_back, join_keys, small_batches
 
-#: A subtree is a template if it is on so many pages of a host, and on such a share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.2
+#: A subtree is a template if it is on MIN_PAGES of a host, and on such a share of them or on MANY_PAGES.
+MIN_PAGES, MIN_SHARE, MANY_PAGES = 5, 0.2, 200
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -39,6 +45,8 @@ _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: What a template may have inside an article.
+_BOXES = frozenset("aside details div dl figure footer form header menu nav ol section table ul".split())
 _DROPPED = frozenset("head nav footer aside form button select option label input menu dialog".split()) | _RAW
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _NAMED = re.compile(
@@ -144,7 +152,8 @@ def extract(root: Node, template: frozenset[int] = frozenset()) -> str:
     """The blocks of the page's content, without the template's subtrees."""
     tops = content(root)
     guarded = tops != [root]
-    hashed = hashes(root) if template and not guarded else {}
+    hashed = hashes(root) if template else {}
+    may_go = _BOXES if guarded else _BLOCK
     lines, line = [], []
 
     def end() -> None:
@@ -162,7 +171,7 @@ def extract(root: Node, template: frozenset[int] = frozenset()) -> str:
             line.append(node)
         elif node.tag == "br":
             line.append(" ")
-        elif not (node not in tops and node.tag and _no_content(node, guarded)) and not (node.tag in _BLOCK and hashed.get(id(node)) in template):
+        elif not (node not in tops and node.tag and _no_content(node, guarded)) and not (node not in tops and node.tag in may_go and hashed.get(id(node)) in template):
             if node.tag in _BLOCK or not node.tag:
                 end()
                 stack.append(None)
@@ -171,53 +180,54 @@ def extract(root: Node, template: frozenset[int] = frozenset()) -> str:
     return "\n".join(lines)
 
 
-def subtrees(root: Node) -> set[int]:
-    """The hashes of the block-level elements that a template may have: all but those of a guarded article.
+def subtrees(root: Node) -> tuple[int, set[int]]:
+    """The hashes of the page and of the block-level elements that a template may have; in an article, of its boxes.
 
     An inline element that recurs is a common word or phrase, not a part of a template.
     """
     tops = content(root)
     hashed = hashes(root)
-    out, stack = set(), [root]
+    out, stack = set(), [(root, False)]
     while stack:
-        node = stack.pop()
+        node, inside = stack.pop()
         if node in tops and node is not root:
-            continue
-        if node.tag in _BLOCK or node.tag in _DROPPED:
-            if node.tag not in ("html", "body", "head"):
-                out.add(hashed[id(node)])
-        stack += [c for c in node.children if isinstance(c, Node)]
-    return out
+            inside = True
+        elif node.tag in (_BOXES if inside else _BLOCK | _DROPPED) and node.tag not in ("html", "body", "head"):
+            out.add(hashed[id(node)])
+        stack += [(c, inside) for c in node.children if isinstance(c, Node)]
+    return hashed[id(root)], out
 
 
-def template_subtrees(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def template_subtrees(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
     """page_id, template: the hashes of each page's subtrees that its host's pages share."""
 
     def list_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, 4 << 20, "html"):
-            found = [sorted(subtrees(parse(h or ""))) for h in block["html"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([block["page_id"].cast(pa.int64()), block["host"], pa.array(found, pa.list_(pa.int64()))], ["page_id", "host", "found"])
+            found = [subtrees(parse(h or "")) for h in block["html"].to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [block["page_id"].cast(pa.int64()), block["host"], pa.array([p for p, _ in found], pa.int64()), pa.array([sorted(x) for _, x in found], pa.list_(pa.int64()))],
+                ["page_id", "host", "page", "found"],
+            )
+        give_back()
 
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1), F.lit("")))
-    listed = pages.select("page_id", F.xxhash64(host).alias("host"), "html").mapInArrow(list_subtrees, "page_id long, host long, found array<long>")
+    listed = pages.select("page_id", F.xxhash64(host).alias("host"), "html").mapInArrow(list_subtrees, "page_id long, host long, page long, found array<long>")
     listed = checkpoint(listed)
-    each = listed.select("page_id", "host", F.explode("found").alias("subtree"))
-    of_host = listed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    shared = (
-        each.groupBy("host", "subtree")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= min_pages)
-        .join(of_host, "host")
-        .where(F.col("n") >= F.col("pages") * min_share)
-        .select("host", "subtree")
-    )
-    return each.join(shared, ["host", "subtree"]).groupBy("page_id").agg(F.collect_set("subtree").alias("template"))
-
-
-def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    # Of pages that are copies of each other one counts.
+    first = listed.groupBy("host", "page").agg(F.min("page_id").alias("page_id"))
+    of_host = first.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    each = listed.select("page_id", "host", "page", F.explode("found").alias("subtree"))
+    total = each.count()
+    counts = each.join(first, ["host", "page", "page_id"], "left_semi").groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    shared = join_keys(counts, of_host, "host", "pages", listed.count()).where((F.col("n") >= F.col("pages") * min_share) | (F.col("n") >= many_pages))
+    shared = checkpoint(shared.select("host", "subtree", "n"))
+    return join_keys(each, shared, ["host", "subtree"], "n", total).groupBy("page_id").agg(F.collect_set("subtree").alias("template"))
+
+
+def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
     """page_id, url, text of every row of pages."""
     small_batches(pages.sparkSession)
-    template = template_subtrees(pages, min_pages, min_share)
+    template = template_subtrees(pages, min_pages, min_share, many_pages)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, 4 << 20, "html"):
@@ -231,6 +241,7 @@ def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
                 for p, t in zip(batch["packed"].to_pylist(), batch["template"].to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(text, pa.string())], ["page_id", "url", "text"])
+        give_back()
 
     packed = pages.select("page_id", "url", "html").mapInArrow(pack, "page_id long, url string, packed binary")
     return packed.join(template, "page_id", "left").mapInArrow(read, "page_id long, url string, text string")

@@ -1,14 +1,15 @@
 """License scan by ordered signature rules.
 
-A text is reduced to its lower-cased words, joined by one space. Rules are regexes over that
-string, made by rule from a table of license names and a list of the forms in which a name
-is cited; a rule applies only if every one of its keywords is a word of the text, so nearly
-all texts run no regex. Detections overlap: they are taken by priority (the most specific
-form first), then by length, and one whose words lie within a taken one is dropped.
+A text is reduced to its lower-cased words, joined by one space. The rules of license_rules are
+regexes over that string: identifiers, notices, the licenses' own wording, names with and without
+versions. A rule applies only if every one of its keywords is a word of the text, so nearly all
+texts run no regex. Detections overlap: they are ranked by confidence, then length, then the
+order of the rules, and one whose words lie within a higher one's is dropped.
 
 Base phrases are counted apart, at every place where their words stand consecutively, and
 nothing suppresses them. Null is the empty text, which has no words and no detection. A
-text of any length is scanned whole. Columns beyond doc_id and text are ignored.
+text of any length is scanned whole. Repeated rows each get their answer; an empty table gives
+an empty result. Columns beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ import re
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenledger.llm.arrowtext import blocks, small_batches, texts, words
+from lumenledger.llm.arrowtext import blocks, give_back, small_batches, texts, words
+from lumenledger.llm.license_rules import SECTIONS, UNDER
 
 #: Phrases that are always counted, and their labels.
 BASE = {
@@ -31,74 +34,15 @@ BASE = {
     "mit license": "mit",
 }
 
-#: Label, words that must all be there, regex of the name (words joined by a space), regex of a version.
-NAMES: list[tuple[str, str, str, str]] = [
-    ("agpl", "affero", r"(?:gnu )?affero (?:general public )?licen[cs]e", r"[13](?: 0)?"),
-    ("lgpl", "lesser", r"(?:gnu )?lesser general public licen[cs]e", r"[23](?: [01])?"),
-    ("lgpl", "library", r"gnu library general public licen[cs]e", r"2(?: 0)?"),
-    ("lgpl", "lgpl", r"lgpl", r"(?:v ?)?[23](?: [01])?"),
-    ("agpl", "agpl", r"agpl", r"(?:v ?)?3(?: 0)?"),
-    ("gfdl", "documentation", r"gnu free documentation licen[cs]e", r"1 [123]"),
-    ("gpl", "gnu", r"gnu general public licen[cs]e", r"[123](?: 0)?"),
-    ("gpl", "gpl", r"(?:gnu )?gpl", r"(?:v ?)?[123](?: 0)?"),
-    ("apache", "apache", r"apache (?:software )?licen[cs]e", r"(?:1 [01]|2(?: 0)?)"),
-    ("mit", "mit", r"(?:the )?mit licen[cs]e", r"0"),
-    ("mit", "expat", r"expat licen[cs]e", r"0"),
-    ("bsd-2-clause", "bsd", r"(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd) licen[cs]e", r"2"),
-    ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|bsd 3 clause|3 clause bsd) licen[cs]e", r"3"),
-    ("bsd", "bsd", r"bsd(?: style)? licen[cs]e", r"[0234]"),
-    ("mpl", "mozilla", r"mozilla public licen[cs]e", r"(?:1 [01]|2(?: 0)?)"),
-    ("epl", "eclipse", r"eclipse public licen[cs]e", r"[12](?: 0)?"),
-    ("cddl", "cddl", r"cddl", r"1 [01]"),
-    ("cddl", "distribution", r"common development and distribution licen[cs]e", r"1 [01]"),
-    ("cpl", "common", r"common public licen[cs]e", r"1 0"),
-    ("eupl", "european", r"european union public licen[cs]e", r"1 [012]"),
-    ("isc", "isc", r"isc licen[cs]e", r"1"),
-    ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e", r"1"),
-    ("boost", "boost", r"boost software licen[cs]e", r"1 0"),
-    ("artistic", "artistic", r"artistic licen[cs]e", r"[12](?: 0)?"),
-    ("unlicense", "unlicense", r"unlicense", r"1"),
-    ("wtfpl", "wtfpl", r"wtfpl", r"[12]"),
-    ("ofl", "sil", r"sil open font licen[cs]e", r"1 [01]"),
-    ("odbl", "database", r"open (?:data commons open )?database licen[cs]e", r"1 0"),
-    ("osl", "open", r"open software licen[cs]e", r"[123] [01]"),
-    ("afl", "academic", r"academic free licen[cs]e", r"[123] [01]"),
-    ("psf", "python", r"python software foundation licen[cs]e", r"2"),
-    ("php", "php", r"php licen[cs]e", r"3(?: 0[01])?"),
-    ("ms-pl", "microsoft", r"microsoft public licen[cs]e", r"1"),
-    ("ms-rl", "microsoft", r"microsoft reciprocal licen[cs]e", r"1"),
-    ("cc0", "cc0", r"cc0", r"1 0"),
-    ("cc-by-nc-sa", "cc", r"cc by nc sa", r"[1234] [05]"),
-    ("cc-by-nc-nd", "cc", r"cc by nc nd", r"[1234] [05]"),
-    ("cc-by-nc", "cc", r"cc by nc", r"[1234] [05]"),
-    ("cc-by-sa", "cc", r"cc by sa", r"[1234] [05]"),
-    ("cc-by-nd", "cc", r"cc by nd", r"[1234] [05]"),
-    ("cc-by", "cc", r"cc by", r"[1234] [05]"),
-    ("cc-by-nc-sa", "creative", r"creative commons attribution non ?commercial share ?alike", r"[1234] [05]"),
-    ("cc-by-nc", "creative", r"creative commons attribution non ?commercial", r"[1234] [05]"),
-    ("cc-by-sa", "creative", r"creative commons attribution share ?alike", r"[1234] [05]"),
-    ("cc-by", "creative", r"creative commons attribution", r"[1234] [05]"),
-    ("public-domain", "domain", r"public domain", r"0"),
-]
-
-#: Forms of citation, most specific first: how sure it is, keywords, a regex around {name} and {version}.
-FORMS: list[tuple[float, str, str]] = [
-    (1.0, "spdx", r"spdx licen[cs]e identifier {name}(?: (?:v|version) ?{version}| {version})?"),
-    (0.95, "", r"(?:licen[cs]ed|released|distributed|published|available|dual licen[cs]ed) (?:under|by|with) (?:the )?(?:terms of (?:the )?)?{name} (?:(?:v|version) ?)?{version}"),
-    (0.9, "", r"(?:licen[cs]ed|released|distributed|published|available|dual licen[cs]ed) (?:under|by|with) (?:the )?(?:terms of (?:the )?)?{name}"),
-    (0.8, "", r"{name} (?:(?:v|version) ?)?{version}"),
-    (0.6, "", r"{name}"),
-]
-
 
 @cache
 def rules() -> list[tuple[float, str, frozenset[bytes], re.Pattern[bytes]]]:
-    """Every form of every name, in the order of priority: confidence, label, keywords, regex."""
+    """Every rule in the order of priority: confidence, label, keywords, regex."""
     made = []
-    for sure, key, form in FORMS:
-        for label, word, name, version in NAMES:
-            pattern = form.replace("{name}", f"(?:{name})").replace("{version}", f"(?:{version})")
-            made.append((sure, label, frozenset(x.encode() for x in (key, word) if x), re.compile(rf"(?<= ){pattern}(?= )".encode())))
+    for sure, lines in SECTIONS:
+        for line in lines.strip().splitlines():
+            label, keys, pattern = line.split(" | ")
+            made.append((sure, label, frozenset(k.encode() for k in keys.split()), re.compile(rf"(?<= )(?:{pattern.replace('{under}', UNDER)})(?= )".encode())))
     return made
 
 
@@ -107,29 +51,53 @@ def _keywords() -> frozenset[bytes]:
     return frozenset().union(*(r[2] for r in rules())) | {p.split()[0].encode() for p in BASE}
 
 
+def outermost(spans: list[tuple[int, int]]) -> list[int]:
+    """Which of the ranked spans (first and last, the highest first) lie within no higher one. In n log n steps.
+
+    A span within a dropped one lies within what dropped that, so all higher spans count.
+    """
+    ends = sorted({a for a, _ in spans})
+    place = {a: i + 1 for i, a in enumerate(ends)}
+    # The greatest last word of the higher spans that begin at a place or before it.
+    tree = [-1] * (len(ends) + 1)
+    kept = []
+    for k, (first, last) in enumerate(spans):
+        i, most = place[first], -1
+        while i:
+            most = max(most, tree[i])
+            i &= i - 1
+        if most < last:
+            kept.append(k)
+        i = place[first]
+        while i < len(tree):
+            tree[i] = max(tree[i], last)
+            i += i & -i
+    return kept
+
+
 def detect(found: list[bytes]) -> list[tuple[str, float, int, int, bool]]:
     """label, confidence, first and last word, whether a base phrase; ordered by place."""
     present = _keywords().intersection(found)
     if not present:
         return []
     line = b" " + b" ".join(found) + b" "
+    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    word = lambda at: int(np.searchsorted(spaces, at))
     out = []
     for phrase, label in BASE.items():
         p, at = f" {phrase} ".encode(), -1
         while (at := line.find(p, at + 1)) >= 0:
-            first = line.count(b" ", 0, at)
+            first = word(at)
             out.append((label, 0.6, first, first + phrase.count(" "), True))
     hits = []
     for order, (sure, label, keys, regex) in enumerate(rules()):
         if keys <= present:
             for m in regex.finditer(line):
-                first = line.count(b" ", 0, m.start()) - 1
-                hits.append((-sure, -(m.end() - m.start()), order, label, sure, first, first + m[0].count(b" ")))
-    taken: list[tuple[int, int]] = []
-    for *_, label, sure, first, last in sorted(hits):
-        if not any(a <= first and last <= b for a, b in taken):
-            taken.append((first, last))
-            out.append((label, sure, first, last, False))
+                hits.append((-sure, m.start() - m.end(), order, word(m.start()) - 1, word(m.end()) - 1, label))
+    hits.sort()
+    for k in outermost([h[3:5] for h in hits]):
+        sure, _, _, first, last, label = hits[k]
+        out.append((label, -sure, first, last, False))
     return sorted(out, key=lambda x: (x[2], x[3], x[0], x[4]))
 
 
@@ -153,6 +121,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": block["doc_id"].cast(pa.int64()), "n_words": pa.array(counts, pa.int64()), "detections": pa.array(rows, kind)}
             )
+        give_back()
 
     small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(scan, SCAN)

@@ -192,6 +192,26 @@ def test_licenses(docs, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_license_rules_and_what_they_suppress():
+    read = lambda t: [d[0] for d in licenses.detect(re.findall(rb"[a-z0-9]+", t.lower().encode())) if not d[4]]
+    assert read("SPDX-License-Identifier: GPL-2.0-or-later") == ["gpl-2.0-or-later"]
+    assert read("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.") == ["bsd"]
+    assert read("under the Apache License, Version 2.0, or the ISC license") == ["apache-2.0", "isc"]
+    assert read("an apache and a mit walk into a bar") == []
+    keys = [(k, p) for _, _, keys, p in licenses.rules() for k in keys]
+    assert len(licenses.rules()) > 300 and all(k in p.pattern for k, p in keys)
+    rng = random.Random(3)
+    for _ in range(200):
+        spans = [(a := rng.randrange(12), a + rng.randrange(6)) for _ in range(rng.randrange(14))]
+        kept = []
+        for k, (a, b) in enumerate(spans):
+            if not any(spans[j][0] <= a and b <= spans[j][1] for j in kept):
+                kept.append(k)
+        assert licenses.outermost(spans) == kept
+    # In step with the number of detections.
+    assert len(licenses.detect([b"mit", b"license", b"cc", b"by"] * 50_000)) == 200_000
+
+
 def test_bpe_round_trip(docs, empty):
     from tokenizers import Tokenizer
 
