@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenledger.functions import text as fn
-from lumenledger.operators import evaluation, graph, index, ledger, retrieval
+from lumenledger.operators import evaluation, graph, index, ledger, ranges, retrieval, store
 from lumenledger.sources.tables import table
 from lumenledger.streaming import outbox
 
@@ -62,7 +62,7 @@ b AS (SELECT doc_id, count(*) AS matched, sum(ln(1e0 + (n - df + 5e-1) / (df + 5
 
 @query(f"WITH {_bm25_sql(TERMS)} SELECT doc_id, round(score, 6) AS score, matched FROM b ORDER BY score DESC, doc_id LIMIT 20")
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    scored = index.bm25(table(spark, folder, "documents"), "doc_id", TERMS)
+    scored = store.bm25(store.current(spark, folder), "document", TERMS).withColumn("doc_id", F.col("key").cast("long"))
     return scored.select("doc_id", F.round("score", 6).alias("score"), "matched").orderBy(F.desc("score"), "doc_id").limit(20)
 
 
@@ -72,7 +72,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY tf DESC, dl, doc_i
 k AS (SELECT doc_id, min(struct_pack(turn := turn, term := term)) AS f FROM r GROUP BY doc_id)
 SELECT doc_id, f.turn AS turn, f.term AS term FROM k ORDER BY turn, term LIMIT 100""")
 def round_robin_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    p = index.postings(table(spark, folder, "documents"), "doc_id").where(F.col("term").isin("the", "license", "de"))
+    p = store.postings(store.current(spark, folder), "document", ["the", "license", "de"]).withColumn("doc_id", F.col("key").cast("long"))
     return index.round_robin(p, "doc_id", 100).withColumn("turn", F.col("turn").cast("long"))
 
 
@@ -107,10 +107,11 @@ def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(r"""WITH q AS (SELECT DISTINCT item_id, unnest(string_split(text, chr(10))) AS l FROM benchmark),
 d AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)
-SELECT item_id, doc_id, count(*) AS quoted FROM q JOIN d USING (l) WHERE length(l) >= 20 GROUP BY ALL""")
+SELECT item_id, doc_id, count(*) AS quoted FROM q JOIN d USING (l) WHERE trim(l) <> '' GROUP BY ALL""")
 def quote_support(spark: SparkSession, folder: str) -> DataFrame:
-    cut = lambda name, key: table(spark, folder, name).select(key, F.explode(F.split("text", "\n", -1)).alias("l")).where(F.length("l") >= 20).distinct()
-    return cut("benchmark", "item_id").join(cut("documents", "doc_id"), "l").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("quoted"))
+    cut = lambda name, key: table(spark, folder, name).select(F.col(key).alias("key"), F.split("text", "\n", -1).alias("lines"))
+    found = retrieval.quoted(cut("benchmark", "item_id"), cut("documents", "doc_id"))
+    return found.select(F.col("claim").alias("item_id"), F.col("source").alias("doc_id"), "quoted")
 
 
 @query(r"""SELECT p_partkey, regexp_replace(trim(regexp_replace(lower(p_name), '[^a-z0-9 _-]', '', 'g')), '[ _]+', '-', 'g') AS slug,
@@ -151,7 +152,8 @@ r AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) A
  UNION ALL SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS rank FROM c WHERE s > 0 QUALIFY rank <= 512)
 SELECT doc_id, round(sum(1e0 / (60 + rank)), 9) AS score, count(*) AS channels FROM r GROUP BY doc_id ORDER BY round(sum(1e0 / (60 + rank)), 9) DESC, doc_id LIMIT 512""")
 def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
-    lexical = retrieval.ranked(index.bm25(table(spark, folder, "documents"), "doc_id", TERMS), "doc_id", "lexical")
+    scored = store.bm25(store.current(spark, folder), "document", TERMS).withColumn("doc_id", F.col("key").cast("long"))
+    lexical = retrieval.ranked(scored, "doc_id", "lexical")
     vectors = table(spark, folder, "embeddings")
     asked = F.array(*(F.lit(float(x)) for x in vectors.where("vec_id = 0").select("embedding").first()[0]))
     near = vectors.select(F.col("vec_id").alias("doc_id"), index.cosine(F.col("embedding"), asked).alias("score")).where(F.round("score", 6) > 0)
@@ -319,9 +321,10 @@ def support_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.support(facts, facts.where("source_id < 30").select("source_id").distinct())
 
 
-@query("""SELECT user_id, sha256(array_to_string(list_sort(list(event_id::VARCHAR)), ',')) AS digest, count(*) AS events FROM events GROUP BY user_id""")
+@query("""WITH p AS (SELECT user_id, substr(sha256(event_id::VARCHAR), 1, 2) AS part, sha256(array_to_string(list_sort(list(event_id::VARCHAR)), ',')) AS d, count(*) AS n FROM events GROUP BY ALL)
+SELECT user_id, sha256(string_agg(d, ',' ORDER BY part)) AS digest, sum(n)::BIGINT AS members FROM p GROUP BY user_id""")
 def set_digests(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").groupBy("user_id").agg(ledger.set_digest(F.col("event_id")).alias("digest"), F.count(F.lit(1)).alias("events"))
+    return ledger.set_digests(table(spark, folder, "events"), "user_id", F.col("event_id"))
 
 
 @query("""WITH RECURSIVE o AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations),
@@ -332,7 +335,9 @@ def hash_chains(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.chain(table(spark, folder, "conversations"), "conv_id", "turn", F.sha2(F.col("text").cast("binary"), 256))
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n, sha256('00' || event_id) AS h FROM events
+ UNION ALL SELECT event_type, i // 2, (n + 1) // 2, sha256('01' || h || coalesce(b, h)) FROM (SELECT *, lead(h) OVER (PARTITION BY event_type ORDER BY i) AS b FROM r WHERE n > 1) WHERE i % 2 = 0)
+SELECT event_type, h AS root FROM r WHERE n = 1""")
 def merkle_roots(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.merkle_roots(table(spark, folder, "events"), "event_type", "event_id", F.col("event_id"))
 
@@ -352,11 +357,11 @@ k AS (SELECT j.*, coalesce(m.n, 0) AS returned FROM j LEFT JOIN (SELECT case_id,
 SELECT round(sum(found) / sum(expected), 6) AS recall, round(avg(CASE WHEN expected > 0 THEN coalesce(1e0 / best, 0) END), 6) AS mrr,
  avg(CASE WHEN expected = 0 THEN (returned = 0)::INT::DOUBLE END) AS abstention, sum(found) / sum(expected) >= 0.95 AS passed FROM k""")
 def eval_recall_mrr(spark: SparkSession, folder: str) -> DataFrame:
-    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
-    returned = cases = None
+    labels = table(spark, folder, "labels")
+    asked = [(term, term) for term, _ in _CASES]
+    returned = store.bm25_cases(store.current(spark, folder), "document", asked).select("case_id", F.col("key").cast("long").alias("doc_id"), "rank")
+    cases = None
     for term, column in _CASES:
-        one = retrieval.ranked(index.bm25(docs, "doc_id", [term]), "doc_id", term, most=50).withColumnRenamed("channel", "case_id")
-        returned = one if returned is None else returned.unionByName(one)
         wanted = labels.where(F.col(column) == 1) if column != "none" else spark.range(1).select(F.lit(None).cast("long").alias("doc_id"))
         wanted = wanted.select(F.lit(term).alias("case_id"), "doc_id")
         cases = wanted if cases is None else cases.unionByName(wanted)
@@ -367,9 +372,8 @@ def eval_recall_mrr(spark: SparkSession, folder: str) -> DataFrame:
 @query("""SELECT event_type, quantile_disc(value, 0.95) AS nearest, list_sort(list(value))[floor(0.95 * (count(value) - 1))::INT + 1] AS floored, quantile_disc(value, 0.5) AS middle
 FROM events WHERE value IS NOT NULL GROUP BY event_type""")
 def percentile_two_ways(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").where("value IS NOT NULL").groupBy("event_type").agg(
-        evaluation.nearest_rank("value", 0.95).alias("nearest"), evaluation.floor_index(F.col("value"), 0.95).alias("floored"), evaluation.nearest_rank("value", 0.5).alias("middle")
-    )
+    places = {"nearest": evaluation.nearest_place(0.95), "floored": evaluation.floor_place(0.95), "middle": evaluation.nearest_place(0.5)}
+    return ranges.order_statistics(table(spark, folder, "events"), "event_type", "value", places)
 
 
 @query("""SELECT event_type, round(avg(CASE WHEN event_id % 4 <> 0 THEN value END), 6) AS mean, count(CASE WHEN event_id % 4 <> 0 THEN value END) AS measured, count(*) AS total FROM events GROUP BY 1""")

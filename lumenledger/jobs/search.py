@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenledger.functions import text as fn
 from lumenledger.jobs.catalog import _LINES, TERMS, _bm25_sql, query
-from lumenledger.operators import index, retrieval
+from lumenledger.operators import index, retrieval, store
+from lumenledger.sources.shared import shared_folder
 from lumenledger.sources.tables import table
 
 ASKED = "license the de"
@@ -41,11 +44,7 @@ z AS (SELECT DISTINCT k.doc_id, k.s FROM k JOIN y ON y.doc_id = k.doc_id AND y.l
 SELECT k.doc_id, k.s AS start_line, k.e AS end_line, round(b.score + 3e-1 * coalesce(cos, 0) + 2e-1 * matched / 3e0 + CASE WHEN z.s IS NOT NULL THEN 2e-1 ELSE 0 END, 6) AS score
 FROM k JOIN b ON b.doc_id = k.doc_id AND b.s = k.s LEFT JOIN cs ON cs.id = k.doc_id || ':' || k.s LEFT JOIN z ON z.doc_id = k.doc_id AND z.s = k.s""")
 def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
-    first = F.regexp_extract("t", fn.TOKEN, 0)
-    heads = docs.select("path", F.posexplode(fn.lines(F.col("text"))).alias("at", "t")).select("path", (F.col("at") + 1).alias("start"), first.alias("name"))
-    symbols = heads.select("path", "start", F.col("start").alias("end"), "name", F.col("name").alias("qualified"))
-    found = retrieval.hybrid(index.chunks(docs), symbols, ASKED)
+    found = retrieval.hybrid(store.current(spark, folder), ASKED)
     return found.select(F.col("path").cast("long").alias("doc_id"), F.col("start_line").cast("long"), F.col("end_line").cast("long"), "score")
 
 
@@ -55,8 +54,9 @@ _RANKED = "SELECT doc_id, row_number() OVER (ORDER BY round(score, 6) DESC, doc_
 @query(f"""WITH o AS (SELECT * FROM (WITH {_bm25_sql(TERMS[:2])} {_RANKED})), n AS (SELECT * FROM (WITH {_bm25_sql(TERMS)} {_RANKED}))
 SELECT doc_id, o.rank AS before, n.rank AS after, o.rank - n.rank AS change FROM o FULL JOIN n USING (doc_id)""")
 def rank_changes(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    rank = lambda terms: retrieval.ranked(index.bm25(docs, "doc_id", terms), "doc_id", "lexical").withColumn("rank", F.col("rank").cast("long"))
+    held = store.current(spark, folder)
+    scored = lambda terms: store.bm25(held, "document", terms).withColumn("doc_id", F.col("key").cast("long"))
+    rank = lambda terms: retrieval.ranked(scored(terms), "doc_id", "lexical").withColumn("rank", F.col("rank").cast("long"))
     return retrieval.rank_changes(rank(TERMS[:2]), rank(TERMS), "doc_id")
 
 
@@ -79,9 +79,9 @@ def concept_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.coverage(retrieval.recognise(table(spark, folder, "documents"), aliases, "doc_id", 3), bound, "doc_id")
 
 
-@query(r"""WITH h AS (SELECT page_id, generate_subscripts(x, 1) - 1 AS place, unnest(x) AS h FROM (SELECT page_id, regexp_extract_all(html, '<h([1-6])[^>]*>([^<]*)<') AS x FROM pages)),
-s AS (SELECT page_id, place, regexp_extract(h, '<h([1-6])[^>]*>([^<]*)<', 1)::BIGINT AS level,
- regexp_replace(trim(regexp_replace(lower(regexp_extract(h, '<h([1-6])[^>]*>([^<]*)<', 2)), '[^a-z0-9 _-]', '', 'g')), '[ _]+', '-', 'g') AS slug FROM h)
+@query(r"""WITH h AS (SELECT page_id, generate_subscripts(x, 1) - 1 AS place, unnest(x) AS h FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>') AS x FROM pages)),
+s AS (SELECT page_id, place, regexp_extract(h, '(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>', 1)::BIGINT AS level,
+ regexp_replace(trim(regexp_replace(lower(regexp_replace(regexp_extract(h, '(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>', 2), '<[^>]*>', '', 'g')), '[^a-z0-9 _-]', '', 'g')), '[ _]+', '-', 'g') AS slug FROM h)
 SELECT page_id, place, level, CASE WHEN n = 1 THEN slug ELSE slug || '-' || n END AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY page_id, slug ORDER BY place) AS n FROM s)""")
 def page_headings(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.headings(table(spark, folder, "pages"), "page_id")
@@ -99,3 +99,29 @@ def context_assembly(spark: SparkSession, folder: str) -> DataFrame:
     kept = mixed.select("conv_id", retrieval.within_budget(F.col("items"), "cost", F.lit(600).cast("long")).alias("b"))
     taken = F.array_join(F.col("b.taken").cast("array<string>"), ",")
     return kept.select("conv_id", "b.used", taken.alias("taken"), (F.size("b.taken") == 0).alias("abstained"))
+
+
+@query(rf"""WITH d AS (SELECT doc_id, len({_WORDS}) AS dl, {_LINES} AS ln FROM documents),
+c AS (SELECT doc_id, ln, unnest(range(0, greatest(0, len(ln) - 17) + 1, 64)) AS a FROM d WHERE len(ln) > 0),
+k AS (SELECT len(regexp_extract_all(array_to_string(ln[a + 1:a + 80], chr(10)), '[A-Za-z0-9_]+')) AS dl FROM c)
+SELECT 'document' AS unit, count(*) AS n, round(greatest(1e0, avg(dl)), 6) AS mean FROM d UNION ALL SELECT 'chunk', count(*), round(greatest(1e0, avg(dl)), 6) FROM k""")
+def index_build(spark: SparkSession, folder: str) -> DataFrame:
+    figures = store.current(spark, folder)._read("figures")
+    return figures.select("unit", "n", F.round("mean", 6).alias("mean"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_WORDS} AS t FROM documents WHERE doc_id % 11 <> 1),
+p AS (SELECT unnest(t) AS term, doc_id FROM t)
+SELECT CASE WHEN doc_id % 11 = 0 THEN 'added' WHEN doc_id % 11 = 1 THEN 'removed' WHEN doc_id % 11 = 2 THEN 'changed' ELSE 'same' END AS change, count(*) AS sources,
+ (SELECT count(*) FROM (SELECT DISTINCT term, doc_id FROM p)) AS postings FROM documents GROUP BY 1""")
+def index_update(spark: SparkSession, folder: str) -> DataFrame:
+    now = store.documents(spark, folder)
+    at = F.pmod(F.col("path").cast("long"), F.lit(11))
+    # Before: some documents are still to come, some to go, and some had a line more.
+    old = now.where(at != 0).withColumn("text", F.when(at == 2, F.concat(F.coalesce("text", F.lit("")), F.lit("\nan older line"))).otherwise(F.col("text")))
+    new = now.where(at != 1)
+    folder = f"{shared_folder(spark)}/generations-{uuid.uuid4().hex}"
+    before = store.build(old, f"{folder}/1")
+    after = store.update(before, new, f"{folder}/2")
+    many = after.postings.where("unit = 'document' AND term IS NOT NULL").agg(F.count(F.lit(1)).alias("postings"))
+    return store.changes(before, new).groupBy("change").agg(F.count(F.lit(1)).alias("sources")).crossJoin(F.broadcast(many))

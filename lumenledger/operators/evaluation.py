@@ -29,16 +29,26 @@ def summary(cases: DataFrame, threshold: float = 0.95) -> DataFrame:
 
 
 def nearest_rank(value: str, p: float) -> Column:
-    """Aggregate: the value at rank ceil(p n)."""
+    """Aggregate: the value at rank ceil(p n). For groups whose distinct values fit a task, else ranges.order_statistics."""
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
 
 
 def floor_index(value: Column, p: float) -> Column:
-    """Aggregate: the value at 0-based place floor(p (n - 1)). For groups whose values fit a task."""
+    """Aggregate: the value at 0-based place floor(p (n - 1)). For groups whose values fit a task, else ranges.order_statistics."""
     sorted_ = F.sort_array(F.collect_list(value))
     return F.element_at(sorted_, F.floor(F.lit(p) * (F.size(sorted_) - 1)).cast("int") + 1)
 
 
+def nearest_place(p: float) -> Column:
+    """The 0-based place of rank ceil(p n) of n values, for ranges.order_statistics."""
+    return F.greatest(F.ceil(F.lit(p) * F.col("n")) - 1, F.lit(0))
+
+
+def floor_place(p: float) -> Column:
+    """The 0-based place floor(p (n - 1)) of n values, for ranges.order_statistics."""
+    return F.floor(F.lit(p) * (F.col("n") - 1))
+
+
 def masked_mean(value: Column) -> list[Column]:
     """Aggregates: mean over measured rows, how many those are, and all rows."""
     return [F.avg(value).alias("mean"), F.count(value).alias("measured"), F.count(F.lit(1)).alias("total")]

@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenledger.functions.text import short_name
+from lumenledger.sources.shared import checkpoint as cut_lineage
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A copy in the shared folder, so loops neither grow their plans nor depend on an executor."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+#: Rows of a frontier that are sent to every executor, at most; a larger one is joined by a shuffle.
+FRONTIER = 200_000
 
 
 def resolve(edges: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -27,15 +21,13 @@ def resolve(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """
     by_name = symbols.groupBy(F.col("qualified").alias("q")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
     by_short = symbols.groupBy(F.col("name").alias("s")).agg(F.count(F.lit(1)).alias("ns"), F.min("id").alias("ids"))
-    keyed = edges.withColumn("edge", F.xxhash64("source", "scope", "target"))
-    exact = keyed.join(by_name, F.col("target") == F.col("q"), "left").drop("q")
+    exact = edges.join(by_name, F.col("target") == F.col("q"), "left").drop("q")
     parts = F.split("scope", r"\.")
-    tried = keyed.where(~F.contains("target", F.lit("."))).select(
-        "edge", "target", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth"), parts.alias("parts")
-    )
-    tried = tried.select("edge", "depth", F.concat_ws(".", F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "."), F.col("target")).alias("q")).distinct()
-    scoped = tried.join(by_name, "q").groupBy("edge").agg(F.max_by(F.struct(F.col("n").alias("nl"), F.col("id").alias("idl")), "depth").alias("l"))
-    found = exact.join(scoped.select("edge", "l.nl", "l.idl"), "edge", "left")
+    tried = edges.where(~F.contains("target", F.lit("."))).select("scope", "target").distinct()
+    tried = tried.select("scope", "target", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth"), parts.alias("parts"))
+    tried = tried.select("scope", "target", "depth", F.concat_ws(".", F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "."), F.col("target")).alias("q"))
+    scoped = tried.join(by_name, "q").groupBy("scope", "target").agg(F.max_by(F.struct(F.col("n").alias("nl"), F.col("id").alias("idl")), "depth").alias("l"))
+    found = exact.join(scoped.select("scope", "target", "l.nl", "l.idl"), ["scope", "target"], "left")
     found = found.join(by_short, short_name(F.col("target")) == F.col("s"), "left").drop("s")
     status = (
         F.when(F.col("n") == 1, "exact_qualified").when(F.col("n") > 1, "ambiguous").when(F.col("nl") == 1, "lexical_scope").when(F.col("nl") > 1, "ambiguous")
@@ -63,50 +55,62 @@ def distances(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
 
     Each round joins the frontier only, drops what was reached, and leaves its rows in the shared folder.
     """
+    edges = cut_lineage(edges.select("a", "b").distinct())
     seen = cut_lineage(start.select("node", F.lit(0).alias("hops"), F.lit(None).cast(start.schema["node"].dataType).alias("via")))
     frontier = seen
     for hop in range(1, most + 1):
+        size = frontier.count()
+        if not size:
+            break
+        at = frontier.select(F.col("node").alias("a"))
         step = (
-            edges.join(frontier.select(F.col("node").alias("a")), "a")
+            edges.join(F.broadcast(at) if size <= FRONTIER else at, "a")
             .groupBy(F.col("b").alias("node"))
             .agg(F.min("a").alias("via"))
             .join(seen.select("node"), "node", "left_anti")
             .select("node", F.lit(hop).alias("hops"), "via")
         )
         frontier = cut_lineage(step)
-        if frontier.isEmpty():
-            break
         seen = seen.unionByName(frontier)
     return seen
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the least node of each undirected component of edges (a, b)."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    root = cut_lineage(both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")))
-    both = cut_lineage(both)
+    """node, root: the least node of each undirected component of edges (a, b).
+
+    Alternates large-star and small-star until no edge moves. Minima of neighbours are summed
+    up before each shuffle, so a hub is one row in them.
+    """
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    at = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    state = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = state(at)
+    while before[0]:
+        both = at.union(at.select("v", "u"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        stars = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        at = cut_lineage(stars.where("u <> v").distinct())
+        now = state(at)
+        if now == before:
+            break
+        before = now
+    return nodes.join(at.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def peel_order(edges: DataFrame) -> DataFrame:
+    """node, layer: nodes of edges (a before b) by rounds in which nothing precedes them; nodes on or behind a cycle have a null layer."""
+    left = cut_lineage(edges.select("a", "b").distinct())
+    nodes = cut_lineage(left.select(F.col("a").alias("node")).union(left.select("b")).distinct())
+    done, layer = None, 0
     while True:
-        low = both.join(root.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("low"))
-        new = root.join(low, root["node"] == low["a"]).select("node", F.least("root", "low").alias("new"), "root")
-        # Short cut: the root of the root.
-        up = new.select(F.col("node").alias("new"), F.col("new").alias("up"))
-        new = cut_lineage(new.join(up, "new", "left").select("node", F.least("new", F.coalesce("up", "new")).alias("next"), "root"))
-        moved = new.where("next <> root").limit(1).count()
-        root = new.select("node", F.col("next").alias("root"))
-        if not moved:
-            return root
-
-
-def peel_order(edges: DataFrame, most: int = 1000) -> DataFrame:
-    """node, layer: nodes of edges (a before b) by rounds in which nothing precedes them; nodes of cycles have no row."""
-    left = edges.select("a", "b").distinct()
-    nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
-    done = None
-    for layer in range(most):
         free = cut_lineage(nodes.join(left.select(F.col("b").alias("node")), "node", "left_anti").withColumn("layer", F.lit(layer)))
         if free.isEmpty():
             break
         done = free if done is None else done.unionByName(free)
         nodes = cut_lineage(nodes.join(free, "node", "left_anti"))
         left = cut_lineage(left.join(free.select(F.col("node").alias("a")), "a", "left_anti"))
-    return done if done is not None else nodes.withColumn("layer", F.lit(0)).limit(0)
+        layer += 1
+    stuck = nodes.withColumn("layer", F.lit(None).cast("int"))
+    return stuck if done is None else done.unionByName(stuck)

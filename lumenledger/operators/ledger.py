@@ -41,19 +41,59 @@ def sequence_errors(rows: DataFrame, key: str, sequence: str, clock: str) -> Dat
     return checked.groupBy(key).agg(F.sum("gap").alias("gaps"), F.sum("back").alias("backward"))
 
 
-def set_digest(value: Column) -> Column:
-    """Aggregate: SHA-256 over the sorted values, joined by commas."""
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(value.cast("string"))), ",").cast("binary"), 256)
+#: Parts of a set that are digested apart. A fixed value, as digests depend on it.
+SET_PARTS = 256
+
+
+def set_digests(rows: DataFrame, key: str, value: Column) -> DataFrame:
+    """key, digest, members: a digest of each key's values as a multiset.
+
+    A value belongs to the part that the first two hex digits of its SHA-256 name. A part's digest
+    is SHA-256 over its sorted values, joined by commas; the set's is SHA-256 over its parts' digests in
+    the order of the parts. So a large set meets in one task by one of SET_PARTS parts at a time.
+    """
+    text = value.cast("string")
+    each = rows.select(key, text.alias("v"), F.substring(F.sha2(text.cast("binary"), 256), 1, 2).alias("part"))
+    digest = lambda x: F.sha2(F.array_join(x, ",").cast("binary"), 256)
+    parts = each.groupBy(key, "part").agg(digest(F.array_sort(F.collect_list("v"))).alias("d"), F.count("v").alias("n"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"])
+    return parts.groupBy(key).agg(digest(ordered).alias("digest"), F.sum("n").alias("members"))
 
 
 def chain(rows: DataFrame, key: str, sequence: str, payload: Column) -> DataFrame:
     """key, links, digest: the last digest of each key's chain, in which each link hashes the one before it.
 
-    A chain is sequential by nature; a key's own records are folded in one task, keys in parallel.
+    A chain is sequential by nature. Keys go in parallel, and a task folds sorted rows as they
+    come, so it holds one link at a time however long the chain is.
     """
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(sequence).alias("s"), payload.cast("string").alias("p")))).alias("x"))
-    link = lambda d, x: F.sha2(F.concat_ws("|", d, x["s"].cast("string"), x["p"]).cast("binary"), 256)
-    return listed.select(key, F.size("x").cast("long").alias("links"), F.aggregate("x", F.lit(""), link).alias("digest"))
+    import hashlib
+
+    import pyarrow as pa
+
+    kind = rows.schema[key].dataType.simpleString()
+    listed = rows.select(F.col(key).alias("k"), F.col(sequence).cast("string").alias("s"), payload.cast("string").alias("p"), F.col(sequence).alias("at"))
+    listed = listed.repartition("k").sortWithinPartitions("k", "at", "p").select("k", "s", "p")
+
+    def fold(batches):
+        now, links, digest, started = None, 0, "", False
+        for batch in batches:
+            out = []
+            for k, s, p in zip(*(batch[c].to_pylist() for c in ("k", "s", "p")), strict=True):
+                if not started or k != now:
+                    if started:
+                        out.append({"k": now, "links": links, "digest": digest})
+                    now, links, digest, started = k, 0, "", True
+                digest = hashlib.sha256("|".join(x for x in (digest, s, p) if x is not None).encode()).hexdigest()
+                links += 1
+            yield pa.RecordBatch.from_pylist(out, schema)
+        if started:
+            yield pa.RecordBatch.from_pylist([{"k": now, "links": links, "digest": digest}], schema)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spec = rows.select(F.col(key).alias("k"), F.lit(0).cast("long").alias("links"), F.lit("").alias("digest")).schema
+    schema = to_arrow_schema(spec)
+    return listed.mapInArrow(fold, f"k {kind}, links long, digest string").withColumnRenamed("k", key)
 
 
 def broken_links(log: DataFrame, key: str, sequence: str) -> DataFrame:
@@ -62,27 +102,28 @@ def broken_links(log: DataFrame, key: str, sequence: str) -> DataFrame:
     return log.withColumn("before", F.coalesce(F.lag("digest").over(order), F.lit(""))).where(~F.col("previous_digest").eqNullSafe(F.col("before"))).drop("before")
 
 
-def merkle_roots(leaves: DataFrame, key: str, order: str, leaf: Column, most_rounds: int = 64) -> DataFrame:
+def merkle_roots(leaves: DataFrame, key: str, order: str, leaf: Column) -> DataFrame:
     """key, root: Merkle roots over ordered leaves; an odd node pairs with itself.
 
-    Each round halves the nodes by grouping neighbours, so no key's leaves meet in one task
-    before they are few.
+    Leaves are numbered by ranges, and each round halves the nodes by grouping neighbours, so no
+    key's leaves meet in one task.
     """
-    from lumenledger.operators.graph import cut_lineage
-
-    at = Window.partitionBy(key).orderBy(order)
-    level = leaves.select(key, (F.row_number().over(at) - 1).cast("long").alias("i"), F.sha2(F.concat(F.lit("00"), leaf.cast("string")).cast("binary"), 256).alias("h"))
-    level = cut_lineage(level)
-    for _ in range(most_rounds):
-        if (level.agg(F.max("i")).first()[0] or 0) == 0:
-            break
+    from lumenledger.operators.ranges import numbered
+    from lumenledger.sources.shared import checkpoint
+
+    hashed = leaves.select(key, order, F.sha2(F.concat(F.lit("00"), leaf.cast("string")).cast("binary"), 256).alias("h"))
+    level = checkpoint(numbered(hashed, key, order).select(key, "i", "h"))
+    size = checkpoint(level.groupBy(key).agg((F.max("i") + 1).alias("n")))
+    most = size.agg(F.max("n")).first()[0] or 1
+    while most > 1:
         # Keys that are down to one node keep it.
-        size = level.groupBy(key).agg(F.max("i").alias("last"))
         level = level.join(size, key)
-        done = level.where("last = 0").select(key, "i", "h")
-        pairs = level.where("last > 0").groupBy(key, F.floor(F.col("i") / 2).cast("long").alias("i")).agg(F.array_sort(F.collect_list(F.struct(F.col("i").alias("j"), "h"))).alias("x"))
-        joined = F.concat(F.lit("01"), F.element_at("x", 1)["h"], F.element_at("x", -1)["h"])
-        level = cut_lineage(pairs.select(key, "i", F.sha2(joined.cast("binary"), 256).alias("h")).unionByName(done))
+        pair = F.when(F.col("n") > 1, F.floor(F.col("i") / 2)).otherwise(F.col("i")).cast("long")
+        two = level.groupBy(key, pair.alias("i")).agg(F.min_by("h", "i").alias("a"), F.max_by("h", "i").alias("b"), F.max("n").alias("n"))
+        joined = F.sha2(F.concat(F.lit("01"), "a", "b").cast("binary"), 256)
+        level = checkpoint(two.select(key, "i", F.when(F.col("n") > 1, joined).otherwise(F.col("a")).alias("h")))
+        size = size.select(key, F.when(F.col("n") > 1, F.ceil(F.col("n") / 2)).otherwise(F.col("n")).cast("long").alias("n"))
+        most = (most + 1) // 2
     return level.select(key, F.col("h").alias("root"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenledger.functions.text import TOKEN
-from lumenledger.operators import index
+from lumenledger.operators import index, store
 
 RRF_K, MOST = 60, 512
 #: Bytes of aliases, with a row's overhead for each, up to which they are broadcast.
@@ -31,9 +31,22 @@ def fuse(channels: list[DataFrame], key: str, most: int = MOST, k: int = RRF_K)
     return fused.orderBy(F.desc(F.round("score", 9)), key).limit(most)
 
 
+#: Lines of a bucket in which ranges of a path meet.
+BUCKET = 64
+
+
 def overlapping(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs of line ranges of the same path that share a line; b's columns are start and end."""
-    return a.join(b, on).where((F.col("start_line") <= F.col("end")) & (F.col("start") <= F.col("end_line")))
+    """Pairs of line ranges of the same path that share a line; b's columns are start and end.
+
+    Ranges meet in the buckets of lines that they touch, so a long text's are not all paired. A
+    pair is taken in the first bucket that both touch. A range that ends before it starts is empty.
+    """
+    at = lambda c: F.floor(F.col(c) / BUCKET)
+    left = a.where("start_line <= end_line").withColumn("bucket", F.explode(F.sequence(at("start_line"), at("end_line"))))
+    right = b.where("start <= `end`").withColumn("bucket", F.explode(F.sequence(at("start"), at("end"))))
+    both = left.join(right, [*on, "bucket"])
+    first = F.col("bucket") == F.greatest(at("start_line"), at("start"))
+    return both.where((F.col("start_line") <= F.col("end")) & (F.col("start") <= F.col("end_line")) & first).drop("bucket")
 
 
 def within_budget(items: Column, cost: str, budget: Column) -> Column:
@@ -63,35 +76,43 @@ def symbol_lookup(symbols: DataFrame, query: str) -> DataFrame:
     return symbols.withColumn("rank", rank.cast("long")).where("rank IS NOT NULL")
 
 
-def hybrid(chunks: DataFrame, symbols: DataFrame, query: str, most: int = MOST) -> DataFrame:
+def hybrid(held: store.Generation, query: str, most: int = MOST) -> DataFrame:
     """pointer, path, start_line, end_line, score: candidates by BM25, cosine of int8 vectors, overlap and symbols.
 
-    At most `most` candidates are taken, each query term's best postings in turn. Only they
-    get vectors. symbols: path, start, end, name, qualified; chunks: path, start_line,
-    end_line, text.
+    held is a stored index. At most `most` candidates are taken, each query term's best postings
+    in turn. Only they get vectors, from the stored texts of their chunks.
     """
     terms = sorted({t.lower() for t in re.findall(TOKEN, query)})
     asked = query.strip().lower()
-    keyed = chunks.withColumn("pointer", F.concat(F.col("path"), F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string")))
-    n, mean = index.corpus_size(chunks)
-    posting = index.postings(keyed, "pointer", terms=terms)
+    posting = store.postings(held, "chunk", terms).withColumnRenamed("key", "pointer")
     # `most` rows bound what is broadcast, here and below.
     picked = F.broadcast(index.round_robin(posting, "pointer", most).select("pointer"))
-    taken = keyed.join(picked, "pointer", "left_semi")
-    wanted = index.hashed_vector(chunks.sparkSession.createDataFrame([(0, query)], "id int, text string"), "id").select("idx", F.col("weight").alias("q"))
-    held = index.hashed_vector(taken, "pointer").select("pointer", "idx", (index.quantized(F.array("weight"))[0] / 127.0).alias("w"))
-    near = held.join(F.broadcast(wanted), "idx").groupBy("pointer").agg(F.sum(F.col("q") * F.col("w")).alias("cos"))
-    named = symbols.where((F.lower("name") == asked) | (F.lower("qualified") == asked) | F.lower("name").isin(terms)).select("path", "start", "end")
-    lexical = index.weighed(posting, n, mean).join(picked, "pointer", "left_semi").groupBy("pointer").agg(F.sum("weight").alias("bm25"), F.count(F.lit(1)).alias("matched"))
+    taken = held.chunks.join(picked, "pointer", "left_semi")
+    wanted = index.hashed_vector(held.chunks.sparkSession.createDataFrame([(0, query)], "id int, text string"), "id").select("idx", F.col("weight").alias("q"))
+    vectors = index.hashed_vector(taken, "pointer").select("pointer", "idx", (index.quantized(F.array("weight"))[0] / 127.0).alias("w"))
+    near = vectors.join(F.broadcast(wanted), "idx").groupBy("pointer").agg(F.sum(F.col("q") * F.col("w")).alias("cos"))
+    named = held.symbols.where((F.lower("name") == asked) | (F.lower("qualified") == asked) | F.lower("name").isin(terms)).select("path", "start", "end")
+    lexical = index.weighed(posting, *held.size("chunk")).join(picked, "pointer", "left_semi").groupBy("pointer").agg(F.sum("weight").alias("bm25"), F.count(F.lit(1)).alias("matched"))
     # A pointer tells its place, so the texts aren't read for it again.
     part = lambda i: F.regexp_extract("pointer", r"(?s)^(.*):(\d+)-(\d+)$", i)
     places = lexical.select("*", part(1).alias("path"), part(2).cast("int").alias("start_line"), part(3).cast("int").alias("end_line"))
-    boosted = overlapping(named, F.broadcast(places), ["path"]).select("pointer").distinct().withColumn("boost", F.lit(0.2))
+    boosted = overlapping(F.broadcast(places), named, ["path"]).select("pointer").distinct().withColumn("boost", F.lit(0.2))
     every = places.join(near, "pointer", "left").join(boosted, "pointer", "left")
     score = F.col("bm25") + 0.3 * F.coalesce("cos", F.lit(0.0)) + 0.2 * F.col("matched") / len(terms) + F.coalesce("boost", F.lit(0.0))
     return every.select("pointer", "path", "start_line", "end_line", F.round(score, 6).alias("score"))
 
 
+def quoted(claims: DataFrame, sources: DataFrame) -> DataFrame:
+    """claim, source, quoted: how many distinct lines that aren't blank a claim and a source share. Both have key and lines.
+
+    Each side is cut to the lines that the other has too before lines meet.
+    """
+    cut = lambda df, name: df.select(F.col("key").alias(name), F.explode("lines").alias("l")).where(F.trim("l") != "").distinct()
+    asked = cut(claims, "claim").groupBy("l").agg(F.collect_list("claim").alias("claims"))
+    met = cut(sources, "source").join(asked, "l").select("source", F.explode("claims").alias("claim"))
+    return met.groupBy("claim", "source").agg(F.count(F.lit(1)).alias("quoted"))
+
+
 def rank_changes(baseline: DataFrame, shadow: DataFrame, key: str) -> DataFrame:
     """key, before, after, change of every row that either ranking has; null where one lacks it."""
     both = baseline.select(key, F.col("rank").alias("before")).join(shadow.select(key, F.col("rank").alias("after")), key, "full")
@@ -131,12 +152,12 @@ def coverage(recognised: DataFrame, bound: DataFrame, key: str) -> DataFrame:
 
 
 def headings(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """key, place, level, anchor: headings in page order; a page's further headings of one name get -2, -3 and so on."""
+    """key, place, level, anchor: headings in page order, by their text without inner tags; a page's further headings of one name get -2, -3 and so on."""
     from lumenledger.functions.text import slug
 
-    pattern = "<h([1-6])[^>]*>([^<]*)<"
+    pattern = "(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>"
     found = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(pattern), F.lit(0))).alias("place", "h"))
-    found = found.select(key, "place", F.regexp_extract("h", pattern, 1).cast("long").alias("level"), slug(F.regexp_extract("h", pattern, 2)).alias("slug"))
+    found = found.select(key, "place", F.regexp_extract("h", pattern, 1).cast("long").alias("level"), slug(F.regexp_replace(F.regexp_extract("h", pattern, 2), "<[^>]*>", "")).alias("slug"))
     nth = F.row_number().over(Window.partitionBy(key, "slug").orderBy("place"))
     anchor = F.when(nth == 1, F.col("slug")).otherwise(F.concat_ws("-", F.col("slug"), nth.cast("string")))
     return found.select(key, F.col("place").cast("long").alias("place"), "level", anchor.alias("anchor"))

@@ -7,20 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
+from lumenledger.sources.shared import shared_folder
 
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Everything that a stream has now, written by micro-batches to the shared folder and read back."""
-    folder = f"{shared(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
     query = (
         stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
         .trigger(availableNow=True).start()

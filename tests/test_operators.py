@@ -72,7 +72,9 @@ def test_components_and_orders(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (2, 1), (9, 8)], "a long, b long")
     assert {r.node: r.root for r in graph.components(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8}
     cyclic = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (1, 4)], "a long, b long")
-    assert {r.node: r.layer for r in graph.peel_order(cyclic).collect()} == {1: 0, 4: 1}
+    assert {r.node: r.layer for r in graph.peel_order(cyclic).collect()} == {1: 0, 4: 1, 2: None, 3: None}
+    deep = spark.createDataFrame([(i, i + 1) for i in range(5)], "a long, b long")
+    assert {r.node: r.layer for r in graph.peel_order(deep).collect()} == {i: i for i in range(6)}
 
 
 def test_closure_is_cancelled_by_a_blocker(spark):
@@ -153,11 +155,53 @@ def test_tombstones_cut_relations_both_ways(spark):
     assert rows == [(1, "a", 1.0, None), (2, "evidence", None, None), (3, "b", 3.0, None)]
 
 
-def test_hybrid_search_of_no_hit_and_of_a_symbol(spark):
-    chunks = spark.createDataFrame([("x:y", 1, 2, "alpha beta\nbeta"), ("z", 1, 1, "gamma"), ("w", 1, 1, "beta gamma")], "path string, start_line int, end_line int, text string")
-    symbols = spark.createDataFrame([("x:y", 2, 2, "Beta", "m.Beta")], "path string, start int, end int, name string, qualified string")
-    assert retrieval.hybrid(chunks, symbols, "delta").count() == 0
-    plain = {r.path: r.score for r in retrieval.hybrid(chunks, symbols.limit(0), "beta").collect()}
-    boosted = {r.path: r.score for r in retrieval.hybrid(chunks, symbols, "beta").collect()}
-    assert set(plain) == {"x:y", "w"}
-    assert boosted["w"] == plain["w"] and abs(boosted["x:y"] - plain["x:y"] - 0.2) < 1e-5
+def held(spark, tmp_path, **texts):
+    from lumenledger.operators import store
+
+    return store.build(spark.createDataFrame(list(texts.items()), "path string, text string"), str(tmp_path / "g"))
+
+
+def test_hybrid_search_of_no_hit_and_of_a_symbol(spark, tmp_path):
+    made = held(spark, tmp_path, xy="alpha beta\nbeta", z="gamma", w="delta beta gamma")
+    assert retrieval.hybrid(made, "omega").count() == 0
+    found = {r.path: r.score for r in retrieval.hybrid(made, "beta").collect()}
+    assert set(found) == {"xy", "w"}
+    made.__dict__["symbols"] = made.symbols.limit(0)
+    plain = {r.path: r.score for r in retrieval.hybrid(made, "beta").collect()}
+    assert found["w"] == plain["w"] and abs(found["xy"] - plain["xy"] - 0.2) < 1e-5
+
+
+def test_an_updated_index_is_what_a_new_one_would_be(spark, tmp_path):
+    from lumenledger.operators import store
+
+    rows = lambda **t: spark.createDataFrame(list(t.items()), "path string, text string")
+    before = store.build(rows(a="one two", b="three", c="four", e=None), str(tmp_path / "1"))
+    now = rows(a="one two", b="three five", d="six\nseven", e="")
+    assert {r.path: r.change for r in store.changes(before, now).collect()} == {"a": "same", "b": "changed", "c": "removed", "d": "added", "e": "same"}
+    after, new = store.update(before, now, str(tmp_path / "2")), store.build(now, str(tmp_path / "3"))
+    for name in ("sources", "chunks", "symbols", "postings"):
+        one, other = getattr(after, name), getattr(new, name)
+        assert sorted(map(str, one.select(other.columns).collect())) == sorted(map(str, other.collect()))
+    assert after.figures == new.figures and after.figures["document"][0] == 4
+
+
+def test_overlaps_are_found_once(spark):
+    a = spark.createDataFrame([("p", 1, 200), ("p", 150, 151), ("q", 1, 5)], "path string, start_line int, end_line int")
+    b = spark.createDataFrame([("p", 60, 150), ("p", 201, 300), ("q", 9, 3)], "path string, start int, end int")
+    assert sorted((r.start_line, r.start) for r in retrieval.overlapping(a, b, ["path"]).collect()) == [(1, 60), (150, 60)]
+
+
+def test_places_in_large_groups(spark):
+    from lumenledger.operators import ranges
+
+    rows = spark.createDataFrame([("a", (i * 7) % 100, float(i % 10)) for i in range(100)] + [("b", 1, 5.0), ("b", 2, None)], "k string, o int, v double")
+    got = {(r.k, r.o): r.i for r in ranges.numbered(rows, "k", "o").collect()}
+    assert all(got["a", o] == o for o in range(100)) and (got["b", 1], got["b", 2]) == (0, 1)
+    places = {"floored": evaluation.floor_place(0.95), "nearest": evaluation.nearest_place(0.5)}
+    found = {r.k: (r.floored, r.nearest) for r in ranges.order_statistics(rows, "k", "v", places).collect()}
+    assert found == {"a": (9.0, 4.0), "b": (5.0, 5.0)}
+
+
+def test_headings_keep_the_text_of_inner_tags(spark):
+    pages = spark.createDataFrame([(1, "<H1 class=x><a href='#'>Name</a> <b>two</b></H1><p>x</p><h2>Name two</h2>")], "page_id long, html string")
+    assert [(r.level, r.anchor) for r in retrieval.headings(pages, "page_id").orderBy("place").collect()] == [(1, "name-two"), (2, "name-two-2")]
