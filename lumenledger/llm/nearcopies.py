@@ -4,18 +4,20 @@ SimHash fingerprints of five-word shingles are linked by BK-trees first (see sim
 these links is confirmed by comparing the two shingle sets. How far two fingerprints lie apart
 does not bound the similarity of their texts, so no radius finds every pair. Prefix filtering
 finds the rest: under any one order of all shingles, two sets with a similarity of 4/5 or more
-share one of the first ``n - ceil(4n/5) + 1`` shingles of each. Shingles that a sample of
-documents shows to be frequent come last in that order, so boilerplate rarely stands in a prefix.
+share one of the first ``n - ceil(4n/5) + 1`` shingles of each. Shingles that a fixed share of the
+documents shows to be frequent come last in that order, so shared passages and boilerplate rarely
+stand in a prefix. Which are frequent is told by a Bloom filter, as any one order will do.
 
-A group of near copies is not expanded into its pairs. In the first rounds every shingle's
-prefixes are compared with one of their own, the round's leader, and SimHash's links are
-compared too. What that joins is one component. In the last round only shingles whose prefixes
-still belong to several components are expanded, into pairs of different components. Links
-inside a component could change nothing, so the components are those of all links.
+A group of near copies is not expanded into its pairs. First every shingle's prefixes are
+compared with a few of their own, the leaders, and SimHash's links are compared too. What that
+joins is one component. Then only shingles whose prefixes still belong to several components
+are looked at again: tasks compare the bitmaps of their classes in blocks, and pass on the pairs of
+different components that may be alike. Links inside a component could change nothing, so the
+components are those of all links.
 
-Before two sets are compared, their bitmaps are: each shingle toggles one of ``BITS`` bits, so two
-bitmaps differ in no more bits than the sets differ in shingles. A pair whose bitmaps differ in
-more than 4/5 allows is done with; only the others fetch their whole sets.
+A bitmap has ``BITS`` bits, of which each shingle toggles one, so two bitmaps differ in no more bits
+than the sets differ in shingles. A pair whose bitmaps differ in more than 4/5 allows is done
+with; only the others fetch their whole sets.
 
 Words are those of simhash. Fewer than ``SHINGLE`` words are one shingle; texts without a
 word, so also null and the empty text, have the empty set and are alike. A shingle stands for
@@ -33,18 +35,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenledger.llm.arrowtext import blocks, checkpoint, give_back, join_keys, small_batches, texts
+from lumenledger.llm.arrowtext import blocks, checkpoint, give_back, join_keys, partitions, small_batches, texts
 from lumenledger.llm.simhash import _LOWER, components, fingerprints, link
 
 SHINGLE = 5
-#: Documents in the sample that tells frequent shingles, about, and how many of those are kept.
-SAMPLE, FREQUENT = 8_000, 100_000
+#: One document of so many tells which shingles are frequent: those that two of these hold.
+EVERY = 8
+#: Bits of the filter of frequent shingles for each of them, and in all at most.
+BLOOM_BITS, MOST_BLOOM = 16, 1 << 28
 #: Ids of documents that are sent to every executor, at most; more are joined by a shuffle.
 BROADCAST = 500_000
-#: Rounds of leaders before classes of different components are paired.
-ROUNDS = 2
 #: Bits of a set's bitmap.
 BITS = 2048
+#: Leaders of a shingle's prefixes.
+LEADERS = 4
+#: Classes of one shingle in a block of comparisons, and rows in a task of them, about.
+BLOCK, SHARD = 1000, 50_000
 _FACTORS = np.random.default_rng(5).integers(1 << 62, 1 << 63, SHINGLE, np.uint64) | np.uint64(1)
 
 
@@ -66,19 +72,40 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(made.view(np.int64))
 
 
-def _frequent(docs: DataFrame) -> np.ndarray:
-    """Shingles that come in several documents of a bounded sample, the most frequent last."""
+class Bloom:
+    """A filter of 64-bit hashes, as bits in 64-bit words. Two places of each hash are set."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.mask = words, np.uint64(len(words) * 64 - 1)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), bool)
+        for shift in (0, 32):
+            at = (hashes.view(np.uint64) >> np.uint64(shift)) & self.mask
+            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return out
+
+
+def frequent(docs: DataFrame, every: int = EVERY) -> Bloom:
+    """The shingles that two documents hold of those that a hash of their ids picks; one of `every` is picked, at every size."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, 4 << 20):
             for t in texts(block["text"]):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t))], ["h"])
 
-    every = max(1, docs.count() // SAMPLE)
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
-    counts = sample.mapInArrow(make, "h long").groupBy("h").count().where("count > 2")
-    found = counts.orderBy(F.desc("count"), "h").limit(FREQUENT).select("h").toArrow()
-    return found["h"].to_numpy()[::-1].copy()
+    found = checkpoint(sample.mapInArrow(make, "h long").groupBy("h").count().where("count > 1").select("h"))
+    size = 1 << 12
+    while size < min(MOST_BLOOM, found.count() * BLOOM_BITS):
+        size *= 2
+    mask = F.lit(size - 1)
+    places = found.select(F.explode(F.array(*(F.shiftrightunsigned("h", n).bitwiseAND(mask) for n in (0, 32)))).alias("at"))
+    words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63).cast("int"))).alias("bits"))
+    held = words.toArrow()  # of a bounded number of words
+    out = np.zeros(size // 64, np.uint64)
+    out[held["word"].to_numpy()] = held["bits"].to_numpy().view(np.uint64)
+    return Bloom(out)
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
@@ -86,26 +113,22 @@ def prefixes(docs: DataFrame) -> DataFrame:
     prefix are in no list of frequent ones, its bitmap, and the prefix's shingles, the rare ones first."""
     import xxhash
 
-    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = shared.value
-        by_hash = np.argsort(frequent)
-        known = np.append(frequent[by_hash], 0)
-        rank = np.append(by_hash + 1, 0)
+        often = shared.value
         for block in blocks(batches, 4 << 20):
             cls, size, rare, heads, bits = [], [], [], [], []
             for t in texts(block["text"]):
                 s = shingles(t)
                 cls.append(xxhash.xxh64_intdigest(s.tobytes(), 42))
                 size.append(len(s))
-                place = np.searchsorted(known[:-1], s)
-                late = np.where(known[place] == s, rank[place], 0)
-                # s ascends, so equal ranks stay in the order of their hashes. Sets of fewer than
-                # four shingles reach 4/5 with their equals only.
-                heads.append(s[np.argsort(late, kind="stable")][: len(s) - (4 * len(s) + 4) // 5 + 1 if len(s) > 3 else 0])
+                late = often.holds(s)
+                # s ascends, and so do both parts of this order. Sets of fewer than four shingles
+                # reach 4/5 with their equals only.
+                heads.append(np.concatenate([s[~late], s[late]])[: len(s) - (4 * len(s) + 4) // 5 + 1 if len(s) > 3 else 0])
                 bits.append(np.packbits(np.bincount(s & (BITS - 1), minlength=BITS) & 1).view(np.int64))
-                rare.append(min(len(heads[-1]), int((late == 0).sum())))
+                rare.append(min(len(heads[-1]), int((~late).sum())))
             ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
             held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads)))
             yield pa.RecordBatch.from_arrays(
@@ -143,46 +166,72 @@ def _sorted_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def shared_heads(made: DataFrame) -> DataFrame:
-    """cls, n, place, h, common: the rows of prefixes whose shingle another class has in its prefix too.
+    """cls, n, place, h, common, root: the rows of prefixes whose shingle another class has in its prefix too; root is cls.
 
-    A shingle that is in no list of frequent ones is in few documents of any thousand, so its
-    rows meet in one task. There are FREQUENT others at most: their counts are summed before
-    any shuffle, and broadcast.
+    A shingle that no filter tells as frequent is in few documents of any thousand, so its rows
+    meet in one task. Counts of the others are summed before any shuffle.
     """
     each = made.select("cls", "n", F.posexplode("prefix").alias("place", "h"), "rare").withColumn("common", F.col("place") >= F.col("rare")).drop("rare")
     rare = each.where("not common").repartition("h").distinct()
     rare = rare.join(rare.groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("h"), "h")
     common = each.where("common")
-    held = common.groupBy("h").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b").select("h")
-    return rare.unionByName(common.join(F.broadcast(held), "h", "left_semi"))
+    held = common.groupBy("h").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count(F.lit(1)).alias("many")).where("a < b").select("h", "many")
+    return rare.unionByName(join_keys(common, checkpoint(held), "h", "many", made.count()).drop("many")).withColumn("root", F.col("cls"))
 
 
-def to_leaders(heads: DataFrame, turn: int) -> DataFrame:
-    """Pairs (u, v) of a class and a leader of another component with a shingle of its prefix; at most one for each row of heads."""
-    found = None
-    order = F.xxhash64("cls", F.lit(turn))
-    for common in (False, True):
-        own = heads.where(F.col("common") == common)
-        led = own.groupBy("h").agg(*(F.min_by(c, order).alias(c) for c in ("cls", "n", "place", "root")))
-        led = led.select("h", F.struct("cls", "n", "place", "root").alias("b"))
-        one = own.select("h", F.struct("cls", "n", "place", "root").alias("a")).join(F.broadcast(led) if common else led, "h")
-        one = one.where((F.col("a.root") != F.col("b.root")) & F.expr(_MAY)).select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"))
-        found = one if found is None else found.unionByName(one)
-    return _sorted_pairs(found)
+def to_leaders(heads: DataFrame, total: int) -> DataFrame:
+    """Pairs (u, v) of a class and a leader with a shingle of its prefix; at most LEADERS for each row of heads."""
+    orders = [F.xxhash64("cls", F.lit(i)) for i in range(LEADERS)]
+    leads = F.array(*(F.struct(*(F.min_by(c, o).alias(c) for c in ("cls", "n", "place"))) for o in orders))
+    led = heads.groupBy("h").agg(leads.alias("leads"), F.count(F.lit(1)).alias("many"))
+    own = heads.select("h", F.struct("cls", "n", "place").alias("a"))
+    met = join_keys(own, led, "h", "many", total).select("a", F.explode("leads").alias("b")).where(_MAY)
+    return _sorted_pairs(met.select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")))
 
 
 def mixed(heads: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of heads with their components, where a shingle's classes belong to several."""
     rooted = heads.drop("root").join(found.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    several = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
-    return checkpoint(rooted.join(several, "h", "left_semi"))
-
-
-def between(heads: DataFrame) -> DataFrame:
-    """Pairs (u, v) of classes of different components that share a shingle of their prefixes."""
-    a, b = heads.alias("a"), heads.alias("b")
-    meet = (F.col("a.h") == F.col("b.h")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.root") != F.col("b.root")) & F.expr(_MAY)
-    return _sorted_pairs(a.join(b, meet).select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")))
+    several = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.countDistinct("cls").alias("many"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("set"))
+    # Shingles with the same classes, as those of one passage, would compare the same pairs.
+    several = several.where("low < high").groupBy("set", "many", "low", "high").agg(F.min("h").alias("h")).select("h", "many")
+    return checkpoint(rooted.join(several, "h").select("h", "cls", "n", "root", "many").distinct())
+
+
+def between(heads: DataFrame, made: DataFrame) -> DataFrame:
+    """Pairs (u, v) of classes of different components that share a shingle of their prefixes and whose bitmaps and sizes allow 4/5."""
+    spark = heads.sparkSession
+    bits = made.groupBy("cls").agg(F.first("bits").alias("bits"))
+    # Classes of one shingle are compared by pairs of blocks.
+    parts = F.ceil(F.col("many") / BLOCK)
+    own = F.pmod(F.xxhash64("cls"), parts)
+    each = heads.select("h", "cls", "n", "root", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+    each = each.select("h", "cls", "n", "root", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    shards = max(partitions(spark), heads.count() // SHARD)
+    each = each.join(bits, "cls").withColumn("shard", F.pmod(F.xxhash64("h", "low", "high"), F.lit(shards)))
+
+    def compare(rows: pa.Table) -> pa.Table:
+        col = lambda c: np.asarray(rows[c].combine_chunks(), np.int64)
+        words = rows["bits"].combine_chunks()
+        words = np.asarray(words.flatten(), np.int64).view(np.uint64).reshape(rows.num_rows, -1)
+        h, low, high, cls, n, root, own = map(col, ("h", "low", "high", "cls", "n", "root", "own"))
+        order = np.lexsort((high, low, h))
+        cut = np.flatnonzero(np.concatenate([[True], (np.diff(h[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)]))
+        out = set()
+        for a, b in zip(cut, np.append(cut[1:], len(order)), strict=True):
+            place = order[a:b]
+            for i in place[own[place] == low[place[0]]].tolist():
+                others = place[(own[place] == high[place[0]]) & (root[place] != root[i])]
+                if low[place[0]] == high[place[0]]:
+                    others = others[cls[others] > cls[i]]
+                size = n[others]
+                others = others[(5 * size >= 4 * n[i]) & (5 * n[i] >= 4 * size)]
+                apart = np.bitwise_count(words[others] ^ words[i]).sum(1, dtype=np.int64)
+                out.update((min(cls[i], c), max(cls[i], c)) for c in cls[others[9 * apart <= n[others] + n[i]]])
+        pairs = np.array(sorted(out), np.int64).reshape(-1, 2)
+        return pa.table({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
+
+    return each.groupBy("shard").applyInArrow(compare, "u long, v long").distinct()
 
 
 def by_fingerprints(docs: DataFrame, made: DataFrame) -> DataFrame:
@@ -206,7 +255,7 @@ def may_reach(pairs: DataFrame, made: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, made: DataFrame) -> DataFrame:
     """Those of the pairs (u, v) of classes whose sets have a similarity of 4/5 or more. Sets are made anew for these classes only."""
-    pairs = checkpoint(may_reach(pairs, made))
+    pairs = checkpoint(pairs)
     asked = pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct()
     few = checkpoint(made.join(asked, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
     chosen = docs.select("doc_id", "text").join(F.broadcast(few) if few.count() <= BROADCAST else few, "doc_id", "left_semi")
@@ -219,13 +268,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, made: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, made: DataFrame) -> DataFrame:
     """Pairs (u, v) of classes with a similarity of 4/5 or more, whose components are those of all such pairs."""
-    heads = checkpoint(shared_heads(made).withColumn("root", F.col("cls")))
-    first = to_leaders(heads, 0).union(by_fingerprints(docs, made)).distinct()
-    near = checkpoint(confirmed(first, docs, made))
-    for turn in range(1, ROUNDS):
-        heads = mixed(heads, components(near))
-        near = checkpoint(near.union(confirmed(to_leaders(heads, turn), docs, made)))
-    return near.union(confirmed(between(mixed(heads, components(near))), docs, made))
+    # Equal sets are one class; rows of a shingle are in one partition already.
+    heads = checkpoint(shared_heads(made))
+    first = to_leaders(heads, made.count()).union(by_fingerprints(docs, made)).distinct()
+    near = checkpoint(confirmed(may_reach(first, made), docs, made))
+    return near.union(confirmed(between(mixed(heads, components(near)), made), docs, made))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
