@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenledger.functions import text as fn
-from lumenledger.operators import evaluation, graph, index, ledger, ranges, retrieval, store
+from lumenledger.operators import evaluation, graph, index, ledger, ranges, retrieval, secrets, store
 from lumenledger.sources.tables import table
 from lumenledger.streaming import outbox
 
@@ -86,23 +86,32 @@ def feature_hash_vector(spark: SparkSession, folder: str) -> DataFrame:
     return index.hashed_vector(table(spark, folder, "documents"), "doc_id").withColumn("weight", F.round("weight", 6))
 
 
-@query(r"""WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS line, unnest(x) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
-m AS (SELECT doc_id, line, unnest(regexp_extract_all(t, '(?:token|secret|password|api_key) *= *"([^"]{20,})"', 1)) AS v FROM l),
-e AS (SELECT doc_id, line, v, list_distinct(string_split(v, '')) AS c FROM m)
-SELECT doc_id, line::BIGINT AS line, 'credential_assignment' AS rule,
- round(list_sum(list_transform(c, lambda k: -((length(v) - length(replace(v, k, ''))) / length(v)) * log2((length(v) - length(replace(v, k, ''))) / length(v)))), 6) AS entropy
-FROM e WHERE list_sum(list_transform(c, lambda k: -((length(v) - length(replace(v, k, ''))) / length(v)) * log2((length(v) - length(replace(v, k, ''))) / length(v)))) >= 3.5e0
-UNION ALL
-SELECT doc_id, line::BIGINT, 'access_key_id', NULL FROM l WHERE regexp_matches(t, '(?:AKIA|ASIA)[0-9A-Z]{16}')""")
+def _sql_list(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def _secret_sql() -> str:
+    quote = lambda p: p.replace("'", "''")
+    shaped = " UNION ALL ".join(f"SELECT doc_id, line, '{name}' AS rule FROM l WHERE regexp_matches(t, '{quote(p)}')" for name, p in secrets.RULES.items())
+    spread = "list_sum(list_transform(list_distinct(string_split(v, '')), lambda k: -((length(v) - length(replace(v, k, ''))) / length(v)) * log2((length(v) - length(replace(v, k, ''))) / length(v)))) >= 3.5e0"
+    bare = r"""regexp_replace(regexp_replace(v, '^\s+|\s+$', '', 'g'), '^["'']+|["'']+$', '', 'g')"""
+    starts = " OR ".join(f"starts_with(lower(v), '{p}')" for p in secrets.PREFIXES)
+    ends = " OR ".join(f"suffix(lower(v), '{p}')" for p in secrets.SUFFIXES)
+    return rf"""WITH l AS (SELECT doc_id, generate_subscripts(x, 1)::BIGINT AS line, unnest(x) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+a AS (SELECT doc_id, line, regexp_extract(t, '{quote(secrets.ASSIGNMENT)}', 1) AS n, regexp_extract(t, '{quote(secrets.ASSIGNMENT)}', 2) AS v FROM l WHERE regexp_matches(t, '{quote(secrets.ASSIGNMENT)}')
+ UNION ALL SELECT doc_id, line, unnest(regexp_extract_all(t, '{quote(secrets.PAIR)}', 1)), unnest(regexp_extract_all(t, '{quote(secrets.PAIR)}', 2)) FROM l),
+b AS (SELECT doc_id, line, lower(regexp_replace(n, '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS n, {bare} AS v FROM a),
+c AS (SELECT doc_id, line, CASE WHEN lower(v) IN ('', {_sql_list(secrets.PLACEHOLDERS)}) OR {starts} OR {ends} OR NOT regexp_matches(n, '{secrets.SENSITIVE}') THEN NULL
+ WHEN contains(n, 'mnemonic') OR suffix(n, 'seed') THEN CASE WHEN regexp_matches(lower(v), '{secrets.MNEMONIC}') THEN 'mnemonic-assignment' END
+ WHEN contains(n, 'private') AND regexp_matches(v, '{secrets.HEX}') THEN 'private-key-assignment'
+ WHEN regexp_matches(v, '{secrets.OPAQUE}') AND {spread} THEN 'high-entropy-credential-assignment' END AS rule FROM b),
+q AS (SELECT doc_id, line, unnest(regexp_extract_all(t, '{secrets.QUOTED}', 2)) AS v FROM l)
+SELECT DISTINCT * FROM ({shaped} UNION ALL SELECT doc_id, line, rule FROM c WHERE rule IS NOT NULL UNION ALL SELECT doc_id, line, 'quoted-credential' FROM q WHERE {spread})"""
+
+
+@query(_secret_sql())
 def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").where(F.col("text").rlike("(?:token|secret|password|api_key) *= *\"|(?:AKIA|ASIA)[0-9A-Z]{16}"))
-    each = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "t")).withColumn("line", (F.col("at") + 1).cast("long"))
-    value = F.explode(F.regexp_extract_all("t", F.lit('(?:token|secret|password|api_key) *= *"([^"]{20,})"'), F.lit(1)))
-    named = each.select("doc_id", "line", value.alias("v")).withColumn("entropy", fn.entropy(F.col("v"))).where("entropy >= 3.5D")
-    keys = each.where(F.col("t").rlike("(?:AKIA|ASIA)[0-9A-Z]{16}"))
-    return named.select("doc_id", "line", F.lit("credential_assignment").alias("rule"), F.round("entropy", 6).alias("entropy")).unionByName(
-        keys.select("doc_id", "line", F.lit("access_key_id").alias("rule"), F.lit(None).cast("double").alias("entropy"))
-    )
+    return secrets.findings(table(spark, folder, "documents"), "doc_id")
 
 
 @query(r"""WITH q AS (SELECT DISTINCT item_id, unnest(string_split(text, chr(10))) AS l FROM benchmark),

@@ -28,6 +28,45 @@ def summary(cases: DataFrame, threshold: float = 0.95) -> DataFrame:
     )
 
 
+def frozen_outcomes(cases: DataFrame, returned: DataFrame) -> DataFrame:
+    """case_id, critical, expected, found, missing, forbidden_hits, reciprocal, passed, margin: one row a case.
+
+    A case passes if all that it expects and nothing that it forbids is returned. margin warns of
+    a critical case that finds something only at its last place. cases: case_id, critical,
+    most, expected (array), forbidden (array); returned: case_id, path, rank.
+    """
+    first = returned.groupBy("case_id", "path").agg(F.min("rank").alias("rank"))
+    asked = cases.select("case_id", "most", F.explode(F.concat(
+        F.transform(F.array_distinct("expected"), lambda p: F.struct(p.alias("path"), F.lit(True).alias("wanted"))),
+        F.transform(F.array_distinct("forbidden"), lambda p: F.struct(p.alias("path"), F.lit(False).alias("wanted"))),
+    )).alias("a")).select("case_id", "most", "a.path", "a.wanted")
+    met = asked.join(first, ["case_id", "path"], "left").where(F.col("rank").isNull() | (F.col("rank") <= F.col("most")))
+    late = asked.join(first, ["case_id", "path"], "left").where(F.col("rank") > F.col("most")).withColumn("rank", F.lit(None).cast("int"))
+    summed = met.unionByName(late).groupBy("case_id").agg(
+        F.count(F.when(F.col("wanted"), 1)).alias("expected"), F.count(F.when(F.col("wanted"), F.col("rank"))).alias("found"), F.count(F.when(~F.col("wanted"), F.col("rank"))).alias("forbidden_hits"),
+        F.min(F.when(F.col("wanted"), F.col("rank"))).alias("best"), F.max(F.col("wanted") & (F.col("rank") == F.col("most"))).alias("last"),
+    )
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    every = cases.select("case_id", "critical").join(summed, "case_id", "left")
+    return every.select(
+        "case_id", "critical", none("expected").alias("expected"), none("found").alias("found"), (none("expected") - none("found")).alias("missing"), none("forbidden_hits").alias("forbidden_hits"),
+        F.coalesce(1.0 / F.col("best"), F.lit(0.0)).alias("reciprocal"), ((none("expected") == none("found")) & (none("forbidden_hits") == 0)).alias("passed"),
+        (F.col("critical") & F.coalesce("last", F.lit(False))).alias("margin"),
+    )
+
+
+def frozen_summary(outcomes: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """cases, passed, critical_passed, forbidden_clear, recall, mrr, warnings, status over frozen_outcomes."""
+    recall = F.coalesce(F.try_divide(F.sum("found"), F.sum("expected")), F.lit(0.0))
+    critical = F.coalesce(F.min(F.col("passed") | ~F.col("critical")), F.lit(True))
+    clear = F.coalesce(F.max("forbidden_hits") == 0, F.lit(True))
+    return outcomes.agg(
+        F.count(F.lit(1)).alias("cases"), F.count(F.when(F.col("passed"), 1)).alias("passed"), critical.alias("critical_passed"), clear.alias("forbidden_clear"),
+        recall.alias("recall"), F.coalesce(F.avg("reciprocal"), F.lit(0.0)).alias("mrr"), F.count(F.when(F.col("margin"), 1)).alias("warnings"),
+        F.when(critical & clear & (recall >= threshold), "passed").otherwise("failed").alias("status"),
+    )
+
+
 def nearest_rank(value: str, p: float) -> Column:
     """Aggregate: the value at rank ceil(p n). For groups whose distinct values fit a task, else ranges.order_statistics."""
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
