@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenledger.functions import text as fn
@@ -125,3 +125,76 @@ def index_update(spark: SparkSession, folder: str) -> DataFrame:
     after = store.update(before, new, f"{folder}/2")
     many = after.postings.where("unit = 'document' AND term IS NOT NULL").agg(F.count(F.lit(1)).alias("postings"))
     return store.changes(before, new).groupBy("change").agg(F.count(F.lit(1)).alias("sources")).crossJoin(F.broadcast(many))
+
+
+_CHUNKS = rf"""ln AS (SELECT doc_id, {_LINES} AS ln FROM documents),
+ch AS (SELECT doc_id, ln, a + 1 AS s, least(a + 80, len(ln)) AS e, array_to_string(ln[a + 1:a + 80], chr(10)) AS body FROM (SELECT doc_id, ln, unnest(range(0, greatest(0, len(ln) - 17) + 1, 64)) AS a FROM ln WHERE len(ln) > 0)),
+ck AS (SELECT doc_id, s, e, body, doc_id || ':' || s || '-' || e AS pointer, list_transform(regexp_extract_all(body, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS t FROM ch)"""
+
+
+@query(rf"""WITH RECURSIVE {_CHUNKS},
+g AS (SELECT count(*)::DOUBLE AS n, greatest(1e0, avg(len(t))) AS mean FROM ck),
+p AS (SELECT pointer, dl, term, count(*) AS tf FROM (SELECT pointer, len(t) AS dl, unnest(t) AS term FROM ck) WHERE term IN ('license', 'von') GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+b AS (SELECT pointer, sum(ln(1e0 + (n - df + 5e-1) / (df + 5e-1)) * tf * 2.2e0 / (tf + 1.2e0 * (2.5e-1 + 7.5e-1 * dl / mean))) AS score FROM p JOIN f USING (term), g GROUP BY ALL),
+lex AS (SELECT pointer, row_number() OVER (ORDER BY round(score, 6) DESC, pointer) AS rank FROM b QUALIFY rank <= 512),
+y AS (SELECT doc_id, line, doc_id || '#' || line AS id, name, CASE WHEN lower(name) IN ('license', 'von') THEN 1 END AS score FROM (SELECT doc_id, generate_subscripts(ln, 1) AS line, regexp_extract(unnest(ln), '[A-Za-z0-9_]+') AS name FROM ln) WHERE name <> ''),
+sym AS (SELECT pointer, row_number() OVER (ORDER BY max(score) DESC, pointer) AS rank FROM ck JOIN y ON y.doc_id = ck.doc_id AND line BETWEEN s AND e WHERE score IS NOT NULL GROUP BY pointer QUALIFY rank <= 512),
+se AS (SELECT id, 0 AS turn, row_number() OVER (ORDER BY score DESC, id) AS at_ FROM y WHERE score IS NOT NULL QUALIFY at_ <= 16
+ UNION ALL SELECT id, 1, row_number() OVER (ORDER BY id) AS at_ FROM (SELECT DISTINCT id FROM y JOIN ck ON y.doc_id = ck.doc_id AND line BETWEEN s AND e JOIN lex USING (pointer) WHERE rank <= 4) QUALIFY at_ <= 16),
+seeds AS (SELECT id FROM (SELECT id, min((turn, at_)) AS o FROM se GROUP BY id) ORDER BY o LIMIT 16),
+ed AS (SELECT id AS a, lead(id) OVER (PARTITION BY doc_id ORDER BY line) AS b FROM y),
+nb AS (SELECT DISTINCT id FROM (SELECT b AS id FROM ed WHERE a IN (FROM seeds) AND b IS NOT NULL UNION ALL SELECT a FROM ed WHERE b IN (FROM seeds)) ORDER BY id LIMIT 128),
+gr AS (SELECT pointer, row_number() OVER (ORDER BY pointer) AS rank FROM (SELECT DISTINCT pointer FROM y JOIN ck ON y.doc_id = ck.doc_id AND line BETWEEN s AND e WHERE id IN (FROM nb)) QUALIFY rank <= 512),
+fu AS (SELECT pointer, sum(1e0 / (60 + rank)) AS score, count(*) AS channels FROM (FROM lex UNION ALL FROM sym UNION ALL FROM gr) GROUP BY 1 ORDER BY round(sum(1e0 / (60 + rank)), 9) DESC, pointer LIMIT 512),
+it AS (SELECT ck.doc_id, s, e, fu.*, row_number() OVER (ORDER BY round(score, 9) DESC, pointer) AS n,
+ strlen(to_json({{content_digest: sha256(body), end_line: e, path: ck.doc_id::VARCHAR, pointer: pointer, start_line: s, text: body}})::VARCHAR) + 11 AS c FROM fu JOIN ck USING (pointer)),
+bu AS (SELECT 0::BIGINT AS n, 2::BIGINT AS used, 0 AS taken, false AS fits UNION ALL SELECT it.n, CASE WHEN f THEN used + need ELSE used END, CASE WHEN f THEN taken + 1 ELSE taken END, f
+ FROM bu JOIN it ON it.n = bu.n + 1, LATERAL (SELECT c + CASE WHEN taken > 0 THEN 2 ELSE 0 END AS need), LATERAL (SELECT used + need <= 30000 AS f)),
+ki AS (SELECT n, taken AS place FROM bu WHERE fits AND taken <= 25)
+SELECT doc_id, s AS start_line, e AS end_line, round(score, 9) AS score, channels, place::BIGINT AS place, (SELECT count(*) FROM it) - (SELECT count(*) FROM ki) AS omitted FROM it JOIN ki USING (n)""")
+def three_channel_search(spark: SparkSession, folder: str) -> DataFrame:
+    held = store.current(spark, folder)
+    following = Window.partitionBy("path").orderBy("start")
+    named = held.symbols.select("path", "start", F.concat("path", F.lit("#"), F.col("start").cast("string")).alias("a"))
+    edges = named.select("a", F.lead("a").over(following).alias("b")).where("b IS NOT NULL")
+    found = retrieval.three_channels(held, edges, "license von", 25, 30_000)
+    return found.select(
+        F.col("path").cast("long").alias("doc_id"), F.col("start_line").cast("long"), F.col("end_line").cast("long"), F.round("score", 9).alias("score"), F.size("ranks").cast("long").alias("channels"), F.col("place").cast("long"), "omitted"
+    )
+
+
+@query(rf"""WITH {_CHUNKS}, b AS (SELECT item_id, {_WORDS} AS t FROM benchmark),
+al AS (SELECT DISTINCT array_to_string(t[1:2], ' ') AS phrase, item_id AS concept FROM b WHERE len(t) >= 2),
+o AS (SELECT phrase, min(concept) AS concept FROM al GROUP BY 1 HAVING count(DISTINCT concept) = 1),
+q AS (SELECT list_transform(regexp_extract_all(string_agg(text, ' ' ORDER BY item_id), '[A-Za-z0-9_]+'), lambda x: lower(x)) AS t FROM benchmark WHERE item_id % 4 = 1),
+r AS (SELECT DISTINCT unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS phrase FROM q),
+k AS (SELECT DISTINCT concept FROM r JOIN o USING (phrase)),
+bi AS (SELECT item_id AS concept, doc_id, generate_subscripts(l, 1) AS line, unnest(l) AS t FROM (SELECT item_id, d.doc_id, d.ln AS l FROM benchmark JOIN ln d ON d.doc_id % 40 = item_id % 40)),
+v AS (SELECT concept, doc_id, line, line + 5 AS last FROM bi WHERE line % 30 = 1 AND (concept + doc_id) % 3 <> 0)
+SELECT pointer, count(DISTINCT concept) AS concepts, row_number() OVER (ORDER BY count(DISTINCT concept) DESC, pointer) AS rank FROM v JOIN k USING (concept) JOIN ck ON ck.doc_id = v.doc_id AND s <= last AND line <= e GROUP BY 1 QUALIFY rank <= 512""")
+def concept_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "benchmark")
+    words = items.select(F.col("item_id").alias("concept"), fn.tokens(F.col("text")).alias("t")).where(F.size("t") >= 2)
+    aliases = words.select(F.array_join(F.slice("t", 1, 2), " ").alias("phrase"), "concept").distinct()
+    asked = items.where("item_id % 4 = 1").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]), " ").alias("text")).withColumn("q", F.lit(1))
+    known = retrieval.recognise(asked, aliases, "q", 2).where(F.contains("phrase", F.lit(" ")))
+    docs = store.documents(spark, folder).select("path", F.posexplode(fn.lines(F.col("text"))).alias("at", "t"))
+    lines = docs.select("path", (F.col("at") + 1).alias("start"), (F.col("at") + 6).alias("end"), (F.col("path").cast("long") % 40).alias("m")).where("start % 30 = 1")
+    bound = lines.join(items.select(F.col("item_id").alias("concept"), (F.col("item_id") % 40).alias("m")), "m")
+    bound = bound.select("concept", "path", "start", "end", ((F.col("concept") + F.col("path").cast("long")) % 3 != 0).alias("verified"))
+    found = retrieval.concept_channel(known, bound, store.current(spark, folder).chunks)
+    return found.select("pointer", "concepts", F.col("rank").cast("long").alias("rank"))
+
+
+@query(rf"""WITH ln AS (SELECT doc_id, {_LINES} AS l FROM documents),
+b AS (SELECT doc_id % 60 AS concept, doc_id, CASE WHEN doc_id % 8 = 1 THEN 'v0' ELSE 'v1' END AS version, 1 + doc_id % 3 AS s, 2 + doc_id % 3 AS e, CASE WHEN doc_id % 5 = 2 THEN sha256('x') ELSE sha256(array_to_string(l[1 + doc_id % 3:2 + doc_id % 3], chr(10))) END AS digest FROM ln)
+SELECT concept, doc_id, s AS start, CASE WHEN doc_id % 9 = 4 THEN 'missing' WHEN version <> 'v1' THEN 'version_changed' WHEN e > len(l) THEN 'unavailable' ELSE 'digest_changed' END AS reason
+FROM b JOIN ln USING (doc_id) WHERE doc_id % 9 = 4 OR version <> 'v1' OR e > len(l) OR digest <> sha256(array_to_string(l[s:e], chr(10)))""")
+def stale_bindings(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("path"), F.lit("v1").alias("version"), "text")
+    n = F.col("path")
+    quote = F.array_join(F.slice(fn.lines(F.col("text")), (n % 3 + 1).cast("int"), F.lit(2)), "\n")
+    digest = F.when(n % 5 == 2, F.sha2(F.lit("x").cast("binary"), 256)).otherwise(F.sha2(quote.cast("binary"), 256))
+    bindings = docs.select((n % 60).alias("concept"), "path", F.when(n % 8 == 1, "v0").otherwise("v1").alias("version"), (n % 3 + 1).alias("start"), (n % 3 + 2).alias("end"), digest.alias("digest"))
+    return retrieval.stale_reasons(bindings, docs.where("path % 9 <> 4")).select("concept", F.col("path").alias("doc_id"), "start", "reason")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenledger.functions.text import bigrams, content_id, lines, tokens
+from lumenledger.functions.text import content_id, lines, tokens
 
 CHUNK_LINES, OVERLAP = 80, 16
 K1, B = 1.2, 0.75
@@ -69,17 +69,48 @@ def round_robin(posting: DataFrame, key: str, most: int) -> DataFrame:
 
 
 def hashed_vector(source: DataFrame, key: str, text: str = "text", dims: int = DIMENSIONS) -> DataFrame:
-    """key, idx, weight: unit vectors of signed feature hashes of tokens and bigrams; all-zero ones have no row."""
-    cut = source.select(key, tokens(F.col(text)).alias("t"))
-    each = cut.select(key, F.explode(F.concat("t", bigrams(F.col("t")))).alias("feature"))
-    # A feature is hashed once for each document, however often it occurs.
-    each = each.groupBy(key, "feature").agg(F.count(F.lit(1)).alias("n"))
-    digest = each.withColumn("h", F.sha2(F.col("feature").cast("binary"), 256))
-    idx = F.pmod(F.conv(F.substring("h", 1, 16), 16, 10).cast("decimal(20,0)"), F.lit(dims)).cast("int")
-    sign = F.when(F.conv(F.substring("h", 17, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    summed = digest.groupBy(key, idx.alias("idx")).agg(F.sum(sign * F.col("n")).alias("w")).where("w <> 0")
-    norm = summed.groupBy(key).agg(F.sqrt(F.sum((F.col("w") * F.col("w")).cast("double"))).alias("norm"))
-    return summed.join(norm, key).select(key, "idx", (F.col("w") / F.col("norm")).alias("weight"))
+    """key, idx, weight: unit vectors of signed feature hashes of tokens and bigrams; all-zero ones have no row.
+
+    A vector is folded where its text is, so nothing is shuffled: built-in functions have no fold
+    to an array of counters in one pass, and grouping by (key, idx) shuffles more than the texts.
+    A feature is hashed once for each Arrow batch.
+    """
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import DoubleType, IntegerType, StructType
+
+    kind = StructType([source.schema[key]]).add("idx", IntegerType()).add("weight", DoubleType())
+    schema = to_arrow_schema(kind)
+
+    def fold(batches):
+        for batch in batches:
+            known: dict[str, int] = {}
+            rows, places, weights = [], [], []
+            for row, words in enumerate(batch["t"].to_pylist()):
+                if not words:
+                    continue
+                codes = []
+                for feature in (*words, *map("\x1f".join, zip(words[:-1], words[1:], strict=True))):
+                    code = known.get(feature)
+                    if code is None:
+                        h = hashlib.sha256(feature.encode()).digest()
+                        known[feature] = code = int.from_bytes(h[:8], "big") % dims * 2 + h[8] % 2
+                    codes.append(code)
+                counts = np.bincount(np.array(codes), minlength=2 * dims).reshape(-1, 2)
+                w = counts[:, 0] - counts[:, 1]
+                at = np.flatnonzero(w)
+                if len(at):
+                    rows.append(np.full(len(at), row))
+                    places.append(at)
+                    weights.append(w[at] / np.sqrt(float((w * w).sum())))
+            if rows:
+                own = batch[key].take(pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays([own, pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(weights))], schema=schema)
+
+    return source.select(key, tokens(F.col(text)).alias("t")).mapInArrow(fold, kind)
 
 
 def cosine(a: Column, b: Column) -> Column:

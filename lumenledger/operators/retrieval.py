@@ -102,6 +102,89 @@ def hybrid(held: store.Generation, query: str, most: int = MOST) -> DataFrame:
     return every.select("pointer", "path", "start_line", "end_line", F.round(score, 6).alias("score"))
 
 
+#: Seeds of the graph channel, its neighbours, and lexical chunks whose symbols are seeds. Fixed values.
+SEEDS, NEIGHBOURS, TOP = 16, 128, 4
+
+
+def json_size(item: Column, pairs: Column) -> Column:
+    """UTF-8 bytes of a struct as JSON with a space behind each comma and colon; pairs is how many keys it has in all."""
+    return F.octet_length(F.to_json(item)).cast("long") + 2 * pairs - 1
+
+
+def symbol_scores(symbols: DataFrame, query: str) -> DataFrame:
+    """The symbols that a query names, with score: 3 for the whole name, 1 for a token of it."""
+    asked = F.lit(query.strip().lower())
+    terms = F.array(*(F.lit(t) for t in sorted({t.lower() for t in re.findall(TOKEN, query)}))).cast("array<string>")
+    name, qualified = F.lower("name"), F.lower("qualified")
+    score = F.when((name == asked) | (qualified == asked), 3).when(F.arrays_overlap(index.tokens(F.concat_ws(" ", name, qualified)), terms), 1)
+    return symbols.withColumn("score", score).where("score IS NOT NULL")
+
+
+def three_channels(held: store.Generation, edges: DataFrame, query: str, limit: int, budget: int, most: int = MOST) -> DataFrame:
+    """pointer, path, start_line, end_line, score, ranks, place, omitted: lexical, symbol and graph channels, fused, within bytes.
+
+    A chunk's symbol score is the best of the symbols on its lines. The graph's seeds are the
+    first matched symbols, then those on the lines of the best lexical chunks; its chunks are
+    those of the seeds' neighbours over edges (a, b) between symbol ids, path#line. Items that
+    don't fit the bytes are passed over; omitted counts the candidates that are not told.
+    """
+    symbols = held.symbols.withColumn("id", F.concat("path", F.lit("#"), F.col("start").cast("string")))
+    chunks = held.chunks.select("pointer", "path", "start_line", "end_line")
+    on_lines = lambda found, *more: overlapping(chunks, found.select("path", "start", "end", *more), ["path"])
+    scored = store.bm25(held, "chunk", re.findall(TOKEN, query.lower())).withColumnRenamed("key", "pointer")
+    lexical = ranked(scored, "pointer", "lexical", most=most)
+    matched = symbol_scores(symbols, query)
+    symbol = ranked(on_lines(matched, "score").groupBy("pointer").agg(F.max("score").alias("score")), "pointer", "symbol", most=most)
+    # Few seeds and neighbours, by their limits.
+    first = matched.orderBy(F.desc("score"), "id").limit(SEEDS).select("id", F.lit(0).alias("turn"), F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("at"))
+    top = chunks.join(F.broadcast(lexical.where(F.col("rank") <= TOP).select("pointer")), "pointer", "left_semi")
+    late = overlapping(F.broadcast(top), symbols.select("path", "start", "end", "id"), ["path"]).select("id").distinct().orderBy("id").limit(SEEDS)
+    late = late.select("id", F.lit(1).alias("turn"), F.row_number().over(Window.orderBy("id")).alias("at"))
+    seeds = first.unionByName(late).groupBy("id").agg(F.min(F.struct("turn", "at")).alias("o")).orderBy("o").limit(SEEDS).select("id")
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(F.broadcast(seeds.select(F.col("id").alias("a"))), "a", "left_semi").select(F.col("b").alias("id")).distinct().orderBy("id").limit(NEIGHBOURS)
+    reached = on_lines(symbols.join(F.broadcast(near), "id", "left_semi")).select("pointer").distinct().orderBy("pointer").limit(most)
+    walked = reached.select(F.lit("graph").alias("channel"), "pointer", F.row_number().over(Window.orderBy("pointer")).alias("rank"))
+    fused = fuse([lexical, symbol, walked], "pointer", most)
+    told = held.chunks.join(F.broadcast(fused), "pointer")
+    digest = F.sha2(F.col("text").cast("binary"), 256).alias("content_digest")
+    told = told.select("pointer", "path", "start_line", "end_line", "score", "ranks", json_size(F.struct(digest, "end_line", "path", "pointer", "start_line", "text"), F.lit(6)).alias("cost"))
+    told = told.withColumn("key", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "pointer")).cast("long"))
+    # At most `most` items, a number and a size each.
+    kept = told.agg(F.array_sort(F.collect_list(F.struct("key", "cost"))).alias("items"), F.count(F.lit(1)).alias("all"))
+    kept = kept.select("all", F.slice(within_budget(F.col("items"), "cost", F.lit(budget).cast("long"))["taken"], 1, limit).alias("taken"))
+    kept = kept.select((F.col("all") - F.size("taken")).alias("omitted"), F.posexplode("taken").alias("place", "key"))
+    return told.join(F.broadcast(kept), "key").select("pointer", "path", "start_line", "end_line", "score", "ranks", (F.col("place") + 1).alias("place"), "omitted")
+
+
+def concept_channel(recognised: DataFrame, bindings: DataFrame, chunks: DataFrame, most: int = MOST) -> DataFrame:
+    """pointer, concepts, rank: chunks by how many unambiguous concepts of a query have a verified binding on their lines.
+
+    recognised: concepts, concept (see recognise); bindings: concept, path, start, end, verified.
+    """
+    clear = recognised.where("concepts = 1").select("concept").distinct()
+    bound = bindings.where("verified").join(clear, "concept", "left_semi").select("concept", "path", "start", "end")
+    held = overlapping(chunks, bound, ["path"]).groupBy("pointer").agg(F.countDistinct("concept").alias("concepts"))
+    top = held.orderBy(F.desc("concepts"), "pointer").limit(most)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("concepts"), "pointer")))
+
+
+def stale_reasons(bindings: DataFrame, sources: DataFrame) -> DataFrame:
+    """concept, path, start, end, reason of bindings that no longer hold: missing, version_changed, unavailable or digest_changed.
+
+    bindings: concept, path, version, start, end, digest; sources: path, version, text.
+    """
+    from lumenledger.operators.recall import line_digests
+
+    known = bindings.join(sources.select("path", F.col("version").alias("held")), "path", "left")
+    judged = known.join(line_digests(sources.select("path", "text"), bindings), ["path", "start", "end"], "left")
+    reason = (
+        F.when(F.col("held").isNull(), "missing").when(F.col("held") != F.col("version"), "version_changed").when(F.col("now").isNull(), "unavailable")
+        .when(F.col("now") != F.col("digest"), "digest_changed")
+    )
+    return judged.select("concept", "path", "start", "end", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def quoted(claims: DataFrame, sources: DataFrame) -> DataFrame:
     """claim, source, quoted: how many distinct lines that aren't blank a claim and a source share. Both have key and lines.
 
