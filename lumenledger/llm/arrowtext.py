@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenledger.sources.shared import checkpoint, shared_folder  # noqa: F401
+
 #: Maps A-Z to a-z and every byte that is no word byte to a space. Words are runs of
 #: digits, letters and all bytes from 0x80 on.
 _WORDS = bytes(
@@ -62,27 +64,6 @@ def blocks(batches: Iterator[pa.RecordBatch], most_bytes: int, column: str = "te
             start = end
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where that is unset, a folder beside the warehouse is used in local mode, and on a cluster
-    nothing: a folder of the driver's own would lose what executors write.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir") + "/.checkpoints")
-    return context.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a copy in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def partitions(spark: SparkSession) -> int:
     """How many partitions this session's shuffles have."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -90,7 +71,7 @@ def partitions(spark: SparkSession) -> int:
 
 #: Bytes of an Arrow batch that goes to a Python worker. Spark's own default is 64 MB, of which
 #: the JVM and each worker of a task hold one.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 6 << 20
 
 
 _UNITS = {u: 1 << (10 * i) for i, u in enumerate("bkmgtp")}

@@ -91,8 +91,8 @@ def frequent(docs: DataFrame, every: int = EVERY) -> Bloom:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, 4 << 20):
-            for t in texts(block["text"]):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t))], ["h"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t) for t in texts(block["text"])]))], ["h"])
+        give_back()
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
     found = checkpoint(sample.mapInArrow(make, "h long").groupBy("h").count().where("count > 1").select("h"))
@@ -165,7 +165,7 @@ def _sorted_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def shared_heads(made: DataFrame) -> DataFrame:
+def shared_heads(made: DataFrame, total: int) -> DataFrame:
     """cls, n, place, h, common, root: the rows of prefixes whose shingle another class has in its prefix too; root is cls.
 
     A shingle that no filter tells as frequent is in few documents of any thousand, so its rows
@@ -176,7 +176,7 @@ def shared_heads(made: DataFrame) -> DataFrame:
     rare = rare.join(rare.groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("h"), "h")
     common = each.where("common")
     held = common.groupBy("h").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count(F.lit(1)).alias("many")).where("a < b").select("h", "many")
-    return rare.unionByName(join_keys(common, checkpoint(held), "h", "many", made.count()).drop("many")).withColumn("root", F.col("cls"))
+    return rare.unionByName(join_keys(common, checkpoint(held), "h", "many", total).drop("many")).withColumn("root", F.col("cls"))
 
 
 def to_leaders(heads: DataFrame, total: int) -> DataFrame:
@@ -229,16 +229,18 @@ def between(heads: DataFrame, made: DataFrame) -> DataFrame:
                 apart = np.bitwise_count(words[others] ^ words[i]).sum(1, dtype=np.int64)
                 out.update((min(cls[i], c), max(cls[i], c)) for c in cls[others[9 * apart <= n[others] + n[i]]])
         pairs = np.array(sorted(out), np.int64).reshape(-1, 2)
+        del words, out
+        give_back()
         return pa.table({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
 
     return each.groupBy("shard").applyInArrow(compare, "u long, v long").distinct()
 
 
-def by_fingerprints(docs: DataFrame, made: DataFrame) -> DataFrame:
+def by_fingerprints(docs: DataFrame, made: DataFrame, total: int) -> DataFrame:
     """Pairs (u, v) of classes that SimHash over five-word shingles links: classes of one fingerprint, and stars of linked ones."""
     prints = checkpoint(fingerprints(docs, SHINGLE).join(made.select("doc_id", "cls"), "doc_id").groupBy("fp", "cls").agg(F.count(F.lit(1)).alias("rows")))
     leads = prints.groupBy("fp").agg(F.min("cls").alias("lead"), F.count(F.lit(1)).alias("many"))
-    own = join_keys(prints, leads.where("many > 1"), "fp", "many", prints.count()).select(F.col("cls").alias("u"), F.col("lead").alias("v"))
+    own = join_keys(prints, leads.where("many > 1"), "fp", "many", total).select(F.col("cls").alias("u"), F.col("lead").alias("v"))
     stars = link(leads.select("fp")).distinct()
     lead = lambda fp, cls: leads.select(F.col("fp").alias(fp), F.col("lead").alias(cls))
     far = stars.join(lead("u", "x"), "u").join(lead("v", "y"), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
@@ -266,11 +268,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, made: DataFrame) -> DataFrame:
     return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("u", "v").distinct()
 
 
-def links(docs: DataFrame, made: DataFrame) -> DataFrame:
+def links(docs: DataFrame, made: DataFrame, total: int) -> DataFrame:
     """Pairs (u, v) of classes with a similarity of 4/5 or more, whose components are those of all such pairs."""
     # Equal sets are one class; rows of a shingle are in one partition already.
-    heads = checkpoint(shared_heads(made))
-    first = to_leaders(heads, made.count()).union(by_fingerprints(docs, made)).distinct()
+    heads = checkpoint(shared_heads(made, total))
+    first = to_leaders(heads, total).union(by_fingerprints(docs, made, total)).distinct()
     near = checkpoint(confirmed(may_reach(first, made), docs, made))
     return near.union(confirmed(between(mixed(heads, components(near)), made), docs, made))
 
@@ -278,9 +280,10 @@ def links(docs: DataFrame, made: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, component_id for every row: the least doc_id that links of near copies reach."""
     made = checkpoint(prefixes(docs))
+    total = made.count()
     classes = made.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("many"))
-    found = components(links(docs, made))
+    found = components(links(docs, made, total))
     rooted = classes.join(found, classes["cls"] == found["node"], "left").select("cls", "least", "many", F.coalesce("root", "cls").alias("root"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("together"))
-    named = join_keys(rooted, of_root, "root", "together", made.count()).select("cls", "component_id", "many")
-    return join_keys(made.select("doc_id", "cls"), named, "cls", "many", made.count()).select("doc_id", "component_id")
+    named = join_keys(rooted, of_root, "root", "together", total).select("cls", "component_id", "many")
+    return join_keys(made.select("doc_id", "cls"), named, "cls", "many", total).select("doc_id", "component_id")

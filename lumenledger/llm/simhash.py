@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lumenledger.llm.arrowtext import blocks, checkpoint, give_back, join_keys, partitions, small_batches, texts
@@ -189,23 +189,22 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star until no edge moves. Minima of neighbours are summed
     up before each shuffle, so a node with very many neighbours is one row in them.
     """
-    edges = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = state(edges)
+
+    def stored(e: DataFrame) -> tuple[DataFrame, tuple]:
+        """The distinct edges, cut from their lineage, and what tells them from others, in one job."""
+        seen = Observation()
+        sums = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")
+        e = checkpoint(e.distinct().observe(seen, *sums))
+        return e, (seen.get["n"], seen.get["s"])
+
+    edges, before = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     while before[0]:
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        edges = (
-            small.select("u", F.col("m").alias("v"))
-            .union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-            .where("u <> v")
-            .distinct()
-        )
-        edges = checkpoint(edges)
-        now = state(edges)
+        edges, now = stored(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v"))
         if now == before:
             break
         before = now
