@@ -71,3 +71,8 @@ def entropy(value: Column) -> Column:
 def epoch_ms(ts: str) -> Column:
     """Milliseconds since 1970 of a zone-less timestamp, rounded down; the session's zone has no part in it."""
     return F.expr(f"floor(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {ts}) / 1000)").cast("long")
+
+
+def query_normalised(value: Column) -> Column:
+    """A query without white space around it, and with one space for each run of it inside."""
+    return F.trim(F.regexp_replace(value, r"\s+", " "))

@@ -181,6 +181,116 @@ def promotable(events: DataFrame, closed: DataFrame, kinds: list[str], attempts:
     return hide_superseded(fit.join(current, "event_id", "left_semi"), successors)
 
 
+def append(ledger: DataFrame, batch: DataFrame, sessions: DataFrame, at: int) -> tuple[DataFrame, DataFrame]:
+    """The batch's valid events as ledger rows with sequence, digest and observed_at, and the refused ones with a reason.
+
+    An event needs a known open session, a kind and a payload, and an event_id that neither the
+    ledger nor an earlier row of the batch has. Sequences go on from the session's last; no event
+    is observed before its session's last one. ledger and batch: event_id, session_id, kind,
+    payload, valid_from (ledger also sequence, observed_at); sessions: session_id, open.
+    """
+    last = ledger.groupBy("session_id").agg(F.max("sequence").alias("last"), F.max("observed_at").alias("clock"))
+    known = batch.join(ledger.select("event_id", F.lit(True).alias("there")).distinct(), "event_id", "left").join(sessions, "session_id", "left")
+    twice = F.row_number().over(Window.partitionBy("event_id").orderBy("session_id", "kind", "payload"))
+    reason = (
+        F.when(F.col("open").isNull(), "session_unknown").when(~F.col("open"), "session_closed").when(F.col("kind").isNull() | F.col("payload").isNull(), "invalid")
+        .when(F.col("there"), "event_exists").when(twice > 1, "event_repeated")
+    )
+    judged = known.withColumn("reason", reason)
+    good = judged.where("reason IS NULL").join(last, "session_id", "left")
+    order = Window.partitionBy("session_id").orderBy("event_id")
+    good = good.withColumn("sequence", (F.coalesce("last", F.lit(0)) + F.row_number().over(order)).cast("long")).withColumn("observed_at", F.greatest(F.coalesce("clock", F.lit(at)), F.lit(at)).cast("long"))
+    rows = good.select("event_id", "session_id", "sequence", "kind", "payload", "valid_from", "observed_at")
+    rows = rows.withColumn("digest", record_digest("event_id", "session_id", "sequence", "kind", "payload", "valid_from", "observed_at"))
+    return rows, judged.where("reason IS NOT NULL").select("event_id", "reason")
+
+
+def record_digest(*fields: str) -> Column:
+    """SHA-256 over fields joined by NUL; null is empty."""
+    return F.sha2(F.concat_ws("\x00", *(F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields)).cast("binary"), 256)
+
+
+def term_digests(value: Column) -> Column:
+    """The sorted distinct digests of a text's lower-cased tokens, 32 hex digits each."""
+    from lumenledger.functions.text import tokens
+
+    return F.array_sort(F.array_distinct(F.transform(tokens(value), lambda t: F.substring(F.sha2(t.cast("binary"), 256), 1, 32))))
+
+
+def table_digests(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """name, rows, digest of each table: its rows' digests as a multiset (see set_digests), and a count."""
+    out = None
+    for name, (rows, fields) in tables.items():
+        one = set_digests(rows.select(F.lit(name).alias("name"), record_digest(*fields).alias("d")), "name", F.col("d"))
+        out = one if out is None else out.unionByName(one)
+    return out.select("name", F.col("members").alias("rows"), "digest")
+
+
+def status(digests: DataFrame, expected: DataFrame, findings: DataFrame) -> DataFrame:
+    """state, tables, rows, digest of a ledger: corrupt with any finding, stale where a table isn't as expected, else ready.
+
+    digests: see table_digests; expected: name, digest as last stored; findings: rule, violations.
+    """
+    told = digests.join(expected.withColumnRenamed("digest", "stored"), "name", "left")
+    broken = findings.agg(F.coalesce(F.max(F.col("violations") > 0), F.lit(False)).alias("broken"))
+    whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "digest"))), lambda x: F.concat_ws(":", x["name"], x["digest"])), ",").cast("binary"), 256)
+    summed = told.agg(F.count(F.lit(1)).alias("tables"), F.sum("rows").alias("rows"), whole.alias("digest"), F.max(~F.col("digest").eqNullSafe(F.col("stored"))).alias("moved"))
+    state = F.when(F.col("broken"), "corrupt").when(F.col("moved"), "stale").otherwise("ready")
+    return summed.crossJoin(F.broadcast(broken)).select(state.alias("state"), "tables", "rows", "digest")
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """missing, surplus: how many rows of a are not in b, and of b not in a, as multisets. Both 0: the same."""
+    keys = a.columns
+    count = lambda df, s: df.select(*keys).groupBy(*keys).agg(F.sum(F.lit(s)).alias("n"))
+    both = count(a, 1).unionByName(count(b, -1)).groupBy(*keys).agg(F.sum("n").alias("n"))
+    return both.agg(F.coalesce(F.sum(F.greatest("n", F.lit(0))), F.lit(0)).alias("missing"), F.coalesce(F.sum(F.greatest(-F.col("n"), F.lit(0))), F.lit(0)).alias("surplus"))
+
+
+def logical_export(events: DataFrame, evidence: DataFrame, terms: DataFrame) -> DataFrame:
+    """session_id, events, document: one JSON document a session, its events in sequence with their evidence and terms.
+
+    A document holds one session. events: event_id, session_id, sequence, kind, payload; evidence: event_id, locator, digest; terms: event_id, term.
+    """
+    cited = evidence.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("locator", "digest"))).alias("evidence"))
+    named = terms.groupBy("event_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    each = events.join(cited, "event_id", "left").join(named, "event_id", "left")
+    item = F.struct("sequence", "event_id", "kind", "payload", none("evidence", "array<struct<locator:string,digest:string>>"), none("terms", "array<string>"))
+    nested = each.groupBy("session_id").agg(F.array_sort(F.collect_list(item)).alias("events"))
+    return nested.select("session_id", F.size("events").cast("long").alias("events"), F.to_json(F.struct("session_id", F.col("events"))).alias("document"))
+
+
+def quarantined(document: DataFrame, schema: str, known: DataFrame, batch: str) -> DataFrame:
+    """event_id, session_id, sequence, kind, payload, trust, import_batch of exported documents that come in again.
+
+    Whatever an import claims, its events are untrusted; those that the ledger has are left out.
+    document: document (JSON text of schema session_id, events); known: event_id.
+    """
+    read = document.select(F.from_json("document", schema).alias("d")).select("d.session_id", F.explode("d.events").alias("e"))
+    rows = read.select("e.event_id", "session_id", "e.sequence", "e.kind", "e.payload", F.lit("untrusted").alias("trust"), F.lit(batch).alias("import_batch"))
+    return rows.join(known.select("event_id").distinct(), "event_id", "left_anti").select(*rows.columns)
+
+
+def undelivered(outbox: DataFrame, events: DataFrame, most: int) -> DataFrame:
+    """event_id, kind, sequence of the first `most` records that no one took yet. outbox: event_id, delivered_at."""
+    waiting = outbox.where("delivered_at IS NULL").select("event_id")
+    return events.join(waiting, "event_id", "left_semi").orderBy("event_id").limit(most)
+
+
+def cleanup_plan(events: DataFrame, reason: Column, relations: DataFrame, blockers: DataFrame) -> DataFrame:
+    """event_id, role, why: what erasing all eligible events would do. role: affected, excluded or blocked.
+
+    Where the closure of an eligible event has a blocker, all of that closure is blocked; an event
+    that isn't eligible itself and is in no closure is excluded, for the reason given.
+    """
+    judged = events.select("event_id", reason.alias("why"))
+    closure = erasure_closure(judged.where("why = 'eligible'").select("event_id"), relations, blockers)
+    both = judged.join(closure, "event_id", "left")
+    role = F.when(F.col("outcome") == "erase", "affected").when(F.col("outcome").isNotNull(), "blocked").otherwise("excluded")
+    return both.select("event_id", role.alias("role"), F.when(F.col("outcome").isNull(), F.col("why")).when(F.col("why") == "eligible", "eligible").otherwise("dependency").alias("why"))
+
+
 def portable(events: DataFrame) -> DataFrame:
     """event_id, session, sequence, leaves of the durable events, renumbered within each session.
 

@@ -267,3 +267,69 @@ def test_frozen_cases(spark):
     assert {r.case_id: (r.missing, r.forbidden_hits, r.reciprocal, r.passed, r.margin) for r in outcomes.collect()} == {"a": (0, 0, 1.0, True, True), "b": (1, 1, 0.0, False, False), "c": (0, 0, 0.0, True, False)}
     s = evaluation.frozen_summary(outcomes).first()
     assert (s.cases, s.passed, s.critical_passed, s.forbidden_clear, round(s.recall, 6), s.warnings, s.status) == (3, 2, True, False, 0.666667, 1, "failed")
+
+
+def test_which_files_are_sources(spark, tmp_path):
+    from lumenledger.operators import corpus
+
+    files = {
+        "src/a.py": b"x = 1\n", "README": b"hi", ".github/ci.yml": b"on: push", ".cache/b.py": b"", "build/c.py": b"", ".env": b"A=1", ".env.example": b"A=", "id_rsa": b"", "x/service_account.txt": b"", "auth-token.json": b"{}",
+        "auth-token.py": b"", "a.png": b"", "nul.md": b"a\0b", "bad.md": b"\xff\xfe", "cut.md": b"a" * 8191 + "é".encode(), "Dockerfile.dev": b"FROM x", "key.pem": b"",
+    }
+    scanned = spark.createDataFrame([(p, bytearray(c)) for p, c in files.items()], "path string, content binary")
+    got = {r.path: r.why for r in scanned.select("path", corpus.refused(F.col("path"), F.col("content")).alias("why")).collect()}
+    want = {"build/c.py": "excluded", ".cache/b.py": "hidden", ".env": "environment", "id_rsa": "sensitive", "x/service_account.txt": "sensitive", "auth-token.json": "sensitive", "key.pem": "sensitive", "a.png": "type", "nul.md": "binary", "bad.md": "binary"}
+    assert got == {name: want.get(name) for name in files}
+    sources, findings = corpus.snapshot(scanned)
+    assert {r.path for r in sources.collect()} == files.keys() - want.keys() and findings.count() == 0
+    (tmp_path / "r" / "src").mkdir(parents=True)
+    (tmp_path / "r" / "src" / "a.py").write_bytes(b"x = 1\n")
+    assert [(r.path, bytes(r.content)) for r in corpus.files(spark, str(tmp_path / "r")).collect()] == [("src/a.py", b"x = 1\n")]
+
+
+def test_ranges_of_lines_and_bytes(spark):
+    from lumenledger.operators import corpus
+
+    row = spark.createDataFrame([("one\ntwö\nthree\n",)], "t string").withColumn("b", F.col("t").cast("binary"))
+    lit = lambda *x: [F.lit(i) for i in x]
+    got = row.select(
+        corpus.select_lines(F.col("t"), *lit(2, 3)).alias("a"), corpus.select_lines(F.col("t"), *lit(3, 4)).alias("b"), corpus.select_bytes(F.col("b"), *lit(4, 8)).cast("string").alias("c"), corpus.select_bytes(F.col("b"), *lit(4, 99)).alias("d"), corpus.byte_lines(F.col("b"), *lit(2, 10)).alias("e"),
+    ).first()
+    assert (got.a, got.b, got.c, got.d, tuple(got.e)) == ("twö\nthree", None, "twö", None, (1, 3))
+
+
+def test_links_are_resolved(spark):
+    from lumenledger.operators import corpus
+
+    cases = {"#Top Part": ("anchor", "docs/a.md", "top-part"), "https://x.y/z": ("external", None, None), "../src/b.py#L1": ("path", "src/b.py", "l1"), "c.md": ("path", "docs/c.md", None), "/d/./e.md?x": ("path", "d/e.md", None), "../../up": ("path", None, None), "../../up/../a/b": ("path", None, None)}
+    rows = spark.createDataFrame([("docs/a.md", h) for h in cases], "path string, href string")
+    assert {r.href: tuple(r.t) for r in rows.select("href", corpus.link_target(F.col("path"), F.col("href")).alias("t")).collect()} == cases
+
+
+def test_markdown_and_config_structure(spark):
+    from lumenledger.operators import corpus
+
+    text = "intro\n# A b!\nStatus: open\n## C\n|x|y|\n|-|-|\ntext\n```py\n# no heading\n~~~\n```\n# A b\n|z|\n~~~\nnever closed"
+    rows = spark.createDataFrame([("d/a.md", text), ("e.md", None), ("k.json", '{"One": 1, "two words": 2}'), ("l.json", "[1]"), ("c.ini", "a = 1\n b: 2\na=3\nplain")], "path string, text string")
+    got = [(r.line, r.kind, r["name"], r.qualified, r.parent) for r in corpus.markdown_structure(rows.where("path LIKE '%.md'")).orderBy("line").collect()]
+    assert got == [
+        (2, "heading", "A b!", "a-b", "document"), (3, "status", "open", "status-3", "a-b"), (4, "heading", "C", "c", "a-b"), (5, "table", "table-5", "table-5", "c"), (8, "code_fence", "py", "code-8", "c"),
+        (12, "heading", "A b", "a-b-2", "document"), (13, "table", "table-13", "table-13", "a-b-2"), (14, "unterminated_fence", "plain", "code-14", "a-b-2"),
+    ]
+    keys = sorted((r.path, r.line, r.qualified) for r in corpus.config_keys(rows.where("path NOT LIKE '%.md'")).collect())
+    assert keys == [("c.ini", 1, "key-a-1"), ("c.ini", 2, "key-b-1"), ("c.ini", 3, "key-a-2"), ("k.json", 1, "key-one"), ("k.json", 1, "key-two-words")]
+
+
+def test_appends_exports_and_states(spark):
+    kind = "event_id long, session_id long, kind string, payload string, valid_from long"
+    old = spark.createDataFrame([(1, 1, "a", "x", 0, 4, 900)], kind + ", sequence long, observed_at long")
+    batch = spark.createDataFrame([(2, 1, "a", "y", 0), (3, 1, "b", "z", 0), (1, 1, "a", "x", 0), (4, 2, "a", "x", 0), (5, 3, "a", "x", 0), (6, 1, None, "x", 0), (7, 1, "a", "q", 0), (7, 1, "a", "r", 0)], kind)
+    sessions = spark.createDataFrame([(1, True), (2, False)], "session_id long, open boolean")
+    rows, out = ledger.append(old, batch, sessions, 800)
+    assert sorted((r.event_id, r.sequence, r.observed_at) for r in rows.collect()) == [(2, 5, 900), (3, 6, 900), (7, 7, 900)]
+    assert sorted((r.event_id, r.reason) for r in out.collect()) == [(1, "event_exists"), (4, "session_closed"), (5, "session_unknown"), (6, "invalid"), (7, "event_repeated")]
+    told = ledger.table_digests({"rows": (rows, ["event_id", "digest"])})
+    state = lambda expected, n: ledger.status(told, expected, spark.createDataFrame([("r", n)], "rule string, violations long")).first().state
+    same = told.select("name", "digest")
+    assert [state(same, 0), state(same, 1), state(same.withColumn("digest", F.lit("?")), 0)] == ["ready", "corrupt", "stale"]
+    assert tuple(ledger.same_rows(rows, rows.where("event_id > 2")).first()) == (1, 0)
