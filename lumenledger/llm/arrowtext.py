@@ -71,7 +71,7 @@ def partitions(spark: SparkSession) -> int:
 
 #: Bytes of an Arrow batch that goes to a Python worker. Spark's own default is 64 MB, of which
 #: the JVM and each worker of a task hold one.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
 
 
 _UNITS = {u: 1 << (10 * i) for i, u in enumerate("bkmgtp")}

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from lumenledger.llm.arrowtext import blocks, give_back, partitions, raw, small_batches
 
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: Distinct words whose ids a task remembers.
 MOST_WORDS = 200_000
 #: How the vocabulary's pre-tokenizer splits a text. A fixed value of this kind of vocabulary.

@@ -16,7 +16,6 @@ whatever their names. An empty batch or snapshot gives a result of the other alo
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,17 +128,17 @@ def _bucket(n: int) -> Column:
 def build_filters(groups: DataFrame, n_buckets: int) -> DataFrame:
     """One filter a bucket over a snapshot's distinct digests: bucket, seed, segment, filter."""
 
-    def build(of: pd.DataFrame) -> pd.DataFrame:
+    def build(of: pa.Table) -> pa.Table:
         # Two digests that share their first eight bytes are one key.
-        made = BinaryFuse(np.unique(_keys(of["digest"])))
-        return pd.DataFrame(
-            {"bucket": [of["bucket"].iloc[0]], "seed": [made.seed], "segment": [made.segment], "filter": [made.table.tobytes()]}
-        )
+        made = BinaryFuse(np.unique(_keys(of["digest"].to_pylist())))
+        kinds = {"bucket": pa.int32(), "seed": pa.int32(), "segment": pa.int32(), "filter": pa.binary()}
+        row = {"bucket": of["bucket"][0].as_py(), "seed": made.seed, "segment": made.segment, "filter": made.table.tobytes()}
+        return pa.table({k: pa.array([row[k]], t) for k, t in kinds.items()})
 
     return (
         groups.select("digest", _bucket(n_buckets))
         .groupBy("bucket")
-        .applyInPandas(build, "bucket int, seed int, segment int, filter binary")
+        .applyInArrow(build, "bucket int, seed int, segment int, filter binary")
     )
 
 

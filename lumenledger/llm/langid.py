@@ -23,7 +23,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -77,12 +76,14 @@ def count_grams(rows: DataFrame, label: str, order: int = ORDER) -> DataFrame:
 class Trees:
     """The context trees of all languages as sorted lists of strings and contexts, with their costs in bits."""
 
-    def __init__(self, counts: pd.DataFrame, order: int = ORDER):
+    def __init__(self, counts: pa.Table, order: int = ORDER):
+        """counts: label, gram, n; see count_grams."""
         self.order = order
-        self.names = sorted(counts["label"].unique())
+        names = np.array(counts["label"].to_pylist(), str)
+        self.names = sorted(set(names.tolist()))
         k = len(self.names)
-        gram, label = counts["gram"].to_numpy(np.int64), np.searchsorted(self.names, counts["label"].to_numpy(str))
-        n = counts["n"].to_numpy(np.float64)
+        gram, label = np.asarray(counts["gram"], np.int64), np.searchsorted(self.names, names)
+        n = np.asarray(counts["n"], np.float64)
         self.grams, self.costs, self.contexts, self.escapes = [], [], [], []
         for depth in range(order + 1):
             # A string of depth + 1 bytes has its last byte in the lowest place, and is seen in all its languages' texts.
@@ -145,8 +146,8 @@ def train(docs: DataFrame, label: str = "lang", rows: int = TRAIN_ROWS, order: i
     sample = docs.select("doc_id", "text", label).join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").where(F.col(label).isNotNull())
     before = F.coalesce(F.sum(F.octet_length("text")).over(order_by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sample = sample.withColumn("before", before).where(F.col("before") < most_bytes)
-    counts = count_grams(sample, label, order).toPandas()
-    return Trees(counts, order) if len(counts) else None
+    counts = count_grams(sample, label, order).toArrow()
+    return Trees(counts, order) if counts.num_rows else None
 
 
 def identify(docs: DataFrame, trees: Trees | None) -> DataFrame:

@@ -24,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -168,18 +167,22 @@ def link(classes: DataFrame, radius: int = RADIUS, shard: int = SHARD, group: in
     )
     n = max(partitions(spark), classes.count() * (radius + 1) // shard)
 
-    def find(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates()
-        which = rows.groupby(["band", "value", "more"], sort=False).ngroup().to_numpy()
-        order = np.argsort(which, kind="stable")
-        values = rows["fp"].to_numpy().astype(np.int64).view(np.uint64)[order]
-        a, b = _stars(values, which[order], radius)
-        return pd.DataFrame({"u": values[a].view(np.int64), "v": values[b].view(np.int64)}).drop_duplicates()
+    def find(rows: pa.Table) -> pa.Table:
+        col = lambda c: np.asarray(rows[c].combine_chunks(), np.int64)
+        fp, key = col("fp"), np.stack([col("band"), col("value"), np.unique(np.array(rows["more"].to_pylist(), object).astype(str), return_inverse=True)[1]])
+        order = np.lexsort((fp, *key[::-1]))
+        fp, key = fp[order], key[:, order]
+        new = np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)])
+        once = new | np.concatenate([[True], fp[1:] != fp[:-1]])
+        values, which = fp[once].view(np.uint64), (np.cumsum(new) - 1)[once]
+        a, b = _stars(values, which, radius)
+        pairs = np.unique(np.stack([values[a].view(np.int64), values[b].view(np.int64)], 1), axis=0)
+        return pa.table({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
 
     return (
         keyed.withColumn("shard", F.pmod(F.xxhash64("band", "value", "more"), F.lit(n)))
         .groupBy("shard")
-        .applyInPandas(find, "u long, v long")
+        .applyInArrow(find, "u long, v long")
     )
 
 

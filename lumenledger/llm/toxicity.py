@@ -244,7 +244,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> StringKernelMac
     shown = np.zeros(len(texts), bool)
     shown[np.concatenate(learn)] = True
     score = sample.by_odds(*sample.odds(toxic, shown))
-    clean = {(-1, 0): np.zeros(_PAD, np.uint8)}
+    clean = {(len(texts), 0): np.zeros(_PAD, np.uint8)}
     clean |= {(t, p := int(rng.random() * (sample.size[t] + _PAD))): sample.stretch(t, p) for t in learn[0].tolist()}
     bias = 0.0
     for turn in range(ROUNDS):
@@ -264,16 +264,19 @@ def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> StringKernelMac
             np.add.at(dense[:, c], row, w)
         at_ = np.minimum(np.searchsorted(held, codes), len(held) - 1)
         at_ = np.where(held[at_] == codes, at_, len(held))
-        kernel = np.concatenate([np.einsum("nfl,f->nl", dense[at_[i : i + 100]], w, optimize=True) for i in range(0, len(codes), 100)])
-        values, vectors = np.linalg.eigh(kernel[marks].astype(np.float64))
+        kernel = lambda rows: np.einsum("nfl,f->nl", dense[rows], w, optimize=True)  # noqa: B023, E731
+        own = np.concatenate([kernel(at_[marks[i : i + 100]]) for i in range(0, len(marks), 100)])
+        values, vectors = np.linalg.eigh(own.astype(np.float64))
         keep = values > 1e-6 * values.max()
         white = vectors[:, keep] / np.sqrt(values[keep])
-        kernel = kernel @ white.astype(np.float32)
-        beta, bias = _svm(kernel, y)
+        features = np.empty((len(codes), white.shape[1]), np.float32)
+        for i in range(0, len(codes), 100):
+            features[i : i + 100] = kernel(at_[i : i + 100]) @ white.astype(np.float32)
+        beta, bias = _svm(features, y)
         weights = np.zeros(_SIZE, np.float32)
         weights[held] = dense[:-1] @ (white @ beta).astype(np.float32)
         score = sample.by_weights(weights)
-        del kernel, dense
+        del kernel, dense, features
     best = np.concatenate([_two_best(stretch_scores(sample.classes(t), weights), np.array([0, sample.size[t] + _PAD])) for t in range(len(texts))])
     judge = ~shown if toxic[~shown].any() and (~toxic[~shown]).any() else np.ones(len(texts), bool)
     return StringKernelMachine(weights, *_logistic(best[judge], toxic[judge]))

@@ -322,7 +322,7 @@ def test_code_lengths_are_those_of_plain_ppm(spark):
     rng = random.Random(9)
     train = {k: ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(12)] for k, letters in (("a", "abc dé"), ("b", "bcx yü"))}
     rows = [(i, t, k) for i, (k, t) in enumerate((k, t) for k in train for t in train[k])]
-    counts = langid.count_grams(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang").toPandas()
+    counts = langid.count_grams(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang").toArrow()
     trees = langid.Trees(counts)
     texts = ["", "abc", "yü x", "zz日", "é" * 30, "a\x00b"] + ["".join(rng.choices("abcdxyü é", k=30)) for _ in range(10)]
     body = [t.encode() for t in texts]
