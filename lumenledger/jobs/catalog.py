@@ -233,18 +233,8 @@ def impact(spark: SparkSession, folder: str) -> DataFrame:
     return graph.impact(edges.distinct())
 
 
-@query("""WITH s AS (SELECT c_custkey AS id, 'r' || n_regionkey || '.n' || c_nationkey || '.' || c_mktsegment AS q, c_mktsegment || (c_custkey % 40) AS s FROM customer JOIN nation ON c_nationkey = n_nationkey),
-sym AS (SELECT id, q || (id % 40) AS qualified, s AS name FROM s),
-e AS (SELECT o_orderkey AS source, 'r' || (o_orderkey % 5) || '.n' || (o_custkey % 25) AS scope,
- CASE o_orderkey % 3 WHEN 0 THEN 'BUILDING' || (o_custkey % 45) WHEN 1 THEN 'r' || (o_orderkey % 5) || '.n' || (o_custkey % 25) || '.MACHINERY' || (o_custkey % 40) ELSE 'x.HOUSEHOLD' || (o_custkey % 40) END AS target FROM orders),
-n AS (SELECT qualified AS q, count(*) AS n, min(id) AS id FROM sym GROUP BY 1), k AS (SELECT name AS q, count(*) AS n, min(id) AS id FROM sym GROUP BY 1),
-j AS (SELECT e.source, e.target, n.n AS n0, n.id AS i0, CASE WHEN contains(e.target, '.') THEN NULL WHEN n2.n IS NOT NULL THEN n2.n ELSE n1.n END AS n1,
- CASE WHEN contains(e.target, '.') THEN NULL WHEN n2.n IS NOT NULL THEN n2.id ELSE n1.id END AS i1, k.n AS n2, k.id AS i2
- FROM e LEFT JOIN n ON n.q = e.target LEFT JOIN n n2 ON n2.q = e.scope || '.' || e.target LEFT JOIN n n1 ON n1.q = string_split(e.scope, '.')[1] || '.' || e.target
- LEFT JOIN k ON k.q = string_split(e.target, '.')[-1])
-SELECT CASE WHEN n0 = 1 THEN 'exact_qualified' WHEN n0 > 1 THEN 'ambiguous' WHEN n1 = 1 THEN 'lexical_scope' WHEN n1 > 1 THEN 'ambiguous' WHEN n2 = 1 THEN 'unique_short_name' WHEN n2 > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status,
- count(*) AS edges, sum(CASE WHEN n0 = 1 THEN i0 WHEN n0 > 1 THEN NULL WHEN n1 = 1 THEN i1 WHEN n1 > 1 THEN NULL WHEN n2 = 1 THEN i2 END)::BIGINT AS targets FROM j GROUP BY 1""")
-def name_resolution(spark: SparkSession, folder: str) -> DataFrame:
+def _named(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Edges to names of customers' symbols, and those symbols."""
     customers = table(spark, folder, "customer").join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     number = (F.col("c_custkey") % 40).cast("string")
     symbols = customers.select(
@@ -259,7 +249,39 @@ def name_resolution(spark: SparkSession, folder: str) -> DataFrame:
         .when(F.col("o_orderkey") % 3 == 1, F.concat(scope, F.lit(".MACHINERY"), tail)).otherwise(F.concat(F.lit("x.HOUSEHOLD"), tail))
     )
     edges = table(spark, folder, "orders").select(F.col("o_orderkey").alias("source"), scope.alias("scope"), target.alias("target"))
-    return graph.resolve(edges, symbols).groupBy("status").agg(F.count(F.lit(1)).alias("edges"), F.sum("target_id").alias("targets"))
+    return edges, symbols
+
+
+@query("""WITH s AS (SELECT c_custkey AS id, 'r' || n_regionkey || '.n' || c_nationkey || '.' || c_mktsegment AS q, c_mktsegment || (c_custkey % 40) AS s FROM customer JOIN nation ON c_nationkey = n_nationkey),
+sym AS (SELECT id, q || (id % 40) AS qualified, s AS name FROM s),
+e AS (SELECT o_orderkey AS source, 'r' || (o_orderkey % 5) || '.n' || (o_custkey % 25) AS scope,
+ CASE o_orderkey % 3 WHEN 0 THEN 'BUILDING' || (o_custkey % 45) WHEN 1 THEN 'r' || (o_orderkey % 5) || '.n' || (o_custkey % 25) || '.MACHINERY' || (o_custkey % 40) ELSE 'x.HOUSEHOLD' || (o_custkey % 40) END AS target FROM orders),
+n AS (SELECT qualified AS q, count(*) AS n, min(id) AS id FROM sym GROUP BY 1), k AS (SELECT name AS q, count(*) AS n, min(id) AS id FROM sym GROUP BY 1),
+j AS (SELECT e.source, e.target, n.n AS n0, n.id AS i0, CASE WHEN contains(e.target, '.') THEN NULL WHEN n2.n IS NOT NULL THEN n2.n ELSE n1.n END AS n1,
+ CASE WHEN contains(e.target, '.') THEN NULL WHEN n2.n IS NOT NULL THEN n2.id ELSE n1.id END AS i1, k.n AS n2, k.id AS i2
+ FROM e LEFT JOIN n ON n.q = e.target LEFT JOIN n n2 ON n2.q = e.scope || '.' || e.target LEFT JOIN n n1 ON n1.q = string_split(e.scope, '.')[1] || '.' || e.target
+ LEFT JOIN k ON k.q = string_split(e.target, '.')[-1])
+SELECT CASE WHEN n0 = 1 THEN 'exact_qualified' WHEN n0 > 1 THEN 'ambiguous' WHEN n1 = 1 THEN 'lexical_scope' WHEN n1 > 1 THEN 'ambiguous' WHEN n2 = 1 THEN 'unique_short_name' WHEN n2 > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status,
+ count(*) AS edges, sum(CASE WHEN n0 = 1 THEN i0 WHEN n0 > 1 THEN NULL WHEN n1 = 1 THEN i1 WHEN n1 > 1 THEN NULL WHEN n2 = 1 THEN i2 END)::BIGINT AS targets FROM j GROUP BY 1""")
+def name_resolution(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.resolve(*_named(spark, folder)).groupBy("status").agg(F.count(F.lit(1)).alias("edges"), F.sum("target_id").alias("targets"))
+
+
+@query("""WITH s AS (SELECT c_custkey AS id, 'r' || n_regionkey || '.n' || c_nationkey || '.' || c_mktsegment AS q, c_mktsegment || (c_custkey % 40) AS s FROM customer JOIN nation ON c_nationkey = n_nationkey),
+sym AS (SELECT id, q || (id % 40) AS qualified, s AS name FROM s),
+e AS (SELECT o_orderkey AS source, 'r' || (o_orderkey % 5) || '.n' || (o_custkey % 25) AS scope,
+ CASE o_orderkey % 3 WHEN 0 THEN 'BUILDING' || (o_custkey % 45) WHEN 1 THEN 'r' || (o_orderkey % 5) || '.n' || (o_custkey % 25) || '.MACHINERY' || (o_custkey % 40) ELSE 'x.HOUSEHOLD' || (o_custkey % 40) END AS target FROM orders),
+n AS (SELECT qualified AS q, count(*) AS n, min(id) AS id FROM sym GROUP BY 1), k AS (SELECT name AS q, count(*) AS n, min(id) AS id FROM sym GROUP BY 1),
+j AS (SELECT e.source, e.target, n.n AS n0, n.id AS i0, CASE WHEN contains(e.target, '.') THEN NULL WHEN n2.n IS NOT NULL THEN n2.n ELSE n1.n END AS n1,
+ CASE WHEN contains(e.target, '.') THEN NULL WHEN n2.n IS NOT NULL THEN n2.id ELSE n1.id END AS i1, k.n AS n2, k.id AS i2
+ FROM e LEFT JOIN n ON n.q = e.target LEFT JOIN n n2 ON n2.q = e.scope || '.' || e.target LEFT JOIN n n1 ON n1.q = string_split(e.scope, '.')[1] || '.' || e.target
+ LEFT JOIN k ON k.q = string_split(e.target, '.')[-1])
+SELECT source AS a, CASE WHEN n0 = 1 THEN i0 WHEN n0 IS NULL AND n1 = 1 THEN i1 ELSE i2 END AS b, 'calls' AS kind FROM j
+WHERE (n0 = 1 OR (n0 IS NULL AND n1 = 1) OR (n0 IS NULL AND n1 IS NULL AND n2 = 1)) AND source % 2 = 0 AND source IN (SELECT id FROM sym)""")
+def usable_edges(spark: SparkSession, folder: str) -> DataFrame:
+    edges, symbols = _named(spark, folder)
+    kind = F.when(F.col("source") % 2 == 0, "calls").otherwise("contains")
+    return graph.usable(graph.resolve(edges.withColumn("kind", kind), symbols), symbols, ["calls"], probable=True)
 
 
 _EVENTS = """ev AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) // 1000 AS observed_at, epoch_us(ts) // 1000 - (event_id % 7) * 86400000 AS valid_from,

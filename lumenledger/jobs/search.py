@@ -127,6 +127,20 @@ def index_update(spark: SparkSession, folder: str) -> DataFrame:
     return store.changes(before, new).groupBy("change").agg(F.count(F.lit(1)).alias("sources")).crossJoin(F.broadcast(many))
 
 
+def _concepts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """What a query of many benchmark texts recognises, and the concepts' bindings to lines of documents."""
+    items = table(spark, folder, "benchmark")
+    words = items.select(F.col("item_id").alias("concept"), fn.tokens(F.col("text")).alias("t")).where(F.size("t") >= 2)
+    aliases = words.select(F.array_join(F.slice("t", 1, 2), " ").alias("phrase"), "concept").distinct()
+    asked = items.where("item_id % 4 = 1").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]), " ").alias("text")).withColumn("q", F.lit(1))
+    known = retrieval.recognise(asked, aliases, "q", 2).where(F.contains("phrase", F.lit(" ")))
+    docs = store.documents(spark, folder).select("path", F.posexplode(fn.lines(F.col("text"))).alias("at", "t"))
+    lines = docs.select("path", (F.col("at") + 1).alias("start"), (F.col("at") + 6).alias("end"), (F.col("path").cast("long") % 40).alias("m")).where("start % 30 = 1")
+    bound = lines.join(items.select(F.col("item_id").alias("concept"), (F.col("item_id") % 40).alias("m")), "m")
+    bound = bound.select("concept", "path", "start", "end", ((F.col("concept") + F.col("path").cast("long")) % 3 != 0).alias("verified"))
+    return known, bound
+
+
 _CHUNKS = rf"""ln AS (SELECT doc_id, {_LINES} AS ln FROM documents),
 ch AS (SELECT doc_id, ln, a + 1 AS s, least(a + 80, len(ln)) AS e, array_to_string(ln[a + 1:a + 80], chr(10)) AS body FROM (SELECT doc_id, ln, unnest(range(0, greatest(0, len(ln) - 17) + 1, 64)) AS a FROM ln WHERE len(ln) > 0)),
 ck AS (SELECT doc_id, s, e, body, doc_id || ':' || s || '-' || e AS pointer, list_transform(regexp_extract_all(body, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS t FROM ch)"""
@@ -164,26 +178,20 @@ def three_channel_search(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query(rf"""WITH {_CHUNKS}, b AS (SELECT item_id, {_WORDS} AS t FROM benchmark),
+_CONCEPTS = rf"""b AS (SELECT item_id, {_WORDS} AS t FROM benchmark),
 al AS (SELECT DISTINCT array_to_string(t[1:2], ' ') AS phrase, item_id AS concept FROM b WHERE len(t) >= 2),
 o AS (SELECT phrase, min(concept) AS concept FROM al GROUP BY 1 HAVING count(DISTINCT concept) = 1),
 q AS (SELECT list_transform(regexp_extract_all(string_agg(text, ' ' ORDER BY item_id), '[A-Za-z0-9_]+'), lambda x: lower(x)) AS t FROM benchmark WHERE item_id % 4 = 1),
 r AS (SELECT DISTINCT unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS phrase FROM q),
 k AS (SELECT DISTINCT concept FROM r JOIN o USING (phrase)),
 bi AS (SELECT item_id AS concept, doc_id, generate_subscripts(l, 1) AS line, unnest(l) AS t FROM (SELECT item_id, d.doc_id, d.ln AS l FROM benchmark JOIN ln d ON d.doc_id % 40 = item_id % 40)),
-v AS (SELECT concept, doc_id, line, line + 5 AS last FROM bi WHERE line % 30 = 1 AND (concept + doc_id) % 3 <> 0)
+v AS (SELECT concept, doc_id, line, line + 5 AS last FROM bi WHERE line % 30 = 1 AND (concept + doc_id) % 3 <> 0)"""
+
+
+@query(rf"""WITH {_CHUNKS}, {_CONCEPTS}
 SELECT pointer, count(DISTINCT concept) AS concepts, row_number() OVER (ORDER BY count(DISTINCT concept) DESC, pointer) AS rank FROM v JOIN k USING (concept) JOIN ck ON ck.doc_id = v.doc_id AND s <= last AND line <= e GROUP BY 1 QUALIFY rank <= 512""")
 def concept_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    items = table(spark, folder, "benchmark")
-    words = items.select(F.col("item_id").alias("concept"), fn.tokens(F.col("text")).alias("t")).where(F.size("t") >= 2)
-    aliases = words.select(F.array_join(F.slice("t", 1, 2), " ").alias("phrase"), "concept").distinct()
-    asked = items.where("item_id % 4 = 1").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]), " ").alias("text")).withColumn("q", F.lit(1))
-    known = retrieval.recognise(asked, aliases, "q", 2).where(F.contains("phrase", F.lit(" ")))
-    docs = store.documents(spark, folder).select("path", F.posexplode(fn.lines(F.col("text"))).alias("at", "t"))
-    lines = docs.select("path", (F.col("at") + 1).alias("start"), (F.col("at") + 6).alias("end"), (F.col("path").cast("long") % 40).alias("m")).where("start % 30 = 1")
-    bound = lines.join(items.select(F.col("item_id").alias("concept"), (F.col("item_id") % 40).alias("m")), "m")
-    bound = bound.select("concept", "path", "start", "end", ((F.col("concept") + F.col("path").cast("long")) % 3 != 0).alias("verified"))
-    found = retrieval.concept_channel(known, bound, store.current(spark, folder).chunks)
+    found = retrieval.concept_channel(*_concepts(spark, folder), store.current(spark, folder).chunks)
     return found.select("pointer", "concepts", F.col("rank").cast("long").alias("rank"))
 
 
@@ -198,3 +206,37 @@ def stale_bindings(spark: SparkSession, folder: str) -> DataFrame:
     digest = F.when(n % 5 == 2, F.sha2(F.lit("x").cast("binary"), 256)).otherwise(F.sha2(quote.cast("binary"), 256))
     bindings = docs.select((n % 60).alias("concept"), "path", F.when(n % 8 == 1, "v0").otherwise("v1").alias("version"), (n % 3 + 1).alias("start"), (n % 3 + 2).alias("end"), digest.alias("digest"))
     return retrieval.stale_reasons(bindings, docs.where("path % 9 <> 4")).select("concept", F.col("path").alias("doc_id"), "start", "reason")
+
+
+@query(rf"""WITH {_CHUNKS}, {_CONCEPTS},
+g AS (SELECT count(*)::DOUBLE AS n, greatest(1e0, avg(len(t))) AS mean FROM ck),
+p AS (SELECT pointer, dl, term, count(*) AS tf FROM (SELECT pointer, len(t) AS dl, unnest(t) AS term FROM ck) WHERE term IN ('license', 'von') GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+s AS (SELECT pointer, sum(ln(1e0 + (n - df + 5e-1) / (df + 5e-1)) * tf * 2.2e0 / (tf + 1.2e0 * (2.5e-1 + 7.5e-1 * dl / mean))) AS score FROM p JOIN f USING (term), g GROUP BY ALL),
+lex AS (SELECT pointer, row_number() OVER (ORDER BY round(score, 6) DESC, pointer) AS rank FROM s QUALIFY rank <= 512),
+con AS (SELECT pointer, row_number() OVER (ORDER BY count(DISTINCT concept) DESC, pointer) AS rank FROM v JOIN k USING (concept) JOIN ck ON ck.doc_id = v.doc_id AND s <= last AND line <= e GROUP BY 1 QUALIFY rank <= 512),
+fu AS (SELECT pointer, sum(1e0 / (60 + rank)) AS score FROM (FROM lex UNION ALL FROM con) GROUP BY 1),
+sh AS (SELECT pointer, row_number() OVER (ORDER BY round(score, 9) DESC, pointer) AS rank FROM fu QUALIFY rank <= 512)
+SELECT pointer, lex.rank AS before, sh.rank AS after, lex.rank - sh.rank AS change FROM lex FULL JOIN sh USING (pointer)""")
+def concept_shadow(spark: SparkSession, folder: str) -> DataFrame:
+    held = store.current(spark, folder)
+    scored = store.bm25(held, "chunk", ["license", "von"]).withColumnRenamed("key", "pointer")
+    baseline = retrieval.ranked(scored, "pointer", "lexical")
+    concepts = retrieval.concept_channel(*_concepts(spark, folder), held.chunks).select(F.lit("concept").alias("channel"), "pointer", "rank")
+    fused = retrieval.fuse([baseline, concepts], "pointer").withColumn("score", F.round("score", 9))
+    # The baseline's own ranking stays as it is; the shadow is told beside it.
+    shadow = retrieval.ranked(fused, "pointer", "shadow", most=retrieval.MOST).withColumn("rank", F.col("rank").cast("long"))
+    return retrieval.rank_changes(baseline.withColumn("rank", F.col("rank").cast("long")), shadow, "pointer")
+
+
+@query(rf"""WITH {_CHUNKS}, q AS (SELECT ['license', 'the', 'de'] AS t), tt AS (SELECT 'q' AS id, t FROM q UNION ALL SELECT pointer, t FROM ck),
+x AS (SELECT id, unnest(t || list_transform(range(1, len(t)), lambda i: t[i] || chr(31) || t[i + 1])) AS feature FROM tt),
+h AS (SELECT id, sha256(feature) AS h, count(*) AS n FROM x GROUP BY id, feature),
+w AS (SELECT id, (('0x' || substr(h, 1, 16))::UBIGINT % 384)::INT AS idx, sum(CASE WHEN ('0x' || substr(h, 17, 2))::INT % 2 = 0 THEN n ELSE -n END) AS w FROM h GROUP BY ALL),
+m AS (SELECT id, sqrt(sum((w * w)::DOUBLE)) AS norm FROM w WHERE w <> 0 GROUP BY id), v AS (SELECT id, idx, w::DOUBLE / norm AS v FROM w JOIN m USING (id) WHERE w <> 0),
+cs AS (SELECT d.id AS pointer, sum(q.v * d.v) AS cos FROM v d JOIN v q ON q.idx = d.idx AND q.id = 'q' WHERE d.id <> 'q' GROUP BY d.id),
+o AS (SELECT pointer, len(list_intersect(list_distinct(t), ['license', 'the', 'de']))::DOUBLE / 3 AS part FROM ck)
+SELECT pointer, round(0.72e0 * coalesce(cos, 0) + 0.18e0 * part, 6) AS score FROM o LEFT JOIN cs USING (pointer) ORDER BY round(0.72e0 * coalesce(cos, 0) + 0.18e0 * part, 6) DESC, pointer LIMIT 50""")
+def full_scan_search(spark: SparkSession, folder: str) -> DataFrame:
+    found = retrieval.full_scan(store.current(spark, folder), ASKED, most=50)
+    return found.select("pointer", "score")

@@ -13,7 +13,7 @@ FRONTIER = 200_000
 
 
 def resolve(edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Edges (source, scope, target) with status, confidence and target_id.
+    """Edges (source, scope, target, and other columns) with status, confidence and target_id.
 
     First match wins: the one symbol of that qualified name; several are ambiguous, and that
     ends it; the longest enclosing scope with a symbol of that name; the one symbol of that
@@ -35,7 +35,18 @@ def resolve(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     )
     strength = F.when(F.col("status").isin("exact_qualified", "lexical_scope"), "strong").when(F.col("status") == "unique_short_name", "probable").otherwise("none")
     target = F.when(F.col("status") == "exact_qualified", F.col("id")).when(F.col("status") == "lexical_scope", F.col("idl")).when(F.col("status") == "unique_short_name", F.col("ids"))
-    return found.withColumn("status", status).select("source", "scope", "target", "status", strength.alias("confidence"), target.alias("target_id"))
+    return found.withColumn("status", status).select("source", "scope", "target", "status", strength.alias("confidence"), target.alias("target_id"), *[c for c in edges.columns if c not in ("source", "scope", "target")])
+
+
+def usable(resolved: DataFrame, symbols: DataFrame, kinds: list[str] | None = None, probable: bool = False) -> DataFrame:
+    """Edges (a, b, kind) of resolve's result that may be walked: strong ones, probable ones where asked for, of these kinds, both ends known."""
+    wanted = ("strong", "probable") if probable else ("strong",)
+    held = resolved.where(F.col("confidence").isin(*wanted) & F.col("target_id").isNotNull())
+    if kinds is not None:
+        held = held.where(F.col("kind").isin(*kinds))
+    ends = held.select(F.col("source").alias("a"), F.col("target_id").alias("b"), "kind")
+    known = lambda c: symbols.select(F.col("id").alias(c)).distinct()
+    return ends.join(known("a"), "a", "left_semi").join(known("b"), "b", "left_semi")
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
