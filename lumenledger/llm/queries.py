@@ -10,7 +10,7 @@ from lumenledger.llm.langid import op9_language_id
 from lumenledger.llm.length_histogram import op6_token_counts
 from lumenledger.llm.licenses import op8_license_scan
 from lumenledger.llm.simhash import op3_simhash
-from lumenledger.llm.substring_dedup import op2_substring_dedup
+from lumenledger.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 from lumenledger.llm.toxicity import op5_toxicity
 
 QUERIES = {
@@ -21,4 +21,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op7_decontamination": OP7_SQL}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op7_decontamination": OP7_SQL}

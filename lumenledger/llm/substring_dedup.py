@@ -501,3 +501,15 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents without the repeats of 50 bytes."""
     cut = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT r, doc_id, i, md5_number(substr(x, 2 * i - 1, 100)) AS h FROM (SELECT *, unnest(range(1, length(x) // 2 - 48)) AS i FROM d)),
+least AS (SELECT h, min(doc_id) AS m FROM w GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS gap FROM w JOIN least USING (h) WHERE m < doc_id),
+run AS (SELECT r, min(i) AS s, max(i) + 49 AS e FROM (SELECT r, i, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS k FROM hit) GROUP BY r, k),
+cut AS (SELECT r, sum(e - s + 1) AS gone, count(*) AS spans, max(e) AS last, string_agg(substr(x, 2 * before + 1, 2 * (s - 1 - before)), '' ORDER BY s) AS head
+ FROM (SELECT *, lag(e, 1, 0) OVER (PARTITION BY r ORDER BY s) AS before FROM run) JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+ sha256(unhex(CASE WHEN spans IS NULL THEN x ELSE head || substr(x, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN cut USING (r)
+"""
