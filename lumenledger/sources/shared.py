@@ -15,7 +15,7 @@ def shared_root(spark: SparkSession) -> str:
         return folder
     if spark.sparkContext.getCheckpointDir():
         return spark.sparkContext.getCheckpointDir()
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.checkpoints"
 
