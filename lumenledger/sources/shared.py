@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; in local mode, where that is unset, a folder beside the warehouse.
+    """spark.checkpoint.dir; in local mode, where that is unset, a folder beside the warehouse, or a temporary one if that can't be written.
 
     On a cluster there is no default: a folder of the driver's own would lose what executors write.
     """
@@ -17,7 +20,13 @@ def shared_root(spark: SparkSession) -> str:
         return spark.sparkContext.getCheckpointDir()
     if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.checkpoints"
+    # One machine, so a folder of its own is shared.
+    at = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:").rstrip("/") + "/.checkpoints"
+    try:
+        os.makedirs(at, exist_ok=True)
+    except OSError:
+        at = tempfile.mkdtemp(prefix="checkpoints-")
+    return at
 
 
 def shared_folder(spark: SparkSession) -> str:
