@@ -10,7 +10,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lumenledger.sources.shared import checkpoint, shared_folder  # noqa: F401
@@ -64,6 +64,17 @@ def blocks(batches: Iterator[pa.RecordBatch], most_bytes: int, column: str = "te
             start = end
 
 
+def stored(df: DataFrame, per: int, **more: Column) -> tuple[DataFrame, dict]:
+    """A checkpoint of df in tasks of about `per` rows, and its number of rows n and other aggregates, taken in the same job.
+
+    Small tables would else leave a file for each of many empty partitions in every shuffle that follows.
+    """
+    seen = Observation()
+    out = checkpoint(df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in more.items())))
+    told = seen.get
+    return out.coalesce(max(1, -(-told["n"] // per))), told
+
+
 def partitions(spark: SparkSession) -> int:
     """How many partitions this session's shuffles have."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenledger.llm.arrowtext import blocks, checkpoint, give_back, join_keys, partitions, small_batches, texts
+from lumenledger.llm.arrowtext import blocks, give_back, join_keys, partitions, small_batches, stored, texts
 from lumenledger.llm.simhash import _LOWER, components, fingerprints, link
 
 SHINGLE = 5
@@ -47,6 +47,8 @@ BLOOM_BITS, MOST_BLOOM = 16, 1 << 28
 BROADCAST = 500_000
 #: Bits of a set's bitmap.
 BITS = 2048
+#: Rows of shingles or pairs in a task, about, and of documents or of pairs that fetch their sets.
+ROWS, DOCUMENTS = 200_000, 5_000
 #: Leaders of a shingle's prefixes.
 LEADERS = 4
 #: Classes of one shingle in a block of comparisons, and rows in a task of them, about.
@@ -95,9 +97,9 @@ def frequent(docs: DataFrame, every: int = EVERY) -> Bloom:
         give_back()
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
-    found = checkpoint(sample.mapInArrow(make, "h long").groupBy("h").count().where("count > 1").select("h"))
+    found, told = stored(sample.mapInArrow(make, "h long").groupBy("h").count().where("count > 1").select("h"), ROWS)
     size = 1 << 12
-    while size < min(MOST_BLOOM, found.count() * BLOOM_BITS):
+    while size < min(MOST_BLOOM, told["n"] * BLOOM_BITS):
         size *= 2
     mask = F.lit(size - 1)
     places = found.select(F.explode(F.array(*(F.shiftrightunsigned("h", n).bitwiseAND(mask) for n in (0, 32)))).alias("at"))
@@ -176,7 +178,7 @@ def shared_heads(made: DataFrame, total: int) -> DataFrame:
     rare = rare.join(rare.groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("h"), "h")
     common = each.where("common")
     held = common.groupBy("h").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count(F.lit(1)).alias("many")).where("a < b").select("h", "many")
-    return rare.unionByName(join_keys(common, checkpoint(held), "h", "many", total).drop("many")).withColumn("root", F.col("cls"))
+    return rare.unionByName(join_keys(common, stored(held, ROWS)[0], "h", "many", total).drop("many")).withColumn("root", F.col("cls"))
 
 
 def to_leaders(heads: DataFrame, total: int) -> DataFrame:
@@ -195,7 +197,7 @@ def mixed(heads: DataFrame, found: DataFrame) -> DataFrame:
     several = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.countDistinct("cls").alias("many"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("set"))
     # Shingles with the same classes, as those of one passage, would compare the same pairs.
     several = several.where("low < high").groupBy("set", "many", "low", "high").agg(F.min("h").alias("h")).select("h", "many")
-    return checkpoint(rooted.join(several, "h").select("h", "cls", "n", "root", "many").distinct())
+    return stored(rooted.join(several, "h").select("h", "cls", "n", "root", "many").distinct(), ROWS)[0]
 
 
 def between(heads: DataFrame, made: DataFrame) -> DataFrame:
@@ -238,7 +240,7 @@ def between(heads: DataFrame, made: DataFrame) -> DataFrame:
 
 def by_fingerprints(docs: DataFrame, made: DataFrame, total: int) -> DataFrame:
     """Pairs (u, v) of classes that SimHash over five-word shingles links: classes of one fingerprint, and stars of linked ones."""
-    prints = checkpoint(fingerprints(docs, SHINGLE).join(made.select("doc_id", "cls"), "doc_id").groupBy("fp", "cls").agg(F.count(F.lit(1)).alias("rows")))
+    prints = stored(fingerprints(docs, SHINGLE).join(made.select("doc_id", "cls"), "doc_id").groupBy("fp", "cls").agg(F.count(F.lit(1)).alias("rows")), ROWS)[0]
     leads = prints.groupBy("fp").agg(F.min("cls").alias("lead"), F.count(F.lit(1)).alias("many"))
     own = join_keys(prints, leads.where("many > 1"), "fp", "many", total).select(F.col("cls").alias("u"), F.col("lead").alias("v"))
     stars = link(leads.select("fp")).distinct()
@@ -257,10 +259,10 @@ def may_reach(pairs: DataFrame, made: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, made: DataFrame) -> DataFrame:
     """Those of the pairs (u, v) of classes whose sets have a similarity of 4/5 or more. Sets are made anew for these classes only."""
-    pairs = checkpoint(pairs)
+    pairs = stored(pairs, DOCUMENTS)[0]
     asked = pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct()
-    few = checkpoint(made.join(asked, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
-    chosen = docs.select("doc_id", "text").join(F.broadcast(few) if few.count() <= BROADCAST else few, "doc_id", "left_semi")
+    few, told = stored(made.join(asked, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), ROWS)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(few) if told["n"] <= BROADCAST else few, "doc_id", "left_semi")
     of = set_rows(chosen)
     a = of.select(F.col("cls").alias("u"), F.col("shingles").alias("x"))
     b = of.select(F.col("cls").alias("v"), F.col("shingles").alias("y"))
@@ -271,16 +273,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame, made: DataFrame) -> DataFrame:
 def links(docs: DataFrame, made: DataFrame, total: int) -> DataFrame:
     """Pairs (u, v) of classes with a similarity of 4/5 or more, whose components are those of all such pairs."""
     # Equal sets are one class; rows of a shingle are in one partition already.
-    heads = checkpoint(shared_heads(made, total))
+    heads = stored(shared_heads(made, total), ROWS)[0]
     first = to_leaders(heads, total).union(by_fingerprints(docs, made, total)).distinct()
-    near = checkpoint(confirmed(may_reach(first, made), docs, made))
+    near = stored(confirmed(may_reach(first, made), docs, made), ROWS)[0]
     return near.union(confirmed(between(mixed(heads, components(near)), made), docs, made))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, component_id for every row: the least doc_id that links of near copies reach."""
-    made = checkpoint(prefixes(docs))
-    total = made.count()
+    made, told = stored(prefixes(docs), DOCUMENTS)
+    total = told["n"]
     classes = made.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("many"))
     found = components(links(docs, made, total))
     rooted = classes.join(found, classes["cls"] == found["node"], "left").select("cls", "least", "many", F.coalesce("root", "cls").alias("root"))

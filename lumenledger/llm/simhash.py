@@ -25,15 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenledger.llm.arrowtext import blocks, checkpoint, give_back, join_keys, partitions, small_batches, texts
+from lumenledger.llm.arrowtext import blocks, checkpoint, give_back, join_keys, partitions, small_batches, stored, texts
 
 RADIUS = 2
 SHINGLE = 3
 #: Classes in a shard task, about, and the most in a group before it is dealt by its other bits.
 SHARD, GROUP = 50_000, 20_000
+#: Edges in a task, about.
+EDGES = 200_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 
 
@@ -193,21 +195,17 @@ def components(edges: DataFrame) -> DataFrame:
     up before each shuffle, so a node with very many neighbours is one row in them.
     """
 
-    def stored(e: DataFrame) -> tuple[DataFrame, tuple]:
-        """The distinct edges, cut from their lineage, and what tells them from others, in one job."""
-        seen = Observation()
-        sums = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")
-        e = checkpoint(e.distinct().observe(seen, *sums))
-        return e, (seen.get["n"], seen.get["s"])
-
-    edges, before = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-    while before[0]:
+    marks = {"s": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    edges, before = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), EDGES, **marks)
+    while before["n"]:
+        tasks = max(1, -(-before["n"] // EDGES))
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        edges, now = stored(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v"))
+        small = large.join(low, "u").coalesce(tasks)
+        moved = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        edges, now = stored(moved.where("u <> v").distinct(), EDGES, **marks)
         if now == before:
             break
         before = now
