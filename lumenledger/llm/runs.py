@@ -80,11 +80,24 @@ def _hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
+def _keys(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A word of up to 7 bytes as these and their number; a longer one's hash under a top byte of ones."""
+    keys = _hashes(data, begin, end) | np.uint64(0xFF << 56)
+    small = np.flatnonzero(end - begin < 8)
+    for a in range(0, len(small), _PIECE):
+        some = small[a : a + _PIECE]
+        low, size = int(begin[some[0]]), (end - begin)[some].astype(np.uint64)
+        body = np.concatenate([data[low : int(end[some[-1]])], np.zeros(8, np.uint8)])
+        eight = np.lib.stride_tricks.as_strided(body.view(np.uint8), (len(body) - 7, 8), (1, 1))[begin[some] - low]
+        keys[some] = np.ascontiguousarray(eight).view("<u8")[:, 0] & ((np.uint64(1) << (size * np.uint64(8))) - np.uint64(1)) | size << np.uint64(56)
+    return keys
+
+
 def number(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A number for every word, the same for the same bytes. Only words whose hash repeats are told apart by their bytes."""
-    _, codes, many = np.unique(_hashes(data, begin, end), return_inverse=True, return_counts=True)
+    """A number for every word, the same for the same bytes. Of long words those whose hash repeats are told apart by their bytes."""
+    _, codes, many = np.unique(_keys(data, begin, end), return_inverse=True, return_counts=True)
     codes = codes.astype(np.int64)
-    again, known = np.flatnonzero(many[codes] > 1), {}
+    again, known = np.flatnonzero((many[codes] > 1) & (end - begin > 7)), {}
     for a in range(0, len(again), _PIECE):
         some = again[a : a + _PIECE]
         codes[some] = [known.setdefault(w, len(many) + len(known)) for w in _words(data, begin[some], end[some])]
