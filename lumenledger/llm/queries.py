@@ -9,6 +9,7 @@ from lumenledger.llm.htmltext import op4_html_text
 from lumenledger.llm.langid import op9_language_id
 from lumenledger.llm.length_histogram import op6_token_counts
 from lumenledger.llm.licenses import op8_license_scan
+from lumenledger.llm.personal import op12_pii
 from lumenledger.llm.runs import op13_periodic_runs
 from lumenledger.llm.simhash import op3_simhash
 from lumenledger.llm.substring_dedup import OP2_SQL, op2_substring_dedup
@@ -18,7 +19,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_substring_dedup, op3_simhash, op4_html_text, op5_toxicity,
-        op6_token_counts, op7_decontamination, op8_license_scan, op9_language_id, op10_bpe, op13_periodic_runs,
+        op6_token_counts, op7_decontamination, op8_license_scan, op9_language_id, op10_bpe,
+        op12_pii, op13_periodic_runs,
     )
 }
 
