@@ -14,13 +14,14 @@ from lumenledger.llm.runs import op13_periodic_runs
 from lumenledger.llm.simhash import op3_simhash
 from lumenledger.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 from lumenledger.llm.toxicity import op5_toxicity
+from lumenledger.llm.whitening import op11_whitening
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_substring_dedup, op3_simhash, op4_html_text, op5_toxicity,
         op6_token_counts, op7_decontamination, op8_license_scan, op9_language_id, op10_bpe,
-        op12_pii, op13_periodic_runs,
+        op11_whitening, op12_pii, op13_periodic_runs,
     )
 }
 
