@@ -2,9 +2,11 @@
 
 Every element's subtree is hashed. Spark counts for each host on how many different pages a
 subtree occurs (copies of a whole page count once); subtrees that recur on many of a host's pages
-are its template. A page then loses its template subtrees, the elements whose tag, class, id or
-role says that they are no content (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments), and everything outside its article.
+are its template. A page then loses its template subtrees, the elements whose tag says that they are no
+content (menus, headers, footers, forms, scripts, styles), the boxes whose class, role or, outside
+of articles, id says so (sidebars, notices, adverts, comments), and everything outside its article.
+Names of headings, paragraphs and inline elements say nothing, nor does a box's id in an article, as
+sections have ids to be linked to; only ids that wholly name readers' comments count there.
 
 Inside an article a template subtree goes if it is a box: a division, section, list, table or
 figure, whatever its name. Paragraphs, headings, quotations and the article itself are prose and
@@ -26,6 +28,7 @@ import hashlib
 import html
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,8 +40,13 @@ from lumenledger.llm.arrowtext import blocks, checkpoint, give_back, join_keys,
 #: A subtree is a template if it is on MIN_PAGES of a host, and on such a share of them or on MANY_PAGES.
 MIN_PAGES, MIN_SHARE, MANY_PAGES = 5, 0.2, 200
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+#: A tag without quotes whole, or the beginning of another one, of a comment or of a declaration.
+_TOKEN = re.compile(r"<(?:(/?[a-zA-Z][^\s/<>]*)(?:([^\"'<>]*)(>))?|!--|[!?])")
+#: What may end a tag, or hide its end.
+_MARK = re.compile("[\"'>]")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: Character references beyond all code points; Python refuses to read very long numbers.
+_TOO_FAR = re.compile(r"&#(?:[0-9]{12,}|[xX][0-9a-fA-F]{12,});?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title iframe svg math object".split())
 _BLOCK = frozenset(
@@ -48,6 +56,8 @@ _BLOCK = frozenset(
 #: What a template may have inside an article.
 _BOXES = frozenset("aside details div dl figure footer form header menu nav ol section table ul".split())
 _DROPPED = frozenset("head nav footer aside form button select option label input menu dialog".split()) | _RAW
+#: What an open element is not closed across.
+_CONTAINERS = frozenset("div ul ol table article section main body td blockquote dl".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsored|promo|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|site-header|page-header|"
@@ -55,61 +65,119 @@ _NAMED = re.compile(
     r"complementary|contentinfo)(?:$|[\s_-])",
     re.I,
 )
+#: Of which elements an opening tag ends one: a block ends a paragraph, an item another item.
+_CLOSING = {t: tuple(x for x in (("p",) if t in _BLOCK else (), tuple(sorted(_CLOSES.get(t, ())))) if x) for t in _BLOCK | _CLOSES.keys()}
+#: Ids that name readers' comments, wherever they stand.
+_COMMENTS = frozenset("comments comment-list disqus_thread respond".split())
 
 
 class Node:
-    __slots__ = ("tag", "name", "parent", "children")
-
-    def __init__(self, tag: str, name: str, parent: Node | None):
-        self.tag, self.name, self.parent, self.children = tag, name, parent, []
+    __slots__ = ("tag", "name", "id", "parent", "children", "depth", "container")
+
+    def __init__(self, tag: str, name: str, own_id: str, parent: Node | None):
+        self.tag, self.name, self.id, self.parent, self.children = tag, name, own_id, parent, []
+        self.depth = parent.depth + 1 if parent else 0
+        self.container = self if parent is None or tag in _CONTAINERS else parent.container
+
+
+class Tags:
+    """Where tags end: at the first > outside quotes. The marks of a page are read once, however many tags never end."""
+
+    def __init__(self, page: str):
+        self.page, self.next, self.known = page, -1, None
+
+    def end(self, place: int) -> int:
+        """The > of the tag whose name ends at place, or -1. Places must not fall."""
+        if self.next < place:
+            found = _MARK.search(self.page, place)
+            self.next = found.start() if found else len(self.page)
+        if self.next == len(self.page):
+            return -1
+        if self.page[self.next] == ">":
+            return self.next
+        if self.known is None:
+            self._read()
+        return self.known[self.next]
+
+    def _read(self) -> None:
+        """For each mark from here on, the > that ends a tag in which it is the first one; backwards, as a quote goes on after its partner."""
+        marks = [(m.start(), m[0]) for m in _MARK.finditer(self.page, self.next)]
+        self.known, last, after = {}, {}, -1
+        for place, mark in reversed(marks):
+            if mark == ">":
+                now = place
+            else:
+                now = last.get(mark, -1)  # what follows this quote's partner
+                last[mark] = after
+            self.known[place] = after = now
+
+
+def _decoded(text: str) -> str:
+    return html.unescape(_TOO_FAR.sub("\ufffd", text) if "&#" in text else text)
+
+
+def _closed(at: Node, node: Node, opened: dict[str, list[Node]]) -> Node:
+    """Closes all elements from the current one to node; what is current then."""
+    while at is not node.parent:
+        opened[at.tag].pop()
+        at = at.parent
+    return at
 
 
 def parse(page: str) -> Node:
-    """The element tree; children are nodes and, decoded, texts."""
-    root = at = Node("", "", None)
-    place = 0
+    """The element tree; children are nodes and, decoded, texts. In time that grows with the page, whatever it holds."""
+    root = at = Node("", "", "", None)
+    tags, opened, place, text = Tags(page), defaultdict(list), 0, 0
+
     while m := _TOKEN.search(page, place):
-        if m.start() > place:
-            at.children.append(html.unescape(page[place : m.start()]))
-        place = m.end()
-        if m[2] is None:
+        start, name, end = m.start(), m[1], m.end()
+        if name is None:
+            found = page.find("-->" if m[0] == "<!--" else ">", end)
+            if found < 0 and m[0] != "<!--":
+                break
+            place = found + (3 if m[0] == "<!--" else 1) if found >= 0 else len(page)
+        elif m[3]:
+            attributes, place = m[2], end
+        else:
+            found = tags.end(end)
+            if found < 0:
+                place = start + 1
+                continue
+            attributes, place = page[end:found], found + 1
+        if start > text:
+            at.children.append(_decoded(page[text:start]))
+        text = place
+        if name is None:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            node = at
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                at = node.parent
+        tag = name.lower()
+        if tag[0] == "/":
+            if opened[tag[1:]]:
+                at = _closed(at, opened[tag[1:]][-1], opened)
             continue
-        if tag in _BLOCK:
-            at = _close(at, {"p"})
-        if tag in _CLOSES:
-            at = _close(at, _CLOSES[tag])
-        name = " ".join(v.strip("\"'") for _, v in _ATTRIBUTE.findall(m[3])) if m[3] else ""
-        node = Node(tag, name, at)
+        for closing in _CLOSING.get(tag, ()):
+            # The innermost open element of these, unless a container stands between.
+            inner = None
+            for t in closing:
+                if opened[t] and (inner is None or opened[t][-1].depth > inner.depth):
+                    inner = opened[t][-1]
+            if inner is not None and inner.depth >= at.container.depth:
+                at = _closed(at, inner, opened)
+        named = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
+        node = Node(tag, " ".join(named[k] for k in ("class", "role") if named.get(k)), named.get("id", ""), at)
         at.children.append(node)
-        if tag in _RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, place)
-            node.children.append(page[place : end.start() if end else len(page)])
-            place = end.end() if end else len(page)
-        elif tag not in _VOID and not m[3].endswith("/"):
+        whole = attributes.endswith("/")
+        if tag in _RAW and not whole:
+            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, place)
+            node.children.append(page[place : close.start() if close else len(page)])
+            text = place = close.end() if close else len(page)
+        elif tag not in _VOID and not whole:
             at = node
-    if place < len(page):
-        at.children.append(html.unescape(page[place:]))
+            opened[tag].append(node)
+    if text < len(page):
+        at.children.append(_decoded(page[text:]))
     return root
 
 
-def _close(at: Node, tags: set[str]) -> Node:
-    """Where a tag goes that ends an open element of these tags, unless a container stands between."""
-    node = at
-    while node.parent is not None and node.tag not in ("div", "ul", "ol", "table", "article", "section", "main", "body", "td", "blockquote", "dl"):
-        if node.tag in tags:
-            return node.parent
-        node = node.parent
-    return node.parent if node.tag in tags else at
-
-
 def hashes(root: Node) -> dict[int, int]:
     """A signed 64-bit hash of each element's subtree: tags, names, texts with white space as one space."""
     out: dict[int, int] = {}
@@ -120,7 +188,7 @@ def hashes(root: Node) -> dict[int, int]:
             stack.append((node, True))
             stack += [(c, False) for c in node.children if isinstance(c, Node)]
             continue
-        h = hashlib.blake2b(f"{node.tag}\0{node.name}\0".encode(), digest_size=8)
+        h = hashlib.blake2b(f"{node.tag}\0{node.name}\0{node.id}\0".encode("utf-8", "replace"), digest_size=8)
         for c in node.children:
             h.update(out[id(c)].to_bytes(8, "little", signed=True) if isinstance(c, Node) else " ".join(c.split()).encode("utf-8", "replace") + b"\0")
         out[id(node)] = int.from_bytes(h.digest(), "little", signed=True)
@@ -128,9 +196,10 @@ def hashes(root: Node) -> dict[int, int]:
 
 
 def _no_content(node: Node, inside: bool) -> bool:
+    """Whether an element is no content: by its tag, or, if it is a box, by its class or role, and outside of articles by its id."""
     if node.tag in _DROPPED or (node.tag == "header" and not inside):
         return True
-    return bool(node.name) and node.tag not in ("article", "main", "body", "html") and bool(_NAMED.search(node.name))
+    return node.tag in _BOXES and bool(_NAMED.search(node.name) or (node.id in _COMMENTS if inside else _NAMED.search(node.id)))
 
 
 def content(root: Node) -> list[Node]:
@@ -151,7 +220,7 @@ def content(root: Node) -> list[Node]:
 def extract(root: Node, template: frozenset[int] = frozenset()) -> str:
     """The blocks of the page's content, without the template's subtrees."""
     tops = content(root)
-    guarded = tops != [root]
+    first, guarded = {id(n) for n in tops}, tops != [root]
     hashed = hashes(root) if template else {}
     may_go = _BOXES if guarded else _BLOCK
     lines, line = [], []
@@ -171,7 +240,7 @@ def extract(root: Node, template: frozenset[int] = frozenset()) -> str:
             line.append(node)
         elif node.tag == "br":
             line.append(" ")
-        elif not (node not in tops and node.tag and _no_content(node, guarded)) and not (node not in tops and node.tag in may_go and hashed.get(id(node)) in template):
+        elif id(node) in first or not (node.tag and _no_content(node, guarded) or node.tag in may_go and hashed.get(id(node)) in template):
             if node.tag in _BLOCK or not node.tag:
                 end()
                 stack.append(None)
@@ -185,12 +254,12 @@ def subtrees(root: Node) -> tuple[int, set[int]]:
 
     An inline element that recurs is a common word or phrase, not a part of a template.
     """
-    tops = content(root)
+    tops = {id(n) for n in content(root)}
     hashed = hashes(root)
     out, stack = set(), [(root, False)]
     while stack:
         node, inside = stack.pop()
-        if node in tops and node is not root:
+        if id(node) in tops and node is not root:
             inside = True
         elif node.tag in (_BOXES if inside else _BLOCK | _DROPPED) and node.tag not in ("html", "body", "head"):
             out.add(hashed[id(node)])
