@@ -11,7 +11,7 @@ strings (context and byte) for each length, with each string's cost under every
 of contexts with the cost of escaping from them. A byte is looked up with its longest context
 first; only bytes that no language saw there go on to the shorter one.
 
-Null, empty and letterless texts are ``und`` with score 0. A text of any length is scored
+Null, empty and letterless texts are ``und`` with score 0; numerals are no letters. A text of any length is scored
 whole. Ties go to the first language in alphabetical order. Without any training rows every
 text is ``und``. Repeated rows each get their answer; in training a repeated doc_id's rows all
 count, and a row without doc_id teaches nothing. Only doc_id, text and the label column are read.
@@ -33,7 +33,13 @@ ORDER = 3
 #: Rows and bytes of text of each language that are trained on at most, taken by a hash of their ids.
 TRAIN_ROWS, TRAIN_BYTES = 1000, 4 << 20
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: What may be a letter: this also has numerals such as fractions, which are none.
+_MAYBE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter. Numerals, also fractions and Roman ones, are none."""
+    return any(m[0].isalpha() for m in _MAYBE.finditer(text or ""))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -158,7 +164,7 @@ def identify(docs: DataFrame, trees: Trees | None) -> DataFrame:
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for block in blocks(batches, 1 << 20):
-            letters = np.array([bool(t and _LETTER.search(t)) for t in block["text"].to_pylist()], bool)
+            letters = np.array([has_letter(t) for t in block["text"].to_pylist()], bool)
             n = block.num_rows
             if model is None:
                 name, score = np.full(n, UNKNOWN, object), np.zeros(n)

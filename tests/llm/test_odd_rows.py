@@ -175,3 +175,11 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     kept = sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert kept == sorted([i for i in range(200) if i % 4] + [300, 304, 305])
+
+
+def test_numerals_are_no_letters(spark):
+    rows = [(1, "½"), (2, "² ³"), (3, "Ⅷ"), (4, "12 _ 34"), (5, "½ a"), (6, "中")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    trees = langid.train(spark.createDataFrame([(i, "the of and", "en") for i in range(8)] + [(i, "der die das", "de") for i in range(8, 16)], "doc_id long, text string, lang string"))
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df, trees).collect()}
+    assert {i for i, lang in got.items() if lang == "und"} == {1, 2, 3, 4}
