@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -72,6 +73,10 @@ def stored(df: DataFrame, per: int, **more: Column) -> tuple[DataFrame, dict]:
     seen = Observation()
     out = checkpoint(df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in more.items())))
     told = seen.get
+    # Spark deletes the shuffle files of steps that nothing refers to any more when the driver collects its garbage,
+    # which a driver with little to do may not do for hours.
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return out.coalesce(max(1, -(-told["n"] // per))), told
 
 

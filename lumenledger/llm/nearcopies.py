@@ -22,12 +22,14 @@ with; only the others fetch their whole sets.
 Words are those of simhash. Fewer than ``SHINGLE`` words are one shingle; texts without a
 word, so also null and the empty text, have the empty set and are alike. A shingle stands for
 its 64-bit hash, a set for that of its sorted hashes. Repeated rows are one class; a row without
-doc_id counts in its class, but no component is named for it. An empty table gives an empty
+doc_id counts in its class and links like any other; a component that has no id at all has no
+name, and of its rows one of the least text digest stays. An empty table gives an empty
 result. Columns beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,8 +113,9 @@ def frequent(docs: DataFrame, every: int = EVERY) -> Bloom:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, cls, n, rare, bits, prefix for every row: the set's digest, its size, how many shingles of its
-    prefix are in no list of frequent ones, its bitmap, and the prefix's shingles, the rare ones first."""
+    """doc_id, digest, cls, n, rare, bits, prefix for every row: the text's digest where there is no doc_id, the set's
+    digest, its size, how many shingles of its prefix are in no list of frequent ones, its bitmap, and the prefix's
+    shingles, the rare ones first."""
     import xxhash
 
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs))
@@ -120,8 +123,10 @@ def prefixes(docs: DataFrame) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for block in blocks(batches, 4 << 20):
-            cls, size, rare, heads, bits = [], [], [], [], []
-            for t in texts(block["text"]):
+            ids = block["doc_id"].to_pylist()
+            own, cls, size, rare, heads, bits = [], [], [], [], [], []
+            for i, t in zip(ids, texts(block["text"]), strict=True):
+                own.append(hashlib.sha256(t).hexdigest() if i is None else None)
                 s = shingles(t)
                 cls.append(xxhash.xxh64_intdigest(s.tobytes(), 42))
                 size.append(len(s))
@@ -134,14 +139,14 @@ def prefixes(docs: DataFrame) -> DataFrame:
             ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
             held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads)))
             yield pa.RecordBatch.from_arrays(
-                [block["doc_id"].cast(pa.int64()), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(np.array(size, np.int32)), pa.array(np.array(rare, np.int32)),
+                [pa.array(ids, pa.int64()), pa.array(own, pa.string()), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(np.array(size, np.int32)), pa.array(np.array(rare, np.int32)),
                  pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * (BITS // 64)), pa.array(np.concatenate(bits))), held],
-                ["doc_id", "cls", "n", "rare", "bits", "prefix"],
+                ["doc_id", "digest", "cls", "n", "rare", "bits", "prefix"],
             )
         give_back()
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, cls long, n int, rare int, bits array<long>, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, digest string, cls long, n int, rare int, bits array<long>, prefix array<long>")
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
@@ -261,9 +266,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, made: DataFrame) -> DataFrame:
     """Those of the pairs (u, v) of classes whose sets have a similarity of 4/5 or more. Sets are made anew for these classes only."""
     pairs = stored(pairs, DOCUMENTS)[0]
     asked = pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct()
-    few, told = stored(made.join(asked, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), ROWS)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(few) if told["n"] <= BROADCAST else few, "doc_id", "left_semi")
-    of = set_rows(chosen)
+    least, told = stored(made.join(asked, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), ROWS, unnamed=F.count_if(F.col("doc_id").isNull()))
+    few = least.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    of = set_rows(docs.select("doc_id", "text").join(F.broadcast(few) if told["n"] <= BROADCAST else few, "doc_id", "left_semi"))
+    if told["unnamed"]:
+        # Classes without any id are looked for among the rows without one. Copies are summed up before a shuffle.
+        bare = set_rows(docs.where(F.col("doc_id").isNull())).join(least.where(F.col("doc_id").isNull()).select("cls"), "cls", "left_semi")
+        of = of.unionByName(bare.groupBy("cls").agg(F.first("shingles").alias("shingles")))
     a = of.select(F.col("cls").alias("u"), F.col("shingles").alias("x"))
     b = of.select(F.col("cls").alias("v"), F.col("shingles").alias("y"))
     both = pairs.join(a, "u").join(b, "v")
@@ -280,12 +289,17 @@ def links(docs: DataFrame, made: DataFrame, total: int) -> DataFrame:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, component_id for every row: the least doc_id that links of near copies reach."""
+    """doc_id, digest, component_id, stays for every row.
+
+    component_id is the least doc_id that links of near copies reach. stays tells the rows of that doc_id; in a component
+    without any, the rows of the least digest of a text.
+    """
     made, told = stored(prefixes(docs), DOCUMENTS)
     total = told["n"]
-    classes = made.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("many"))
+    classes = made.groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("digest").alias("digest"), F.count(F.lit(1)).alias("many"))
     found = components(links(docs, made, total))
-    rooted = classes.join(found, classes["cls"] == found["node"], "left").select("cls", "least", "many", F.coalesce("root", "cls").alias("root"))
-    of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("together"))
-    named = join_keys(rooted, of_root, "root", "together", total).select("cls", "component_id", "many")
-    return join_keys(made.select("doc_id", "cls"), named, "cls", "many", total).select("doc_id", "component_id")
+    rooted = classes.join(found, classes["cls"] == found["node"], "left").select("cls", "least", "digest", "many", F.coalesce("root", "cls").alias("root"))
+    of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("digest").alias("first"), F.count(F.lit(1)).alias("together"))
+    named = join_keys(rooted.drop("digest"), of_root, "root", "together", total).select("cls", "component_id", "first", "many")
+    stays = F.coalesce(F.when(F.col("component_id").isNull(), F.col("digest") == F.col("first")).otherwise(F.col("doc_id") == F.col("component_id")), F.lit(False))
+    return join_keys(made.select("doc_id", "digest", "cls"), named, "cls", "many", total).select("doc_id", "digest", "component_id", stays.alias("stays"))

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from lumenledger.llm import nearcopies
 
 
 def rows():
@@ -47,3 +48,31 @@ def test_near_copies_of_edited_texts_go(spark):
     assert len(docs) - len(want) >= 40
     assert sorted(r.doc_id for r in got.collect()) == sorted(want)
     assert corpus_pipeline.drop_near_copies(spark, df.limit(0), None).count() == 0
+
+
+def test_rows_without_ids_link_and_stay(spark):
+    """1 and 3 are near copies only by way of a row without an id; of near copies without any id one stays."""
+    words = [f"w{i}" for i in range(120)]
+    edit = lambda ws, *at: [f"x{i}" if i in at else w for i, w in enumerate(ws)]
+    one, between, three = edit(words, 10), words, edit(words, 100)
+    one, three = edit(one, 12), edit(three, 102)
+    alone = [f"a{i}" for i in range(60)]
+    rows = [(1, one), (None, between), (3, three), (None, alone), (None, edit(alone, 58)), (None, alone), (None, ["u", "v"]), (None, None), (9, ["z"] * 9), (None, ["z"] * 9)]
+    text = lambda ws: None if ws is None else " ".join(ws)
+    grams = lambda ws: {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+    alike = lambda a, b: len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    assert alike(one, between) >= 0.8 and alike(between, three) >= 0.8 > alike(one, three) and alike(alone, edit(alone, 58)) >= 0.8
+    df = spark.createDataFrame([(i, text(w), "en", "s", 0) for i, w in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, df, None).collect()]
+    assert len(got) == 5 and {(1, text(one)), (None, "u v"), (None, None), (9, text(["z"] * 9))} < set(got)
+    assert {t for i, t in got if i is None and t not in ("u v", None)} <= {text(alone), text(edit(alone, 58))}
+    found = {(r.doc_id, r.component_id) for r in nearcopies.near_copies(df).collect()}
+    assert found == {(1, 1), (3, 1), (None, 1), (None, None), (9, 9), (None, 9)}
+
+
+def test_decontamination_stage_judges_rows_without_ids(spark, tmp_path):
+    spark.createDataFrame([(1, "a passage of the benchmark")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "here is a passage of the benchmark"), (None, "clean"), (None, None), (4, "a passage of the benchmark"), (5, "clean")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_contaminated(spark, df, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(None, "clean"), (None, None), (5, "clean")], key=str)
