@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenledger.functions import text as fn
 from lumenledger.jobs.catalog import _EVENTS, _LINES, KNOWN, _events, _sql_list, query
-from lumenledger.operators import corpus, ledger
+from lumenledger.operators import corpus, ledger, secrets
 from lumenledger.sources.tables import table
 
 _ENDS = ("/index.html", "/notes.md", "/key.pem", "/.env", "/node_modules/a.js", "/image.png", "/.cache/a.py", "/api_key.json", "/auth-token.yaml", "/Makefile", "/.github/a.yml")
@@ -181,3 +181,25 @@ def graph_equality(spark: SparkSession, folder: str) -> DataFrame:
     a = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("s")).distinct()
     more = table(spark, folder, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("k"), F.lit(-1).cast("long").alias("s"))
     return ledger.same_rows(a, a.where("k % 7 <> 1").unionByName(more))
+
+
+_JSON_VALUE = "md5(event_id::VARCHAR)"
+_JSON_SPREAD = f"list_sum(list_transform(list_distinct(string_split({_JSON_VALUE}, '')), lambda k: -((32 - length(replace({_JSON_VALUE}, k, ''))) / 32e0) * log2((32 - length(replace({_JSON_VALUE}, k, ''))) / 32e0))) >= 3.5e0"
+
+
+@query(f"""SELECT event_id, CASE WHEN event_id % 6 = 3 THEN 1 ELSE 4 END::BIGINT AS line, CASE WHEN event_id % 6 = 1 THEN 'mnemonic-assignment' ELSE 'high-entropy-credential-assignment' END AS rule FROM events
+WHERE CASE event_id % 6 WHEN 1 THEN event_id % 12 = 1 WHEN 4 THEN false WHEN 5 THEN false ELSE {_JSON_SPREAD} END""")
+def json_credentials(spark: SparkSession, folder: str) -> DataFrame:
+    """Event documents with a value under a nested key: plain, in a list of words, beside a repeated key, with an escaped key, without a credential's name, and as a placeholder."""
+    opaque = F.md5(F.col("event_id").cast("string").cast("binary"))
+    words = F.array_join(F.array_repeat(F.lit('"alpha"'), F.when(F.col("event_id") % 12 == 1, 12).otherwise(5)), ",")
+    pair = lambda k, v: F.concat(F.lit(f'"{k}":'), v)
+    text = lambda v: F.concat(F.lit('"'), v, F.lit('"'))
+    case = F.col("event_id") % 6
+    inner = (
+        F.when(case == 0, pair("api_key", F.concat(F.lit("["), text(opaque), F.lit("]")))).when(case == 1, pair("wallet_seed", F.concat(F.lit("["), words, F.lit("]"))))
+        .when(case == 2, F.concat(pair("accessKey", F.concat(F.lit("["), text(opaque), F.lit("]"))), F.lit(","), pair("accessKey", F.lit('"none"')))).when(case == 3, pair("pass\\u0077ord", F.concat(F.lit('['), text(opaque), F.lit("]"))))
+        .when(case == 4, pair("monkey", text(opaque))).otherwise(pair("token", F.concat(F.lit('"test_'), opaque, F.lit('"'))))
+    )
+    made = F.concat(F.lit('{"kind":'), text(F.col("event_type")), F.lit(',\n"props":'), F.col("props"), F.lit(',\n\n'), inner, F.lit("}"))
+    return secrets.findings(table(spark, folder, "events").select("event_id", made.alias("text")), "event_id")

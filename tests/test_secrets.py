@@ -1,0 +1,57 @@
+"""Credentials in JSON documents and in assignments over several lines."""
+
+import json
+
+from pyspark.sql import functions as F
+
+from lumenledger.operators import jsonwalk, secrets
+
+OPAQUE = "A1b2C3d4E5f6G7h8I9j0K1L2M3N4"
+HIGH, WORDS = "high-entropy-credential-assignment", "mnemonic-assignment"
+SEED = json.dumps(["alpha"] * 12)
+
+
+def test_json_documents_are_walked(spark):
+    cases = [
+        (f'{{\n "outer": {{\n  "api_key": {{\n "x": "{OPAQUE}"}}}}}}', [(4, HIGH)]),  # a nested key below a sensitive one
+        (f'{{"wallet_seed": {SEED}}}', [(1, WORDS)]),  # the words of a list
+        (f'{{"a":1,\n"wallet_seed":{SEED},"wallet_seed":"placeholder"}}', [(2, WORDS)]),  # a repeated key hides nothing
+        (f'{{"pass\\u0077ord": "{OPAQUE}"}}', [(1, HIGH)]),  # an escaped key
+        (f'{{"password":\n\n "{OPAQUE}"}}', [(1, HIGH)]),  # a pair over several lines
+        (f'[[{{"deep": [{{"dbToken": ["{OPAQUE}"]}}]}}]]', [(1, HIGH)]),
+        (f'{{"token": ["{OPAQUE}", 5]}}', [(1, HIGH)]),  # items of a mixed list count one by one
+        (f'{{"token": ["{OPAQUE} {OPAQUE}"]}}', []),
+        (f'{{"say \\"hi\\"": {{"token": "{OPAQUE}"}}}}', [(1, HIGH)]),
+        (f'{{"monkey": "{OPAQUE}", "token": null, "secret": 12345678901234567890123, "credential": "none"}}', []),
+        (f'{{"token": "{OPAQUE}"', [(1, HIGH)]),  # no JSON, but a pair
+        (f'{{"token": ["{OPAQUE}"]', []),
+        ("[" * 513 + "]" * 513, [(1, "json-structure-too-deep")]),
+        (f'{"[" * 513}{{"token": "{OPAQUE}"}}{"]" * 513}', [(1, "json-structure-too-deep")]),
+        ('{"secret description": "' + "[" * 600 + '"}', []),  # brackets inside a string nest nothing
+        ("]" + "[" * 600, []),
+        (None, []), ("", []), ("{}", []),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "k int, text string")
+    got = sorted((r.k, r.line, r.rule) for r in secrets.findings(df, "k").collect())
+    assert got == sorted((i, *x) for i, (_, want) in enumerate(cases) for x in want)
+
+
+def test_assignments_go_on_over_line_ends(spark):
+    cases = [
+        (f"\n\n\ntoken =\n  {OPAQUE}", [(1, HIGH)]),  # begins with the blank lines before it
+        (f"a: b\nexport  secret\n:\n\n{OPAQUE}\nx=1", [(2, HIGH)]),
+        (f"a = 1\n \n\n  db_token: {OPAQUE} # why", [(2, HIGH)]),
+        (f"EXPORT TOKEN={OPAQUE}\ntoken={OPAQUE}", [(1, HIGH), (2, HIGH)]),
+        (f"token = \n\n# note\n{OPAQUE}", []),
+        (f"say token = {OPAQUE}", []),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "k int, text string")
+    assert sorted((r.k, r.line, r.rule) for r in secrets.findings(df, "k").collect()) == sorted((i, *x) for i, (_, want) in enumerate(cases) for x in want)
+
+
+def test_walk_names_paths_and_values(spark):
+    doc = {"a": {"b.c": ["x", "y"], "d": [{"e": "1"}, "z", 2]}, "": "top", "n": None, "l": []}
+    df = spark.createDataFrame([(1, json.dumps(doc, indent=1)), (2, "[1"), (3, None)], "k int, text string")
+    got = {r.k: sorted((x.name, tuple(x.path), x.value) for x in r.leaves) for r in jsonwalk.walk(df, "text", lambda n: F.lit(True)).collect()}
+    want = [("", ("",), "top"), ("a.b.c", ("a", "b.c"), "x"), ("a.b.c", ("a", "b.c"), "x y"), ("a.b.c", ("a", "b.c"), "y"), ("a.d", ("a", "d"), "z"), ("a.d.e", ("a", "d", "e"), "1")]
+    assert got == {1: sorted(want), 2: [], 3: []}
