@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenledger.jobs.catalog import _EVENTS, _events, query
-from lumenledger.operators import evaluation, graph, ledger
+from lumenledger.operators import chains, evaluation, ledger
+from lumenledger.operators.ranges import numbered
 from lumenledger.sources.tables import table
 from lumenledger.streaming import outbox
 
@@ -112,7 +113,7 @@ UNION ALL SELECT 'o' || o_orderkey, 3 FROM orders""")
 def topological_layers(spark: SparkSession, folder: str) -> DataFrame:
     edge = lambda name, a, b: table(spark, folder, name).select(F.concat(F.lit(a[0]), a[1:]).alias("a"), F.concat(F.lit(b[0]), b[1:]).alias("b"))
     nations, customers = edge("nation", "rn_regionkey", "nn_nationkey"), edge("customer", "nc_nationkey", "cc_custkey")
-    return graph.peel_order(nations.union(customers).union(edge("orders", "co_custkey", "oo_orderkey")))
+    return chains.layers(nations.union(customers).union(edge("orders", "co_custkey", "oo_orderkey")))
 
 
 @query("""SELECT event_id, event_type, value FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 4096) WHERE user_id = 7 ORDER BY event_id DESC LIMIT 50""")
@@ -126,3 +127,29 @@ SELECT start, event_type, events, total FROM w WHERE start + INTERVAL 1 HOUR <=
 def windowed_events(spark: SparkSession, folder: str) -> DataFrame:
     closed = outbox.run_available(outbox.tumbling(outbox.events_stream(spark, folder), "1 hour", "1 day"))
     return closed.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "events", F.round("total", 4).alias("total"))
+
+
+_CHAINED = """s AS (SELECT event_id, user_id, lag(event_id) OVER w AS before, first_value(event_id) OVER w AS first, max(event_id) OVER (PARTITION BY user_id) AS last, row_number() OVER w - 1 AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))"""
+
+
+@query(f"""WITH {_CHAINED} SELECT event_id AS node, CASE WHEN user_id % 7 <> 3 THEN first END AS "end", CASE WHEN user_id % 7 <> 3 THEN k END AS hops, CASE WHEN user_id % 7 = 3 THEN first END AS cycle, user_id % 7 = 3 AS on_cycle
+FROM s WHERE first < last""")
+def supersession_chains(spark: SparkSession, folder: str) -> DataFrame:
+    """Each event supersedes its user's one before; some users' first event supersedes their last."""
+    events = table(spark, folder, "events").select("event_id", "user_id")
+    before = numbered(events, "user_id", "event_id", "k")
+    pairs = before.join(before.select("user_id", (F.col("k") + 1).alias("k"), F.col("event_id").alias("next")), ["user_id", "k"]).select(F.col("event_id").alias("node"), "next")
+    ends = events.groupBy("user_id").agg(F.min("event_id").alias("node"), F.max("event_id").alias("next")).where("user_id % 7 = 3 AND node < next")
+    return chains.chains(pairs.unionByName(ends.select("node", "next")))
+
+
+@query("""WITH k AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events), n AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1),
+l AS (SELECT k.*, CASE WHEN user_id % 9 = 4 AND k >= 2 THEN NULL WHEN user_id % 2 = 0 AND b.n > 0 AND NOT ((user_id - 1) % 9 = 4) THEN k + 1 ELSE k END AS layer FROM k LEFT JOIN (SELECT user_id + 1 AS user_id, n FROM n) b USING (user_id))
+SELECT event_id, layer::INT AS layer, CASE WHEN layer IS NOT NULL THEN row_number() OVER (PARTITION BY layer ORDER BY user_id, k, event_id) - 1 END AS place FROM l""")
+def import_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of users that supersede the one before, and the first ones of even users that contradict the first one of the user before; some supersede an event that is not there."""
+    events = numbered(table(spark, folder, "events").select("event_id", "user_id"), "user_id", "event_id", "k")
+    own = events.join(events.select("user_id", (F.col("k") + 1).alias("k"), F.col("event_id").alias("target")), ["user_id", "k"]).select("event_id", "target")
+    other = events.where("k = 0 AND user_id % 2 = 0 AND (user_id - 1) % 9 <> 4").join(events.select((F.col("user_id") + 1).alias("user_id"), "k", F.col("event_id").alias("target")), ["user_id", "k"]).select("event_id", "target")
+    lost = events.where("user_id % 9 = 4 AND k = 2").select("event_id", F.lit(-1).cast("long").alias("target"))
+    return chains.import_order(events.select("event_id", F.col("user_id").alias("session_id"), F.col("k").alias("sequence")), own.unionByName(other).unionByName(lost))

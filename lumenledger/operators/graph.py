@@ -1,4 +1,4 @@
-"""Edges: name resolution, neighbours, impact, distances, closures, orders."""
+"""Edges: name resolution, neighbours, impact, distances, closures."""
 
 from __future__ import annotations
 
@@ -108,20 +108,3 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = now
     return nodes.join(at.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-
-def peel_order(edges: DataFrame) -> DataFrame:
-    """node, layer: nodes of edges (a before b) by rounds in which nothing precedes them; nodes on or behind a cycle have a null layer."""
-    left = cut_lineage(edges.select("a", "b").distinct())
-    nodes = cut_lineage(left.select(F.col("a").alias("node")).union(left.select("b")).distinct())
-    done, layer = None, 0
-    while True:
-        free = cut_lineage(nodes.join(left.select(F.col("b").alias("node")), "node", "left_anti").withColumn("layer", F.lit(layer)))
-        if free.isEmpty():
-            break
-        done = free if done is None else done.unionByName(free)
-        nodes = cut_lineage(nodes.join(free, "node", "left_anti"))
-        left = cut_lineage(left.join(free.select(F.col("node").alias("a")), "a", "left_anti"))
-        layer += 1
-    stuck = nodes.withColumn("layer", F.lit(None).cast("int"))
-    return stuck if done is None else done.unionByName(stuck)

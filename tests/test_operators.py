@@ -5,7 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from lumenledger.functions import text as fn
-from lumenledger.operators import evaluation, graph, index, ledger, retrieval
+from lumenledger.operators import chains, evaluation, graph, index, ledger, retrieval
 
 
 def one(spark, column, **values):
@@ -72,9 +72,9 @@ def test_components_and_orders(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (2, 1), (9, 8)], "a long, b long")
     assert {r.node: r.root for r in graph.components(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8}
     cyclic = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (1, 4)], "a long, b long")
-    assert {r.node: r.layer for r in graph.peel_order(cyclic).collect()} == {1: 0, 4: 1, 2: None, 3: None}
+    assert {r.node: r.layer for r in chains.layers(cyclic).collect()} == {1: 0, 4: 1, 2: None, 3: None}
     deep = spark.createDataFrame([(i, i + 1) for i in range(5)], "a long, b long")
-    assert {r.node: r.layer for r in graph.peel_order(deep).collect()} == {i: i for i in range(6)}
+    assert {r.node: r.layer for r in chains.layers(deep).collect()} == {i: i for i in range(6)}
 
 
 def test_closure_is_cancelled_by_a_blocker(spark):
