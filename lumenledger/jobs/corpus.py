@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenledger.functions import text as fn
 from lumenledger.jobs.catalog import _EVENTS, _LINES, KNOWN, _events, _sql_list, query
-from lumenledger.operators import corpus, ledger, secrets
+from lumenledger.operators import corpus, ledger, markdown, secrets
 from lumenledger.sources.tables import table
 
 _ENDS = ("/index.html", "/notes.md", "/key.pem", "/.env", "/node_modules/a.js", "/image.png", "/.cache/a.py", "/api_key.json", "/auth-token.yaml", "/Makefile", "/.github/a.yml")
@@ -73,8 +73,8 @@ n AS (SELECT *, b || CASE WHEN row_number() OVER w > 1 THEN '-' || row_number()
 SELECT page_id, line, 'heading' AS kind, anchor AS qualified, CASE WHEN top THEN 'document' ELSE coalesce(last_value(CASE WHEN top THEN anchor END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY line), 'document') END AS parent FROM n""")
 def markdown_structure(spark: SparkSession, folder: str) -> DataFrame:
     plain = F.regexp_replace(F.replace(F.replace("html", F.lit("<h1>"), F.lit("\n# ")), F.lit("<p>"), F.lit("\n## Part\n")), "<[^>]*>", "")
-    nodes = corpus.markdown_structure(table(spark, folder, "pages").select(F.col("page_id").cast("string").alias("path"), plain.alias("text")))
-    return nodes.where("kind = 'heading'").select(F.col("path").cast("long").alias("page_id"), "line", "kind", "qualified", "parent")
+    nodes = markdown.nodes(markdown.outside(table(spark, folder, "pages").select(F.col("page_id").cast("string").alias("path"), plain.alias("text"))))
+    return nodes.select(F.col("path").cast("long").alias("page_id"), "line", "kind", "qualified", "parent")
 
 
 @query(rf"""WITH d AS (SELECT doc_id, text, {_LINES} AS l FROM documents)
@@ -203,3 +203,26 @@ def json_credentials(spark: SparkSession, folder: str) -> DataFrame:
     )
     made = F.concat(F.lit('{"kind":'), text(F.col("event_type")), F.lit(',\n"props":'), F.col("props"), F.lit(',\n\n'), inner, F.lit("}"))
     return secrets.findings(table(spark, folder, "events").select("event_id", made.alias("text")), "event_id")
+
+
+_NOTES = """s AS (SELECT doc_id, 'notes/n' || doc_id || '.md' AS path, source || '/d' || doc_id || '.md' AS other FROM documents)"""
+
+
+@query(f"""WITH {_NOTES}, p AS (SELECT path FROM s UNION SELECT path || '.txt' FROM s WHERE doc_id % 5 = 0),
+r AS (SELECT doc_id, path, 2 AS line, 'links_to' AS kind, 'n' || (doc_id + 1) || '.md#Part-One' AS stated, 'notes/n' || (doc_id + 1) || '.md' AS best, 'part-one' AS anchor FROM s
+UNION ALL SELECT doc_id, path, 3, 'references_file', 'notes/n' || (doc_id - 1) || '.md', 'notes/n' || (doc_id - 1) || '.md', NULL FROM s
+UNION ALL SELECT doc_id, path, 3, 'supersedes', 'notes/n' || (doc_id - 1) || '.md', 'notes/n' || (doc_id - 1) || '.md', NULL FROM s
+UNION ALL SELECT doc_id, path, 4, 'evidence_commit', substr(md5('c' || doc_id::VARCHAR), 1, 12), NULL, NULL FROM s
+UNION ALL SELECT doc_id, path, 5, 'links_to', '../notes/n' || doc_id || '.md.txt', 'notes/n' || doc_id || '.md.txt', NULL FROM s
+UNION ALL SELECT doc_id, path, 5, 'links_to', 'https://a.example.org/x', NULL, NULL FROM s)
+SELECT r.path, line::BIGINT AS line, kind, stated, p.path AS target, anchor FROM r LEFT JOIN p ON r.best = p.path""")
+def markdown_references(spark: SparkSession, folder: str) -> DataFrame:
+    """Notes that refer to each other: by link, relation, commit and relative path, some to notes that are not there, some inside fences."""
+    i = lambda k: (F.col("doc_id") + k).cast("string")
+    text = F.concat(
+        F.lit("# Note\nsee [next](n"), i(1), F.lit('.md#Part-One "title")\nSupersedes: notes/n'), i(-1), F.lit(".md, or so\ncommit "), F.substring(F.md5(F.concat(F.lit("c"), i(0)).cast("binary")), 1, 12),
+        F.lit("\n[a](../notes/n"), i(0), F.lit(".md.txt) and [b](https://a.example.org/x) ![no](picture.png)\n```sh\nnotes/n1.md [x](n2.md)\n~~~\n```\n"),
+    )
+    sources = table(spark, folder, "documents").select(F.concat(F.lit("notes/n"), i(0), F.lit(".md")).alias("path"), text.alias("text"), "doc_id")
+    known = sources.select("path").union(sources.where("doc_id % 5 = 0").select(F.concat("path", F.lit(".txt"))))
+    return markdown.resolved(markdown.references(markdown.outside(sources)), known)

@@ -24,6 +24,7 @@ TEXT_SUFFIXES = (
 ).split()
 TEXT_NAMES = (".env.example", ".gitignore", "dockerfile", "license", "makefile", "readme")
 MOST_BYTES, PROBE = 1_000_000, 8192
+CONFIG_KEY = r"""^\s*["']?([A-Za-z_][A-Za-z0-9_.-]*)["']?\s*(?:=|:)\s*"""
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,71 +107,10 @@ def config_keys(sources: DataFrame) -> DataFrame:
     """path, line, key, qualified: each line's key before = or :, numbered where a source has it again, and a JSON object's own keys at line 1."""
     from pyspark.sql import Window
 
-    pattern = r"""^\s*["']?([A-Za-z_][A-Za-z0-9_.-]*)["']?\s*(?:=|:)\s*"""
-    each = sources.select("path", F.posexplode(lines(F.col("text"))).alias("at", "l")).select("path", (F.col("at") + 1).cast("long").alias("line"), F.regexp_extract("l", pattern, 1).alias("key")).where("key <> ''")
+    each = sources.select("path", F.posexplode(lines(F.col("text"))).alias("at", "l")).select("path", (F.col("at") + 1).cast("long").alias("line"), F.regexp_extract("l", CONFIG_KEY, 1).alias("key")).where("key <> ''")
     nth = F.row_number().over(Window.partitionBy("path", "key").orderBy("line"))
     keyed = each.select("path", "line", "key", F.concat(F.lit("key-"), slug(F.col("key")), F.lit("-"), nth.cast("string")).alias("qualified"))
     # Only a JSON object has keys; other texts give null.
     own = sources.where(F.endswith(F.lower("path"), F.lit(".json"))).select("path", F.posexplode(F.json_object_keys("text")).alias("at", "key"))
     name = F.coalesce(F.nullif(slug(F.col("key")), F.lit("")), (F.col("at") + 1).cast("string"))
     return keyed.unionByName(own.select("path", F.lit(1).cast("long").alias("line"), "key", F.concat(F.lit("key-"), name).alias("qualified")))
-
-
-def markdown_structure(sources: DataFrame) -> DataFrame:
-    """path, line, kind, name, qualified, parent: headings, code fences, tables and stated relations of Markdown sources.
-
-    A heading's parent is the nearest one before it of a lower level; other nodes belong to the
-    heading that they stand under, or to the document. A fence that never ends is told as an
-    unterminated_fence. One source's lines are read in order, where the source is.
-    """
-    import pyarrow as pa
-
-    heading, fence, relation = re.compile(r"^(#{1,6})\s+(.+?)\s*#*\s*$"), re.compile(r"^\s*(```+|~~~+)(.*)$"), re.compile(r"^\s*(Status|Decision|Supersedes|Contradicts|Evidence|Rollback)\s*:\s*(.+)$", re.I)
-    dashed = lambda s: re.sub("[ _]+", "-", re.sub("[^a-z0-9 _-]", "", s.lower()).strip())
-    fields = ("path", "line", "kind", "name", "qualified", "parent")
-
-    def nodes(path, text):
-        above, used, opened, table = [], {}, None, None
-        under = lambda: above[-1][1] if above else "document"
-        rows = text.split("\n") if text else []
-        for n, row in enumerate([*rows, ""], 1):
-            mark = fence.match(row)
-            if mark and n <= len(rows):
-                if opened is None:
-                    opened = (mark[1][0], n, mark[2].strip() or "plain", under())
-                elif opened[0] == mark[1][0]:
-                    yield path, opened[1], "code_fence", opened[2], f"code-{opened[1]}", opened[3]
-                    opened = None
-                continue
-            if opened is not None:
-                continue
-            is_table = row.lstrip().startswith("|") and row.count("|") >= 2
-            if table and not is_table:
-                yield path, table[0], "table", f"table-{table[0]}", f"table-{table[0]}", table[1]
-                table = None
-            if found := heading.match(row):
-                level, title = len(found[1]), found[2].strip()
-                anchor = dashed(title) or f"heading-{n}"
-                used[anchor] = used.get(anchor, 0) + 1
-                anchor += f"-{used[anchor]}" if used[anchor] > 1 else ""
-                above = [a for a in above if a[0] < level]
-                yield path, n, "heading", title, anchor, under()
-                above.append((level, anchor))
-            if is_table and not table:
-                table = (n, under())
-            if found := relation.match(row):
-                kind = found[1].lower()
-                yield path, n, kind, found[2].strip(), f"{kind}-{n}", under()
-        if table:
-            yield path, table[0], "table", f"table-{table[0]}", f"table-{table[0]}", table[1]
-        if opened is not None:
-            yield path, opened[1], "unterminated_fence", opened[2], f"code-{opened[1]}", opened[3]
-
-    def read(batches):
-        for batch in batches:
-            found = [r for p, t in zip(batch["path"].to_pylist(), batch["text"].to_pylist(), strict=True) for r in nodes(p, t)]
-            columns = list(zip(*found, strict=True)) if found else [[]] * len(fields)
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(fields))
-
-    return sources.select("path", "text").mapInArrow(read, "path string, line long, kind string, name string, qualified string, parent string")

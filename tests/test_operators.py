@@ -5,7 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from lumenledger.functions import text as fn
-from lumenledger.operators import chains, evaluation, graph, index, ledger, retrieval
+from lumenledger.operators import chains, evaluation, graph, index, ledger, markdown, retrieval
 
 
 def one(spark, column, **values):
@@ -311,7 +311,7 @@ def test_markdown_and_config_structure(spark):
 
     text = "intro\n# A b!\nStatus: open\n## C\n|x|y|\n|-|-|\ntext\n```py\n# no heading\n~~~\n```\n# A b\n|z|\n~~~\nnever closed"
     rows = spark.createDataFrame([("d/a.md", text), ("e.md", None), ("k.json", '{"One": 1, "two words": 2}'), ("l.json", "[1]"), ("c.ini", "a = 1\n b: 2\na=3\nplain")], "path string, text string")
-    got = [(r.line, r.kind, r["name"], r.qualified, r.parent) for r in corpus.markdown_structure(rows.where("path LIKE '%.md'")).orderBy("line").collect()]
+    got = [(r.line, r.kind, r["name"], r.qualified, r.parent) for r in markdown.nodes(markdown.outside(rows.where("path LIKE '%.md'"))).orderBy("line").collect()]
     assert got == [
         (2, "heading", "A b!", "a-b", "document"), (3, "status", "open", "status-3", "a-b"), (4, "heading", "C", "c", "a-b"), (5, "table", "table-5", "table-5", "c"), (8, "code_fence", "py", "code-8", "c"),
         (12, "heading", "A b", "a-b-2", "document"), (13, "table", "table-13", "table-13", "a-b-2"), (14, "unterminated_fence", "plain", "code-14", "a-b-2"),
@@ -333,3 +333,23 @@ def test_appends_exports_and_states(spark):
     same = told.select("name", "digest")
     assert [state(same, 0), state(same, 1), state(same.withColumn("digest", F.lit("?")), 0)] == ["ready", "corrupt", "stale"]
     assert tuple(ledger.same_rows(rows, rows.where("event_id > 2")).first()) == (1, 0)
+
+
+def test_markdown_fences_headings_and_references(spark):
+    text = "\n".join(["# Top", "### Deep", "## Mid", "### Deep", "```", "~~~", "# hidden", "```", "~~~ sh", "```", "~~~", "|a|b|", "```", "```", "|c|d|", "# Top", "# !!"])
+    links = "see [a](<b.md#One-Two>) [c](/x/../docs/b.md 'T') ![p](q.png) lib/x.py, also deadbeef12 [m](mailto:a@b.c)\nEvidence: lib/x.py and ../up.md\n[self](#Top) [out](../../far.md)"
+    rows = spark.createDataFrame([("d/a.md", text), ("docs/n.md", links), ("n.md", None), ("e.md", "")], "path string, text string")
+    lines = markdown.outside(rows)
+    got = [(r.line, r.kind, r.qualified, r.parent) for r in markdown.nodes(lines.where("path = 'd/a.md'")).orderBy("line").collect()]
+    assert got == [
+        (1, "heading", "top", "document"), (2, "heading", "deep", "top"), (3, "heading", "mid", "top"), (4, "heading", "deep-2", "mid"), (5, "code_fence", "code-5", "deep-2"),
+        (9, "code_fence", "code-9", "deep-2"), (12, "table", "table-12", "deep-2"), (13, "code_fence", "code-13", "deep-2"), (16, "heading", "top-2", "document"), (17, "heading", "heading-17", "document"),
+    ]
+    known = spark.createDataFrame([("docs/b.md",), ("b.md",), ("docs/lib/x.py",), ("up.md",), ("docs/n.md",)], "path string")
+    found = {(r.line, r.kind, r.stated): (r.target, r.anchor) for r in markdown.resolved(markdown.references(lines.where("path = 'docs/n.md'")), known).collect()}
+    assert found == {
+        (1, "links_to", "b.md#One-Two"): ("b.md", "one-two"),  # from the root before the source's own folder
+        (1, "links_to", "/x/../docs/b.md"): ("docs/b.md", None), (1, "references_file", "x/../docs/b.md"): ("docs/b.md", None), (1, "links_to", "mailto:a@b.c"): (None, None), (1, "references_file", "lib/x.py"): ("docs/lib/x.py", None), (1, "evidence_commit", "deadbeef12"): (None, None),
+        (2, "references_file", "lib/x.py"): ("docs/lib/x.py", None), (2, "evidence", "lib/x.py"): ("docs/lib/x.py", None), (2, "references_file", "../up.md"): ("up.md", None), (2, "evidence", "../up.md"): ("up.md", None),
+        (3, "links_to", "#Top"): ("docs/n.md", "top"), (3, "links_to", "../../far.md"): (None, None),
+    }
