@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenledger.functions import text as fn
 from lumenledger.jobs.catalog import _LINES, TERMS, _bm25_sql, query
-from lumenledger.operators import index, retrieval, store
+from lumenledger.operators import embeddings, index, retrieval, store
 from lumenledger.sources.shared import shared_folder
 from lumenledger.sources.tables import table
 
@@ -240,3 +240,19 @@ SELECT pointer, round(0.72e0 * coalesce(cos, 0) + 0.18e0 * part, 6) AS score FRO
 def full_scan_search(spark: SparkSession, folder: str) -> DataFrame:
     found = retrieval.full_scan(store.current(spark, folder), ASKED, most=50)
     return found.select("pointer", "score")
+
+
+_LETTER_COUNTS = "list_transform(string_split('abcdefghijklmnop', ''), lambda c: (length(text) - length(replace(text, c, '')))::DOUBLE)"
+
+
+@query(f"""WITH d AS (SELECT DISTINCT sha256(text) AS digest, {_LETTER_COUNTS} AS v FROM documents WHERE text IS NOT NULL), q AS (SELECT item_id, {_LETTER_COUNTS} AS w FROM benchmark WHERE item_id % 7 > 0),
+s AS (SELECT item_id, digest, round(list_cosine_similarity(v, w), 9) AS score FROM q, d WHERE list_sum(v) > 0 AND list_sum(w) > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, digest) AS rank FROM s WHERE score > 0)
+SELECT item_id, digest, score, rank::INT AS rank FROM r WHERE rank <= 64""")
+def semantic_channel(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents nearest to benchmark items by kept vectors; items whose number 7 divides have no baseline and so no answer."""
+    at = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    items = table(spark, folder, "benchmark")
+    embeddings.fill(table(spark, folder, "documents"), embeddings.LETTERS, at)
+    held = embeddings.vectors(spark, embeddings.LETTERS, at)
+    return embeddings.semantic_channel(items, held, embeddings.LETTERS, "item_id", items.where("item_id % 7 > 0"))
