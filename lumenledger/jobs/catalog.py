@@ -22,6 +22,13 @@ _TOK = r"list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: low
 _LINES = r"CASE WHEN length(text) > 0 THEN string_split(regexp_replace(text, '\n$', ''), chr(10)) ELSE [] END"
 
 
+def set_digest_sql(values: str, key: str = "key") -> str:
+    """key, members, digest of the multisets of `values`, a query of key and v. See ledger.set_digests."""
+    return f"""SELECT {key}, sum(n)::BIGINT AS members, sha256(string_agg(h, ',' ORDER BY part)) AS digest FROM (
+SELECT {key}, substr(leaf, 1, 3) AS part, sum(n) AS n, sha256(string_agg(h, ',' ORDER BY leaf)) AS h FROM (
+SELECT {key}, substr(sha256(v), 1, 6) AS leaf, sum(n) AS n, sha256(string_agg(v || '*' || n, ',' ORDER BY v || '*' || n)) AS h FROM (SELECT {key}, v, count(*) AS n FROM ({values}) GROUP BY ALL) GROUP BY ALL) GROUP BY ALL) GROUP BY ALL"""
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -352,8 +359,7 @@ def support_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.support(facts, facts.where("source_id < 30").select("source_id").distinct())
 
 
-@query("""WITH p AS (SELECT user_id, substr(sha256(event_id::VARCHAR), 1, 2) AS part, sha256(array_to_string(list_sort(list(event_id::VARCHAR)), ',')) AS d, count(*) AS n FROM events GROUP BY ALL)
-SELECT user_id, sha256(string_agg(d, ',' ORDER BY part)) AS digest, sum(n)::BIGINT AS members FROM p GROUP BY user_id""")
+@query(set_digest_sql("SELECT user_id, event_id::VARCHAR AS v FROM events", "user_id"))
 def set_digests(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.set_digests(table(spark, folder, "events"), "user_id", F.col("event_id"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenledger.functions import text as fn
-from lumenledger.jobs.catalog import _EVENTS, _LINES, KNOWN, _events, _sql_list, query
+from lumenledger.jobs.catalog import _EVENTS, _LINES, KNOWN, _events, _sql_list, query, set_digest_sql
 from lumenledger.operators import corpus, ledger, markdown, secrets
 from lumenledger.sources.tables import table
 
@@ -35,8 +35,7 @@ def corpus_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(rf"""WITH {_PATHS}, s AS (SELECT path, sha256(html) AS digest FROM sc WHERE page_id % {len(_ENDS)} IN (0, 1, 9, 10)),
-d AS (SELECT sha256(path || chr(0) || digest) AS d FROM s), p AS (SELECT substr(sha256(d), 1, 2) AS part, sha256(string_agg(d, ',' ORDER BY d)) AS h, count(*) AS n FROM d GROUP BY 1)
-SELECT sum(n)::BIGINT AS sources, sha256(string_agg(h, ',' ORDER BY part)) AS fingerprint FROM p""")
+t AS ({set_digest_sql("SELECT 1 AS key, sha256(path || chr(0) || digest) AS v FROM s")}) SELECT members AS sources, digest AS fingerprint FROM t""")
 def corpus_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     sources, _ = corpus.snapshot(_scanned(spark, folder))
     told = ledger.table_digests({"sources": (sources, ["path", "digest"])})
@@ -115,7 +114,8 @@ _FIELDS = {"events": ["event_id", "user_id", "event_type", "ts", "value"], "labe
 
 def _digest_sql(name: str) -> str:
     fields = " || chr(0) || ".join(f"coalesce({f}::VARCHAR, '')" for f in _FIELDS[name])
-    return f"""SELECT '{name}' AS name, sum(n)::BIGINT AS rows, sha256(string_agg(h, ',' ORDER BY part)) AS digest FROM (SELECT substr(sha256(d), 1, 2) AS part, sha256(string_agg(d, ',' ORDER BY d)) AS h, count(*) AS n FROM (SELECT sha256({fields}) AS d FROM {name}) GROUP BY 1)"""
+    made = set_digest_sql(f"SELECT '{name}' AS name, sha256({fields}) AS v FROM {name}", "name")
+    return f"SELECT name, members AS rows, digest FROM ({made})"
 
 
 _DIGESTED = ("labels", "nation", "region")

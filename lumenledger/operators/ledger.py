@@ -41,23 +41,25 @@ def sequence_errors(rows: DataFrame, key: str, sequence: str, clock: str) -> Dat
     return checked.groupBy(key).agg(F.sum("gap").alias("gaps"), F.sum("back").alias("backward"))
 
 
-#: Parts of a set that are digested apart. A fixed value, as digests depend on it.
-SET_PARTS = 256
+#: Hex digits of a value's SHA-256 that name its part, and its leaf within that. Fixed values, as digests depend on them.
+PART, LEAF = 3, 6
 
 
 def set_digests(rows: DataFrame, key: str, value: Column) -> DataFrame:
-    """key, digest, members: a digest of each key's values as a multiset.
+    """key, digest, members: a digest of each key's values as a multiset. Nulls are no members, and a key of nothing else has no row.
 
-    A value belongs to the part that the first two hex digits of its SHA-256 name. A part's digest
-    is SHA-256 over its sorted values, joined by commas; the set's is SHA-256 over its parts' digests in
-    the order of the parts. So a large set meets in one task by one of SET_PARTS parts at a time.
+    Equal values are one entry, value*count. A leaf has the values whose SHA-256 begin with the same LEAF hex digits; its digest is
+    SHA-256 over its sorted entries, joined by commas. A part's digest is that over its leaves' digests in their order, and the
+    set's that over its parts'. Equal values are counted before any shuffle, a part has at most 4096 leaves and a set 4096
+    parts, and a leaf has one of 16 million parts of a set, so no array grows with a table as such.
     """
-    text = value.cast("string")
-    each = rows.select(key, text.alias("v"), F.substring(F.sha2(text.cast("binary"), 256), 1, 2).alias("part"))
+    counted = rows.select(key, value.cast("string").alias("v")).where("v IS NOT NULL").groupBy(key, "v").agg(F.count(F.lit(1)).alias("n"))
     digest = lambda x: F.sha2(F.array_join(x, ",").cast("binary"), 256)
-    parts = each.groupBy(key, "part").agg(digest(F.array_sort(F.collect_list("v"))).alias("d"), F.count("v").alias("n"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"])
-    return parts.groupBy(key).agg(digest(ordered).alias("digest"), F.sum("n").alias("members"))
+    ordered = lambda by: F.transform(F.array_sort(F.collect_list(F.struct(by, "d"))), lambda x: x["d"])
+    named = counted.withColumn("leaf", F.substring(F.sha2(F.col("v").cast("binary"), 256), 1, LEAF)).withColumn("entry", F.concat_ws("*", "v", "n"))
+    leaves = named.groupBy(key, "leaf").agg(digest(F.array_sort(F.collect_list("entry"))).alias("d"), F.sum("n").alias("n"))
+    parts = leaves.groupBy(key, F.substring("leaf", 1, PART).alias("part")).agg(digest(ordered("leaf")).alias("d"), F.sum("n").alias("n"))
+    return parts.groupBy(key).agg(digest(ordered("part")).alias("digest"), F.sum("n").alias("members"))
 
 
 def chain(rows: DataFrame, key: str, sequence: str, payload: Column) -> DataFrame:
