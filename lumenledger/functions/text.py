@@ -52,11 +52,6 @@ def query_digest(value: Column) -> Column:
     return F.sha2(F.regexp_replace(value, "\r\n?", "\n").cast("binary"), 256)
 
 
-def alias_key(value: Column) -> Column:
-    """Lower case with punctuation and white space as one space; for ASCII names."""
-    return F.trim(F.regexp_replace(F.lower(value), r"[\p{Punct}\s]+", " "))
-
-
 def entropy(value: Column) -> Column:
     """Shannon entropy in bits of a text's characters."""
     chars = F.split(value, "")

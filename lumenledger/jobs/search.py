@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenledger.functions import folding
 from lumenledger.functions import text as fn
 from lumenledger.jobs.catalog import _LINES, TERMS, _bm25_sql, query
 from lumenledger.operators import embeddings, index, retrieval, store
@@ -256,3 +257,18 @@ def semantic_channel(spark: SparkSession, folder: str) -> DataFrame:
     embeddings.fill(table(spark, folder, "documents"), embeddings.LETTERS, at)
     held = embeddings.vectors(spark, embeddings.LETTERS, at)
     return embeddings.semantic_channel(items, held, embeddings.LETTERS, "item_id", items.where("item_id % 7 > 0"))
+
+
+_FOLDED = r"trim(regexp_replace(replace(lower(nfc_normalize({})), 'ß', 'ss'), '[\s\pP\pZ]+', ' ', 'g'))"
+
+
+@query(rf"""WITH f AS (SELECT doc_id, {_FOLDED.format("text")} AS t FROM documents), al AS (SELECT DISTINCT array_to_string(w[1:12], ' ') AS phrase FROM (SELECT string_split({_FOLDED.format("text")}, ' ') AS w FROM benchmark) WHERE len(w) >= 12)
+SELECT doc_id, nullif(t, '') AS folded, (SELECT count(*) FROM al WHERE contains(' ' || t || ' ', ' ' || phrase || ' ')) AS aliases FROM f""")
+def alias_folding(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with ligatures and full-width letters, folded, and how many aliases of twelve words each of them holds."""
+    wide = F.translate(F.replace("text", F.lit("fi"), F.lit("\ufb01")), "ae.", "\uff41\uff45\uff0e")
+    items = table(spark, folder, "benchmark").select(F.split(folding.fold_query(F.col("text")), " ").alias("w"), F.col("item_id").alias("concept")).where(F.size("w") >= 12)
+    aliases = items.select(F.array_join(F.slice("w", 1, 12), " ").alias("phrase"), "concept")
+    docs = table(spark, folder, "documents").select("doc_id", folding.fold_query(wide).alias("folded"))
+    known = retrieval.recognise(docs, aliases, "doc_id", words=F.split("folded", " ")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("aliases"))
+    return docs.join(known, "doc_id", "left").select("doc_id", "folded", F.coalesce("aliases", F.lit(0)).alias("aliases"))

@@ -215,19 +215,20 @@ def rank_changes(baseline: DataFrame, shadow: DataFrame, key: str) -> DataFrame:
     return both.withColumn("change", F.col("before") - F.col("after"))
 
 
-def recognise(queries: DataFrame, aliases: DataFrame, key: str, longest: int, text: str = "text") -> DataFrame:
+def recognise(queries: DataFrame, aliases: DataFrame, key: str, longest: int | None = None, text: str = "text", words: Column | None = None) -> DataFrame:
     """key, phrase, concepts, concept of the aliases that stand in each query; concept is null where an alias has several.
 
-    Every run of up to `longest` tokens is looked up, so aliases join by equality. Aliases of
-    a small size go to the texts; else the runs, distinct within a text, are shuffled. aliases:
-    phrase (lower-case tokens, space-joined), concept.
+    Every run of as many tokens as some alias has, or of up to `longest`, is looked up, so aliases of
+    any length join by equality. Aliases of a small size go to the texts; else the runs, distinct within a text, are
+    shuffled. aliases: phrase (space-joined), concept. words: the query's tokens; lower-case tokens if it isn't given.
     """
+    sizes = [r[0] for r in aliases.select(F.size(F.split("phrase", " "))).distinct().collect()] if longest is None else range(1, longest + 1)
     of = aliases.groupBy("phrase").agg(F.countDistinct("concept").alias("concepts"), F.min("concept").alias("one"))
     size = of.agg(F.sum(F.octet_length("phrase") + 64)).first()[0] or 0
     of = F.broadcast(of) if size <= BROADCAST_BYTES else of
-    words = queries.select(key, index.tokens(F.col(text)).alias("t"))
+    words = queries.select(key, (index.tokens(F.col(text)) if words is None else words).alias("t"))
     runs = F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.lit(longest)),
+        F.array(*map(F.lit, sorted(sizes))).cast("array<int>"),
         lambda n: F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.array_join(F.slice("t", i, n), " "))).otherwise(F.array().cast("array<string>")),
     )))
     return words.select(key, F.explode(runs).alias("phrase")).join(of, "phrase").select(key, "phrase", "concepts", F.when(F.col("concepts") == 1, F.col("one")).alias("concept"))
