@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenledger.jobs.catalog import _EVENTS, _events, query
-from lumenledger.operators import chains, evaluation, ledger
+from lumenledger.operators import chains, evaluation, integrity, ledger
 from lumenledger.operators.ranges import numbered
 from lumenledger.sources.tables import table
 from lumenledger.streaming import outbox
@@ -153,3 +153,30 @@ def import_order(spark: SparkSession, folder: str) -> DataFrame:
     other = events.where("k = 0 AND user_id % 2 = 0 AND (user_id - 1) % 9 <> 4").join(events.select((F.col("user_id") + 1).alias("user_id"), "k", F.col("event_id").alias("target")), ["user_id", "k"]).select("event_id", "target")
     lost = events.where("user_id % 9 = 4 AND k = 2").select("event_id", F.lit(-1).cast("long").alias("target"))
     return chains.import_order(events.select("event_id", F.col("user_id").alias("session_id"), F.col("k").alias("sequence")), own.unionByName(other).unionByName(lost))
+
+
+_TAMPERED = {"trust_range": (50, 7, 1), "event_digest": (97, 0, 1), "terms_missing": (101, 0, 3), "terms_surplus": (101, 5, 3), "graph_missing": (109, 5, 1), "outbox_missing": (107, 0, 1)}
+_TAMPERED_SQL = " UNION ALL ".join(f"SELECT ledger, '{rule}' AS rule, {n} * count(*) FILTER (event_id % {by} = {left}) AS violations FROM c GROUP BY 1" for rule, (by, left, n) in _TAMPERED.items())
+
+
+@query(f"""WITH c AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS ledger, event_id FROM events) SELECT ledger, rule, violations::BIGINT AS violations FROM ({_TAMPERED_SQL}) WHERE violations > 0""")
+def rederived_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """Two ledgers of user events whose trust, digests and derived tables were tampered with in some rows."""
+    rows = numbered(table(spark, folder, "events").select("event_id", "user_id", "event_type"), "user_id", "event_id", "k")
+    hit = lambda rule, column="event_id": F.col(column) % _TAMPERED[rule][0] == _TAMPERED[rule][1]
+    none, user = F.lit(None).cast("long"), F.col("user_id").cast("string")
+    events = rows.select(
+        F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("ledger"), "event_id", user.alias("session_id"), (F.col("k") + 1).alias("sequence"), F.lit("observation").alias("kind"), F.col("event_type").alias("subject"),
+        F.concat(F.lit("value "), user).alias("payload"), (F.col("event_id") * 1000).alias("observed_at"), (F.col("event_id") * 1000).alias("valid_from"), none.alias("supersedes"), none.alias("contradicts"),
+        F.when(hit("trust_range"), 9).otherwise(1).alias("trust"), F.lit(0).alias("sensitivity"), F.lit("project").alias("retention"),
+    )
+    events = events.withColumn("subject_digest", integrity.subject_digest(F.col("subject")))
+    evidence = events.where("event_id % 5 = 0").select("ledger", "event_id", F.lit(0).alias("idx"), F.concat(F.lit("doc:"), F.col("event_id").cast("string")).alias("locator"), F.sha2("payload", 256).alias("digest"))
+    made = integrity.derived(events, evidence)
+    stored = events.withColumn("digest", F.when(hit("event_digest"), "x").otherwise(ledger.record_digest(*integrity.FIELDS)))
+    terms = made["terms"].where(~hit("terms_missing"))
+    return integrity.findings({
+        "events": stored, "evidence": evidence, "sessions": events.groupBy("ledger", "session_id").agg(F.max("sequence").alias("last")),
+        "terms": terms.unionByName(made["terms"].where(hit("terms_surplus"))), "graph": made["graph"].where(~((F.col("source").cast("long") % 109 == 5) & (F.col("kind") == "about"))),
+        "outbox": made["outbox"].where(~hit("outbox_missing")),
+    })
