@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenledger.functions import text as fn
 from lumenledger.jobs.catalog import _EVENTS, _events, query
 from lumenledger.operators import chains, evaluation, integrity, ledger
 from lumenledger.operators.ranges import numbered
 from lumenledger.sources.tables import table
-from lumenledger.streaming import outbox
+from lumenledger.streaming import append, outbox
 
 SPOKEN = ["the", "de", "license", "von"]
 
@@ -180,3 +181,18 @@ def rederived_findings(spark: SparkSession, folder: str) -> DataFrame:
         "terms": terms.unionByName(made["terms"].where(hit("terms_surplus"))), "graph": made["graph"].where(~((F.col("source").cast("long") % 109 == 5) & (F.col("kind") == "about"))),
         "outbox": made["outbox"].where(~hit("outbox_missing")),
     })
+
+
+@query("""WITH n AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_id % 5 = 0) AS five, max(epoch_us(ts) // 1000) AS clock FROM events GROUP BY 1)
+SELECT user_id::VARCHAR AS session_id, part, CASE part WHEN 'term' THEN 3 * n WHEN 'evidence' THEN five WHEN 'graph' THEN n + five ELSE n END::BIGINT AS rows FROM n, (VALUES ('event'), ('term'), ('evidence'), ('graph'), ('outbox')) v(part) WHERE part <> 'evidence' OR five > 0""")
+def append_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The events table appended as a stream: how many rows of each part every session has got."""
+    stream = outbox.events_stream(spark, folder)
+    user, nothing = F.col("user_id").cast("string"), F.array().cast("array<string>")
+    events = stream.select(
+        "event_id", user.alias("session_id"), F.lit("observation").alias("kind"), F.col("event_type").alias("subject"), F.concat(F.lit("value "), user).alias("payload"), fn.epoch_ms("ts").alias("observed_at"),
+        F.lit(None).cast("long").alias("supersedes"), F.when(F.col("event_id") % 5 == 0, F.array(F.concat(F.lit("doc:"), F.col("event_id").cast("string")))).otherwise(nothing).alias("locators"),
+    )
+    with append.rocksdb(spark):
+        rows = outbox.run_available(append.appended(events))
+    return rows.groupBy("session_id", "part").agg(F.count(F.lit(1)).alias("rows"))
