@@ -65,7 +65,8 @@ def refused(path: Column, content: Column) -> Column:
 def snapshot(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Admitted sources (path, text, digest, bytes), and their secret findings (path, line, rule): with any, nothing may be stored."""
     admitted = scanned.where(refused(F.col("path"), F.col("content")).isNull() & F.is_valid_utf8("content"))
-    sources = admitted.select("path", F.decode("content", "utf-8").alias("text"), F.sha2("content", 256).alias("digest"), F.octet_length("content").alias("bytes"))
+    # Filters above may evaluate the text before this one has passed a row, so only valid bytes are decoded.
+    sources = admitted.select("path", F.when(F.is_valid_utf8("content"), F.decode("content", "utf-8")).alias("text"), F.sha2("content", 256).alias("digest"), F.octet_length("content").alias("bytes"))
     return sources, secrets.findings(sources, "path")
 
 
