@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from lumenledger.functions.text import content_id, lines, tokens
 CHUNK_LINES, OVERLAP = 80, 16
 K1, B = 1.2, 0.75
 DIMENSIONS = 384
+#: Bytes of texts that a task counts or folds at a time.
+COUNTED_BYTES = 4 << 20
 
 
 def chunks(source: DataFrame, path: str = "path", text: str = "text", size: int = CHUNK_LINES, overlap: int = OVERLAP) -> DataFrame:
@@ -34,6 +38,44 @@ def postings(source: DataFrame, key: str, text: str = "text", terms: list[str] |
     return cut.select(key, F.size("t").alias("dl"), F.explode(kept).alias("term")).groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
+#: Maps each byte of a token to its lower case and all others to a space; bytes from 0x80 on are in no token.
+_FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b == 95 else 32 for b in range(256))
+
+
+def counted(source: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, term, tf, dl of all terms, as postings has them. A row's terms are counted where its text is, so nothing is shuffled."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql.types import IntegerType, LongType, StringType, StructType
+
+    kind = StructType([source.schema[key]]).add("term", StringType()).add("tf", LongType()).add("dl", IntegerType())
+
+    def count(batches):
+        for batch in batches:
+            ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch[text]), 0), np.int64))
+            start = 0
+            while start < batch.num_rows:
+                end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + COUNTED_BYTES, "right")))
+                yield told(batch.slice(start, end - start))
+                start = end
+
+    def told(batch):
+        terms, tf, dl, many = [], [], [], []
+        for value in batch[text].cast(pa.binary()).to_pylist():
+            words = value.translate(_FOLDED).split() if value else []
+            of = Counter(words)
+            terms.extend(of)
+            tf.extend(of.values())
+            dl.append(len(words))
+            many.append(len(of))
+        at = np.repeat(np.arange(batch.num_rows), many)
+        columns = [batch[key].take(pa.array(at)), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(tf, pa.int64()), pa.array(np.array(dl, np.int32)[at])]
+        return pa.RecordBatch.from_arrays(columns, [key, "term", "tf", "dl"])
+
+    return source.select(key, text).mapInArrow(count, kind)
+
+
 def corpus_size(source: DataFrame, text: str = "text") -> tuple[int, float]:
     """How many rows there are, and their mean length in tokens, 1 at least."""
     n, mean = source.agg(F.count(F.lit(1)), F.greatest(F.lit(1.0), F.avg(F.size(tokens(F.col(text)))))).first()

@@ -185,6 +185,19 @@ def test_an_updated_index_is_what_a_new_one_would_be(spark, tmp_path):
     assert after.figures == new.figures and after.figures["document"][0] == 4
 
 
+def test_terms_are_counted_without_a_shuffle(spark, tmp_path):
+    from lumenledger.operators import index, store
+
+    rows = spark.createDataFrame([(1, "The the_x é9 THE"), (2, None), (3, ""), (4, "a\nA " * 9)], "k long, text string")
+    counted = index.counted(rows, "k")
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert sorted(counted.select("k", "term", "tf", "dl").collect()) == sorted(index.postings(rows, "k").select("k", "term", "tf", "dl").collect())
+    # Rows of one path count as rows, and terms of equal ones are summed.
+    twice = store.build(spark.createDataFrame([("p", "x y"), ("p", "x z"), ("q", None)], "path string, text string"), str(tmp_path / "g"))
+    assert twice.figures == {"document": (3, 4 / 3), "chunk": (2, 2.0)}
+    assert [tuple(r) for r in store.postings(twice, "document", ["x"]).collect()] == [("p", "x", 2, 2)]
+
+
 def test_overlaps_are_found_once(spark):
     a = spark.createDataFrame([("p", 1, 200), ("p", 150, 151), ("q", 1, 5)], "path string, start_line int, end_line int")
     b = spark.createDataFrame([("p", 60, 150), ("p", 201, 300), ("q", 9, 3)], "path string, start int, end int")
