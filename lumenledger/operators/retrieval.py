@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenledger.functions.text import TOKEN
 from lumenledger.operators import index, store
+from lumenledger.sources.shared import written
 
 RRF_K, MOST = 60, 512
 #: Bytes of aliases, with a row's overhead for each, up to which they are broadcast.
@@ -157,15 +158,19 @@ def three_channels(held: store.Generation, edges: DataFrame, query: str, limit:
     return told.join(F.broadcast(kept), "key").select("pointer", "path", "start_line", "end_line", "score", "ranks", (F.col("place") + 1).alias("place"), "omitted")
 
 
-def concept_channel(recognised: DataFrame, bindings: DataFrame, chunks: DataFrame, most: int = MOST) -> DataFrame:
+def concept_channel(recognised: DataFrame, bindings: DataFrame, sets: DataFrame, chunks: DataFrame, most: int = MOST) -> DataFrame:
     """pointer, concepts, rank: chunks by how many unambiguous concepts of a query have a verified binding on their lines.
 
-    recognised: concepts, concept (see recognise); bindings: concept, path, start, end, verified.
+    recognised: concepts, concept (see recognise); bindings: set, path, start, end; sets: set, concept, the concepts that are
+    verified together on each range of a set. Ranges meet chunks once for a set, not for each of its concepts,
+    and concepts are counted once for all chunks with the same sets.
     """
     clear = recognised.where("concepts = 1").select("concept").distinct()
-    bound = bindings.where("verified").join(clear, "concept", "left_semi").select("concept", "path", "start", "end")
-    held = overlapping(chunks, bound, ["path"]).groupBy("pointer").agg(F.countDistinct("concept").alias("concepts"))
-    top = held.orderBy(F.desc("concepts"), "pointer").limit(most)
+    wanted = written(sets.join(clear, "concept", "left_semi").select("set", "concept").distinct())
+    bound = bindings.join(wanted.select("set").distinct(), "set", "left_semi").select("set", "path", "start", "end")
+    met = written(overlapping(chunks, bound, ["path"]).groupBy("pointer").agg(F.array_sort(F.collect_set("set")).alias("sets")))
+    many = met.select("sets").distinct().select("sets", F.explode("sets").alias("set")).join(wanted, "set").groupBy("sets").agg(F.countDistinct("concept").alias("concepts"))
+    top = met.join(many, "sets").select("pointer", "concepts").orderBy(F.desc("concepts"), "pointer").limit(most)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("concepts"), "pointer")))
 
 

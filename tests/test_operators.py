@@ -198,6 +198,15 @@ def test_terms_are_counted_without_a_shuffle(spark, tmp_path):
     assert [tuple(r) for r in store.postings(twice, "document", ["x"]).collect()] == [("p", "x", 2, 2)]
 
 
+def test_concepts_of_a_set_are_not_multiplied_by_its_ranges(spark):
+    known = spark.createDataFrame([(1, c) for c in range(40)] + [(2, None)], "concepts long, concept long")
+    sets = spark.createDataFrame([("a", c) for c in range(30)] + [("b", c) for c in range(20, 60)] + [("c", 99)], "set string, concept long")
+    bindings = spark.createDataFrame([("a", "p", 1, 6), ("a", "p", 31, 36), ("b", "p", 61, 66), ("c", "p", 1, 6), ("b", "q", 1, 6)], "set string, path string, start int, end int")
+    chunks = spark.createDataFrame([("p:1-40", "p", 1, 40), ("p:30-80", "p", 30, 80), ("p:90-99", "p", 90, 99), ("q:1-2", "q", 1, 2)], "pointer string, path string, start_line int, end_line int")
+    found = retrieval.concept_channel(known, bindings, sets, chunks)
+    assert [tuple(r) for r in found.orderBy("rank").collect()] == [("p:30-80", 40, 1), ("p:1-40", 30, 2), ("q:1-2", 20, 3)]
+
+
 def test_overlaps_are_found_once(spark):
     a = spark.createDataFrame([("p", 1, 200), ("p", 150, 151), ("q", 1, 5)], "path string, start_line int, end_line int")
     b = spark.createDataFrame([("p", 60, 150), ("p", 201, 300), ("q", 9, 3)], "path string, start int, end int")
