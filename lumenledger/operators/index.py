@@ -46,32 +46,23 @@ def counted(source: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, term, tf, dl of all terms, as postings has them. A row's terms are counted where its text is, so nothing is shuffled."""
     import numpy as np
     import pyarrow as pa
-    import pyarrow.compute as pc
     from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 
     kind = StructType([source.schema[key]]).add("term", StringType()).add("tf", LongType()).add("dl", IntegerType())
 
     def count(batches):
         for batch in batches:
-            ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch[text]), 0), np.int64))
-            start = 0
-            while start < batch.num_rows:
-                end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + COUNTED_BYTES, "right")))
-                yield told(batch.slice(start, end - start))
-                start = end
-
-    def told(batch):
-        terms, tf, dl, many = [], [], [], []
-        for value in batch[text].cast(pa.binary()).to_pylist():
-            words = value.translate(_FOLDED).split() if value else []
-            of = Counter(words)
-            terms.extend(of)
-            tf.extend(of.values())
-            dl.append(len(words))
-            many.append(len(of))
-        at = np.repeat(np.arange(batch.num_rows), many)
-        columns = [batch[key].take(pa.array(at)), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(tf, pa.int64()), pa.array(np.array(dl, np.int32)[at])]
-        return pa.RecordBatch.from_arrays(columns, [key, "term", "tf", "dl"])
+            for block in _blocks(batch, text):
+                terms, tf, dl, many = [], [], [], []
+                for words in _words(block[text]):
+                    of = Counter(words)
+                    terms.extend(of)
+                    tf.extend(of.values())
+                    dl.append(len(words))
+                    many.append(len(of))
+                at = np.repeat(np.arange(block.num_rows), many)
+                columns = [block[key].take(pa.array(at)), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(tf, pa.int64()), pa.array(np.array(dl, np.int32)[at])]
+                yield pa.RecordBatch.from_arrays(columns, [key, "term", "tf", "dl"])
 
     return source.select(key, text).mapInArrow(count, kind)
 
@@ -110,15 +101,57 @@ def round_robin(posting: DataFrame, key: str, most: int) -> DataFrame:
     return first.select(key, "f.turn", "f.term").orderBy("turn", "term").limit(most)
 
 
+def _blocks(batch, column: str):
+    """Parts of a batch with about COUNTED_BYTES of text at most, and a row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0), np.int64))
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + COUNTED_BYTES, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def _words(column) -> list[list[bytes]]:
+    """The tokens of each text; null has none."""
+    import pyarrow as pa
+
+    return [v.translate(_FOLDED).split() if v else [] for v in column.cast(pa.binary()).to_pylist()]
+
+
+def _folded(texts: list[list[bytes]], dims: int):
+    """row, places and weights of each text's unit vector that is not all zero. A feature is hashed once for the texts given."""
+    import hashlib
+
+    import numpy as np
+
+    known: dict[bytes, int] = {}
+    for row, words in enumerate(texts):
+        if not words:
+            continue
+        codes = []
+        for feature in (*words, *map(b"\x1f".join, zip(words[:-1], words[1:], strict=True))):
+            code = known.get(feature)
+            if code is None:
+                h = hashlib.sha256(feature).digest()
+                known[feature] = code = int.from_bytes(h[:8], "big") % dims * 2 + h[8] % 2
+            codes.append(code)
+        counts = np.bincount(np.array(codes), minlength=2 * dims).reshape(-1, 2)
+        w = counts[:, 0] - counts[:, 1]
+        at = np.flatnonzero(w)
+        if len(at):
+            yield row, at, w[at] / np.sqrt(float((w * w).sum()))
+
+
 def hashed_vector(source: DataFrame, key: str, text: str = "text", dims: int = DIMENSIONS) -> DataFrame:
     """key, idx, weight: unit vectors of signed feature hashes of tokens and bigrams; all-zero ones have no row.
 
     A vector is folded where its text is, so nothing is shuffled: built-in functions have no fold
     to an array of counters in one pass, and grouping by (key, idx) shuffles more than the texts.
-    A feature is hashed once for each Arrow batch.
+    A feature is hashed once for each block of texts.
     """
-    import hashlib
-
     import numpy as np
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -129,30 +162,37 @@ def hashed_vector(source: DataFrame, key: str, text: str = "text", dims: int = D
 
     def fold(batches):
         for batch in batches:
-            known: dict[str, int] = {}
-            rows, places, weights = [], [], []
-            for row, words in enumerate(batch["t"].to_pylist()):
-                if not words:
-                    continue
-                codes = []
-                for feature in (*words, *map("\x1f".join, zip(words[:-1], words[1:], strict=True))):
-                    code = known.get(feature)
-                    if code is None:
-                        h = hashlib.sha256(feature.encode()).digest()
-                        known[feature] = code = int.from_bytes(h[:8], "big") % dims * 2 + h[8] % 2
-                    codes.append(code)
-                counts = np.bincount(np.array(codes), minlength=2 * dims).reshape(-1, 2)
-                w = counts[:, 0] - counts[:, 1]
-                at = np.flatnonzero(w)
-                if len(at):
-                    rows.append(np.full(len(at), row))
-                    places.append(at)
-                    weights.append(w[at] / np.sqrt(float((w * w).sum())))
-            if rows:
-                own = batch[key].take(pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([own, pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(weights))], schema=schema)
-
-    return source.select(key, tokens(F.col(text)).alias("t")).mapInArrow(fold, kind)
+            for block in _blocks(batch, text):
+                made = list(_folded(_words(block[text]), dims))
+                if made:
+                    rows, places, weights = zip(*made, strict=True)
+                    own = block[key].take(pa.array(np.repeat(rows, [len(p) for p in places])))
+                    yield pa.RecordBatch.from_arrays([own, pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(weights))], schema=schema)
+
+    return source.select(key, text).mapInArrow(fold, kind)
+
+
+def hashed_dot(source: DataFrame, key: str, wanted: dict[int, float], terms: list[str], text: str = "text", dims: int = DIMENSIONS) -> DataFrame:
+    """key, cos, shared for every row: the product of its hashed vector and wanted, 0 without a vector, and how many of the terms it has."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.types import DoubleType, LongType, StructType
+
+    kind = StructType([source.schema[key]]).add("cos", DoubleType()).add("shared", LongType())
+    query = np.zeros(dims)
+    query[list(wanted)] = list(wanted.values())
+    asked = {t.encode() for t in terms}
+
+    def fold(batches):
+        for batch in batches:
+            for block in _blocks(batch, text):
+                words = _words(block[text])
+                cos = np.zeros(block.num_rows)
+                for row, at, weight in _folded(words, dims):
+                    cos[row] = query[at] @ weight
+                yield pa.RecordBatch.from_arrays([block[key], pa.array(cos), pa.array([len(asked.intersection(w)) for w in words], pa.int64())], [key, "cos", "shared"])
+
+    return source.select(key, text).mapInArrow(fold, kind)
 
 
 def cosine(a: Column, b: Column) -> Column:

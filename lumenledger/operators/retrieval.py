@@ -196,11 +196,11 @@ def full_scan(held: store.Generation, query: str, most: int) -> DataFrame:
     Every chunk gets a vector, where its text is; hybrid looks at candidates alone.
     """
     terms = sorted({t.lower() for t in re.findall(TOKEN, query)})
-    wanted = index.hashed_vector(held.chunks.sparkSession.createDataFrame([(0, query)], "id int, text string"), "id").select("idx", F.col("weight").alias("q"))
-    near = index.hashed_vector(held.chunks, "pointer").join(F.broadcast(wanted), "idx").groupBy("pointer").agg(F.sum(F.col("q") * F.col("weight")).alias("cos"))
-    part = F.size(F.array_intersect(index.tokens(F.col("text")), F.array(*map(F.lit, terms)).cast("array<string>"))) / float(max(1, len(terms)))
-    scored = held.chunks.select("pointer", part.alias("part")).join(near, "pointer", "left")
-    return scored.select("pointer", F.round(0.72 * F.coalesce("cos", F.lit(0.0)) + 0.18 * F.col("part"), 6).alias("score")).orderBy(F.desc("score"), "pointer").limit(most)
+    spark = held.chunks.sparkSession
+    wanted = {r.idx: r.weight for r in index.hashed_vector(spark.createDataFrame([(0, query)], "id int, text string"), "id").collect()}
+    near = index.hashed_dot(held.chunks, "pointer", wanted, terms)
+    score = 0.72 * F.col("cos") + 0.18 * (F.col("shared") / float(max(1, len(terms))))
+    return near.select("pointer", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "pointer").limit(most)
 
 
 def quoted(claims: DataFrame, sources: DataFrame) -> DataFrame:

@@ -207,6 +207,19 @@ def test_concepts_of_a_set_are_not_multiplied_by_its_ranges(spark):
     assert [tuple(r) for r in found.orderBy("rank").collect()] == [("p:30-80", 40, 1), ("p:1-40", 30, 2), ("q:1-2", 20, 3)]
 
 
+def test_a_full_scan_shuffles_no_vectors(spark):
+    from lumenledger.operators import index
+
+    rows = spark.createDataFrame([("a", "The de the"), ("b", None), ("c", "x y"), ("d", "the licence é")], "pointer string, text string")
+    query = {r.idx: r.weight for r in index.hashed_vector(spark.createDataFrame([(0, "license the de")], "id int, text string"), "id").collect()}
+    dot = index.hashed_dot(rows, "pointer", query, ["de", "license", "the"])
+    assert "Exchange" not in dot._jdf.queryExecution().executedPlan().toString()
+    near = {}
+    for r in index.hashed_vector(rows, "pointer").collect():
+        near[r.pointer] = near.get(r.pointer, 0.0) + query.get(r.idx, 0.0) * r.weight
+    assert {r.pointer: (round(r.cos, 12), r.shared) for r in dot.collect()} == {k: (round(near.get(k, 0.0), 12), n) for k, n in (("a", 2), ("b", 0), ("c", 0), ("d", 1))}
+
+
 def test_overlaps_are_found_once(spark):
     a = spark.createDataFrame([("p", 1, 200), ("p", 150, 151), ("q", 1, 5)], "path string, start_line int, end_line int")
     b = spark.createDataFrame([("p", 60, 150), ("p", 201, 300), ("q", 9, 3)], "path string, start int, end int")
