@@ -220,6 +220,22 @@ def test_a_full_scan_shuffles_no_vectors(spark):
     assert {r.pointer: (round(r.cos, 12), r.shared) for r in dot.collect()} == {k: (round(near.get(k, 0.0), 12), n) for k, n in (("a", 2), ("b", 0), ("c", 0), ("d", 1))}
 
 
+def test_tables_of_an_index_are_made_when_they_are_read(spark, tmp_path):
+    import os
+
+    from lumenledger.operators import store
+
+    rows = spark.createDataFrame([("p", "x y"), ("q", None)], "path string, text string")
+    held = store.Growing(spark, str(tmp_path / "g"), rows)
+    assert [tuple(r) for r in store.bm25(held, "document", ["x"]).select("key", "matched").collect()] == [("p", 1)]
+    assert sorted(os.listdir(tmp_path / "g")) == ["figures", "postings", "whole"] and os.listdir(tmp_path / "g" / "whole") == ["document"]
+    whole, new = held.completed(), store.build(rows, str(tmp_path / "n"))
+    for name in ("sources", "chunks", "symbols", "postings"):
+        assert sorted(map(str, getattr(whole, name).select(getattr(new, name).columns).collect())) == sorted(map(str, getattr(new, name).collect()))
+    # What is there isn't made again.
+    assert store.Growing(spark, str(tmp_path / "g"), rows.limit(0)).figures == whole.figures == new.figures == {"document": (2, 1.0), "chunk": (1, 2.0)}
+
+
 def test_overlaps_are_found_once(spark):
     a = spark.createDataFrame([("p", 1, 200), ("p", 150, 151), ("q", 1, 5)], "path string, start_line int, end_line int")
     b = spark.createDataFrame([("p", 60, 150), ("p", 201, 300), ("q", 9, 3)], "path string, start int, end int")
