@@ -55,3 +55,18 @@ def test_walk_names_paths_and_values(spark):
     got = {r.k: sorted((x.name, tuple(x.path), x.value) for x in r.leaves) for r in jsonwalk.walk(df, "text", lambda n: F.lit(True)).collect()}
     want = [("", ("",), "top"), ("a.b.c", ("a", "b.c"), "x"), ("a.b.c", ("a", "b.c"), "x y"), ("a.b.c", ("a", "b.c"), "y"), ("a.d", ("a", "d"), "z"), ("a.d.e", ("a", "d", "e"), "1")]
     assert got == {1: sorted(want), 2: [], 3: []}
+
+
+def test_a_repeated_expression_is_bound_once(spark):
+    from pyspark.sql import functions as F
+
+    from lumenledger.functions.text import entropy
+    from lumenledger.operators import secrets
+
+    rows = spark.createDataFrame([("aab\u00e9\U0001f600", 2.0 - 0.4 * 1.0 + 0.4 * 0.8), ("aaaa", 0.0), ("abab", 1.0), (None, None)], "v string, e double")
+    got = [r[0] for r in rows.select(entropy(F.col("v"))).collect()]
+    assert got[1:] == [0.0, 1.0, None] and abs(got[0] - 1.9219280948873623) < 1e-12
+    # The plan names the value's clean-up once, not at each of its uses.
+    rule = secrets.assignment_rule(F.lit("password"), secrets.bare(F.col("v")))
+    plan = rows.select(rule.alias("r"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(v") == 1
