@@ -236,6 +236,15 @@ def test_tables_of_an_index_are_made_when_they_are_read(spark, tmp_path):
     assert store.Growing(spark, str(tmp_path / "g"), rows.limit(0)).figures == whole.figures == new.figures == {"document": (2, 1.0), "chunk": (1, 2.0)}
 
 
+def test_vectors_are_folded_a_block_at_a_time(spark):
+    import pyarrow as pa
+
+    from lumenledger.operators import index
+
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * (3 << 20), None, "y" * (3 << 20), "z", "w" * (5 << 20)]})
+    assert [b.num_rows for b in index._blocks(batch, "text")] == [2, 2, 1]
+
+
 def test_overlaps_are_found_once(spark):
     a = spark.createDataFrame([("p", 1, 200), ("p", 150, 151), ("q", 1, 5)], "path string, start_line int, end_line int")
     b = spark.createDataFrame([("p", 60, 150), ("p", 201, 300), ("q", 9, 3)], "path string, start int, end int")
