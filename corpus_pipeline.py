@@ -54,7 +54,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
-    return bpe.digest(bpe.decode(bpe.encode(docs)))
+    return bpe.digest(bpe.encode(docs, decoded=True))
 
 
 STAGES = [

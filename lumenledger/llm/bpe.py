@@ -26,7 +26,7 @@ import hashlib
 import json
 import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 from itertools import chain
 
@@ -331,8 +331,12 @@ def _encoded(words: DataFrame, path: str, n_buckets: int) -> DataFrame:
     return words.repartition(n_buckets, "bucket").mapInArrow(encode, "block string, places binary, lengths binary, ids binary")
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit) for every row of docs."""
+def encode(docs: DataFrame, path: str = VOCABULARY, block_bytes: int = BLOCK_BYTES, decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit) for every row of docs; if decoded, also what decode adds.
+
+    Ids that are decoded here are so in the Python worker that placed them; decode(encode(docs)) keeps two workers busy for a task.
+    """
+    table = docs.sparkSession.sparkContext.broadcast(pieces(path)) if decoded else None
     small_batches(docs.sparkSession)
     n = partitions(docs.sparkSession)
     answers = _encoded(_distinct(docs, path, block_bytes, n), path, n)
@@ -364,6 +368,8 @@ def encode(docs: DataFrame, path: str = VOCABULARY, block_bytes: int = BLOCK_BYT
             out += [data[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         made = pa.table({"doc_id": pa.array(names, pa.int64()), "n_tokens": pa.array(np.concatenate(many)), "ids": pa.array(out, pa.binary())})
         del out, lengths, first, pool
+        if table is not None:
+            made = pa.Table.from_batches(_joined(made.to_batches(), table.value))
         give_back()
         return made
 
@@ -371,7 +377,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, block_bytes: int = BLOCK_BYT
         _coded(docs, path, block_bytes)
         .groupBy("block")
         .cogroup(answers.groupBy("block"))
-        .applyInArrow(place, "doc_id long, n_tokens long, ids binary")
+        .applyInArrow(place, "doc_id long, n_tokens long, ids binary" + (", decoded string" if decoded else ""))
     )
 
 
@@ -411,6 +417,28 @@ def word_encoder(path: str) -> Callable[[bytes], list[int]]:
     return lambda word: special.get(word) or merge(word)
 
 
+def _joined(batches: Iterable[pa.RecordBatch], table: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Batches with the text of their ids."""
+    piece = pa.array(table, pa.binary())
+    for batch in batches:
+        data, at = raw(batch["ids"])
+        at = at // 4
+        step = [0]  # documents at a time whose text is far below the size of one Arrow array
+        while step[-1] < batch.num_rows:
+            step.append(max(step[-1] + 1, int(np.searchsorted(at, at[step[-1]] + (1 << 20), "right")) - 1))
+        for a, b in zip(step[:-1], step[1:], strict=True):
+            joined = piece.take(pa.array(np.frombuffer(data[4 * at[a] : 4 * at[b]].tobytes(), "<u4")))
+            body, ends = raw(joined)
+            ends = ends[at[a : b + 1] - at[a]]
+            text = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(body)])
+            try:
+                text = text.cast(pa.string())
+            except pa.ArrowInvalid:
+                text = pa.array([t.decode("utf-8", "replace") for t in text.to_pylist()], pa.string())
+            part = batch.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([*part.columns, text], [*batch.schema.names, "decoded"])
+
+
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """The rows of encoded with the text of their ids: every id joins the broadcast table of pieces by its row number.
 
@@ -420,24 +448,7 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     table = encoded.sparkSession.sparkContext.broadcast(pieces(path))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = pa.array(table.value, pa.binary())
-        for batch in batches:
-            data, at = raw(batch["ids"])
-            at = at // 4
-            step = [0]  # documents at a time whose text is far below the size of one Arrow array
-            while step[-1] < batch.num_rows:
-                step.append(max(step[-1] + 1, int(np.searchsorted(at, at[step[-1]] + (1 << 20), "right")) - 1))
-            for a, b in zip(step[:-1], step[1:], strict=True):
-                joined = piece.take(pa.array(np.frombuffer(data[4 * at[a] : 4 * at[b]].tobytes(), "<u4")))
-                body, ends = raw(joined)
-                ends = ends[at[a : b + 1] - at[a]]
-                text = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(body)])
-                try:
-                    text = text.cast(pa.string())
-                except pa.ArrowInvalid:
-                    text = pa.array([t.decode("utf-8", "replace") for t in text.to_pylist()], pa.string())
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, text], [*batch.schema.names, "decoded"])
+        yield from _joined(batches, table.value)
         give_back()
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(join, schema)
@@ -455,4 +466,4 @@ def digest(decoded: DataFrame) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents, encoded and decoded again."""
-    return digest(decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+    return digest(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), decoded=True))

@@ -40,37 +40,39 @@ INDEX = "doc_ids array<long>, starts binary, counts binary, terms binary, ends b
 FOUND = "doc_id long, n_words long, hits binary, items array<long>"
 
 
+def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The index of documents, a batch for each shard."""
+    for block in blocks(batches, shard_bytes):
+        known: dict[bytes, int] = {}
+        ids, counts = [], []
+        for text in texts(block["text"]):
+            found = words(text)
+            ids += [known.setdefault(w, len(known)) for w in found]
+            counts.append(len(found))
+        count = np.array(counts, np.int64)
+        first = np.cumsum(count) - count
+        term = np.array(ids, np.int32)
+        place = np.arange(len(term)) + np.repeat(np.arange(len(count)), count)
+        order = np.argsort(term, kind="stable")
+        yield pa.RecordBatch.from_pydict(
+            {
+                "doc_ids": pa.array([block["doc_id"].cast(pa.int64()).to_pylist()], pa.list_(pa.int64())),
+                "starts": [(first + np.arange(len(count))).tobytes()],
+                "counts": [count.astype(np.int32).tobytes()],
+                "terms": [b" ".join(known)],
+                "ends": [np.cumsum(np.bincount(term, minlength=len(known)), dtype=np.int64).tobytes()],
+                "postings": [place[order].astype(np.int32).tobytes()],
+            }
+        )
+
+
 def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per shard of documents.
 
     doc_ids, starts int64 and counts int32 of the documents, terms joined by spaces, ends int64 of their posting lists, postings int32.
     """
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, shard_bytes):
-            known: dict[bytes, int] = {}
-            ids, counts = [], []
-            for text in texts(block["text"]):
-                found = words(text)
-                ids += [known.setdefault(w, len(known)) for w in found]
-                counts.append(len(found))
-            count = np.array(counts, np.int64)
-            first = np.cumsum(count) - count
-            term = np.array(ids, np.int32)
-            place = np.arange(len(term)) + np.repeat(np.arange(len(count)), count)
-            order = np.argsort(term, kind="stable")
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_ids": pa.array([block["doc_id"].cast(pa.int64()).to_pylist()], pa.list_(pa.int64())),
-                    "starts": [(first + np.arange(len(count))).tobytes()],
-                    "counts": [count.astype(np.int32).tobytes()],
-                    "terms": [b" ".join(known)],
-                    "ends": [np.cumsum(np.bincount(term, minlength=len(known)), dtype=np.int64).tobytes()],
-                    "postings": [place[order].astype(np.int32).tobytes()],
-                }
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(build, INDEX)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _shards(batches, shard_bytes), INDEX)
 
 
 class Shard:
@@ -140,6 +142,32 @@ class Queries:
             yield list(query), np.unique(self.items[places])
 
 
+def _look(batches: Iterator[pa.RecordBatch], asked: Queries, slop: int, named: bool) -> Iterator[pa.RecordBatch]:
+    """What each shard has of the sequences asked for."""
+    for row in (r for b in batches for r in b.to_pylist()):
+        shard = Shard(row)
+        total = int(shard.starts[-1] + shard.counts[-1]) + 1
+        hit = np.zeros(total + 1, bool)
+        held: dict[int, set[int]] = {}
+        for query, of in asked.in_shard(shard):
+            at = shard.find(query, slop)
+            for k in range(len(query)) if len(at) else ():
+                hit[np.clip(at + k, 0, total)] = True
+            for d in np.unique(np.searchsorted(shard.starts, at, "right") - 1).tolist():
+                held.setdefault(d, set()).update(of.tolist())
+        hits = [np.flatnonzero(hit[s : s + c]).astype(np.int32).tobytes() for s, c in zip(shard.starts, shard.counts, strict=True)]
+        out = {
+            "doc_id": pa.array(shard.doc_ids, pa.int64()),
+            "n_words": pa.array(shard.counts.astype(np.int64)),
+            "hits": pa.array(hits, pa.binary()),
+            "items": pa.array([sorted(held.get(d, ())) for d in range(len(hits))], pa.list_(pa.int64())),
+        }
+        if named:
+            out |= {"shard": pa.array([row["shard"]] * len(hits), pa.int64()), "place": pa.array(range(len(hits)), pa.int64())}
+        yield pa.RecordBatch.from_pydict(out)
+    give_back()
+
+
 def search(index: DataFrame, items: list[tuple[int, bytes]], window: int | None = WINDOW, slop: int = 0) -> DataFrame:
     """Every document with what occurs in it: doc_id, n_words, hits (int32 word numbers), items.
 
@@ -149,32 +177,7 @@ def search(index: DataFrame, items: list[tuple[int, bytes]], window: int | None
     queries = index.sparkSession.sparkContext.broadcast(Queries(items, window))
     named = "shard" in index.columns
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = queries.value
-        for row in (r for b in batches for r in b.to_pylist()):
-            shard = Shard(row)
-            total = int(shard.starts[-1] + shard.counts[-1]) + 1
-            hit = np.zeros(total + 1, bool)
-            held: dict[int, set[int]] = {}
-            for query, of in asked.in_shard(shard):
-                at = shard.find(query, slop)
-                for k in range(len(query)) if len(at) else ():
-                    hit[np.clip(at + k, 0, total)] = True
-                for d in np.unique(np.searchsorted(shard.starts, at, "right") - 1).tolist():
-                    held.setdefault(d, set()).update(of.tolist())
-            hits = [np.flatnonzero(hit[s : s + c]).astype(np.int32).tobytes() for s, c in zip(shard.starts, shard.counts, strict=True)]
-            out = {
-                "doc_id": pa.array(shard.doc_ids, pa.int64()),
-                "n_words": pa.array(shard.counts.astype(np.int64)),
-                "hits": pa.array(hits, pa.binary()),
-                "items": pa.array([sorted(held.get(d, ())) for d in range(len(hits))], pa.list_(pa.int64())),
-            }
-            if named:
-                out |= {"shard": pa.array([row["shard"]] * len(hits), pa.int64()), "place": pa.array(range(len(hits)), pa.int64())}
-            yield pa.RecordBatch.from_pydict(out)
-        give_back()
-
-    return index.mapInArrow(look, FOUND + (", shard long, place long" if named else ""))
+    return index.mapInArrow(lambda batches: _look(batches, queries.value, slop, named), FOUND + (", shard long, place long" if named else ""))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, query_bytes: int = QUERY_BYTES) -> DataFrame:
@@ -188,7 +191,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, q
     n_blocks = 1 + (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // query_bytes
     block = lambda i: [(r[0], r[1].encode()) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == i).toLocalIterator()]
     if n_blocks == 1:
-        return search(build_index(docs), block(0), window)
+        # One block asks each shard once, so a shard is asked in the Python worker that made it: a second one would hold it again.
+        queries = docs.sparkSession.sparkContext.broadcast(Queries(block(0), window))
+        return docs.select("doc_id", "text").mapInArrow(lambda batches: _look(_shards(batches, SHARD_BYTES), queries.value, 0, False), FOUND)
     index = checkpoint(build_index(docs).withColumn("shard", F.monotonically_increasing_id()))
     found = None
     for i in range(n_blocks):

@@ -115,6 +115,17 @@ def test_decontamination_keeps_every_row_at_any_size(spark):
     assert one == many and len(one) == 5
 
 
+def test_stages_keep_one_python_worker_for_a_task(spark, odd, odd_folder):
+    """A step in Python on another one's output would need a second worker, with its own copy of what both hold."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    encoded = bpe.encode(odd, decoded=True)
+    assert plan(encoded).count("MapInArrow") == plan(bpe.encode(odd)).count("MapInArrow") == 3
+    want = told(bpe.decode(bpe.encode(odd)), "doc_id", "n_tokens", "ids", "decoded")
+    assert told(encoded, "doc_id", "n_tokens", "ids", "decoded") == want and len(want) == len(ROWS)
+    benchmark = spark.read.parquet(f"{odd_folder}/benchmark.parquet")
+    assert plan(decontamination.decontaminate(odd, benchmark)).count("MapInArrow") == 1
+
+
 def test_words_that_share_a_hash_stay_apart(spark):
     word = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
     other = word.translate(str.maketrans("ab", "ba"))
