@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenledger.functions.text import content_id, lines, tokens
+from lumenledger.functions.workers import give_back, small_batches
 
 CHUNK_LINES, OVERLAP = 80, 16
 K1, B = 1.2, 0.75
 DIMENSIONS = 384
 #: Bytes of texts that a task counts or folds at a time.
 COUNTED_BYTES = 4 << 20
+#: Features whose hashes a task remembers.
+MOST_FEATURES = 50_000
+#: Rows of vectors that a task hands on at a time, about.
+HANDED_ROWS = 200_000
 
 
 def chunks(source: DataFrame, path: str = "path", text: str = "text", size: int = CHUNK_LINES, overlap: int = OVERLAP) -> DataFrame:
@@ -114,15 +121,16 @@ def _blocks(batch, column: str):
         start = end
 
 
-def _words(column) -> list[list[bytes]]:
-    """The tokens of each text; null has none."""
+def _words(column) -> Iterator[list[bytes]]:
+    """The tokens of each text, one text after another; null has none."""
     import pyarrow as pa
 
-    return [v.translate(_FOLDED).split() if v else [] for v in column.cast(pa.binary()).to_pylist()]
+    for value in column.cast(pa.binary()):
+        yield (value.as_py() or b"").translate(_FOLDED).split()
 
 
-def _folded(texts: list[list[bytes]], dims: int):
-    """row, places and weights of each text's unit vector that is not all zero. A feature is hashed once for the texts given."""
+def _folded(texts: Iterable[list[bytes]], dims: int):
+    """row, places and weights of each text's unit vector that is not all zero. A feature is hashed once while it is remembered."""
     import hashlib
 
     import numpy as np
@@ -131,6 +139,8 @@ def _folded(texts: list[list[bytes]], dims: int):
     for row, words in enumerate(texts):
         if not words:
             continue
+        if len(known) > MOST_FEATURES:
+            known.clear()
         codes = []
         for feature in (*words, *map(b"\x1f".join, zip(words[:-1], words[1:], strict=True))):
             code = known.get(feature)
@@ -150,7 +160,7 @@ def hashed_vector(source: DataFrame, key: str, text: str = "text", dims: int = D
 
     A vector is folded where its text is, so nothing is shuffled: built-in functions have no fold
     to an array of counters in one pass, and grouping by (key, idx) shuffles more than the texts.
-    A feature is hashed once for each block of texts.
+    What a task holds is bounded by a block of texts, the features that it remembers and the rows that it hands on.
     """
     import numpy as np
     import pyarrow as pa
@@ -163,12 +173,19 @@ def hashed_vector(source: DataFrame, key: str, text: str = "text", dims: int = D
     def fold(batches):
         for batch in batches:
             for block in _blocks(batch, text):
-                made = list(_folded(_words(block[text]), dims))
-                if made:
-                    rows, places, weights = zip(*made, strict=True)
-                    own = block[key].take(pa.array(np.repeat(rows, [len(p) for p in places])))
-                    yield pa.RecordBatch.from_arrays([own, pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(weights))], schema=schema)
-
+                made, many = [], 0
+                for one in chain(_folded(_words(block[text]), dims), (None,)):
+                    if made and (one is None or many >= HANDED_ROWS):
+                        rows, places, weights = zip(*made, strict=True)
+                        own = block[key].take(pa.array(np.repeat(rows, [len(p) for p in places])))
+                        yield pa.RecordBatch.from_arrays([own, pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(weights))], schema=schema)
+                        made, many = [], 0
+                    if one is not None:
+                        made.append(one)
+                        many += len(one[1])
+                give_back()
+
+    small_batches(source.sparkSession)
     return source.select(key, text).mapInArrow(fold, kind)
 
 
@@ -186,7 +203,7 @@ def hashed_dot(source: DataFrame, key: str, wanted: dict[int, float], terms: lis
     def fold(batches):
         for batch in batches:
             for block in _blocks(batch, text):
-                words = _words(block[text])
+                words = list(_words(block[text]))
                 cos = np.zeros(block.num_rows)
                 for row, at, weight in _folded(words, dims):
                     cos[row] = query[at] @ weight

@@ -259,6 +259,25 @@ def test_vectors_are_folded_a_block_at_a_time(spark):
     assert [b.num_rows for b in index._blocks(batch, "text")] == [2, 2, 1]
 
 
+def test_vectors_are_the_same_whatever_a_task_remembers(spark, monkeypatch):
+    """A worker forgets features beyond a bound, cuts its output, and gets Arrow batches of a few MB."""
+    from lumenledger.operators import index
+
+    texts = [[b"w%d" % (i * j % 50) for j in range(30)] for i in range(9)] + [[]]
+    told = lambda: [(row, at.tolist(), w.tolist()) for row, at, w in index._folded(iter(texts), 384)]
+    want = told()
+    monkeypatch.setattr(index, "MOST_FEATURES", 3)
+    assert told() == want and len(want) == 9
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, str(64 << 20))
+        index.hashed_vector(spark.createDataFrame([(1, "a b")], "k long, text string"), "k")
+        assert int(spark.conf.get(key)) <= 4 << 20
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_overlaps_are_found_once(spark):
     a = spark.createDataFrame([("p", 1, 200), ("p", 150, 151), ("q", 1, 5)], "path string, start_line int, end_line int")
     b = spark.createDataFrame([("p", 60, 150), ("p", 201, 300), ("q", 9, 3)], "path string, start int, end int")
