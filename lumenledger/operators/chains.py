@@ -22,23 +22,36 @@ def chains(links: DataFrame) -> DataFrame:
     one has no end; cycle names the least node of that cycle, and on_cycle tells whether the node is on
     it. A node with several nexts follows the least; null nexts are none. An end's many nodes are
     not gathered: rounds join nodes that still move only, and adaptive execution splits a target of very many.
+
+    Rounds are as many as the longest chain and cycle need, not as the number of nodes would allow: of nodes with an end, the
+    nearest ones that still move end in each round, so when none does the others turn. These go on by themselves until
+    all pointers stand on cycles (no fewer places in a round) and no least node changes, which tells that it is the whole cycle's.
     """
     links = written(links.where("node IS NOT NULL AND next IS NOT NULL").groupBy("node").agg(F.min("next").alias("at")))
     many = links.count()
     state = links.select("node", "at", F.lit(1).cast("long").alias("hops"), F.least("node", "at").alias("low"), F.lit(False).alias("ended"))
-    steps = 1
-    while many:
-        moving = state.where("NOT ended")
+    done, places, moving = None, None, many
+    while moving:
         ahead = state.select(F.col("node").alias("at"), F.col("at").alias("to"), F.col("hops").alias("more"), F.col("low").alias("lower"), F.col("ended").alias("over"))
-        jumped = moving.join(ahead, "at", "left").select(
+        jumped = state.where("NOT ended").join(ahead, "at", "left").select(
             "node", F.coalesce("to", "at").alias("at"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"),
-            F.least("low", "lower").alias("low"), F.coalesce("over", F.lit(True)).alias("ended"),
+            F.least("low", "lower").alias("low"), F.coalesce("over", F.lit(True)).alias("ended"), (F.col("lower") < F.col("low")).alias("less"),
         )
-        state = written(state.where("ended").unionByName(jumped))
-        steps *= 2
-        if steps > many or state.where("NOT ended").isEmpty():
+        if done is None:
+            jumped = state.where("ended").withColumn("less", F.lit(False)).unionByName(jumped)
+        jumped = written(jumped)
+        left = jumped.where("NOT ended").agg(F.count(F.lit(1)), F.max("less")).first()
+        state = jumped.drop("less")
+        if left[0] < moving:
+            moving = left[0]
+            continue
+        if done is None:
+            done, state = state.where("ended"), state.where("NOT ended")
+        before, places = places, state.select("at").distinct().count()
+        if before == places and not left[1]:
             break
-    # As many steps as there are nodes lead every pointer without an end onto its cycle, and all of a cycle's nodes are met.
+    done = state.where("ended") if done is None else done
+    # Every pointer without an end stands on its cycle, and all of a cycle's nodes are pointed to.
     turning = state.where("NOT ended")
     own = turning.join(turning.select(F.col("at").alias("node")).distinct(), "node", "left_semi").select("node", F.col("low").alias("cycle"))
     named = turning.join(own.withColumnRenamed("node", "at"), "at").join(own.select("node", F.lit(True).alias("on_cycle")), "node", "left")
@@ -46,7 +59,7 @@ def chains(links: DataFrame) -> DataFrame:
     looped = named.select("node", nothing.alias("end"), F.lit(None).cast("long").alias("hops"), "cycle", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
     last = links.select(F.col("at").alias("node")).distinct().join(links.select("node"), "node", "left_anti")
     ends = last.select("node", F.col("node").alias("end"), F.lit(0).cast("long").alias("hops"))
-    straight = state.where("ended").select("node", F.col("at").alias("end"), "hops").unionByName(ends)
+    straight = done.select("node", F.col("at").alias("end"), "hops").unionByName(ends)
     return straight.select("node", "end", "hops", nothing.alias("cycle"), F.lit(False).alias("on_cycle")).unionByName(looped)
 
 

@@ -39,6 +39,18 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     assert len(rounds) < 40
 
 
+def test_rounds_do_not_grow_with_the_number_of_chains(spark, monkeypatch):
+    """Nodes that turn stop when their own cycles are known, and don't carry along those that have ended."""
+    rounds = []
+    kept = chains.written
+    monkeypatch.setattr(chains, "written", lambda df: rounds.append(1) or kept(df))
+    links = {10 * i + k: 10 * i + k + 1 for i in range(2000) for k in range(3)} | {10 * i + 4: 10 * i + 5 for i in range(2000)} | {10 * i + 5: 10 * i + 4 for i in range(0, 2000, 2)}
+    links |= {7: 4, 8: 7, 9: 8}
+    df = spark.createDataFrame([*links.items()], "node long, next long")
+    assert {r.node: tuple(r)[1:] for r in chains.chains(df).collect()} == walked(links)
+    assert len(rounds) < 8
+
+
 def longest(edges):
     nodes = {v for e in edges for v in e}
     layer, left = {}, set(edges)
