@@ -246,9 +246,9 @@ def between(heads: DataFrame, made: DataFrame) -> DataFrame:
 def by_fingerprints(docs: DataFrame, made: DataFrame, total: int) -> DataFrame:
     """Pairs (u, v) of classes that SimHash over five-word shingles links: classes of one fingerprint, and stars of linked ones."""
     prints = stored(fingerprints(docs, SHINGLE).join(made.select("doc_id", "cls"), "doc_id").groupBy("fp", "cls").agg(F.count(F.lit(1)).alias("rows")), ROWS)[0]
-    leads = prints.groupBy("fp").agg(F.min("cls").alias("lead"), F.count(F.lit(1)).alias("many"))
+    leads = stored(prints.groupBy("fp").agg(F.min("cls").alias("lead"), F.count(F.lit(1)).alias("many")), ROWS)[0]
     own = join_keys(prints, leads.where("many > 1"), "fp", "many", total).select(F.col("cls").alias("u"), F.col("lead").alias("v"))
-    stars = link(leads.select("fp")).distinct()
+    stars = stored(link(leads.select("fp")).distinct(), ROWS)[0]
     lead = lambda fp, cls: leads.select(F.col("fp").alias(fp), F.col("lead").alias(cls))
     far = stars.join(lead("u", "x"), "u").join(lead("v", "y"), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
     return _sorted_pairs(own.unionByName(far))
@@ -293,13 +293,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     component_id is the least doc_id that links of near copies reach. stays tells the rows of that doc_id; in a component
     without any, the rows of the least digest of a text.
+
+    join_keys names its inputs several times, so what it joins is stored: one plan of all would hold each step up to 15
+    times, and the driver plans and describes it anew after each of its stages.
     """
     made, told = stored(prefixes(docs), DOCUMENTS)
     total = told["n"]
     classes = made.groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("digest").alias("digest"), F.count(F.lit(1)).alias("many"))
     found = components(links(docs, made, total))
-    rooted = classes.join(found, classes["cls"] == found["node"], "left").select("cls", "least", "digest", "many", F.coalesce("root", "cls").alias("root"))
-    of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("digest").alias("first"), F.count(F.lit(1)).alias("together"))
-    named = join_keys(rooted.drop("digest"), of_root, "root", "together", total).select("cls", "component_id", "first", "many")
+    rooted = stored(classes.join(found, classes["cls"] == found["node"], "left").select("cls", "least", "digest", "many", F.coalesce("root", "cls").alias("root")), ROWS)[0]
+    of_root = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("digest").alias("first"), F.count(F.lit(1)).alias("together")), ROWS)[0]
+    named = stored(join_keys(rooted.drop("digest"), of_root, "root", "together", total).select("cls", "component_id", "first", "many"), ROWS)[0]
     stays = F.coalesce(F.when(F.col("component_id").isNull(), F.col("digest") == F.col("first")).otherwise(F.col("doc_id") == F.col("component_id")), F.lit(False))
     return join_keys(made.select("doc_id", "digest", "cls"), named, "cls", "many", total).select("doc_id", "digest", "component_id", stays.alias("stays"))

@@ -76,3 +76,10 @@ def test_decontamination_stage_judges_rows_without_ids(spark, tmp_path):
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.drop_contaminated(spark, df, str(tmp_path)).collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(None, "clean"), (None, None), (5, "clean")], key=str)
+
+
+def test_the_last_plan_is_small(spark, capsys):
+    """What joins name several times is stored; one plan of all had each step up to 15 times, in the driver's memory."""
+    df = spark.createDataFrame(rows(), "doc_id long, text string, lang string, source string, n_chars long")
+    nearcopies.near_copies(df).explain()
+    assert capsys.readouterr().out.count("Exchange") < 10
