@@ -10,18 +10,20 @@ the state and the output or in neither, as Structured Streaming commits both tog
 from __future__ import annotations
 
 import hashlib
-import re
+from array import array
 from collections.abc import Iterator
+from itertools import groupby
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: What a row tells: an event (kind and chain digest), a term, a piece of evidence, an edge, or an outbox entry.
 APPENDED = "session_id string, event_id long, sequence long, observed_at long, part string, name string, value string"
 INCOMING = "event_id long, session_id string, kind string, subject string, payload string, observed_at long, supersedes long, locators array<string>"
-_TOKEN = re.compile(r"[A-Za-z0-9_]+")
+#: An event with its place in the session.
+LINKED = "session_id string, event_id long, sequence long, observed_at long, kind string, subject string, payload string, supersedes long, locators array<string>, digest string"
+_LINKED = Row(*(c.split()[0] for c in LINKED.split(", ")))
 
 
 def link(before: str, session_id: str, sequence: int, event_id: int, kind: str, subject: str, payload: str) -> str:
@@ -30,31 +32,41 @@ def link(before: str, session_id: str, sequence: int, event_id: int, kind: str,
 
 
 class Appender(StatefulProcessor):
+    """The ids that a session has are kept by blocks of 65,536 ids, as the two low bytes of each, so that the store is asked for a block and not for an event."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "sequence long, clock long, digest string")
-        self.seen = handle.getMapState("seen", "event_id long", "sequence long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows)).sort_values("event_id", kind="stable")
-        sequence, clock, digest = self.last.get() if self.last.exists() else (0, 0, "")
-        out, session = [], key[0]
-        for e in batch.itertuples(index=False):
-            event_id = int(e.event_id)
-            if self.seen.containsKey((event_id,)) or any(pd.isna(x) for x in (e.kind, e.subject, e.payload)):
-                continue
-            sequence, clock = sequence + 1, max(clock, int(e.observed_at))
-            digest = link(digest, session, sequence, event_id, e.kind, e.subject, e.payload)
-            self.seen.updateValue((event_id,), (sequence,))
-            parts = [("event", e.kind, digest), ("graph", "about", e.subject), ("outbox", "pending", hashlib.sha256(digest.encode()).hexdigest())]
-            parts += [("term", t, None) for t in sorted({t.lower() for t in _TOKEN.findall(f"{e.subject} {e.payload}")})]
-            if not pd.isna(e.supersedes):
-                parts.append(("graph", "supersedes", str(int(e.supersedes))))
-            for at, locator in enumerate(e.locators if e.locators is not None else ()):
-                parts += [("evidence", str(at), locator), ("graph", "evidence", locator)]
-            out += [(session, event_id, sequence, clock, *p) for p in parts]
+        self.seen = handle.getMapState("seen_blocks", "block long", "ids binary")
+
+    def unseen(self, ids: list[int], known: bool) -> Iterator[bool]:
+        """Whether each of the ascending distinct ids is one that the session has not had; from now on it has them. known: whether it has any."""
+        for block, same in groupby(ids, lambda i: i >> 16):
+            low = [i & 0xFFFF for i in same]
+            held = (self.seen.getValue((block,)) if known else None) or (b"",)
+            before = array("H", bytes(held[0]))
+            had = set(before)
+            new = [i not in had for i in low]
+            if any(new):
+                before.extend(i for i, ok in zip(low, new, strict=True) if ok)
+                self.seen.updateValue((block,), (before.tobytes(),))
+            yield from new
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        batch: dict[int, Row] = {}
+        for e in rows:
+            batch.setdefault(e.event_id, e)
+        ids, session, last = sorted(batch), key[0], self.last.get()
+        sequence, clock, digest = last or (0, 0, "")
+        out = []
+        for event_id, new in zip(ids, self.unseen(ids, last is not None), strict=True):
+            if new:
+                e = batch[event_id]
+                sequence, clock = sequence + 1, max(clock, e.observed_at)
+                digest = link(digest, session, sequence, event_id, e.kind, e.subject, e.payload)
+                out.append(_LINKED(session, event_id, sequence, clock, e.kind, e.subject, e.payload, e.supersedes, e.locators, digest))
         if out:
             self.last.update((sequence, clock, digest))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in APPENDED.split(", ")])
+        yield from out
 
     def close(self) -> None:
         pass
@@ -64,10 +76,20 @@ def appended(events: DataFrame) -> DataFrame:
     """The rows (APPENDED) of a stream of events (INCOMING). Events without an id, session, kind, subject or payload are passed over.
 
     A session's new events of one batch meet in one task, in which they are ordered; its ids stay in the state store, not in memory.
-    The state needs the RocksDB store: see rocksdb.
+    What follows from an event is made after that, from its row. The state needs the RocksDB store: see rocksdb.
     """
-    kept = events.where("event_id IS NOT NULL AND session_id IS NOT NULL").withColumn("observed_at", F.coalesce("observed_at", F.lit(0).cast("long")))
-    return kept.groupBy("session_id").transformWithStateInPandas(statefulProcessor=Appender(), outputStructType=APPENDED, outputMode="Append", timeMode="None")
+    kept = events.dropna(subset=["event_id", "session_id", "kind", "subject", "payload"]).withColumn("observed_at", F.coalesce("observed_at", F.lit(0).cast("long")))
+    linked = kept.groupBy("session_id").transformWithState(statefulProcessor=Appender(), outputStructType=LINKED, outputMode="Append", timeMode="None")
+    part = lambda part, name, value: F.struct(F.lit(part).alias("part"), name.cast("string").alias("name"), value.cast("string").alias("value"))
+    none = F.lit(None).cast("string")
+    terms = F.array_distinct(F.transform(F.regexp_extract_all(F.concat_ws(" ", "subject", "payload"), F.lit("([A-Za-z0-9_]+)")), F.lower))
+    parts = F.concat(
+        F.array(part("event", F.col("kind"), F.col("digest")), part("graph", F.lit("about"), F.col("subject")), part("outbox", F.lit("pending"), F.sha2("digest", 256))),
+        F.transform(terms, lambda t: part("term", t, none)),
+        F.filter(F.array(part("graph", F.lit("supersedes"), F.col("supersedes"))), lambda p: p["value"].isNotNull()),
+        F.flatten(F.transform(F.coalesce("locators", F.array().cast("array<string>")), lambda x, i: F.array(part("evidence", i, x), part("graph", F.lit("evidence"), x)))),
+    )
+    return linked.select("session_id", "event_id", "sequence", "observed_at", F.inline(parts))
 
 
 class rocksdb:  # noqa: N801

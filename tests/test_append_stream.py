@@ -1,5 +1,7 @@
 """Events appended as a stream: the same as in one batch, and nothing twice."""
 
+from pyspark.sql import Row
+
 from lumenledger.streaming import append as A
 
 
@@ -49,3 +51,41 @@ def test_stream_and_replay(spark, tmp_path):
     assert {r.session_id: r.value for r in got if r.part == "event" and r.sequence == state[r.session_id][0]} == {s: x[2] for s, x in state.items()}
     put(first + second, "c")  # delivered again
     assert len(run()) == len(got) and spark.conf.get(A.rocksdb.KEY) == before
+
+
+class Store:
+    """A state that counts what is asked of it."""
+
+    def __init__(self):
+        self.held, self.asked = {}, 0
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    getMapState = getValueState  # noqa: N815
+
+    def get(self):
+        return self.getValue("last")
+
+    def update(self, value):
+        self.updateValue("last", value)
+
+    def getValue(self, key):  # noqa: N802
+        self.asked += 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.asked += 1
+        self.held[key] = value
+
+
+def test_the_store_is_asked_for_blocks_of_ids_not_for_events():
+    store, appender = Store(), A.Appender()
+    appender.init(store)
+    incoming = Row(*(c.split()[0] for c in A.INCOMING.split(", ")))
+    put = lambda ids: [(r.event_id, r.sequence) for r in appender.handleInputRows(("s",), iter([incoming(i, "s", "k", "a", "b", 1, None, None) for i in ids]), None)]
+    first = [*range(-3, 2000), 65535, 65536, 1 << 40]
+    assert put(first[::-1] + first) == [(i, n) for n, i in enumerate(first, 1)]
+    assert put(first) == []
+    assert put([*first, 5000, -70000]) == [(-70000, len(first) + 1), (5000, len(first) + 2)]
+    assert store.asked < 30
