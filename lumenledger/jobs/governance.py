@@ -11,6 +11,7 @@ from lumenledger.functions import text as fn
 from lumenledger.jobs.catalog import _EVENTS, _events, query
 from lumenledger.operators import chains, evaluation, integrity, ledger
 from lumenledger.operators.ranges import numbered
+from lumenledger.sources.shared import written
 from lumenledger.sources.tables import table
 from lumenledger.streaming import append, outbox
 
@@ -149,7 +150,7 @@ l AS (SELECT k.*, CASE WHEN user_id % 9 = 4 AND k >= 2 THEN NULL WHEN user_id %
 SELECT event_id, layer::INT AS layer, CASE WHEN layer IS NOT NULL THEN row_number() OVER (PARTITION BY layer ORDER BY user_id, k, event_id) - 1 END AS place FROM l""")
 def import_order(spark: SparkSession, folder: str) -> DataFrame:
     """Events of users that supersede the one before, and the first ones of even users that contradict the first one of the user before; some supersede an event that is not there."""
-    events = numbered(table(spark, folder, "events").select("event_id", "user_id"), "user_id", "event_id", "k")
+    events = written(numbered(table(spark, folder, "events").select("event_id", "user_id"), "user_id", "event_id", "k"))
     own = events.join(events.select("user_id", (F.col("k") + 1).alias("k"), F.col("event_id").alias("target")), ["user_id", "k"]).select("event_id", "target")
     other = events.where("k = 0 AND user_id % 2 = 0 AND (user_id - 1) % 9 <> 4").join(events.select((F.col("user_id") + 1).alias("user_id"), "k", F.col("event_id").alias("target")), ["user_id", "k"]).select("event_id", "target")
     lost = events.where("user_id % 9 = 4 AND k = 2").select("event_id", F.lit(-1).cast("long").alias("target"))

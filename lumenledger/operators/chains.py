@@ -110,12 +110,15 @@ def import_order(events: DataFrame, relations: DataFrame) -> DataFrame:
     ordered by session, sequence and id, and place is the number in that order, from 0. Events on or behind a cycle, or
     with a target that is no event, have neither: with any, an import is refused.
     """
-    edges = relations.where("target IS NOT NULL").select(F.col("target").alias("a"), F.col("event_id").alias("b")).distinct()
+    edges = written(relations.where("target IS NOT NULL").select(F.col("target").alias("a"), F.col("event_id").alias("b")).distinct())
     # An unknown target is made a cycle of its own, so that what rests on it is never freed.
     lost = edges.select("a").distinct().join(events.select(F.col("event_id").alias("a")), "a", "left_anti")
     layered = layers(edges.unionByName(lost.select("a", F.col("a").alias("b"))))
-    rows = events.select("event_id", "session_id", "sequence").join(layered.withColumnRenamed("node", "event_id"), "event_id", "left")
-    known = edges.select(F.col("a").alias("event_id")).union(edges.select("b")).distinct().withColumn("known", F.lit(True))
-    rows = rows.join(known, "event_id", "left").withColumn("layer", F.when(F.col("known").isNull(), 0).otherwise(F.col("layer"))).drop("known")
+    layered = layered.select(F.col("node").alias("event_id"), F.struct("layer").alias("found"))
+    # Written, as dealing by ranges looks at its rows twice, and the result at those without a layer once more.
+    rows = written(
+        events.select("event_id", "session_id", "sequence").join(layered, "event_id", "left")
+        .select("event_id", "session_id", "sequence", F.when(F.col("found").isNull(), 0).otherwise(F.col("found.layer")).alias("layer"))
+    )
     ordered = numbered(rows.where("layer IS NOT NULL").withColumn("by", F.struct("session_id", "sequence", "event_id")), "layer", "by", "place")
     return ordered.select("event_id", "layer", "place").unionByName(rows.where("layer IS NULL").select("event_id", "layer", F.lit(None).cast("long").alias("place")))

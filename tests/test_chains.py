@@ -79,3 +79,10 @@ def test_import_order_takes_targets_first(spark):
     assert {r.event_id: (r.layer, r.place) for r in got.collect()} == {
         "e8": (0, 0), "e2": (0, 1), "e1": (0, 2), "e3": (1, 0), "e4": (2, 0), "e5": (None, None), "e6": (None, None), "e7": (None, None),
     }
+
+
+def test_import_order_joins_its_rows_once(spark, capsys):
+    """Places and the rows without one are read from a table, and don't make layers anew."""
+    events, relations = spark.createDataFrame([(1, 1, 1), (2, 1, 2)], "event_id long, session_id long, sequence int"), spark.createDataFrame([(2, 1)], "event_id long, target long")
+    chains.import_order(events, relations).explain()
+    assert 0 < capsys.readouterr().out.count("Join") < 3
