@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lumenledger.functions.workers import BATCH_BYTES, give_back, size_of, small_batches  # noqa: F401
-from lumenledger.sources.shared import checkpoint, shared_folder  # noqa: F401
+from lumenledger.sources import shared
+from lumenledger.sources.shared import shared_folder  # noqa: F401
 
 #: Maps A-Z to a-z and every byte that is no word byte to a space. Words are runs of
 #: digits, letters and all bytes from 0x80 on.
@@ -63,18 +64,29 @@ def blocks(batches: Iterator[pa.RecordBatch], most_bytes: int, column: str = "te
             start = end
 
 
-def stored(df: DataFrame, per: int, **more: Column) -> tuple[DataFrame, dict]:
+def checkpoint(df: DataFrame) -> DataFrame:
+    """A copy of df in the shared folder; what nothing refers to any more goes.
+
+    Spark deletes the shuffle files of such steps when the driver collects its garbage, which a driver with little to do
+    may not do for hours. It also gives back the heap that the plans of the steps before took.
+    """
+    out = shared.checkpoint(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def stored(df: DataFrame, per: int, most: int | None = None, **more: Column) -> tuple[DataFrame, dict]:
     """A checkpoint of df in tasks of about `per` rows, and its number of rows n and other aggregates, taken in the same job.
 
-    Small tables would else leave a file for each of many empty partitions in every shuffle that follows.
+    Small tables would else leave a file for each of many empty partitions in every shuffle that follows. If df has about
+    `most` rows at most, and its last step reads no more than about so many, that step has no more tasks than these need.
     """
     seen = Observation()
+    if most is not None:
+        df = df.coalesce(max(1, -(-most // per)))
     out = checkpoint(df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in more.items())))
     told = seen.get
-    # Spark deletes the shuffle files of steps that nothing refers to any more when the driver collects its garbage,
-    # which a driver with little to do may not do for hours.
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
     return out.coalesce(max(1, -(-told["n"] // per))), told
 
 
@@ -87,13 +99,21 @@ def partitions(spark: SparkSession) -> int:
 HOT = 1000
 
 
-def join_keys(rows: DataFrame, keys: DataFrame, key: str | list[str], many: str, total: int) -> DataFrame:
+def is_hot(many: str, total: int) -> Column:
+    """Whether a key with so many of `total` rows is hot."""
+    return F.col(many) > total / HOT
+
+
+def join_keys(rows: DataFrame, keys: DataFrame, key: str | list[str], many: str, total: int, n_hot: int | None = None) -> DataFrame:
     """rows inner-joined to keys, one row a key, whose column `many` says how many rows the key has.
 
     The rows of a hot key would all meet in one task. At most HOT keys can be hot, so those are
     broadcast and their rows stay where they are; only the other keys' rows are shuffled.
+    If the number of hot keys is given and is none, all rows are.
     """
     on = [key] if isinstance(key, str) else key
-    hot = keys.where(F.col(many) > total / HOT)
-    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keys.where(F.col(many) <= total / HOT), on)
+    if n_hot == 0:
+        return rows.join(keys, on)
+    hot = keys.where(is_hot(many, total))
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keys.where(~is_hot(many, total)), on)
     return rows.join(F.broadcast(hot), on).unionByName(cold)

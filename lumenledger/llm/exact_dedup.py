@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenledger.llm.arrowtext import checkpoint, join_keys, partitions
+from lumenledger.llm.arrowtext import checkpoint, is_hot, join_keys, partitions, stored
 
 #: Keys that a bucket's filter is made for, about; sets the number of buckets.
 BUCKET_KEYS = 200_000
@@ -210,7 +210,8 @@ def exact_dedup(docs: DataFrame, is_snapshot: Column, bucket_keys: int = BUCKET_
     batch = group_copies(digested.where("not old"))
     total = digested.count()
     n_buckets = max(1, total // bucket_keys, min(8, partitions(docs.sparkSession)))
-    found = match(docs, snapshot, batch, n_buckets)
+    # Both sides name it.
+    found = checkpoint(match(docs, snapshot, batch, n_buckets))
     mine = F.expr("first_id IS NOT NULL AND (snap_id IS NULL OR first_id < snap_id)")
     both = found.select(
         "digest",
@@ -229,7 +230,8 @@ def exact_dedup(docs: DataFrame, is_snapshot: Column, bucket_keys: int = BUCKET_
             "copies",
         )
         groups = one if groups is None else groups.unionByName(one)
-    return join_keys(digested, checkpoint(groups), ["digest", "old"], "copies", total).select(
+    groups, told = stored(groups, bucket_keys, hot=F.count_if(is_hot("copies", total)))
+    return join_keys(digested, groups, ["digest", "old"], "copies", total, told["hot"]).select(
         "doc_id",
         "keep_id",
         F.col("group_size").cast("long").alias("group_size"),

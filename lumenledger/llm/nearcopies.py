@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenledger.llm.arrowtext import blocks, give_back, join_keys, partitions, small_batches, stored, texts
+from lumenledger.llm.arrowtext import blocks, give_back, is_hot, join_keys, partitions, small_batches, stored, texts
 from lumenledger.llm.simhash import _LOWER, components, fingerprints, link
 
 SHINGLE = 5
@@ -183,7 +183,8 @@ def shared_heads(made: DataFrame, total: int) -> DataFrame:
     rare = rare.join(rare.groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("h"), "h")
     common = each.where("common")
     held = common.groupBy("h").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count(F.lit(1)).alias("many")).where("a < b").select("h", "many")
-    return rare.unionByName(join_keys(common, stored(held, ROWS)[0], "h", "many", total).drop("many")).withColumn("root", F.col("cls"))
+    held, told = stored(held, ROWS, hot=F.count_if(is_hot("many", total)))
+    return rare.unionByName(join_keys(common, held, "h", "many", total, told["hot"]).drop("many")).withColumn("root", F.col("cls"))
 
 
 def to_leaders(heads: DataFrame, total: int) -> DataFrame:
@@ -245,9 +246,9 @@ def between(heads: DataFrame, made: DataFrame) -> DataFrame:
 
 def by_fingerprints(docs: DataFrame, made: DataFrame, total: int) -> DataFrame:
     """Pairs (u, v) of classes that SimHash over five-word shingles links: classes of one fingerprint, and stars of linked ones."""
-    prints = stored(fingerprints(docs, SHINGLE).join(made.select("doc_id", "cls"), "doc_id").groupBy("fp", "cls").agg(F.count(F.lit(1)).alias("rows")), ROWS)[0]
-    leads = stored(prints.groupBy("fp").agg(F.min("cls").alias("lead"), F.count(F.lit(1)).alias("many")), ROWS)[0]
-    own = join_keys(prints, leads.where("many > 1"), "fp", "many", total).select(F.col("cls").alias("u"), F.col("lead").alias("v"))
+    prints = stored(fingerprints(docs, SHINGLE).join(made.select("doc_id", "cls"), "doc_id").groupBy("fp", "cls").agg(F.count(F.lit(1)).alias("rows")), ROWS, total)[0]
+    leads, told = stored(prints.groupBy("fp").agg(F.min("cls").alias("lead"), F.count(F.lit(1)).alias("many")), ROWS, total, hot=F.count_if((F.col("many") > 1) & is_hot("many", total)))
+    own = join_keys(prints, leads.where("many > 1"), "fp", "many", total, told["hot"]).select(F.col("cls").alias("u"), F.col("lead").alias("v"))
     stars = stored(link(leads.select("fp")).distinct(), ROWS)[0]
     lead = lambda fp, cls: leads.select(F.col("fp").alias(fp), F.col("lead").alias(cls))
     far = stars.join(lead("u", "x"), "u").join(lead("v", "y"), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
@@ -301,8 +302,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     total = told["n"]
     classes = made.groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("digest").alias("digest"), F.count(F.lit(1)).alias("many"))
     found = components(links(docs, made, total))
-    rooted = stored(classes.join(found, classes["cls"] == found["node"], "left").select("cls", "least", "digest", "many", F.coalesce("root", "cls").alias("root")), ROWS)[0]
-    of_root = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("digest").alias("first"), F.count(F.lit(1)).alias("together")), ROWS)[0]
-    named = stored(join_keys(rooted.drop("digest"), of_root, "root", "together", total).select("cls", "component_id", "first", "many"), ROWS)[0]
+    rooted = stored(classes.join(found, classes["cls"] == found["node"], "left").select("cls", "least", "digest", "many", F.coalesce("root", "cls").alias("root")), ROWS, total)[0]
+    of_root, told = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("digest").alias("first"), F.count(F.lit(1)).alias("together")), ROWS, total, hot=F.count_if(is_hot("together", total)))
+    named = join_keys(rooted.drop("digest"), of_root, "root", "together", total, told["hot"]).select("cls", "component_id", "first", "many")
+    named, told = stored(named, ROWS, total, hot=F.count_if(is_hot("many", total)))
     stays = F.coalesce(F.when(F.col("component_id").isNull(), F.col("digest") == F.col("first")).otherwise(F.col("doc_id") == F.col("component_id")), F.lit(False))
-    return join_keys(made.select("doc_id", "digest", "cls"), named, "cls", "many", total).select("doc_id", "digest", "component_id", stays.alias("stays"))
+    return join_keys(made.select("doc_id", "digest", "cls"), named, "cls", "many", total, told["hot"]).select("doc_id", "digest", "component_id", stays.alias("stays"))

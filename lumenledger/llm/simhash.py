@@ -192,20 +192,23 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root: each node of the edges (u, v) with the least node of its component.
 
     Alternates large-star and small-star until no edge moves. Minima of neighbours are summed
-    up before each shuffle, so a node with very many neighbours is one row in them.
+    up before each shuffle, so a node with very many neighbours is one row in them. Minima are merged with what
+    the same shuffle dealt: broadcast, those of small inputs would be read back to the driver by a task for each partition.
     """
 
     marks = {"s": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
     edges, before = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), EDGES, **marks)
     while before["n"]:
         tasks = max(1, -(-before["n"] // EDGES))
-        both = edges.union(edges.select("v", "u"))
+        ends = lambda df, *of: df.select(F.inline(F.array(*(F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in of))))
+        both = ends(edges, ("u", "v"), ("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks)
+        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").coalesce(tasks)
-        moved = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        edges, now = stored(moved.where("u <> v").distinct(), EDGES, **marks)
+        small = large.join(low.hint("merge"), "u").coalesce(tasks)
+        # A step is named once, not by the two sides of a union: the plan would hold it, and all that it needs, twice for each.
+        moved = ends(small, ("u", "m"), ("v", "m"))
+        edges, now = stored(moved.where("u <> v").distinct(), EDGES, before["n"], **marks)
         if now == before:
             break
         before = now

@@ -2,8 +2,12 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lumenledger.llm import nearcopies
+from lumenledger.llm.arrowtext import join_keys
+from lumenledger.llm.simhash import components
 
 
 def rows():
@@ -83,3 +87,33 @@ def test_the_last_plan_is_small(spark, capsys):
     df = spark.createDataFrame(rows(), "doc_id long, text string, lang string, source string, n_chars long")
     nearcopies.near_copies(df).explain()
     assert capsys.readouterr().out.count("Exchange") < 10
+
+
+def test_components_of_a_small_graph_take_few_tasks(spark):
+    """Each round's edges fit one task, so a round must not have a task for each of the partitions again and again."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "u long, v long")
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        context.setJobGroup("small components", "")
+        found = components(edges)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    stages = {s for j in tracker.getJobIdsForGroup("small components") for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i)
+    assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(1, 41)} | {(101, 100)}
+    assert tasks < 300, tasks
+
+
+def test_keys_of_which_none_is_hot_are_joined_once(spark):
+    rows = spark.createDataFrame([(i % 50, i) for i in range(500)], "k long, x long")
+    keys = rows.groupBy("k").agg(F.count(F.lit(1)).alias("many"))
+    plain = join_keys(rows, keys, "k", "many", 50_000_000, 0)
+    assert "Union" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    split = join_keys(rows, keys, "k", "many", 50_000_000)
+    assert sorted(plain.collect()) == sorted(split.collect())
+    assert sorted(plain.collect()) == sorted(join_keys(rows, keys, "k", "many", 500, 50).collect())
