@@ -49,8 +49,8 @@ def test_a_line_of_many_blocks_is_sent_as_stretches():
 def test_different_surroundings_of_one_anchor_are_dealt_by_window():
     rows = lined(40)
     table = sent([rows[:20], rows[20:]], 30)
-    windows = [r for r in table.to_pylist() if r["kind"] == S.WINDOWS]
-    assert windows and all(set(np.frombuffer(r["count"], np.int16)) == {1} for r in windows)
+    count = np.concatenate([np.frombuffer(r["count"], np.int16) for r in table.to_pylist()])
+    assert (count == -1).sum() > (count > 0).sum() / 4
     assert judged(table) == judged(sent([rows[:20], rows[20:]]))
 
 
